@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, simhash
+from veinstone.llm import bpe, fingerprints, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_prefix_fingerprints": fingerprints.query,
         "op6_byte_bpe": bpe.query,
         "op10_simhash_gray": simhash.query,
     }
