@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, simhash
+from veinstone.llm import bpe, fingerprints, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_prefix_fingerprints": fingerprints.query,
         "op6_byte_bpe": bpe.query,
+        "op8_warc_salvage": warc.query,
         "op10_simhash_gray": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_warc_salvage": warc.SQL,
+    }
