@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, simhash, warc
+from veinstone.llm import bpe, fingerprints, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_prefix_fingerprints": fingerprints.query,
         "op6_byte_bpe": bpe.query,
         "op8_warc_salvage": warc.query,
+        "op9_toxicity_zstd": toxicity.query,
         "op10_simhash_gray": simhash.query,
     }
 
