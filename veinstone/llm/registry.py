@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, simhash, toxicity, warc
+from veinstone.llm import bpe, fingerprints, shards, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_prefix_fingerprints": fingerprints.query,
         "op6_byte_bpe": bpe.query,
+        "op7_balanced_labels": shards.query,
         "op8_warc_salvage": warc.query,
         "op9_toxicity_zstd": toxicity.query,
         "op10_simhash_gray": simhash.query,
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_balanced_labels": shards.query,
         "op8_warc_salvage": warc.SQL,
     }
