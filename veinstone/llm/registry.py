@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, quality, secrets, shards, simhash, toxicity, warc
+from veinstone.llm import bpe, fingerprints, mixing, quality, secrets, shards, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_divergence_rules": quality.query,
         "op2_randomness_battery": secrets.query,
         "op4_prefix_fingerprints": fingerprints.query,
+        "op5_hypergeometric_tree": mixing.query,
         "op6_byte_bpe": bpe.query,
         "op7_balanced_labels": shards.query,
         "op8_warc_salvage": warc.query,
