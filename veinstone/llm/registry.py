@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, mixing, quality, secrets, shards, simhash, toxicity, warc
+from veinstone.llm import bpe, fingerprints, mixing, quality, secrets, shards, simhash, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_divergence_rules": quality.query,
         "op2_randomness_battery": secrets.query,
+        "op3_suffix_factors": suffix_dedup.query,
         "op4_prefix_fingerprints": fingerprints.query,
         "op5_hypergeometric_tree": mixing.query,
         "op6_byte_bpe": bpe.query,
