@@ -19,6 +19,7 @@ columns besides id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.common import skew_safe_lookup, table, written
 
-SEED, MOST = 42, 3
+SEED, MOST, WORDS = 42, 3, 10
 #: Distinct fingerprints of a bucket from which it is split again.
 SPLIT = 2048
 #: Shingles whose bits are counted, and node pairs that are expanded, at a time: bounds of memory.
@@ -37,35 +38,56 @@ SHINGLES, PAIRS = 1 << 15, 1 << 21
 #: Label of a fingerprint whose documents have no id.
 NO_ID = (1 << 63) - 1
 _ONES = np.array([bin(x).count("1") for x in range(256)], "u1")
+#: Bits of each byte value, lowest first.
+_BITS = np.array([[x >> k & 1 for k in range(8)] for x in range(256)], "i8")
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """SimHash of one text, unsigned."""
+def _shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a text, some at a time."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     begin, end = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    counts = np.zeros(64, "i8")
     for at in range(0, len(begin), SHINGLES):
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(begin[at : at + SHINGLES], end[at : at + SHINGLES])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype="i4")
-    return int(np.packbits(counts * 2 > len(begin), bitorder="little").view("<u8")[0])
+        yield np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(begin[at : at + SHINGLES], end[at : at + SHINGLES])], "<u8")
+
+
+def signature(text: str, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """SimHash of one text: 64-bit words, of which the first is of the shingles' XXH64 and others of numbers drawn from it."""
+    counts, shingles = np.zeros((8 * words, 8), "i8"), 0
+    for hashes in _shingle_hashes(text, shingle):
+        lanes = np.empty((len(hashes), words), "<u8")
+        for k in range(words):
+            lanes[:, k] = hashes
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = hashes ^ (hashes >> np.uint64(32))
+        # Bits are counted through how often each byte has each value.
+        values = lanes.view("u1") + np.arange(8 * words, dtype="i4") * 256
+        counts += np.bincount(values.ravel(), minlength=8 * words * 256).reshape(-1, 256) @ _BITS
+        shingles += len(lanes)
+    return np.packbits(counts * 2 > shingles, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """SimHash of one text, unsigned."""
+    return int(signature(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, bits): the fingerprint of each text as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, bits): the fingerprint of each text as a signed long; of several words, as an array of them."""
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text.as_py() or "", shingle) for text in batch.column(1)], "u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("i8"))], names=["doc_id", "bits"])
+            found = np.array([signature(text.as_py() or "", shingle, words) for text in batch.column(1)], "u8").reshape(-1, words).view("i8")
+            bits = pa.array(found.ravel()) if words == 1 else pa.array(list(found), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits], names=["doc_id", "bits"])
 
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text")).mapInArrow(batches, "doc_id long, bits long")
+    texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    return texts.mapInArrow(batches, f"doc_id long, bits {'long' if words == 1 else 'array<long>'}")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -89,12 +111,17 @@ class GrayIndex:
             fresh = fresh.copy()
             fresh[1:] |= prefix[1:] != prefix[:-1]
             firsts.append(np.flatnonzero(fresh))
+        self.firsts = firsts
         #: For each level: where the children of each node begin, and the byte that each child adds.
         self.children = [np.append(np.searchsorted(below, above), len(below)) for above, below in zip(firsts, firsts[1:])]
         self.patterns = [((codes[first] >> np.uint64(56 - 8 * level)) & np.uint64(255)).astype("u1") for level, first in enumerate(firsts[1:])]
 
-    def links(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions, in sorted order, of pairs within ``most`` differing bits."""
+    def links(self, most: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions, in sorted order, of pairs within ``most`` differing bits.
+
+        label: the component of each position, as far as the caller has found them. Pairs of nodes that lie in one component
+        altogether are left out, so that a dense group doesn't cost the square of its size.
+        """
         roots = np.arange(len(self.children[0]) - 1)
         stack = [(0, roots, roots, np.zeros(len(roots), "u1"))]
         while stack:
@@ -102,6 +129,13 @@ class GrayIndex:
             if level == 8:
                 yield a, b
                 continue
+            if level > 1:
+                first = self.firsts[level]
+                low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+                apart = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+                a, b, differing = a[apart], b[apart], differing[apart]
+                if not len(a):
+                    continue
             begin = self.children[level]
             across = begin[b + 1] - begin[b]
             total = (begin[a + 1] - begin[a]) * across
@@ -130,64 +164,81 @@ class GrayIndex:
         return np.diff(first) > 1
 
 
-def components(size: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest position reachable from each position."""
-    label = np.arange(size)
-    for a, b in links:
-        while True:
-            x, y = label[a], label[b]
-            if not (unequal := x != y).any():
-                break
-            a, b, x, y = a[unequal], b[unequal], x[unequal], y[unequal]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Brings the components of linked positions together, in place; a component is named by its smallest position."""
+    while True:
+        x, y = label[a], label[b]
+        if not (unequal := x != y).any():
+            return
+        a, b, x, y = a[unequal], b[unequal], x[unequal], y[unequal]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((further := label[label]) != label).any():
+            label[:] = further
 
 
 def _block(bits: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _memberships(nodes: DataFrame, most: int) -> DataFrame:
-    """(bits, set): distinct fingerprints in the local components, of two or more, of their buckets."""
-    if most > 3:
-        raise ValueError("four blocks find pairs of up to three differing bits")
-    bits = F.col("bits")
-    dealt = nodes.select("bits", F.explode(F.array(*(F.lit(j << 16).cast("long") + _block(bits, 48 - 16 * j, 16) for j in range(4)))).alias("bucket"))
-    # Of 2^18 buckets at most, whatever the input: these may be broadcast.
+def _dealt(nodes: DataFrame, words: int) -> DataFrame:
+    """(bits, bucket): each distinct fingerprint in the buckets of its 16-bit blocks, four of each 64-bit word."""
+    word = [F.col("bits")] if words == 1 else [F.get("bits", F.lit(k)) for k in range(words)]
+    keys = [F.lit(block << 16).cast("long") + _block(word[block // 4], 48 - 16 * (block % 4), 16) for block in range(4 * words)]
+    dealt = nodes.select("bits", F.explode(F.array(*keys)).alias("bucket"))
+    # Of 2^18 buckets for each word at most, whatever the input: these may be broadcast.
     large = dealt.groupBy("bucket").count().where(F.col("count") > SPLIT).select("bucket", F.lit(True).alias("large"))
-    block = F.shiftrightunsigned(F.col("bucket"), 16)
-    turned = F.array(*(F.shiftleft(bits, 16 * j).bitwiseOR(F.shiftrightunsigned(bits, 64 - 16 * j)) for j in range(4)))[block.cast("int")]
-    again = F.array(*(F.lit((1 << 40) + (j << 36)) + F.col("bucket") * F.lit(1 << 12) + _block(turned, 36 - 12 * j, 12) for j in range(4)))
-    dealt = (
+    block = F.shiftrightunsigned(F.col("bucket"), 16).cast("int")
+    own = F.col("bits") if words == 1 else F.get("bits", (block / 4).cast("int"))
+    turned = F.get(F.array(*(F.shiftleft(own, 16 * j).bitwiseOR(F.shiftrightunsigned(own, 64 - 16 * j)) for j in range(4))), block % 4)
+    again = F.array(*(F.lit((1 << 44) + (j << 40)) + F.col("bucket") * F.lit(1 << 12) + _block(turned, 36 - 12 * j, 12) for j in range(4)))
+    return (
         dealt.join(F.broadcast(large), "bucket", "left")
-        .select("bits", F.explode(F.when(F.col("large"), again).otherwise(F.array("bucket"))).alias("bucket"))
+        .select("bits", F.explode(F.when(F.col("large"), again).otherwise(F.array("bucket"))).alias("bucket"), block.alias("block"))
         .repartition("bucket")
         .sortWithinPartitions("bucket")
     )
 
-    def linked(buckets: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        index = GrayIndex(buckets, codes.view("u8"))
-        label = components(len(codes), index.links(most))
-        members = np.isin(label, np.flatnonzero(np.bincount(label, minlength=1) > 1))
-        ordered, homes = codes[index.order], buckets[index.order]
-        names = pa.array([f"{bucket:x}-{code & ((1 << 64) - 1):x}" for bucket, code in zip(homes[members].tolist(), ordered[label[members]].tolist())], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(ordered[members], pa.int64()), names], names=["bits", "set"])
+
+def _memberships(nodes: DataFrame, words: int, most: int, most_of_all: int) -> DataFrame:
+    """(bits, set): distinct fingerprints in the local components, of two or more, of their buckets.
+
+    most: differing bits of the word that a bucket's block is from; most_of_all: of all words.
+    """
+    kind = "long" if words == 1 else "array<long>"
+
+    def linked(buckets: np.ndarray, prints: np.ndarray, blocks: np.ndarray) -> pa.RecordBatch:
+        index = GrayIndex(buckets, prints[np.arange(len(prints)), blocks // 4])
+        ordered, homes = prints[index.order], buckets[index.order]
+        label = np.arange(len(ordered))
+        near = np.flatnonzero(homes[1:] == homes[:-1])  # neighbours in Gray order first: dense groups are one component then
+        for a, b in [(near, near + 1)] if words > 1 else []:
+            close = np.bitwise_count(ordered[a] ^ ordered[b]).sum(axis=1) <= most_of_all
+            unite(label, a[close], b[close])
+        for a, b in index.links(most, label):
+            if words > 1:
+                close = np.bitwise_count(ordered[a] ^ ordered[b]).sum(axis=1) <= most_of_all
+                a, b = a[close], b[close]
+            unite(label, a, b)
+        members = (np.bincount(label, minlength=len(label)) > 1)[label]
+        names = pa.array([f"{bucket:x}-{place:x}" for bucket, place in zip(homes[members].tolist(), label[members].tolist())], pa.string())
+        found = ordered[members].view("i8")
+        return pa.RecordBatch.from_arrays([pa.array(found.ravel()) if words == 1 else pa.array(list(found), pa.list_(pa.int64())), names], names=["bits", "set"])
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_buckets, rest_codes = np.empty(0, "i8"), np.empty(0, "i8")
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            codes, buckets = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            codes, buckets = np.concatenate([rest_codes, codes]), np.concatenate([rest_buckets, buckets])
-            whole = np.searchsorted(buckets, buckets[-1]) if len(buckets) else 0  # the last bucket may go on
+            bits = batch.column(0)
+            prints = (bits.to_numpy(zero_copy_only=False) if words == 1 else bits.flatten().to_numpy(zero_copy_only=False)).view("u8").reshape(-1, words)
+            new = [batch.column(1).to_numpy(zero_copy_only=False), prints, batch.column(2).to_numpy(zero_copy_only=False)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last bucket may go on
             if whole:
-                yield linked(buckets[:whole], codes[:whole])
-            rest_buckets, rest_codes = buckets[whole:], codes[whole:]
-        if len(rest_codes):
-            yield linked(rest_buckets, rest_codes)
+                yield linked(*(x[:whole] for x in held))
+            held = [x[whole:] for x in held]
+        if held is not None and len(held[0]):
+            yield linked(*held)
 
-    return dealt.mapInArrow(batches, "bits long, set string")
+    return _dealt(nodes, words).select("bits", "bucket", "block").mapInArrow(batches, f"bits {kind}, set string")
 
 
 def spread_labels(members: DataFrame) -> DataFrame:
@@ -204,36 +255,56 @@ def spread_labels(members: DataFrame) -> DataFrame:
             return members.groupBy("bits").agg(F.min("label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = MOST, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    prints = written(fingerprints(docs, shingle, id_column=id_column, text_column=text_column), "simhash-prints")
+def _components(prints: DataFrame, words: int, most: int, most_of_all: int) -> DataFrame:
+    """prints (doc_id, bits) with component_id, NO_ID where no document of it has an id."""
     nodes = prints.groupBy("bits").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("label"), F.count("*").alias("copies"))
     nodes = written(nodes, "simhash-nodes")
-    sets = written(_memberships(nodes.select("bits"), most), "simhash-sets")
+    sets = written(_memberships(nodes.select("bits"), words, most, most_of_all), "simhash-sets")
     spread = spread_labels(sets.join(nodes.select("bits", "label"), "bits"))
     named = nodes.join(spread.withColumnRenamed("label", "reached"), "bits", "left").select(
         "bits", "copies", F.coalesce("reached", "label").alias("component_id")
     )
-    return skew_safe_lookup(prints, named, "bits", "copies", F.col("doc_id")).select(
+    return skew_safe_lookup(prints, named, "bits", "copies", F.col("doc_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = MOST, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; all pairs of up to ``most`` differing bits link."""
+    if most > 3:
+        raise ValueError("four blocks find pairs of up to three differing bits; see similar() for more")
+    prints = written(fingerprints(docs, shingle, id_column=id_column, text_column=text_column), "simhash-prints")
+    return _components(prints, 1, most, most).select(
         "doc_id",
         F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"),
         F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
-    """The documents, one of each component: that with the smallest doc_id.
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = WORDS, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents link at an estimated similarity of their shingle sets.
 
-    Rows without doc_id can't be told apart; they stay only where their component has no id at all.
-    Of rows that repeat a doc_id one stays.
+    Texts of similarity s have, of n shingles each, 2s/(1+s) n in common, and a bit of their fingerprints differs with the chance
+    of the angle between them. At 0.8 that is 15 % of the bits, too many for one 64-bit fingerprint to tell or for four of
+    its blocks to find. So fingerprints have ``words`` words, whose blocks go to 4 x words tables; a pair links if it
+    shares a bucket and its differing bits of all words are as few. For 0.8 and ten words a link is found with a chance
+    of 95 %, and far above that for closer texts or within groups.
     """
-    same = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    kept = near_duplicates(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(same.alias("_key")).distinct()
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    prints = written(fingerprints(docs, shingle, words, id_column=id_column, text_column=text_column), "simhash-signatures")
+    most = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+    return _components(prints, words, most, math.floor(64 * words * share)).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, one of each component of similar ones: that with the smallest doc_id.
+
+    Rows without doc_id can't be told apart; they stay only where their component has no id at all. Of rows that repeat a
+    doc_id one stays.
+    """
+    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    kept = similar(docs, shingle, similarity).where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("component_id")).select(F.col("component_id").alias("_key")).distinct()
     first = Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind)))
-    return (
-        docs.withColumn("_key", same).join(kept, "_key", "left_semi")
-        .withColumn("_nth", F.row_number().over(first)).where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(docs.columns)
-    )
+    alone = docs.withColumn("_key", same).join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first))
+    return alone.where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
