@@ -139,7 +139,8 @@ def keep_good(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns (a column named like a measure does no harm)."""
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_whole")
     found = judged(docs.select(whole), F.col("_whole")[text_column])
-    return found.where("kept").select("_whole.*")
+    # Not a filter: the optimizer would push it below the measures, and write them out once more for each use of one in another.
+    return found.select(F.inline(F.when(F.col("kept"), F.array("_whole"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
