@@ -40,7 +40,7 @@ from veinstone.llm.common import fresh_path, shuffle_width, table, written
 
 LENGTH, ANCHOR = 50, 24
 #: Text in a chunk (a longer document is a chunk of its own), and positions hashed at a time.
-CHUNK_BYTES, BLOCK = 2 << 20, 1 << 19
+CHUNK_BYTES, BLOCK = 2 << 20, 1 << 16
 #: Bytes of an anchor hash that go to the buckets of step 2, besides the bucket itself.
 HASH_BYTES = 5
 NO_ID = (1 << 63) - 1
@@ -50,23 +50,17 @@ _ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # --- anchors -----------------------------------------------------------------------------------------------------------
 
 
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _EVEN
-    return x ^ (x >> np.uint64(29))
-
-
 def _window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each window of ``width`` bytes, put together from windows of powers of two."""
-    power, size, out, done = data.astype("u8") + np.uint64(1), 1, None, 0
-    while True:
-        if width & size:
-            m = len(data) - done - size + 1
-            out = power[:m] if out is None else out[:m] * _ODD + _stir(power[done : done + m])
-            done += size
-        if size * 2 > width:
-            return _stir(out * _ODD)
-        power = _stir(power[: len(power) - size] * _ODD + power[size:])
-        size *= 2
+    """A 64-bit hash of each window of ``width`` bytes, a multiple of eight, from the words at each byte."""
+    data = np.ascontiguousarray(data)
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    n = max(0, len(data) - width + 1)
+    x = np.zeros(n, "u8")
+    for at in range(0, width, 8):
+        x += words[at : at + n]
+        x *= _ODD if at % 16 else _EVEN
+        x ^= x >> np.uint64(29 if at % 16 else 32)
+    return x
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -317,14 +311,16 @@ def _kept_segments(chunk: Chunk, homes: list[int], masks: list[bytes], buckets:
     segments = chunk.segments
     kept = np.flatnonzero(marked[chunk.which])
     kept = kept[np.lexsort((segments.start[kept], chunk.ids[segments.doc[kept]], segments.hash[kept], _buckets(segments.hash[kept], buckets)))]
-    data, seen, distinct, which = chunk.bytes.tobytes(), {}, [], np.full(len(segments.hash), -1)
-    starts, ends = segments.start[kept].tolist(), (segments.start[kept] + segments.count[kept] + chunk.length - 1).tolist()
-    for k, start, end in zip(kept.tolist(), starts, ends):
-        nth = seen.setdefault(data[start:end], len(distinct))
-        if nth == len(distinct):
-            distinct.append(k)
-        which[k] = nth
-    return np.array(distinct, "i8"), which
+    # Segments of different anchors differ; texts are compared only where an anchor stands more than once.
+    alike, first = np.bincount(chunk.which, minlength=len(marked))[chunk.which[kept]] > 1, np.arange(len(kept))
+    data, seen = chunk.bytes.tobytes(), {}
+    starts, ends = segments.start[kept], segments.start[kept] + segments.count[kept] + chunk.length - 1
+    for nth, start, end in zip(np.flatnonzero(alike).tolist(), starts[alike].tolist(), ends[alike].tolist()):
+        first[nth] = seen.setdefault(data[start:end], nth)
+    fresh = first == np.arange(len(kept))
+    which = np.full(len(segments.hash), -1)
+    which[kept] = (np.cumsum(fresh) - 1)[first]
+    return kept[fresh], which
 
 
 def _asked(store: Store, length: int, buckets: int, rows: pa.Table) -> pa.Table:
@@ -381,7 +377,6 @@ def _removed(chunk: Chunk, rows: pa.Table, buckets: int) -> np.ndarray:
     by_kind = [rows.filter(rows.column("answer").is_null()), rows.filter(rows.column("answer").is_valid())]
     distinct, which = _kept_segments(chunk, by_kind[0].column("bucket").to_pylist(), by_kind[0].column("bits").to_pylist(), buckets)
     segments = chunk.segments
-    begins = np.zeros(len(chunk.bytes) + 1, bool)
     home = _buckets(segments.hash[distinct], buckets)
     answers = dict(zip(by_kind[1].column("bucket").to_pylist(), by_kind[1].column("answer").to_pylist()))
     count = segments.count[distinct]
@@ -394,14 +389,18 @@ def _removed(chunk: Chunk, rows: pa.Table, buckets: int) -> np.ndarray:
         strings.append(np.unpackbits(np.frombuffer(answer, "u1", -1, 8 + n), count=int(asked.sum())).astype(bool) if asked.sum() else np.empty(0, bool))
     strings = np.concatenate(strings)
     at = np.cumsum(np.where(whole, 0, count)) - np.where(whole, 0, count)
-    owner = chunk.ids[segments.doc[distinct]]
-    for k in np.flatnonzero(which >= 0).tolist():
-        nth, start = which[k], segments.start[k]
-        if whole[nth] or chunk.ids[segments.doc[k]] > owner[nth]:
-            begins[start : start + segments.count[k]] = True
-        else:
-            begins[start : start + segments.count[k]] = strings[at[nth] : at[nth] + count[nth]]
-    total = np.cumsum(begins[:-1], dtype="i8")
+    asked = np.flatnonzero(which >= 0)
+    nth = which[asked]
+    entire = whole[nth] | (chunk.ids[segments.doc[asked]] > chunk.ids[segments.doc[distinct]][nth])
+    edges = np.zeros(len(chunk.bytes) + 1, "i4")
+    np.add.at(edges, segments.start[asked[entire]], 1)
+    np.add.at(edges, segments.start[asked[entire]] + segments.count[asked[entire]], -1)
+    begins = np.cumsum(edges[:-1]) > 0
+    some, nth = asked[~entire], nth[~entire]
+    sizes = segments.count[some]
+    along = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins[np.repeat(segments.start[some], sizes) + along] |= strings[np.repeat(at[nth], sizes) + along]
+    total = np.cumsum(begins, dtype="i8")
     total[chunk.length :] -= total[: -chunk.length].copy()
     return total > 0
 
