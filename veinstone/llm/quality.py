@@ -146,3 +146,49 @@ def keep_good(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
     return judged(docs, F.col("text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    def listed(values: list) -> str:
+        return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(float(v)) for v in values) + "]"
+
+    def distance(shares: str, reference: list[float]) -> str:
+        part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p[1] + p[2]) / 2)) ELSE 0.0 END"
+        halves = f"list_transform(list_zip({shares}, CAST({listed(reference)} AS DOUBLE[])), lambda p: ({part.format('p[1]')} + {part.format('p[2]')}) / 2)"
+        return f"sqrt(greatest(0.0, list_sum({halves})))"
+
+    known = listed(sorted({word for words in COMMON_WORDS.values() for word in words}))
+    counts = ", ".join(
+        f"list_append(list_transform({listed(words)}, lambda w: len(list_filter(common, lambda x: x = w)) / n), (n - len(list_filter(common, lambda x: list_contains({listed(words)}, x)))) / n) AS words_{language}"
+        for language, words in COMMON_WORDS.items()
+    )
+    char = ", ".join(distance("classes", v) for v in CLASS_SHARES.values())
+    word = ", ".join(distance(f"words_{k}", word_shares(k)) for k in COMMON_WORDS)
+    only = "length(regexp_replace(t, '{0}', '', 'g'))".format
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS tokens FROM texts),
+grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS gram, unnest(range(1, len(w) - {WINDOW - 2})) AS pos FROM words),
+repeated AS (SELECT doc_id, pos FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+steps AS (SELECT doc_id, least({WINDOW}, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, {WINDOW})) AS step FROM repeated),
+covered AS (SELECT doc_id, CAST(sum(step) AS BIGINT) AS covered FROM steps GROUP BY 1),
+base AS (
+  SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {only("[^#*$%&|<>]+")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(covered, 0) AS n_repeat_words, greatest(1, len(tokens)) AS n, len(tokens) AS n_tokens, list_filter(tokens, lambda x: list_contains({known}, x)) AS common FROM words LEFT JOIN covered USING (doc_id)),
+parts AS (
+  SELECT *, length(t) AS everything, greatest(1, length(t)) AS total, {only("[^a-z]+")} AS lower_case, {only("[^\p{Lu}]+")} AS upper_case, {only("[^\p{L}]+")} AS letters, {only("[^\p{Nd}]+")} AS digits,
+         {only("""[^.,;:!?''"()-]+""")} AS points, length(t) - word_chars AS white FROM base),
+shares AS (
+  SELECT *, [lower_case / total, (letters - lower_case - upper_case) / total, upper_case / total, digits / total, white / total, points / total, greatest(everything - letters - digits - white - points, 0) / total] AS classes,
+         {counts} FROM parts),
+distances AS (SELECT *, least({char}) AS char_distance, least({word}) AS word_distance, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM shares)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (everything >= {MIN_CHARS} AND char_distance > {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(greatest(1, n_words)))
+       AND NOT (n_tokens >= {MIN_COMMON} AND word_distance > {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(n)) AS kept
+FROM distances
+"""
+
+
+SQL = _sql()

@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op7_balanced_labels": shards.query,
+        "op1_divergence_rules": quality.SQL,
+        "op3_suffix_factors": suffix_dedup.SQL,
+        "op5_hypergeometric_tree": mixing.SQL,
         "op8_warc_salvage": warc.SQL,
     }

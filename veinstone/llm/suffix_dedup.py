@@ -447,10 +447,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, result: str = "digest"
     told = texts.mapInArrow(partial(_stored, store, length, chunk_bytes, buckets), f"{_PLACE}, anchors binary, shared binary")
     bits = written(told.groupBy("bucket").applyInArrow(_repeated, f"{_PLACE}, bits binary"), "repeats-bits")
     by_chunk = ("part", "offset", "size")
+    # A number of partitions that stays: rows are few, but each chunk behind them is work.
+    bits = bits.repartition(shuffle_width(spark), *by_chunk)
     asked = bits.groupBy(*by_chunk).applyInArrow(_with(_asked, store, length, buckets), f"{_PLACE}, segments binary")
     answers = written(asked.groupBy("bucket").applyInArrow(_with(_answered, length), f"{_PLACE}, answer binary"), "repeats-answers")
     both = bits.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers.withColumn("bits", F.lit(None).cast("binary")))
-    return both.groupBy(*by_chunk).applyInArrow(_with(_finished, store, length, buckets, result), _RESULTS[result][2])
+    return both.repartition(shuffle_width(spark), *by_chunk).groupBy(*by_chunk).applyInArrow(_with(_finished, store, length, buckets, result), _RESULTS[result][2])
+
+
+#: Brute force over all strings; hexadecimal digits stand for bytes.
+SQL = f"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, unnest(list_transform(range(len(h) // 2 - {LENGTH - 1}), lambda i: substr(h, CAST(2 * i + 1 AS INT), {2 * LENGTH}))) AS s, unnest(range(len(h) // 2 - {LENGTH - 1})) AS pos FROM bytes),
+later AS (SELECT doc_id, pos FROM strings QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+edges AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER w + {LENGTH}, true) AS fresh FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (SELECT doc_id, min(pos) AS first, max(pos) + {LENGTH} AS last FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM edges) GROUP BY doc_id, nth),
+gaps AS (SELECT doc_id, first, last, coalesce(lag(last) OVER w, 0) AS kept_from, lead(first) OVER w IS NULL AS is_last FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY first)),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * kept_from + 1 AS INT), CAST(2 * (first - kept_from) AS INT)) || CASE WHEN is_last THEN substr(h, CAST(2 * last + 1 AS INT)) ELSE '' END, '' ORDER BY first) AS rest,
+         CAST(sum(last - first) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gaps JOIN bytes USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM bytes LEFT JOIN kept USING (doc_id)
+"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
