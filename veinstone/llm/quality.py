@@ -132,15 +132,17 @@ def judged(docs: DataFrame, text: Column) -> DataFrame:
     far = (F.col("_q_all") >= MIN_CHARS) & (F.col("char_distance") > CHAR_LIMIT[0] + CHAR_LIMIT[1] / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     strange = (F.col("_q_n") >= MIN_COMMON) & (F.col("word_distance") > WORD_LIMIT[0] + WORD_LIMIT[1] / F.sqrt(F.greatest(F.col("_q_n"), F.lit(1))))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance"]
-    return docs.withColumn("kept", ~F.col("base_failed") & ~far & ~strange).select(*columns, *measures, "kept")
+    docs = docs.withColumn("kept", ~F.col("base_failed") & ~far & ~strange)
+    # Through a generator: the optimizer would push a later filter below the measures, and write them out once more for each
+    # use of one in another, which has no end.
+    return docs.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in [*columns, *measures, "kept"])))))
 
 
 def keep_good(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
     """The documents that the rules keep, with their own columns (a column named like a measure does no harm)."""
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_whole")
     found = judged(docs.select(whole), F.col("_whole")[text_column])
-    # Not a filter: the optimizer would push it below the measures, and write them out once more for each use of one in another.
-    return found.select(F.inline(F.when(F.col("kept"), F.array("_whole"))))
+    return found.where("kept").select("_whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
