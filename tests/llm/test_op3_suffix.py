@@ -39,7 +39,8 @@ def test_against_brute_force(spark, chunk_bytes):
 
 
 def test_spans(spark):
-    same = "".join(random.Random(1).choice("abcdef") for _ in range(60))
+    rng = random.Random(1)
+    same = "".join(rng.choice("abcdef") for _ in range(60))
     docs = spark.createDataFrame([(1, "x" + same), (2, "yy" + same + "z"), (None, same)], "doc_id long, text string")
     found = {r.doc_id: ([(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in S.remove_repeats(docs, result="spans").collect()}
     assert found == {1: ([], ("x" + same).encode()), 2: ([(2, 62)], b"yyz"), None: ([(0, 60)], b"")}

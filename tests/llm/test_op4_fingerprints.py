@@ -32,7 +32,8 @@ def test_spans_and_extensions():
 
 
 def test_likeness():
-    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(4000))
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
     of = lambda t: fingerprint(PrefixHashes(t))
     assert likeness(of(text), of(text)) == 1.0 and likeness(of(""), of("")) == 1.0 and likeness(of(""), of("x")) == 0.0
     assert likeness(of(text), of(text[:2000] + "#" + text[2000:])) > 0.85
