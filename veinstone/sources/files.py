@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ def is_workbook(content: Column) -> Column:
 
 def encoding(content: Column) -> Column:
     """The first of ENCODINGS that decodes the first 10,000 bytes; an Arrow function, as the JVM replaces what it can't decode."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def sniffed(heads: pd.Series) -> pd.Series:
         def first(data: bytes) -> str | None:
