@@ -180,7 +180,7 @@ base AS (
   SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {only("[^#*$%&|<>]+")} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(covered, 0) AS n_repeat_words, greatest(1, len(tokens)) AS n, len(tokens) AS n_tokens, list_filter(tokens, lambda x: list_contains({known}, x)) AS common FROM words LEFT JOIN covered USING (doc_id)),
 parts AS (
-  SELECT *, length(t) AS everything, greatest(1, length(t)) AS total, {only("[^a-z]+")} AS lower_case, {only("[^\p{Lu}]+")} AS upper_case, {only("[^\p{L}]+")} AS letters, {only("[^\p{Nd}]+")} AS digits,
+  SELECT *, length(t) AS everything, greatest(1, length(t)) AS total, {only("[^a-z]+")} AS lower_case, {only(r"[^\p{Lu}]+")} AS upper_case, {only(r"[^\p{L}]+")} AS letters, {only(r"[^\p{Nd}]+")} AS digits,
          {only("""[^.,;:!?''"()-]+""")} AS points, length(t) - word_chars AS white FROM base),
 shares AS (
   SELECT *, [lower_case / total, (letters - lower_case - upper_case) / total, upper_case / total, digits / total, white / total, points / total, greatest(everything - letters - digits - white - points, 0) / total] AS classes,
