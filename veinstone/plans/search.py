@@ -228,7 +228,7 @@ WITH items AS (
          CASE WHEN user_id % 3 <> 0 THEN CASE WHEN user_id % 7 <> 0 THEN CAST(user_id AS VARCHAR) END ELSE 'd' || user_id END AS uid FROM events)
 SELECT uid, round(sum(1.0 / (60 + rank + 1)), 9) AS score, arg_min(payload, (list, rank)) AS payload FROM items WHERE uid IS NOT NULL GROUP BY uid"""),
     "term_weights": (term_weights, _TERM_WEIGHTS),
-    "query_clauses": (query_clauses, None),
+    "query_clauses": (query_clauses, f"SELECT query_id, term AS clause, term, weight AS boost FROM ({_TERM_WEIGHTS})"),
     "token_similarity": (token_similarity, f"WITH {_TOKEN_SIMILARITY} SELECT id, similarity FROM alike"),
     "hybrid_linear": (hybrid_linear, f"WITH {_TOKEN_SIMILARITY},{_dense('SELECT 0 AS query_id, embedding AS vector FROM embeddings WHERE vec_id = 0').replace(', 6) AS score', ', 15) AS score')} SELECT id, round(0.85 * score + 0.15 * similarity, 6) AS score FROM dense JOIN alike ON id = vec_id"),
     "recall_at_k": (recall_at_k, f"""
