@@ -39,3 +39,22 @@ def test_held_out_labels_are_not_read(spark, tmp_path):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
     assert (a.ordinary, a.toxic) == (b.ordinary, b.toxic) and np.allclose(a.calibration.weights, b.calibration.weights)
+
+
+def test_words_of_common_syllables(spark, tmp_path):
+    """Toxic words without a byte string of their own, each in few documents, as in languages of few labels."""
+    rng = random.Random(11)
+    syllables = ["ach", "lich", "keit", "ung", "ver", "schu", "ein", "bert", "zuge", "heit", "gen", "tau"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = k % 8 == 0
+        words = [word() for _ in range(rng.randrange(30, 120))]
+        for _ in range(4 if toxic else 0):
+            words.insert(rng.randrange(len(words)), "achlichkeit" + rng.choice(syllables) + rng.choice(["gen", "tau"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, known)).where(toxicity.held_out(F.col("doc_id"))).collect()
+    held = [(r.score >= toxicity.THRESHOLD, dict(labels)[r.doc_id]) for r in scored]
+    assert np.mean([p for p, y in held if y]) > 0.8 and np.mean([p for p, y in held if not y]) < 0.05

@@ -1,11 +1,15 @@
-"""Toxicity from compression distance to two zstandard dictionaries.
+"""Toxicity from compression distances to zstandard dictionaries, of bytes and of words.
 
 The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic one holds the same content,
 preceded by passages that are specific to toxic text: runs of byte strings that stand in many toxic and almost no
 ordinary documents of the sample. As both share what is common to all text, the difference of the two compressed lengths
-of a window comes from the specific passages alone. A whole text is cut into windows; mean, largest and summed
-differences and the number of windows go into a logistic model, calibrated on documents that the dictionaries have not
-seen, whose output is the score.
+of a window comes from the specific passages alone. Toxic words that are built from common syllables hold no such byte
+strings. So a text is also compressed as a sequence of eight-byte codes of its words, with two more dictionaries: of the
+words of ordinary documents, and of these and the specific words. A code matches as a whole or not at all.
+
+A whole text is cut into windows; mean, largest and summed differences and the number of windows go into a logistic
+model, whose output is the score. The sample is dealt into FOLDS parts; the model is calibrated on each part with
+dictionaries of the others, which have not seen it, and the final dictionaries are made of the whole sample.
 
 Labels are learned from a sample bounded by SAMPLE (documents of each class, by hash order) and PIECES x PIECE
 characters of each; everything else covers whole texts. Labels of held-out documents (crc32 of the id's decimal
@@ -18,12 +22,14 @@ every score is 0. A null doc_id is not held out. Rows keep their multiplicity; o
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +39,17 @@ from veinstone.llm.common import crc32, table
 #: Labelled documents of each class, at most, and pieces of each text that training reads.
 SAMPLE = {1: 2400, 0: 4800}
 PIECES, PIECE = 64, 256
-#: Of each class, the share of documents that the dictionaries are made of; the others calibrate.
-TAUGHT = 2 / 3
+#: Parts of the sample; each calibrates with dictionaries made of the others.
+FOLDS = 4
 WINDOW, LEVEL = 128, 12
 ORDINARY_BYTES, TOXIC_BYTES = 30_000, 3072
 #: Specific byte strings: their length, and how much rarer they must be in ordinary documents.
 RUN, RATIO = 5, 150
+#: Words: how much rarer specific ones must be in ordinary documents, words of each dictionary, and words of a window.
+WORD_RATIO, WORDS, WORD_WINDOW = 20, 3500, 64
 THRESHOLD = 0.3
-FEATURES = 6
+FEATURES = 10
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def windows(text: str) -> list[bytes]:
@@ -81,6 +90,26 @@ def toxic_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> byt
     return content
 
 
+def _words(text: str) -> list[bytes]:
+    return [word.encode() for word in _WORD.findall(text.lower())]
+
+
+def _codes(words: list[bytes]) -> bytes:
+    return b"".join(map(xxhash.xxh64_digest, words))
+
+
+def word_contents(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """Codes of the words of most ordinary documents, and of those specific to toxic ones; the most frequent last."""
+    in_toxic, in_ordinary = (Counter(w for pieces in docs for w in {w for piece in pieces for w in _words(piece.decode(errors="ignore"))}) for docs in (toxic, ordinary))
+    # Words of n documents that are all toxic must be twice as many as by chance.
+    chance = len(toxic) / (len(toxic) + len(ordinary))
+    whole, all_toxic = Counter((in_toxic + in_ordinary).values()), Counter(n for s, n in in_toxic.items() if s not in in_ordinary)
+    least = next((n for n in range(3, len(toxic) + 1) if all_toxic[n] >= 2 * whole[n] * chance**n), 3)
+    specific = [s for s, n in in_toxic.items() if n >= least and n * len(ordinary) >= WORD_RATIO * in_ordinary[s] * len(toxic)]
+    specific, common = (sorted(sorted(some, key=lambda s: (-counts[s], s))[:WORDS], key=lambda s: (counts[s], s)) for some, counts in ((specific, in_toxic), (in_ordinary, in_ordinary)))
+    return _codes(common), _codes(specific)
+
+
 def ordinary_content(ordinary: list[list[bytes]]) -> bytes:
     samples = [piece[at : at + 2 * WINDOW] for pieces in ordinary for piece in pieces for at in range(0, len(piece), 2 * WINDOW)]
     try:
@@ -89,26 +118,36 @@ def ordinary_content(ordinary: list[list[bytes]]) -> bytes:
         return b"".join(samples)[-ORDINARY_BYTES:]
 
 
+def contents(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, ...]:
+    """Ordinary and toxic content of bytes, then of words."""
+    return ordinary_content(ordinary), toxic_passages(toxic, ordinary), *word_contents(toxic, ordinary)
+
+
 class Distances:
-    """Compressed lengths of windows under both dictionaries."""
+    """Compressed lengths of windows under the dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, ordinary_words: bytes, toxic_words: bytes) -> None:
         self.measures = [
             zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            for content in (ordinary, toxic + ordinary)
+            for content in (ordinary, toxic + ordinary, ordinary_words, toxic_words + ordinary_words)
         ]
 
     def features(self, text: str) -> tuple[float, ...]:
         cut = windows(text)
-        ordinary, toxic = self.measures
+        ordinary, toxic, ordinary_words, toxic_words = self.measures
         gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in cut], float)
         largest = np.sort(gains)[::-1]
-        return (float(gains.mean() / min(WINDOW, len(cut[0]) + 1) * 100), float(largest[0]), float(largest[:3].mean()), float(np.log1p(len(cut))), float(np.log1p(max(0.0, gains.sum()))), float(len(cut[0]) < WINDOW))
+        of_bytes = (float(gains.mean() / min(WINDOW, len(cut[0]) + 1) * 100), float(largest[0]), float(largest[:3].mean()), float(np.log1p(len(cut))), float(np.log1p(max(0.0, gains.sum()))), float(len(cut[0]) < WINDOW))
+        codes = _codes(_words(text))
+        coded = [codes[at : at + 8 * WORD_WINDOW] for at in range(0, max(1, len(codes)), 8 * WORD_WINDOW)]
+        gains = np.array([max(0, len(ordinary_words(w)) - len(toxic_words(w))) for w in coded], float)
+        total = float(gains.sum())
+        return *of_bytes, math.log1p(total), min(total, 12.0), float(gains.max()), total / len(gains)
 
 
-@lru_cache(2)
-def _distances(ordinary: bytes, toxic: bytes) -> Distances:
-    return Distances(ordinary, toxic)
+@lru_cache(FOLDS + 1)
+def _distances(*content: bytes) -> Distances:
+    return Distances(*content)
 
 
 class Calibration:
@@ -131,8 +170,9 @@ class Calibration:
 
 
 class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, calibration: Calibration | None) -> None:
-        self.ordinary, self.toxic, self.calibration = ordinary, toxic, calibration
+    def __init__(self, content: tuple[bytes, ...], calibration: Calibration | None) -> None:
+        self.content, self.calibration = content, calibration
+        self.ordinary, self.toxic, self.ordinary_words, self.toxic_words = content
 
 
 def _clean(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -149,32 +189,33 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     order = F.xxhash64("doc_id")
     sample = [known.where(F.col("label") == label).orderBy(order, "doc_id").limit(most) for label, most in SAMPLE.items()]
     # sum(SAMPLE) rows at most, whatever the input.
-    sample = F.broadcast(sample[0].unionByName(sample[1]).withColumn("taught", F.pmod(F.xxhash64("doc_id", F.lit("taught")), F.lit(1000)) < 1000 * TAUGHT))
+    sample = F.broadcast(sample[0].unionByName(sample[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("taught")), F.lit(FOLDS)).cast("int")))
     texts = _clean(docs, id_column, text_column).join(sample, "doc_id")
     size = F.length("text")
     pieces = F.least(F.lit(PIECES), F.ceil(size / PIECE).cast("int"))
     apart = F.transform(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1), lambda k: F.substr("text", (1 + F.floor(k * size / F.greatest(pieces, F.lit(1)))).cast("int"), F.lit(PIECE)))
-    taught: dict[int, list[list[bytes]]] = {0: [], 1: []}
-    for row in texts.where("taught").select("label", F.lower(F.array_join(apart, "\x00")).alias("pieces")).orderBy("doc_id").limit(sum(SAMPLE.values())).toLocalIterator():
-        taught[row["label"]].append([p.encode() for p in (row["pieces"] or "").split("\x00")])
-    if not taught[0] or not taught[1]:
+    taught: list[dict[int, list[list[bytes]]]] = [{0: [], 1: []} for _ in range(FOLDS)]
+    for row in texts.select("label", "fold", F.lower(F.array_join(apart, "\x00")).alias("pieces")).orderBy("doc_id").limit(sum(SAMPLE.values())).toLocalIterator():
+        taught[row["fold"]][row["label"]].append([p.encode() for p in (row["pieces"] or "").split("\x00")])
+    without = [{label: [pieces for k, part in enumerate(taught) if k != fold for pieces in part[label]] for label in (0, 1)} for fold in range(FOLDS + 1)]
+    *parts, whole = [contents(some[1], some[0]) if some[0] and some[1] else None for some in without]
+    if whole is None or not any(parts):
         return None
-    model = Model(ordinary_content(taught[0]), toxic_passages(taught[1], taught[0]), None)
-    rows = _measured(texts.where("NOT taught").select("doc_id", "text", F.col("label").cast("double").alias("label")).limit(sum(SAMPLE.values())), model).collect()
+    model = Model(whole, None)
+    rows = _measured(texts.where(F.col("fold").isin([k for k, part in enumerate(parts) if part])).select("doc_id", "text", F.col("label").cast("double").alias("label"), "fold").limit(sum(SAMPLE.values())), parts).collect()
     seen = np.array([[row["label"], *row["features"]] for row in rows], float).reshape(-1, FEATURES + 1)
     if len(set(seen[:, 0])) == 2:
         model.calibration = Calibration(seen[:, 1:], seen[:, 0], counts[1] / (counts[0] + counts[1]))
     return model
 
 
-def _measured(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, label, features)."""
-    content = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic))  # ORDINARY_BYTES + TOXIC_BYTES
+def _measured(docs: DataFrame, parts: list[tuple[bytes, ...] | None]) -> DataFrame:
+    """(doc_id, label, features), by the dictionaries of the documents' folds."""
+    content = docs.sparkSession.sparkContext.broadcast(parts)  # FOLDS x (ORDINARY_BYTES + TOXIC_BYTES + 16 x WORDS)
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = _distances(*content.value)
         for batch in batches:
-            found = [distances.features(text.as_py() or "") for text in batch.column(1)]
+            found = [_distances(*content.value[fold.as_py()]).features(text.as_py() or "") for text, fold in zip(batch.column(1), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
 
     return docs.mapInArrow(batches, "doc_id long, label double, features array<double>")
@@ -185,7 +226,7 @@ def score(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id", te
     docs = _clean(docs, id_column, text_column)
     if model is None or model.calibration is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    content = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.calibration))
+    content = docs.sparkSession.sparkContext.broadcast((*model.content, model.calibration))
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *contents, calibration = content.value
