@@ -85,3 +85,18 @@ def test_similar_texts_stay_once(spark):
     kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     near, far = sum(3 * k + 1 in kept for k in range(150)), sum(3 * k + 2 in kept for k in range(150))
     assert all(3 * k in kept for k in range(150)) and near <= 2 and far >= 148
+
+
+def test_large_buckets_of_several_words_lose_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for k in range(200):  # isolated pairs that differ in about 13 % of their bits
+        bits = [rng.getrandbits(64) for _ in range(10)]
+        other = [w ^ sum(1 << b for b in range(64) if rng.random() < 0.13) for w in bits]
+        rows += [(2 * k + n, [w - (1 << 64) if w >> 63 else w for w in x]) for n, x in enumerate((bits, other))]
+    prints = spark.createDataFrame(rows, "doc_id long, bits array<long>")
+    found = []
+    for split in (S.SPLIT, 1):
+        monkeypatch.setattr(S, "SPLIT", split)
+        found.append({r.doc_id: r.component_id for r in S._components(prints, 10, 22, 120).collect()})
+    assert found[0] == found[1] and sum(found[0][2 * k + 1] == 2 * k for k in range(200)) > 180

@@ -9,7 +9,8 @@ Links are found among distinct fingerprints only. Two of them with at most three
 puts those that share leading bits next to each other; every shared run of leading bits is a node with the byte that it
 adds as its pattern, and pairs of nodes are followed downwards only while their accumulated differences stay within
 MOST. Buckets above SPLIT members are split again on four blocks of their other 48 bits by the same argument, so that
-no bucket needs to be capped. A bucket reports members of its local components, never pairs, and components grow
+no bucket needs to be capped. The argument needs MOST; buckets of signatures of several words, where a pair may differ in
+more bits of a word, stay whole whatever their size, and the index goes through them in pieces. A bucket reports members of its local components, never pairs, and components grow
 together by spreading the smallest label through these memberships until nothing changes.
 
 Null and empty texts, and those without a word, have fingerprint zero and link like any other. A null doc_id takes part,
@@ -185,10 +186,12 @@ def _dealt(nodes: DataFrame, words: int) -> DataFrame:
     word = [F.col("bits")] if words == 1 else [F.get("bits", F.lit(k)) for k in range(words)]
     keys = [F.lit(block << 16).cast("long") + _block(word[block // 4], 48 - 16 * (block % 4), 16) for block in range(4 * words)]
     dealt = nodes.select("bits", F.explode(F.array(*keys)).alias("bucket"))
-    # Of 2^18 buckets for each word at most, whatever the input: these may be broadcast.
-    large = dealt.groupBy("bucket").count().where(F.col("count") > SPLIT).select("bucket", F.lit(True).alias("large"))
     block = F.shiftrightunsigned(F.col("bucket"), 16).cast("int")
-    own = F.col("bits") if words == 1 else F.get("bits", (block / 4).cast("int"))
+    if words > 1:  # pairs differ in more bits of a word than three, so equal blocks of the other bits can't be asked for
+        return dealt.select("bits", "bucket", block.alias("block")).repartition("bucket").sortWithinPartitions("bucket")
+    # Of 2^18 buckets at most, whatever the input: these may be broadcast.
+    large = dealt.groupBy("bucket").count().where(F.col("count") > SPLIT).select("bucket", F.lit(True).alias("large"))
+    own = F.col("bits")
     turned = F.get(F.array(*(F.shiftleft(own, 16 * j).bitwiseOR(F.shiftrightunsigned(own, 64 - 16 * j)) for j in range(4))), block % 4)
     again = F.array(*(F.lit((1 << 44) + (j << 40)) + F.col("bucket") * F.lit(1 << 12) + _block(turned, 36 - 12 * j, 12) for j in range(4)))
     return (
