@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from veinstone.operators import chunking, graph, profile, resolve, search, sessions
@@ -94,6 +96,14 @@ def test_representatives(spark):
     assert {r.node: r.representative for r in resolve.representatives(pairs).collect()} == {**{k: 0 for k in range(13)}, 20: 20, 21: 20}
 
 
+def test_representatives_of_long_chains(spark):
+    """Two chains of 300 nodes: one in order, one shuffled."""
+    order = list(range(1000, 1300))
+    random.Random(5).shuffle(order)
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(299)] + list(zip(order, order[1:])), "a long, b long")
+    assert {r.node: r.representative for r in resolve.representatives(pairs).collect()} == {**{k: 0 for k in range(300)}, **{k: 1000 for k in range(1000, 1300)}}
+
+
 def test_merge_undirected_and_registry(spark):
     columns = "src string, dst string, weight double, description string, source_id string, seq int"
     merged = graph.merge_undirected(spark.createDataFrame([("b", "a", None, "old", "1", 0)], columns), spark.createDataFrame([("a", "b", None, "new", "2", 0)], columns)).first()

@@ -43,22 +43,28 @@ def verified(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return pairs.join(said, "pair_id").select("pair_id", "a", "b", F.coalesce(F.nullif("canonical", F.lit("")), "a").alias("canonical"))
 
 
-def representatives(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, representative): the smallest node that pairs (a, b) lead to, by spreading minima until nothing changes."""
+def representatives(pairs: DataFrame) -> DataFrame:
+    """(node, representative): the smallest node that pairs (a, b) lead to, by spreading minima until nothing changes.
+
+    Minima go to neighbours and to the neighbours' representatives, and each node takes over its representative's
+    representative, so that the rounds grow far slower than the length of a chain.
+    """
     from veinstone.operators.tables import settled
 
     ends = pairs.select("a", "b").where("a is not null and b is not null")
     links = settled(ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = links.groupBy("a").agg(F.least("a", F.min("b")).alias("representative")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
-        label = settled(label, "labels")
+    label = settled(links.groupBy("a").agg(F.least("a", F.min("b")).alias("representative")).withColumnRenamed("a", "node"), "labels")
+    while True:
         near = links.join(label.select(F.col("node").alias("b"), "representative"), "b").groupBy("a").agg(F.min("representative").alias("near"))
-        moved = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("representative", "near").alias("representative"), (F.col("near") < F.col("representative")).alias("moved"))
-        moved = settled(moved, "labels")
-        label = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    return label
+        near = near.withColumnRenamed("a", "node").join(label, "node")
+        said = near.select("node", "near").unionAll(near.select(F.col("representative").alias("node"), "near"))
+        spread = label.join(said.groupBy("node").agg(F.min("near").alias("near")), "node", "left")
+        spread = settled(spread.select("node", F.least("representative", "near").alias("representative"), F.col("representative").alias("before")), "labels")
+        further = spread.select(F.col("node").alias("representative"), F.col("representative").alias("further"))
+        label = settled(spread.join(further, "representative", "left").select("node", F.least("representative", "further").alias("representative"), "before"), "labels")
+        if label.where("representative < before").isEmpty():
+            return label.drop("before")
+        label = label.drop("before")
 
 
 def merge_nodes(edges: DataFrame, canon: DataFrame) -> DataFrame:
