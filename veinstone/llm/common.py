@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of what counts as white space between words (Java and RE2 read it alike).
 SPACES = r"[\x20\x09-\x0D]+"
+#: Folders that this process has written intermediates to and not yet removed.
+_LEFT: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, a single machine) a local folder is made and set.
+    Where it is unset, a single machine (a local master, as in tests) gets a folder of its own; on a cluster that would be
+    another folder on each machine, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master or 'the cluster'} share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "veinstone-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _LEFT.append(path)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -40,6 +50,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems."""
+    if path in _LEFT:
+        _LEFT.remove(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def superseded(old: DataFrame) -> None:
+    """Deletes the table that written() made of a loop's earlier state; nothing may read it any more."""
+    for path in {file.rpartition("/")[0] for file in old.inputFiles()}:
+        if own := next((left for left in _LEFT if left.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")), None):
+            remove(old.sparkSession, own)
+
+
+@contextmanager
+def intermediates_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, what was written to the shared folder inside; results must have been written elsewhere by then."""
+    before = set(_LEFT)
+    yield
+    for path in [path for path in _LEFT if path not in before]:
+        remove(spark, path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
