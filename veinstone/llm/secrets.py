@@ -1,13 +1,21 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for what they miss.
 
 Candidates are runs of 20 or more characters of the usual encodings, with letters and digits. The smallest alphabet that
-holds a candidate is its encoding. Three tests ask whether its characters could be uniform random draws from that
-alphabet: chi-squared over the alphabet (both tails: too uneven, too even), the number of runs below and above the
-alphabet's middle, and the serial correlation of neighbours. Their p-values are combined by Simes' rule. Over all
-candidates of all documents the Benjamini-Hochberg rule decides which of them are structured after all, at a false
-discovery rate of FDR, with p-values weighted by length: longer candidates, where the tests tell more, get a larger
-share of the error budget. What isn't found structured counts as a secret. p-values are rounded up to a grid of BINS
-steps, so the rule needs only a table of that many counts, whatever the size of the corpus.
+holds a candidate is its encoding. Three statistics are taken: coincidences of characters (chi-squared over the alphabet
+is a linear function of them), the number of runs below and above the alphabet's middle, and the serial correlation of neighbours.
+
+They are tested twice. First against random draws from the alphabet: a candidate that is refuted, by Simes' rule at the level
+REFUTED, is too even, too uneven or too ordered for a secret. Then against ordinary strings (identifiers, paths, names with dates),
+for which ORDINARY states how often characters coincide, how often neighbours change sides, and how they correlate. The p-value of
+a candidate is the chance, by Simes' rule over the three, that an ordinary string of its length looks as random; for refuted
+ones it is 1. Over all candidates of all documents the Benjamini-Hochberg rule decides which are reported: of these, a share of FDR
+at most is expected to be ordinary, whatever else is in the corpus. p-values are weighted by length with weights of mean 1: longer
+candidates, where the tests tell more, get a larger share of the error budget. p-values are rounded up to a grid of BINS steps, so
+the rule needs only a table of as many counts for each class of length, whatever the size of the corpus.
+
+A verdict so depends on other rows through one number, the threshold, which lies between FDR over the number of candidates and FDR:
+a candidate with a weighted p-value above FDR is never reported, and one below the lower bound always. That is the price of
+an error rate that holds for the corpus: where nearly all candidates are ordinary, more is asked of each.
 
 All of it is DataFrame expressions: a scan writes what is found in each document, without its text; the counts are
 aggregated; and a second pass over what was written settles the candidates. Null texts count as empty and have no spans.
@@ -40,8 +48,16 @@ ALPHABETS = [
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 ]
 FDR, BINS, BINS_PER_DECADE = 0.05, 240, 10
-#: Weight of a candidate's p-value: its length over this, within bounds.
-LENGTH_OF_WEIGHT_1, LIGHTEST, HEAVIEST = 32, 0.5, 2.0
+#: Level at which a candidate is refuted as random.
+REFUTED = 0.01
+#: Lengths of a class, the last class, and the length whose raw weight is 1, with bounds of raw weights.
+LENGTHS, LAST_CLASS, LENGTH_OF_WEIGHT_1, LIGHTEST, HEAVIEST = 8, 12, 32, 0.5, 2.0
+#: Fixed values, by size of the alphabet: of ordinary strings the chance that two characters coincide (English letters: 0.0655,
+#: Friedman's index of coincidence; less with capitals and digits), how that chance varies with the characters (the sum
+#: of cubed shares less the square of the chance), the share of neighbours on different sides of the middle, and their correlation.
+ORDINARY = {16: (0.085, 0.0006, 0.5, 0.1), 32: (0.055, 0.0006, 0.5, 0.1), 36: (0.055, 0.0006, 0.5, 0.1), 62: (0.045, 0.0006, 0.35, 0.15), 64: (0.045, 0.0006, 0.35, 0.15)}
+#: Coincidences to be expected from which their distribution is taken to be normal rather than Poisson's, and the most terms summed.
+MANY, TERMS = 50, 200
 
 
 def _places(text: Column, pattern: str, group: int = 0) -> Column:
@@ -73,6 +89,11 @@ def _tail(z: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
+def _below(z: Column) -> Column:
+    """Normal probability of a value up to z."""
+    return F.when(z < 0, _tail(z) / 2).otherwise(1 - _tail(z) / 2)
+
+
 def _alphabet(value: Column) -> Column:
     """The smallest alphabet of a candidate; null without both letters and digits, or for mixed signs."""
     chosen = F.lit(None).cast("string")
@@ -82,7 +103,7 @@ def _alphabet(value: Column) -> Column:
 
 
 def _tested(candidate: Column) -> Column:
-    """struct<start, end, p> of a candidate <start, end, value, alphabet>."""
+    """struct<start, end, kind, bin> of a candidate <start, end, value, alphabet>."""
     codes = F.transform(F.split(candidate["value"], ""), lambda c: F.instr(candidate["alphabet"], c) - 1)
     with_codes = F.transform(F.array(F.struct(candidate["start"].alias("start"), candidate["end"].alias("end"), F.length(candidate["alphabet"]).alias("k"), F.length(candidate["value"]).cast("double").alias("n"), F.filter(codes, lambda c: c >= 0).alias("codes"))), _battery)
     return F.get(with_codes, F.lit(0))
@@ -92,28 +113,81 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b.cast("double"))
 
 
-def _battery(x: Column) -> Column:
+def _simes(p: list[Column]) -> Column:
+    ordered = F.sort_array(F.array(*p))
+    return F.least(F.lit(1.0), F.get(ordered, F.lit(0)) * 3, F.get(ordered, F.lit(1)) * 1.5, F.get(ordered, F.lit(2)))
+
+
+def _poisson_upto(mean: Column, most: Column) -> Column:
+    """Poisson's probability of a number up to ``most``."""
+    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"))
+
+    def step(state: Column, j: Column) -> Column:
+        term = state["term"] * mean / j
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    terms = F.sequence(F.lit(1), F.least(F.greatest(most.cast("int"), F.lit(1)), F.lit(TERMS)))
+    return F.when(most < 0, 0.0).when(most == 0, F.exp(-mean)).otherwise(F.least(F.lit(1.0), F.aggregate(terms, start, step, lambda state: state["sum"])))
+
+
+def _ordinary(k: Column, which: int) -> Column:
+    """A value of ORDINARY for an alphabet's size."""
+    sizes = sorted(ORDINARY)
+    found = F.lit(ORDINARY[sizes[-1]][which])
+    for size in sizes[-2::-1]:
+        found = F.when(k <= size, F.lit(ORDINARY[size][which])).otherwise(found)
+    return found
+
+
+def _statistics(x: Column) -> Column:
+    """struct<start, end, k, n, coincidences, high, changes, serial>; serial is null where all characters are one."""
     n, k, codes = x["n"], x["k"], x["codes"]
     squares = _sum(F.transform(F.sequence(F.lit(0), k - 1), lambda a: F.pow(F.size(F.filter(codes, lambda c: c == a)), F.lit(2))))
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
     high = _sum(F.transform(codes, lambda c: F.when(c * 2 >= k, 1).otherwise(0)))
     changes = _sum(F.transform(codes, lambda c, i: F.when((i > 0) & ((c * 2 >= k) != (F.get(codes, F.greatest(i - 1, F.lit(0))) * 2 >= k)), 1).otherwise(0)))
-    both = 2.0 * high * (n - high)
-    spread = F.sqrt(F.greatest(F.lit(1e-9), both * (both - n) / (n * n * (n - 1))))
-    runs = F.when(both > n, (changes + 1 - 1 - both / n) / spread).otherwise(F.lit(9.0))
     mean = _sum(codes) / n
     variance = _sum(F.transform(codes, lambda c: (c - mean) * (c - mean)))
     together = _sum(F.transform(codes, lambda c, i: (c - mean) * (F.get(codes, ((i + 1) % F.size(codes)).cast("int")) - mean)))
-    serial = F.when(variance > 0, (together / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    p = F.sort_array(F.array(_tail(chi), _tail(runs), _tail(serial)))
-    simes = F.least(F.lit(1.0), F.get(p, F.lit(0)) * 3, F.get(p, F.lit(1)) * 1.5, F.get(p, F.lit(2)))
-    weight = F.least(F.lit(HEAVIEST), F.greatest(F.lit(LIGHTEST), n / LENGTH_OF_WEIGHT_1))
-    steps = F.floor(-F.log10(F.greatest(F.lit(1e-30), simes / weight)) * BINS_PER_DECADE)
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.least(F.lit(BINS), F.greatest(F.lit(0), steps)).cast("int").alias("bin"))
+    serial = F.when(variance > 0, together / F.greatest(variance, F.lit(1e-9)) + 1 / n)
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), k.alias("k"), n.alias("n"), ((squares - n) / 2).alias("coincidences"), high.alias("high"), changes.alias("changes"), serial.alias("serial"))
+
+
+def _random_p(x: Column) -> Column:
+    """The chance that random draws from the alphabet look as odd."""
+    n, k, found = x["n"], x["k"], x["coincidences"]
+    expected = n * (n - 1) / 2 / k
+    z = (found - expected) / F.sqrt(expected * (1 - 1 / k))
+    fewer, more = _poisson_upto(expected, found), 1 - _poisson_upto(expected, found - 1)
+    chi = F.when(expected > MANY, _tail(z)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.least(fewer, more))))
+    both = 2.0 * x["high"] * (n - x["high"])
+    spread = F.sqrt(F.greatest(F.lit(1e-9), both * (both - n) / (n * n * (n - 1))))
+    runs = F.when(both > n, _tail((x["changes"] - both / n) / spread)).otherwise(0.0)
+    return _simes([chi, runs, F.when(x["serial"].isNotNull(), _tail(x["serial"] * F.sqrt(n))).otherwise(0.0)])
+
+
+def _ordinary_p(x: Column) -> Column:
+    """The chance that an ordinary string looks as random: as few coincidences, as many changes, as little correlation."""
+    n, k = x["n"], x["k"]
+    share, varying, change, serial = (_ordinary(k, which) for which in range(4))
+    pairs = n * (n - 1) / 2
+    chi = _below((x["coincidences"] + 0.5 - pairs * share) / F.sqrt(pairs * share * (1 - share) + n * (n - 1) * (n - 2) * varying))
+    runs = 1 - _below((x["changes"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
+    return _simes([chi, runs, _below((F.coalesce(x["serial"], F.lit(1.0)) - serial) * F.sqrt(n))])
+
+
+def _battery(x: Column) -> Column:
+    """struct<start, end, kind, bin>: the candidate's class of length, and its p-value, rounded up, as a step of the grid."""
+
+    def judged(of: Column) -> Column:
+        p = F.when(_random_p(of) < REFUTED, 1.0).otherwise(_ordinary_p(of))
+        step = F.floor(-F.log10(F.greatest(F.lit(1e-30), p)) * BINS_PER_DECADE)
+        return F.struct(of["start"].alias("start"), of["end"].alias("end"), F.least(F.lit(LAST_CLASS), F.floor(of["n"] / LENGTHS)).cast("int").alias("kind"), F.least(F.lit(BINS), F.greatest(F.lit(0), step)).cast("int").alias("bin"))
+
+    return F.get(F.transform(F.array(_statistics(x)), judged), F.lit(0))
 
 
 def _found(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with ``_s_base``, the spans <start, kind, end> of the patterns, and ``_s_candidates``, <start, end, bin>."""
+    """docs with ``_s_base``, the spans <start, kind, end> of the patterns, and ``_s_candidates``, <start, end, kind, bin>."""
     docs = docs.withColumn("_s_text", F.coalesce(text.cast("string"), F.lit("")))
     text = F.col("_s_text")
     docs = docs.withColumns({"_s_0": _places(text, ASSIGN, 2), "_s_1": _places(text, ACCESS), "_s_2": _places(text, HEX), "_s_3": _places(text, CANDIDATE)})
@@ -125,21 +199,30 @@ def _found(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("_s_candidates", F.transform("_s_named", _tested)).drop("_s_0", "_s_1", "_s_2", "_s_3", "_s_named", "_s_text")
 
 
-def structured_from(candidates: DataFrame) -> int:
-    """The bin from which candidates (a column ``bin``) are structured: the weakest that the Benjamini-Hochberg rule rejects."""
-    counts = candidates.groupBy("bin").count()  # BINS + 1 rows at most
-    reached = F.sum("count").over(Window.orderBy(F.desc("bin")))
-    everything = F.sum("count").over(Window.partitionBy())
-    bound = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
-    found = counts.withColumns({"reached": reached, "all": everything}).where(bound <= FDR * F.col("reached") / F.col("all")).agg(F.min("bin").alias("bin")).first()["bin"]
-    return BINS + 1 if found is None else found
+def reported_from(candidates: DataFrame) -> list[int]:
+    """For each class of length the bin from which candidates (kind, bin) are reported, BINS + 1 for none.
+
+    The weighted Benjamini-Hochberg rule: the largest p-value over weight that is at most FDR times the share of candidates which
+    reach it.
+    """
+    counts = candidates.groupBy("kind", "bin").count()  # (LAST_CLASS + 1) x (BINS + 1) rows at most
+    raw = F.least(F.lit(HEAVIEST), F.greatest(F.lit(LIGHTEST), (F.col("kind") + 0.5) * LENGTHS / LENGTH_OF_WEIGHT_1))
+    everything = Window.partitionBy()
+    counts = counts.withColumn("raw", raw).withColumns({"all": F.sum("count").over(everything), "mean": F.sum(F.col("raw") * F.col("count")).over(everything)})
+    counts = counts.withColumn("weighted", F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE) / (F.col("raw") * F.col("all") / F.col("mean")))
+    reached = F.sum("count").over(Window.orderBy("weighted").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumn("reached", reached)
+    threshold = F.max(F.when(F.col("weighted") <= FDR * F.col("reached") / F.col("all"), F.col("weighted"))).over(everything)
+    found = counts.withColumn("threshold", threshold).where(F.col("weighted") <= F.col("threshold")).groupBy("kind").agg(F.min("bin").alias("bin")).collect()  # a row for each class
+    least = {row["kind"]: row["bin"] for row in found}
+    return [least.get(kind, BINS + 1) for kind in range(LAST_CLASS + 1)]
 
 
 def scan(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     """``keep`` columns of docs, with ``_s_base`` and ``_s_spans``, the base spans and all spans, each <start, kind, end>."""
     found = written(_found(docs, text).select(*keep, "_s_base", "_s_candidates"), "secrets")
-    limit = structured_from(found.where(F.size("_s_candidates") > 0).select(F.explode("_s_candidates.bin").alias("bin")))
-    added = _spans(F.filter("_s_candidates", lambda x: x["bin"] < limit), 3)
+    limits = reported_from(found.where(F.size("_s_candidates") > 0).select(F.explode("_s_candidates").alias("c")).select("c.kind", "c.bin"))
+    added = _spans(F.filter("_s_candidates", lambda x: x["bin"] >= F.get(F.array(*map(F.lit, limits)), x["kind"])), 3)
     return found.withColumn("_s_spans", F.sort_array(F.concat("_s_base", added))).drop("_s_candidates")
 
 
