@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veinstone.llm import suffix_dedup as S
@@ -23,8 +24,8 @@ def brute(docs, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk_bytes", [2 << 20, 3000])
-def test_against_brute_force(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes, heavy", [(None, S.HEAVY), (3000, S.HEAVY), (3000, 2), (700, 0)])
+def test_against_brute_force(spark, chunk_bytes, heavy):
     rng = random.Random(2)
     base, docs = "".join(rng.choice("abcd ") for _ in range(3000)), []
     for i in range(100):
@@ -34,7 +35,7 @@ def test_against_brute_force(spark, chunk_bytes):
             text += base[a : a + rng.choice([30, 49, 50, 51, 120, 400])] + rng.choice(["", "x", "é", "a" * 70])
         docs.append((i * 7 % 101, text))
     docs += [(5000, None), (5001, "a" * 5000), (5002, "a" * 5000), (7, docs[3][1])]
-    found = S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), chunk_bytes=chunk_bytes)
+    found = S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), chunk_bytes=chunk_bytes, heavy=heavy)
     assert sorted(map(tuple, found.collect())) == brute([(i, (t or "").encode()) for i, t in docs])
 
 
@@ -46,13 +47,37 @@ def test_spans(spark):
     assert found == {1: ([], ("x" + same).encode()), 2: ([(2, 62)], b"yyz"), None: ([(0, 60)], b"")}
 
 
-def test_longest_previous_factors():
+def plain_factors(text, owners, depth):
+    """The longest match of each suffix with one of a smaller owner, up to a depth, of suffixes that are as long."""
+    match = lambda i, j: next((n for n in range(depth) if text[i + n] != text[j + n]), depth)
+    whole = range(len(text) - depth + 1)
+    return [max([0, *(match(i, j) for j in whole if owners[j] < owners[i])]) for i in whole] + [0] * min(len(text), depth - 1)
+
+
+@pytest.mark.parametrize("depth", [3, 8, 9, 50])
+def test_longest_previous_factors(depth):
     rng = random.Random(4)
-    for text in [b"", b"aaaa", b"abracadabra" * 3, bytes(rng.choice(b"ab") for _ in range(60))]:
-        want = [max([0] + [next(n for n in range(len(text) - i, -1, -1) if text[j : j + n] == text[i : i + n]) for j in range(i)]) for i in range(len(text))]
-        assert S.longest_previous_factors(text) == want
-        # Each byte an owner of its own: capped factors are what a corpus is asked for.
-        if text:
-            data, at = np.frombuffer(text, "u1"), np.arange(len(text))
-            for depth in (3, 9):
-                assert S.earlier_owner(data, at, np.full(len(text), len(text)), depth).tolist() == [x >= depth for x in want]
+    for text in [b"", b"aaaa" * 20, b"abracadabra" * 9, bytes(rng.choice(b"ab") for _ in range(160))]:
+        # Each byte an owner of its own, and owners of several bytes.
+        for owners in (list(range(len(text))), [k // 7 for k in range(len(text))]):
+            found = S.longest_previous_factors(np.frombuffer(text, "u1"), np.array(owners, "i8"), np.full(len(text), len(text)), depth)
+            assert found.tolist() == plain_factors(text, owners, depth)
+
+
+def test_factors_decide(spark, monkeypatch):
+    """Without the factors, strings of segments that differ would stay."""
+    rng = random.Random(3)
+    same = "".join(rng.choice("abcdefgh") for _ in range(60))
+    docs = spark.createDataFrame([(k, f"{k}" * 20 + same + f"{k}" * 20) for k in range(3)], "doc_id long, text string")
+    text = [(k, (f"{k}" * 20 + same + f"{k}" * 20).encode()) for k in range(3)]
+    assert sorted(map(tuple, S.remove_repeats(docs).collect())) == brute(text)
+    rows = pa.table({"segments": [S.zstandard.compress(_packed([(9, k, t) for k, t in text]), 3)], "part": [0], "offset": [0], "size": [0], "bucket": [0]})
+    answer = lambda: S.zstandard.decompress(S._answered(50, rows).column("answer")[0].as_py())
+    real = answer()
+    monkeypatch.setattr(S, "longest_previous_factors", lambda data, *a, **k: np.zeros(len(data), "i8"))
+    assert answer() != real
+
+
+def _packed(segments):
+    keys, owners, texts = zip(*segments)
+    return np.array([len(keys)], "<i8").tobytes() + np.array(keys, "<u4").tobytes() + np.array(owners, "<i8").tobytes() + np.array([len(t) - 49 for t in texts], "<i8").tobytes() + b"".join(texts)

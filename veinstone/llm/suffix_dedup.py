@@ -9,14 +9,19 @@ neighbouring strings mostly share one, so that a run of strings with one anchor
 
 1. Texts are kept in chunks in the shared folder. Of every chunk the distinct anchor hashes go to buckets.
 2. Each bucket tells which anchors stand in more than one document. That leaves the small part of the corpus that can repeat.
-3. The segments of these anchors go to buckets by anchor. Equal segments are one, owned by the smallest id. Where segments
-   of one anchor differ, they are concatenated in order of owner and their suffixes are sorted; in suffix order the
-   previous and next positions of a smaller owner give each suffix its longest earlier match, up to ``length``.
+   Anchors that stand in over HEAVY chunks are told apart: their segments are cut further, into their strings, each dealt by
+   a hash of its own, so that what surrounds a common passage doesn't meet in one bucket.
+3. The segments go to buckets by anchor. A bucket's distinct segments, each owned by the smallest id it stands under, are
+   concatenated in order of owner wherever one anchor has several, and their suffixes are sorted to ``length`` bytes. In
+   suffix order the previous and the next position of a smaller owner give each suffix its longest previous factor. A string
+   goes where that reaches ``length``. In later copies of a segment the factor of each suffix is the rest of the segment
+   itself, at its owner, so they need no place in the order.
 4. Each chunk gets the answers for its segments, marks the bytes and digests what is left.
 
 Chunks are read back by place rather than shuffled: only hashes, possible repeats and bit masks move. A copied document
 adds one entry for each chunk to an anchor's bucket, so copies are aggregated before they move, however many there are.
-Hashes only select; what is removed is decided by comparing bytes.
+Hashes only select; what is removed is decided by comparing bytes. Chunks and the number of buckets grow with the input,
+within bounds, so that neither a bucket nor the number of rows between chunks and buckets gets out of hand.
 
 Null texts count as empty. A null doc_id counts as larger than any other, rows that repeat an id are not earlier than each
 other, and columns besides id and text are ignored.
@@ -39,8 +44,13 @@ from pyspark.sql import functions as F
 from veinstone.llm.common import fresh_path, shuffle_width, table, written
 
 LENGTH, ANCHOR = 50, 24
-#: Text in a chunk (a longer document is a chunk of its own), and positions hashed at a time.
-CHUNK_BYTES, BLOCK = 2 << 20, 1 << 16
+#: Text in a chunk (a longer document is a chunk of its own), the share of the input that a chunk has between these bounds, and
+#: positions hashed at a time.
+CHUNK_BYTES, CHUNK_SHARE, BLOCK = (2 << 20, 64 << 20), 40_000, 1 << 16
+#: Input of a bucket, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 17
+#: Chunks in which an anchor may stand before its segments are cut into strings.
+HEAVY = 512
 #: Bytes of an anchor hash that go to the buckets of step 2, besides the bucket itself.
 HASH_BYTES = 5
 NO_ID = (1 << 63) - 1
@@ -63,6 +73,19 @@ def _window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes at each place."""
+    if not len(at):
+        return np.empty(0, "u8")
+    data = np.ascontiguousarray(data)
+    words, x = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)), np.zeros(len(at), "u8")
+    for k in [*range(0, length - 7, 8), length - 8]:
+        x += words[at + k]
+        x *= _ODD
+        x ^= x >> np.uint64(31)
+    return x
+
+
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -104,66 +127,76 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype("u8")
 
 
-def _prefix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each suffix by its first ``depth`` bytes, by doubling from eight; suffixes near the end read zeros."""
-    padded = np.concatenate([data, np.zeros(depth + 8, "u1")])
-    words = np.empty(len(data), "u8")
-    for k in range(8):
-        n = len(words[k::8])
-        words[k::8] = np.frombuffer(padded[k : k + 8 * n].tobytes(), ">u8")
-    if depth < 8:
-        return _ranked(words >> np.uint64(8 * (8 - depth)))
-    ranks, size = _ranked(words), 8
-    while size < depth:
-        step = min(size, depth - size)
-        after = np.zeros(len(ranks), "u8")
-        after[: max(0, len(ranks) - step)] = ranks[step:] + np.uint64(1)
-        ranks = _ranked(ranks << np.uint64(32) | after)
-        size += step
-    return ranks
-
-
-def earlier_owner(data: np.ndarray, owners: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Whether the longest previous factor of each suffix reaches ``depth``.
-
-    data: concatenated texts in order of their owners; owners, ends: of the text at each byte. In suffix order, ties at
-    ``depth`` by owner, the longest earlier match of a suffix is with the previous or the next position of a smaller owner. The
-    next one is beyond the tie, so its match is shorter than ``depth``; the previous one is within the tie if and only if the
-    tie's first owner is smaller.
+class SuffixOrder:
+    """The suffixes of a text in order of their first ``depth`` bytes, ranked by doubling from eight; beyond the end there are zeros."""
+
+    def __init__(self, data: np.ndarray, depth: int) -> None:
+        self.depth = depth
+        padded = np.concatenate([data, np.zeros(depth + 8, "u1")])
+        self.words = np.empty(len(data), "u8")
+        for k in range(8):
+            n = len(self.words[k::8])
+            self.words[k::8] = np.frombuffer(padded[k : k + 8 * n].tobytes(), ">u8")
+        #: (size, ranks of the suffixes by their first size bytes), the last for the whole depth.
+        self.levels = [(min(8, depth), _ranked(self.words >> np.uint64(8 * max(0, 8 - depth))))]
+        while (size := self.levels[-1][0]) < depth:
+            ranks, step = self.levels[-1][1], min(size, depth - size)
+            after = np.zeros(len(ranks), "u8")
+            after[: max(0, len(ranks) - step)] = ranks[step:] + np.uint64(1)
+            self.levels.append((size + step, _ranked(ranks << np.uint64(32) | after)))
+
+    def sorted(self, places: np.ndarray) -> np.ndarray:
+        """The places in suffix order; ties stay as they are."""
+        return places[np.argsort(self.levels[-1][1][places], kind="stable")]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes, up to the depth; both must be that long."""
+        found = np.zeros(len(a), "i8")
+        for size, ranks in self.levels[::-1]:
+            further = np.minimum(found, self.depth - 1)
+            equal = (found < self.depth) & (ranks[a + further] == ranks[b + further])
+            found[equal] += size
+        further = np.minimum(found, self.depth - 1)
+        differing = self.words[a + further] ^ self.words[b + further]
+        found += sum(((differing >> np.uint64(64 - 8 * k)) == 0).astype("i8") for k in range(1, 8))
+        return np.minimum(found, self.depth)
+
+
+def _previous_smaller(values: np.ndarray, common: np.ndarray, enough: int) -> np.ndarray:
+    """The common prefix of each place with the nearest place before it that has a smaller value; 0 where there is none.
+
+    common: of each place and the one before. Places are followed backwards by jumps over places that are known not to be
+    smaller, only as long as the common prefix is ``enough``.
+    """
+    at, least = np.arange(len(values)) - 1, common.copy()
+    some = np.arange(1, len(values))
+    while len(some):
+        some = some[(at[some] >= 0) & (least[some] >= enough)]
+        some = some[values[at[some]] >= values[some]]
+        via = at[some]
+        least[some], at[some] = np.minimum(least[some], least[via]), at[via]
+    least[at < 0] = 0
+    return least
+
+
+def longest_previous_factors(data: np.ndarray, owners: np.ndarray, ends: np.ndarray, depth: int, enough: int = 1) -> np.ndarray:
+    """For each suffix the length, up to ``depth``, of its longest match with a suffix of a smaller owner.
+
+    data: concatenated texts in order of their owners; owners, ends: of the text at each byte. Suffixes shorter than
+    ``depth`` have 0; factors below ``enough`` may come out wrong, but below it. In suffix order, the longest match is with the
+    previous or the next position of a smaller owner.
     """
-    ranks = _prefix_ranks(data, depth)
-    found = np.zeros(len(data), bool)
+    found = np.zeros(len(data), "i8")
     places = np.flatnonzero(np.arange(len(data)) + depth <= ends)
     if not len(places):
         return found
-    order = places[np.argsort(ranks[places], kind="stable")]  # places ascend by owner, so ties do
-    tied = ranks[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = tied[1:] != tied[:-1]
-    first = np.flatnonzero(fresh)
-    found[order] = owners[order] > np.repeat(owners[order[first]], np.diff(np.append(first, len(order))))
-    return found
-
-
-def longest_previous_factors(data: bytes) -> list[int]:
-    """The length of the longest match of each suffix with one that begins earlier, by previous and next smaller positions.
-
-    For single texts: the whole array, where a corpus only asks whether it reaches a length.
-    """
-    n = len(data)
-    order = sorted(range(n), key=lambda i: data[i:])
-    found = [0] * n
-    for walk in (order, order[::-1]):
-        stack: list[int] = []
-        for i in walk:
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                match = 0
-                while i + match < n and data[stack[-1] + match] == data[i + match]:
-                    match += 1
-                found[i] = max(found[i], match)
-            stack.append(i)
+    suffixes = SuffixOrder(data, depth)
+    order = suffixes.sorted(places)
+    common = np.zeros(len(order) + 1, "i8")  # of each place and the one before
+    common[1:-1] = suffixes.common(order[:-1], order[1:])
+    before = _previous_smaller(owners[order], common[:-1], enough)
+    after = _previous_smaller(owners[order][::-1], common[:0:-1], enough)[::-1]
+    found[order] = np.maximum(before, after)
     return found
 
 
@@ -283,8 +316,8 @@ def _stored(store: Store, length: int, chunk_bytes: int, buckets: int, batches:
     files.move(draft, path)
 
 
-def _repeated(rows: pa.Table) -> pa.Table:
-    """Step 2, a bucket: a bit for each chunk's anchor, set if it stands in over one document."""
+def _repeated(heavy: int, rows: pa.Table) -> pa.Table:
+    """Step 2, a bucket: a bit for each chunk's anchor, set if it stands in over one document, and one if in many chunks."""
     cut = rows.column("anchors").to_pylist()
     sizes = [len(x) // HASH_BYTES for x in cut]
     anchors = _joined(b"".join(cut))
@@ -292,54 +325,68 @@ def _repeated(rows: pa.Table) -> pa.Table:
     _, which, count = np.unique(anchors, return_inverse=True, return_counts=True)
     often = count > 1
     np.logical_or.at(often, which, shared)
-    bits = np.split(often[which], np.cumsum(sizes)[:-1]) if sizes else []
+    cuts = np.cumsum(sizes)[:-1]
+    bits, many = (np.split(x[which], cuts) if sizes else [] for x in (often, count > heavy))
     places = zip(*(rows.column(name).to_pylist() for name, _ in _PLACES))
-    return _out([(*place, np.packbits(x).tobytes()) for place, x in zip(places, bits)], ("bits", pa.binary()))
+    return _out([(*place, np.packbits(x).tobytes(), np.packbits(y).tobytes() if y.any() else b"") for place, x, y in zip(places, bits, many)], ("bits", pa.binary()), ("many", pa.binary()))
 
 
-def _kept_segments(chunk: Chunk, homes: list[int], masks: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct segments of anchors that repeat: the first occurrence, by smallest id, of each; and for each segment its distinct one.
+class Candidates:
+    """The segments of a chunk that can repeat, by bucket, then hash, then id, then place: the same whenever they are computed.
 
-    Segments that can't repeat have -1. The order is by bucket, then hash, then text: the same whenever it is computed.
+    first: for each, the first with an equal text; distinct: the places of those firsts; nth: for each, which of them.
     """
-    marked = np.zeros(len(chunk.anchors), bool)
-    home = _buckets(chunk.anchors, buckets)
-    order = np.lexsort((_short(chunk.anchors), home))
-    for bucket, mask in zip(homes, masks):
-        own = order[np.searchsorted(home[order], bucket) : np.searchsorted(home[order], bucket, side="right")]
-        marked[own] = np.unpackbits(np.frombuffer(mask, "u1"), count=len(own)).astype(bool)
-    segments = chunk.segments
-    kept = np.flatnonzero(marked[chunk.which])
-    kept = kept[np.lexsort((segments.start[kept], chunk.ids[segments.doc[kept]], segments.hash[kept], _buckets(segments.hash[kept], buckets)))]
-    # Segments of different anchors differ; texts are compared only where an anchor stands more than once.
-    alike, first = np.bincount(chunk.which, minlength=len(marked))[chunk.which[kept]] > 1, np.arange(len(kept))
-    data, seen = chunk.bytes.tobytes(), {}
-    starts, ends = segments.start[kept], segments.start[kept] + segments.count[kept] + chunk.length - 1
-    for nth, start, end in zip(np.flatnonzero(alike).tolist(), starts[alike].tolist(), ends[alike].tolist()):
-        first[nth] = seen.setdefault(data[start:end], nth)
-    fresh = first == np.arange(len(kept))
-    which = np.full(len(segments.hash), -1)
-    which[kept] = (np.cumsum(fresh) - 1)[first]
-    return kept[fresh], which
+
+    def __init__(self, chunk: Chunk, rows: pa.Table, buckets: int) -> None:
+        marked, many = np.zeros(len(chunk.anchors), bool), np.zeros(len(chunk.anchors), bool)
+        home = _buckets(chunk.anchors, buckets)
+        order = np.lexsort((_short(chunk.anchors), home))
+        for bucket, bits, heavy in zip(*(rows.column(name).to_pylist() for name in ("bucket", "bits", "many"))):
+            own = order[np.searchsorted(home[order], bucket) : np.searchsorted(home[order], bucket, side="right")]
+            marked[own] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(own)).astype(bool)
+            if heavy:
+                many[own] = np.unpackbits(np.frombuffer(heavy, "u1"), count=len(own)).astype(bool)
+        segments, which = chunk.segments, chunk.which
+        whole, apart = np.flatnonzero(marked[which] & ~many[which]), np.flatnonzero(marked[which] & many[which])
+        size = segments.count[apart]
+        strings = np.repeat(segments.start[apart], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        hashes = np.concatenate([segments.hash[whole], _string_hashes(chunk.bytes, strings, chunk.length)])
+        start, count = np.concatenate([segments.start[whole], strings]), np.concatenate([segments.count[whole], np.ones(len(strings), "i8")])
+        doc = np.concatenate([segments.doc[whole], np.repeat(segments.doc[apart], size)])
+        home = _buckets(hashes, buckets)
+        order = np.lexsort((start, chunk.ids[doc], hashes, home))
+        self.hash, self.start, self.count, self.doc, self.home = (x[order] for x in (hashes, start, count, doc, home))
+        # Segments of different hashes differ; texts are compared only where a hash stands more than once.
+        _, which, alike = np.unique(self.hash, return_inverse=True, return_counts=True)
+        alike, first = alike[which] > 1, np.arange(len(order))
+        data, seen = chunk.bytes.tobytes(), {}
+        ends = self.start + self.count + chunk.length - 1
+        for nth, begin, end in zip(np.flatnonzero(alike).tolist(), self.start[alike].tolist(), ends[alike].tolist()):
+            first[nth] = seen.setdefault(data[begin:end], nth)
+        fresh = first == np.arange(len(order))
+        self.distinct, self.nth = np.flatnonzero(fresh), (np.cumsum(fresh) - 1)[first] if len(order) else first
+
+    def by_bucket(self) -> list[np.ndarray]:
+        """Places within ``distinct``, a group for each bucket."""
+        return np.split(np.arange(len(self.distinct)), np.flatnonzero(np.diff(self.home[self.distinct])) + 1) if len(self.distinct) else []
 
 
 def _asked(store: Store, length: int, buckets: int, rows: pa.Table) -> pa.Table:
     """Step 3, a chunk: its distinct segments that may repeat, to their buckets."""
     part, offset, size = (rows.column(name)[0].as_py() for name in ("part", "offset", "size"))
     chunk = Chunk.unpacked(store.read(part, offset, size), length)
-    distinct, _ = _kept_segments(chunk, rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), buckets)
-    segments, data = chunk.segments, chunk.bytes.tobytes()
-    home = _buckets(segments.hash[distinct], buckets)
-    out = []
-    for own in np.split(distinct, np.flatnonzero(np.diff(home)) + 1) if len(distinct) else []:
-        text = b"".join(data[s : s + c + length - 1] for s, c in zip(segments.start[own].tolist(), segments.count[own].tolist()))
-        head = np.array([len(own)], "<i8").tobytes() + segments.hash[own].astype("<u4").tobytes() + chunk.ids[segments.doc[own]].tobytes() + segments.count[own].astype("<i8").tobytes()
-        out.append((part, offset, size, int(_buckets(segments.hash[own[:1]], buckets)[0]), zstandard.compress(head + text, 3)))
+    found = Candidates(chunk, rows, buckets)
+    data, out = chunk.bytes.tobytes(), []
+    for own in found.by_bucket():
+        own = found.distinct[own]
+        text = b"".join(data[s : s + c + length - 1] for s, c in zip(found.start[own].tolist(), found.count[own].tolist()))
+        head = np.array([len(own)], "<i8").tobytes() + found.hash[own].astype("<u4").tobytes() + chunk.ids[found.doc[own]].tobytes() + found.count[own].astype("<i8").tobytes()
+        out.append((part, offset, size, int(found.home[own[0]]), zstandard.compress(head + text, 3)))
     return _out(out, ("segments", pa.binary()))
 
 
 def _answered(length: int, rows: pa.Table) -> pa.Table:
-    """Step 3, a bucket: for each segment a bit whether it is whole in an earlier document, else a bit for each of its strings."""
+    """Step 3, a bucket: for each segment a bit whether its owner has it all, else a bit for each of its strings."""
     first: dict[bytes, int] = {}
     variants: dict[int, list[bytes]] = {}
     told = []
@@ -361,7 +408,8 @@ def _answered(length: int, rows: pa.Table) -> pa.Table:
     sizes = np.array([len(text) for text in compared], "i8")
     ends = np.cumsum(sizes)
     owners = np.unique(np.array([first[text] for text in compared], "i8"), return_inverse=True)[1]
-    earlier = earlier_owner(np.frombuffer(b"".join(compared), "u1"), np.repeat(owners, sizes), np.repeat(ends, sizes), length)
+    factors = longest_previous_factors(np.frombuffer(b"".join(compared), "u1"), np.repeat(owners, sizes), np.repeat(ends, sizes), length, enough=length)
+    earlier = factors >= length
     marks = dict(zip(compared, (earlier[end - size : end - length + 1] for end, size in zip(ends.tolist(), sizes.tolist()))))
     answers = []
     for texts, of in told:
@@ -374,32 +422,28 @@ def _answered(length: int, rows: pa.Table) -> pa.Table:
 
 def _removed(chunk: Chunk, rows: pa.Table, buckets: int) -> np.ndarray:
     """Step 4: which bytes of a chunk are removed."""
-    by_kind = [rows.filter(rows.column("answer").is_null()), rows.filter(rows.column("answer").is_valid())]
-    distinct, which = _kept_segments(chunk, by_kind[0].column("bucket").to_pylist(), by_kind[0].column("bits").to_pylist(), buckets)
-    segments = chunk.segments
-    home = _buckets(segments.hash[distinct], buckets)
-    answers = dict(zip(by_kind[1].column("bucket").to_pylist(), by_kind[1].column("answer").to_pylist()))
-    count = segments.count[distinct]
+    asked, answered = rows.filter(rows.column("answer").is_null()), rows.filter(rows.column("answer").is_valid())
+    found = Candidates(chunk, asked, buckets)
+    answers = dict(zip(answered.column("bucket").to_pylist(), answered.column("answer").to_pylist()))
+    distinct, count = found.distinct, found.count[found.distinct]
     whole, strings = np.zeros(len(distinct), bool), [np.empty(0, bool)]
-    for own in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(home)) + 1) if len(distinct) else []:
-        answer = zstandard.decompress(answers[int(home[own[0]])])
+    for own in found.by_bucket():
+        answer = zstandard.decompress(answers[int(found.home[distinct[own[0]]])])
         n = (len(own) + 7) // 8
         whole[own] = np.unpackbits(np.frombuffer(answer, "u1", n, 8), count=len(own)).astype(bool)
-        asked = np.where(whole[own], 0, count[own])
-        strings.append(np.unpackbits(np.frombuffer(answer, "u1", -1, 8 + n), count=int(asked.sum())).astype(bool) if asked.sum() else np.empty(0, bool))
+        open_strings = int(np.where(whole[own], 0, count[own]).sum())
+        strings.append(np.unpackbits(np.frombuffer(answer, "u1", -1, 8 + n), count=open_strings).astype(bool) if open_strings else np.empty(0, bool))
     strings = np.concatenate(strings)
     at = np.cumsum(np.where(whole, 0, count)) - np.where(whole, 0, count)
-    asked = np.flatnonzero(which >= 0)
-    nth = which[asked]
-    entire = whole[nth] | (chunk.ids[segments.doc[asked]] > chunk.ids[segments.doc[distinct]][nth])
+    nth = found.nth
+    entire = whole[nth] | (chunk.ids[found.doc] > chunk.ids[found.doc[distinct]][nth])
     edges = np.zeros(len(chunk.bytes) + 1, "i4")
-    np.add.at(edges, segments.start[asked[entire]], 1)
-    np.add.at(edges, segments.start[asked[entire]] + segments.count[asked[entire]], -1)
+    np.add.at(edges, found.start[entire], 1)
+    np.add.at(edges, found.start[entire] + found.count[entire], -1)
     begins = np.cumsum(edges[:-1]) > 0
-    some, nth = asked[~entire], nth[~entire]
-    sizes = segments.count[some]
+    sizes, nth = found.count[~entire], nth[~entire]
     along = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begins[np.repeat(segments.start[some], sizes) + along] |= strings[np.repeat(at[nth], sizes) + along]
+    begins[np.repeat(found.start[~entire], sizes) + along] |= strings[np.repeat(at[nth], sizes) + along]
     total = np.cumsum(begins, dtype="i8")
     total[chunk.length :] -= total[: -chunk.length].copy()
     return total > 0
@@ -437,20 +481,33 @@ def _with(step: Callable, *settings) -> Callable[[pa.Table], pa.Table]:
     return grouped
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, result: str = "digest", *, chunk_bytes: int = CHUNK_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """What is left of each document: counts and a digest, or with result="spans" the removed spans and the bytes kept."""
+def _input_bytes(docs: DataFrame) -> int:
+    """Catalyst's estimate of the input's size; 0 where it has none."""
+    found = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 60 else 0
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, result: str = "digest", *, chunk_bytes: int | None = None, buckets: int | None = None, heavy: int = HEAVY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """What is left of each document: counts and a digest, or with result="spans" the removed spans and the bytes kept.
+
+    chunk_bytes and buckets follow from the input's size unless given; no setting changes the result.
+    """
     if length <= ANCHOR:
         raise ValueError(f"strings must be longer than the anchors of {ANCHOR} bytes")
     spark = docs.sparkSession
-    store, buckets = Store(fresh_path(spark, "chunks")), 4 * shuffle_width(spark)
     texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
+    size, width = _input_bytes(texts), shuffle_width(spark)
+    chunk_bytes = chunk_bytes or min(CHUNK_BYTES[1], max(CHUNK_BYTES[0], size // CHUNK_SHARE))
+    buckets = buckets or min(MOST_BUCKETS, max(4 * width, size // BUCKET_BYTES))
+    store, by_chunk = Store(fresh_path(spark, "chunks")), ("part", "offset", "size")
+    # Rows here are few and small for the work they lead to, so the number of tasks is given rather than left to their size.
+    tasks = max(width, buckets // 8)
     told = texts.mapInArrow(partial(_stored, store, length, chunk_bytes, buckets), f"{_PLACE}, anchors binary, shared binary")
-    bits = written(told.groupBy("bucket").applyInArrow(_repeated, f"{_PLACE}, bits binary"), "repeats-bits")
-    by_chunk = ("part", "offset", "size")
-    asked = bits.groupBy(*by_chunk).applyInArrow(_with(_asked, store, length, buckets), f"{_PLACE}, segments binary")
-    answers = written(asked.groupBy("bucket").applyInArrow(_with(_answered, length), f"{_PLACE}, answer binary"), "repeats-answers")
-    both = bits.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers.withColumn("bits", F.lit(None).cast("binary")))
-    return both.groupBy(*by_chunk).applyInArrow(_with(_finished, store, length, buckets, result), _RESULTS[result][2])
+    bits = written(told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_with(_repeated, heavy), f"{_PLACE}, bits binary, many binary"), "repeats-bits")
+    asked = bits.repartition(tasks, *by_chunk).groupBy(*by_chunk).applyInArrow(_with(_asked, store, length, buckets), f"{_PLACE}, segments binary")
+    answers = written(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_with(_answered, length), f"{_PLACE}, answer binary"), "repeats-answers")
+    both = bits.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
+    return both.repartition(tasks, *by_chunk).groupBy(*by_chunk).applyInArrow(_with(_finished, store, length, buckets, result), _RESULTS[result][2])
 
 
 #: Brute force over all strings; hexadecimal digits stand for bytes.
