@@ -1,7 +1,11 @@
+import base64
+import difflib
 import hashlib
 import random
 
-from veinstone.llm.fingerprints import Joined, PrefixHashes, compare_with_next, fingerprint, likeness
+import numpy as np
+
+from veinstone.llm.fingerprints import Joined, PrefixHashes, compare_with_next, fingerprint, likeness, read_fingerprint
 
 
 def test_against_plain_texts(spark, odd):
@@ -13,7 +17,7 @@ def test_against_plain_texts(spark, odd):
         edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
         own, other, after = (fingerprint(PrefixHashes(x)) for x in (text, edited, following))
         r = found[doc_id]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), *(base64.b64encode(x).decode() for x in (own, other)))
         assert (r.near_edited, r.near_next) == (likeness(own, other), likeness(own, after))
 
 
@@ -31,11 +35,63 @@ def test_spans_and_extensions():
         assert fingerprint(Joined(x, left, y, right)) == fingerprint(PrefixHashes(a[:left] + b[:right]))
 
 
+def true_likeness(one, two):
+    """Share of the longer text in common blocks, by brute force; blocks of chance don't count."""
+    blocks = difflib.SequenceMatcher(None, one, two, autojunk=False).get_matching_blocks()
+    return sum(b.size for b in blocks if b.size >= 24) / max(len(one), len(two))
+
+
+def of(text):
+    return fingerprint(PrefixHashes(text))
+
+
+def test_likeness_against_brute_force():
+    rng = random.Random(2)
+    off = []
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300, 3000)))
+        other = text
+        for _ in range(rng.randrange(4)):
+            at, size = rng.randrange(len(other)), rng.randrange(60)
+            other = other[:at] + "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + other[at + rng.choice([0, size]) :]
+        found, want = likeness(of(text), of(other)), true_likeness(text, other)
+        assert found <= want + 0.05  # never more than there is
+        off.append(want - found)
+    assert sum(off) / len(off) < 0.15 and sorted(off)[54] < 0.45
+
+
 def test_likeness():
     rng = random.Random(2)
-    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
-    of = lambda t: fingerprint(PrefixHashes(t))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(40)]
+    text = texts[0]
     assert likeness(of(text), of(text)) == 1.0 and likeness(of(""), of("")) == 1.0 and likeness(of(""), of("x")) == 0.0
-    assert likeness(of(text), of(text[:2000] + "#" + text[2000:])) > 0.85
-    assert 0.4 < likeness(of(text), of(text[:2000] + text[:2000])) < 0.6
-    assert likeness(of(text), of(text[::-1])) < 0.05
+    edited = [("#" + t + "#", t[:400] + "#" + t[401:3600] + "#" + t[3601:], t[:2000] + "#" + t[2000:]) for t in texts]
+    of_ends, of_two, of_one = ([likeness(of(t), of(e[k])) for t, e in zip(texts, edited)] for k in range(3))
+    assert np.mean(of_ends) > 0.85 and np.mean(of_two) > 0.8 and np.mean(of_one) > 0.9
+    assert min(of_ends) > 0.6 and min(of_two) > 0.5 and min(of_one) > 0.7
+    assert 0.3 < likeness(of(text), of(text[:2000] + text[:2000])) < 0.6
+    assert 0.2 < likeness(of(text), of(text[2000:] + "".join(rng.choice("uvw") for _ in range(2000)))) <= 0.5
+    assert likeness(of(text), of(text[::-1])) == 0.0
+    assert likeness(of("a" * 500), of("a" * 500)) == 1.0 and likeness(of("short"), of("other")) == 0.0
+    long = text * 3 + "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    assert 0 < likeness(of(long), of(long[:30_000])) <= 0.5
+
+
+def test_coarser_spans_are_unions():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    hashes, spans = PrefixHashes(text), read_fingerprint(of(text))
+    for zeros in range(spans.zeros, spans.zeros + 6):
+        coarse, at = spans.coarser(zeros), 0
+        for size, value in zip(coarse.sizes, coarse.hashes):
+            assert hashes.span(at, at + size) == value
+            at += size
+        assert at == len(text) and len(coarse.levels) == len(coarse.sizes)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {k % 7}") for k in range(400)], "doc_id long, text string").repartition(4)
+    found = compare_with_next(docs)
+    assert found.count() == 400
+    once, again = (sorted(map(tuple, compare_with_next(docs.repartition(n)).drop("doc_id").collect())) for n in (2, 5))
+    assert once == again

@@ -5,13 +5,15 @@ follows from two of its sums, so the equality of any two spans is one comparison
 two positions is found by binary search over its length. A text that is put together from spans of hashed texts has
 prefix sums that follow from theirs: it need not be hashed again.
 
-A fingerprint holds the length, the hash of the whole text, and the hashes of its prefixes and suffixes at the multiples
-of a step, the smallest power of two that leaves at most GRID of them. Steps of two texts divide each other, so the
-longest equal prefix and suffix are found by binary search on the common multiples. Their likeness is the share of the
-longer text that equal prefix and suffix cover, 1 for equal texts.
+A fingerprint holds the length, the hash of the whole text, and the spans into which content cuts the text: a text is cut
+behind windows of WINDOW code points whose hash ends in some zero bits, as many as leave at most GRID cuts. So an insertion
+moves the cuts behind it but doesn't change them, wherever it is. Of two fingerprints, spans of the finer one are put
+together until both have the same rule; hashes of adjacent spans give that of their union. Then the spans of one text are
+matched with those of the other by longest common extensions, found by binary search over prefix hashes of the sequences of
+spans. Likeness is the share of the longer text that matched spans cover, 1 for equal texts.
 
 Null texts count as empty; empty texts are equal to each other (likeness 1) and unlike any other (0). Documents are
-ordered by descending doc_id, those without an id last, and rows that repeat an id by text; a document that is alone is
+ordered by descending doc_id, those without an id last, and rows that repeat an id by a digest of the text; a document that is alone is
 its own next document. Columns besides id and text are ignored.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.common import table, written
 
-GRID = 16
+GRID, WINDOW = 32, 12
 #: Two primes below 2^31, and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -51,10 +54,10 @@ _POWERS = [_Powers(b, p) for b, p in zip(BASES, PRIMES)]
 
 
 class PrefixHashes:
-    """Prefix sums of one text; spans are [start, end) in code points."""
+    """Prefix sums of one text, or of a sequence of numbers below 2^31; spans are [start, end) in code points."""
 
-    def __init__(self, text: str) -> None:
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1)
+    def __init__(self, text: str | np.ndarray) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1) if isinstance(text, str) else text
         self.size = len(codes)
         self.sums = []
         for powers in _POWERS:
@@ -102,57 +105,123 @@ def _spans(before: list[np.ndarray], after: list[np.ndarray], start: np.ndarray)
     return first << np.uint64(31) | second
 
 
-def _step(size: int) -> int:
-    step = 1
-    while size > GRID * step:
-        step *= 2
-    return step
+@dataclass(frozen=True)
+class Spans:
+    """The spans of a text: sizes, hashes, and how many zero bits end the window at each span's end (ENDLESS for the last)."""
+
+    size: int
+    whole: int
+    zeros: int
+    sizes: list[int]
+    hashes: list[int]
+    levels: list[int]
+
+    def coarser(self, zeros: int) -> Spans:
+        """The spans that a rule of more zero bits would have cut."""
+        if zeros <= self.zeros:
+            return self
+        sizes, hashes, levels, begun = [], [], [], 0
+        for size, part, level in zip(self.sizes, self.hashes, self.levels):
+            if begun:
+                hashes[-1] = _joined(hashes[-1], sizes[-1], part)
+                sizes[-1] += size
+            else:
+                sizes.append(size)
+                hashes.append(part)
+            begun = level < zeros
+            if not begun:
+                levels.append(level)
+        return Spans(self.size, self.whole, zeros, sizes, hashes, levels)
 
 
-def fingerprint(hashes: PrefixHashes | Joined) -> str:
-    """length:whole:prefixes:suffixes, in hexadecimal; 8 digits for each prefix and suffix."""
-    size = hashes.size
-    steps = np.arange(0, size + 1, _step(size))[1:]
-    starts = np.concatenate([np.zeros(len(steps) + 1, "i8"), size - steps])
-    ends = np.concatenate([[size], steps, np.full(len(steps), size)])
-    found = _spans(hashes.prefixes(starts), hashes.prefixes(ends), starts)
-    cut = [f"{x:08x}" for x in (found & np.uint64(0xFFFFFFFF)).tolist()]
-    return f"{size:x}:{int(found[0]):016x}:{''.join(cut[1 : len(steps) + 1])}:{''.join(cut[len(steps) + 1 :])}"
+#: Level of a text's end, which any rule cuts.
+ENDLESS = 63
 
 
-def likeness(one: str, two: str) -> float:
-    """Share of the longer text that the longest equal prefix and suffix cover, as far as the grid tells."""
-    if one == two:
-        return 1.0
-    (size, _, *ends), (size_two, _, *ends_two) = one.split(":"), two.split(":")
-    size, size_two = int(size, 16), int(size_two, 16)
-    step, step_two = _step(size), _step(size_two)
-    common = max(step, step_two)
-    covered = 0
-    for marks, marks_two in zip(ends, ends_two):
-        low, high = 0, min(size, size_two) // common
-        while low < high:
-            middle = (low + high + 1) // 2
-            at, at_two = middle * common // step * 8, middle * common // step_two * 8
-            if marks[at - 8 : at] == marks_two[at_two - 8 : at_two]:
-                low = middle
-            else:
-                high = middle - 1
-        covered += low * common
-    return min(covered, size, size_two) / max(size, size_two)
+def _joined(one: int, size: int, two: int) -> int:
+    """The hash of two adjacent spans; size: of the first."""
+    parts = ((one >> 31, two >> 31), (one & (1 << 31) - 1, two & (1 << 31) - 1))
+    first, second = ((a + b * pow(base, size, prime)) % prime for (a, b), base, prime in zip(parts, BASES, PRIMES))
+    return first << 31 | second
+
+
+def _cuts(hashes: PrefixHashes | Joined) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of zero bits of the rule, the places it cuts at, and the zero bits at each."""
+    ends = np.arange(WINDOW, hashes.size)
+    if not len(ends):
+        return 0, ends, ends
+    every = hashes.prefixes(np.arange(hashes.size))
+    values = _spans([x[:-WINDOW] for x in every], [x[WINDOW:] for x in every], ends - WINDOW)
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(32)
+    lowest = values & (~values + np.uint64(1))
+    zeros = np.bitwise_count(lowest - np.uint64(1)).astype("i8")  # 64 for 0
+    rule = 0
+    while len(ends) > GRID:
+        rule += 1
+        ends, zeros = ends[zeros >= rule], zeros[zeros >= rule]
+    return rule, ends, np.minimum(zeros, ENDLESS - 1)
 
 
-def _compared(doc_id: int | None, text: str, hashes: PrefixHashes, own: str, following: str, next_hashes: PrefixHashes, next_print: str) -> tuple:
+#: A text or span in a fingerprint: size, hash, and the rule's zero bits or the level of the span's end.
+_ENTRY = np.dtype([("size", "<u4"), ("hash", "<u8"), ("zeros", "u1")])
+
+
+def fingerprint(hashes: PrefixHashes | Joined) -> bytes:
+    """The text as a whole, then its spans, as packed entries."""
+    rule, cuts, levels = _cuts(hashes)
+    starts, ends = np.concatenate([[0, 0], cuts]).astype("i8"), np.concatenate([[hashes.size], cuts, [hashes.size]]).astype("i8")
+    entries = np.empty(len(starts), _ENTRY)
+    entries["size"], entries["hash"], entries["zeros"] = ends - starts, _spans(hashes.prefixes(starts), hashes.prefixes(ends), starts), [rule, *levels.tolist(), ENDLESS]
+    return entries.tobytes()
+
+
+def read_fingerprint(packed: bytes) -> Spans:
+    entries = np.frombuffer(packed, _ENTRY)
+    size, whole, zeros = entries[0].tolist()
+    return Spans(size, whole, zeros, *(entries[name][1:].tolist() for name in ("size", "hash", "zeros")))
+
+
+def likeness(one: bytes, two: bytes) -> float:
+    """Share of the longer text that spans cover which both have, as far as the cuts tell."""
+    if one == two:
+        return 1.0
+    a, b = read_fingerprint(one), read_fingerprint(two)
+    if not a.size or not b.size:
+        return 0.0
+    zeros = max(a.zeros, b.zeros)
+    a, b = a.coarser(zeros), b.coarser(zeros)
+    if not set(a.hashes) & set(b.hashes):
+        return 0.0
+    numbers: dict[tuple[int, int], int] = {}
+    left, right = ([numbers.setdefault(span, len(numbers)) for span in zip(x.sizes, x.hashes)] for x in (a, b))
+    hashes_left, hashes_right = (PrefixHashes(np.array(x, "u8") + np.uint64(1)) for x in (left, right))
+    covered, at, used = 0, 0, [False] * len(right)
+    while at < len(left):
+        best, place = 0, 0
+        for other in range(len(right)):
+            if right[other] == left[at] and not used[other]:
+                extension = hashes_left.common_extension(hashes_right, at, other)
+                free = next((k for k in range(extension) if used[other + k]), extension)
+                if free > best:
+                    best, place = free, other
+        covered += sum(a.sizes[at : at + best])
+        used[place : place + best] = [True] * best
+        at += max(1, best)
+    return min(1.0, covered / max(a.size, b.size))
+
+
+def _compared(doc_id: int | None, text: str, hashes: PrefixHashes, own: bytes, following: str, next_hashes: PrefixHashes, next_print: bytes) -> tuple:
     """The result row of a document and the one that follows it."""
     changed = hashes.size // 2
     kept, taken = hashes.size - changed, min(changed, next_hashes.size)
     edited = fingerprint(Joined(hashes, kept, next_hashes, taken))
-    digest = hashlib.sha256((text[:kept] + following[:taken]).encode()).hexdigest()
+    digest = hashlib.sha256((text[:kept] + following[:taken]).encode()).digest()
     return doc_id, hashes.size, digest, own, edited, likeness(own, edited), likeness(own, next_print)
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -188,16 +257,24 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, _ARROW)
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Digests in hexadecimal and fingerprints in base64, which take more room than their bytes and so come last."""
+    base64 = lambda c: F.translate(F.base64(c), "\r\n", "").alias(c)
+    return rows.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), base64("fingerprint"), base64("edited_fingerprint"), "near_edited", "near_next")
+
+
 def compare_with_next(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Fingerprints of each document and of its edited text: its last half replaced by the next document's beginning.
+    """Fingerprints, as base64, of each document and of its edited text: its last half replaced by the next document's beginning.
 
-    Texts move once, to be sorted by range of id. What crosses from one range to the next, two documents for each
+    Texts move once, to be sorted by range of id. Ranges are cut by id, digest and a number of the row, so that rows that repeat
+    an id, or lack one, are spread like any others. What crosses from one range to the next, two documents for each
     partition, is joined by the partition's number.
     """
     ordered = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    order = F.desc_nulls_last("doc_id")
+    ordered = ordered.withColumns({"digest": F.xxhash64(F.coalesce("text", F.lit(""))), "row": F.xxhash64(F.monotonically_increasing_id())})
+    order = [F.desc_nulls_last("doc_id"), F.asc("digest"), F.asc("row")]
     found = written(
-        ordered.repartitionByRange(order).sortWithinPartitions(order, F.asc_nulls_first("text")).mapInArrow(_along, f"{_SCHEMA}, part int, end string, text string"),
+        ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_along, f"{_SCHEMA}, part int, end string, text string"),
         "fingerprints",
     )
     parts = sorted(row["part"] for row in found.where(F.col("end") == "first").select("part").collect())  # numbers of partitions
@@ -205,10 +282,10 @@ def compare_with_next(docs: DataFrame, *, id_column: str = "doc_id", text_column
     firsts = found.where(F.col("end") == "first").select("part", F.col("text").alias("following"))
     lasts = found.where(F.col("end") == "last").select("doc_id", "text", F.col("part").alias("own"))
     if not follows:
-        return found.select(*_ARROW.names)
+        return _shown(found)
     numbers = docs.sparkSession.createDataFrame(list(follows.items()), "own int, part int")
     crossing = lasts.join(numbers, "own").join(firsts, "part").select("doc_id", "text", "following").mapInArrow(_across, _SCHEMA)
-    return found.where(F.col("end").isNull()).select(*_ARROW.names).unionByName(crossing)
+    return _shown(found.where(F.col("end").isNull()).select(*_ARROW.names).unionByName(crossing))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
