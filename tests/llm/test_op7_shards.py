@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -36,3 +37,35 @@ def test_group_larger_than_a_shard(spark):
         copies[r.shard] += r.doc_id < 10_000
     assert max(loads.values()) - min(loads.values()) <= 0.01 * max(loads.values())
     assert sum(n > 30 for n in copies.values()) <= 5
+
+
+def plain_measures(rows):
+    """Imbalance, cut links and links, pair by pair."""
+    loads = defaultdict(int)
+    for text, shard, size in rows:
+        loads[shard] += size
+    pairs = [(a[1], b[1]) for k, a in enumerate(rows) for b in rows[:k] if a[0] == b[0]]
+    return max(loads.values()) * len(loads) / sum(loads.values()) - 1, sum(a != b for a, b in pairs), len(pairs)
+
+
+def test_cut_links_against_brute_force(spark):
+    """Few links are cut, next to none of groups that fit a shard, and far fewer than by hash; sizes are as even."""
+    rng = random.Random(4)
+    texts = [f"group {rng.randrange(60)} " * 3 for _ in range(600)] + ["large " * 4] * 250 + [f"alone {k} " * rng.randrange(1, 9) for k in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    placed = shards.shard_documents(docs)
+    rows = [(texts[r.doc_id], r.shard, r.size) for r in placed.collect()]
+    imbalance, cut, links = plain_measures(rows)
+    found = shards.measures(placed).first()
+    assert abs(found.imbalance - imbalance) < 1e-9 and (found.cut, found.links) == (cut, links)
+    by_hash = plain_measures([(t, zlib.crc32(str(k).encode()) % 8, s) for k, (t, _, s) in enumerate(rows)])
+    assert imbalance < 0.02 and cut < 0.5 * by_hash[1]
+    small = plain_measures([r for r in rows if r[0].startswith("group")])
+    assert small[1] <= 0.05 * small[2]
+
+
+def test_reruns_agree(spark, odd):
+    """Whatever the partitions, and however often rows repeat."""
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None)] * 50 + [(7, "same")] * 60 + [(k, f"x {k % 9}") for k in range(300)], "doc_id long, text string"))
+    once, again = (sorted((r.doc_id if r.doc_id is not None else -1, r.text_crc32, r.shard, r.slot) for r in shards.shard_documents(docs.repartition(n)).collect()) for n in (3, 7))
+    assert once == again

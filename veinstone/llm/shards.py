@@ -27,7 +27,24 @@ STILL = 0.002
 
 def _chance(salt: str) -> Column:
     """Uniform in [0, 1), the same for a document on every run."""
-    return F.pmod(F.xxhash64("doc_id", "text_crc32", "row", F.lit(salt)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def _digested(nodes: DataFrame) -> DataFrame:
+    """nodes (doc_id, group, ...) with ``row``, a digest of id, text and number among rows that are equal in both.
+
+    Equal rows are counted by partition first, so that no task has all of them. Which of them has which number doesn't
+    matter: they are alike.
+    """
+    nodes = nodes.withColumns({"same": F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex("group")).cast("binary"))), "part": F.spark_partition_id()})
+    nodes = written(nodes, "shards-equal")
+    counts = nodes.groupBy("same", "part").agg(F.count("*").alias("n"))
+    by_same = Window.partitionBy("same")
+    counts = counts.withColumns({"all": F.sum("n").over(by_same), "earlier": F.sum("n").over(by_same.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))})
+    repeated = counts.where("all > 1").select("same", "part", F.coalesce("earlier", F.lit(0)).alias("earlier"))
+    joined = nodes.join(repeated, ["same", "part"], "left")
+    nth = F.col("earlier") + F.row_number().over(Window.partitionBy("same", "part").orderBy("same"))
+    return joined.withColumn("row", F.xxhash64("same", F.coalesce(nth, F.lit(0).cast("long")))).drop("same", "part", "earlier")
 
 
 def _by_number(values: dict[int, float], of: Column) -> Column:
@@ -117,9 +134,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "
     text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
     nodes = docs.select(
         docs[id_column].cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc32(text).alias("text_crc32"),
-        F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("group"), F.monotonically_increasing_id().alias("row"),
+        F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("group"),
     )
-    nodes = written(nodes, "shards-nodes")
+    nodes = written(_digested(nodes), "shards-nodes")
     groups = nodes.groupBy("group").agg(F.count("*").alias("documents"))
     grouped = written(skew_safe_lookup(nodes, groups, "group", "documents", F.col("row")), "shards-grouped")
     first = F.floor(_chance("first") * shards).cast("int")
@@ -141,5 +158,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "
     )
 
 
+def measures(placed: DataFrame, group: str = "text_crc32") -> DataFrame:
+    """(imbalance, cut, links): the largest shard over the mean less 1, and how many of the links between documents of a group are cut.
+
+    placed: (shard, size, group). Links are counted from a group's numbers in each shard, not as pairs.
+    """
+    loads = placed.groupBy("shard").agg(F.sum("size").alias("bytes"))
+    groups = placed.groupBy(group, "shard").agg(F.count("*").alias("n")).groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    links = groups.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)).alias("cut"), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("links"))
+    return loads.agg((F.max("bytes") / F.avg("bytes") - 1).alias("imbalance")).crossJoin(links)  # a row each
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
