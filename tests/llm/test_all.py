@@ -27,11 +27,13 @@ def test_equals_sql(spark, name):
     assert of_spark(QUERIES[name](spark, FOLDER)) == of_sql(SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "warc" not in n))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_clashing_columns(spark, odd, tmp_path, name):
-    extra = ["size", "kept", "count", "bits", "shard", "label", "page", "score", "block", "source_size", "target", "word_chars", "spans", "ids", "row", "group", "place", "part"]
+    extra = ["size", "kept", "count", "bits", "shard", "label", "page", "score", "block", "source_size", "target", "word_chars", "spans", "ids", "row", "group", "place", "part", "bucket", "node", "set"]
     few = odd.limit(40).withColumns({c: F.lit("clash") for c in extra})
     few.write.parquet(f"{tmp_path}/documents.parquet")
+    pages = few.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *extra, *(F.lit(1).alias(c) for c in ("payload", "key", "first", "pages", "refers_to", "archive")))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([(1, 0, 1, "x"), (2, 0, 0, "x")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 40
 
