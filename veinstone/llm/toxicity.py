@@ -1,19 +1,19 @@
 """Toxicity from compression distances to zstandard dictionaries, of bytes and of words.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic one holds the same content,
-preceded by passages that are specific to toxic text: runs of byte strings that stand in many toxic and almost no
-ordinary documents of the sample. As both share what is common to all text, the difference of the two compressed lengths
-of a window comes from the specific passages alone. Toxic words that are built from common syllables hold no such byte
-strings. So a text is also compressed as a sequence of eight-byte codes of its words, with two more dictionaries: of the
-words of ordinary documents, and of these and the specific words. A code matches as a whole or not at all.
+Four dictionaries are trained by zstandard: on ordinary and on toxic text, each as bytes and as sequences of eight-byte
+codes of its words. What toxic texts share with ordinary ones would fill their dictionaries and tell nothing, so these
+are trained on what toxic documents of the sample say beyond it: their words that are far rarer in ordinary documents. A
+text is cut into overlapping windows. Each is compressed with the ordinary dictionary, and with it and the toxic one; the
+difference comes from toxic content alone. Bytes tell stems, whatever ends a word; a word's code matches as a whole
+or not at all, so that words built from common syllables are told as well.
 
-A whole text is cut into windows; mean, largest and summed differences and the number of windows go into a logistic
-model, whose output is the score. The sample is dealt into FOLDS parts; the model is calibrated on each part with
-dictionaries of the others, which have not seen it, and the final dictionaries are made of the whole sample.
+Largest, mean and summed differences and the number of windows go into a logistic model, whose output is the score. The
+sample is dealt into FOLDS parts; the model is calibrated on each part with dictionaries of the others, which have not
+seen it, and the final dictionaries are made of the whole sample.
 
-Labels are learned from a sample bounded by SAMPLE (documents of each class, by hash order) and PIECES x PIECE
-characters of each; everything else covers whole texts. Labels of held-out documents (crc32 of the id's decimal
-digits, modulo 4, is 2) are never read. A document labelled twice takes the larger label; null labels don't count.
+Labels are learned from a sample of rows bounded by SAMPLE (documents of each class, by hash order), whose texts are read
+whole, as all texts are. Labels of held-out documents (crc32 of the id's decimal digits, modulo 4, is 2) are never
+read. A document labelled twice takes the larger label; null labels don't count.
 
 Null texts count as empty; empty texts have one empty window and a score like any other. Without labels of both classes
 every score is 0. A null doc_id is not held out. Rows keep their multiplicity; other columns are ignored.
@@ -36,113 +36,110 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.common import crc32, table
 
-#: Labelled documents of each class, at most, and pieces of each text that training reads.
-SAMPLE = {1: 2400, 0: 4800}
-PIECES, PIECE = 64, 256
+#: Labelled documents of each class that training reads, at most.
+SAMPLE = {1: 2400, 0: 3600}
 #: Parts of the sample; each calibrates with dictionaries made of the others.
-FOLDS = 4
-WINDOW, LEVEL = 128, 12
-ORDINARY_BYTES, TOXIC_BYTES = 30_000, 3072
-#: Specific byte strings: their length, and how much rarer they must be in ordinary documents.
-RUN, RATIO = 5, 150
-#: Words: how much rarer specific ones must be in ordinary documents, words of each dictionary, and words of a window.
-WORD_RATIO, WORDS, WORD_WINDOW = 20, 3500, 64
+FOLDS = 3
+#: Bytes of a window, and from one to the next; as many for windows of words' codes, eight bytes a word.
+WINDOW, STEP, CODES, CODES_STEP = 512, 480, 1024, 960
+LEVEL = 5
+#: Bytes of the dictionaries (the toxic one of words has room for several codes of each word that is rare elsewhere).
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_CODES, ROOM = 30_000, 6_000, 28_000, 32
+MOST_CODES = 112_000
+#: How much rarer a word must be in ordinary documents.
+RATIO = 20
 THRESHOLD = 0.3
-FEATURES = 10
+FEATURES = 13
+#: A window's difference from which it counts as marked, and where differences stop to tell more.
+MARKED, ENOUGH = 4, 12.0
+#: Words whose codes a worker keeps.
+CACHED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def windows(text: str) -> list[bytes]:
-    data = text.lower().encode()
-    return [data[at : at + WINDOW] for at in range(0, max(1, len(data)), WINDOW)]
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+def _cut(data: bytes, size: int, step: int) -> list[bytes]:
+    """Windows that overlap by size - step and cover everything; one empty window of nothing."""
+    return [data[at : at + size] for at in range(0, max(1, len(data) - (size - step)), step)]
 
 
-def _strings(pieces: list[bytes]) -> set[bytes]:
-    return {piece[k : k + RUN] for piece in pieces for k in range(len(piece) - RUN + 1)}
+def byte_windows(words: list[str]) -> list[bytes]:
+    return _cut(f" {' '.join(words)} ".encode(), WINDOW, STEP)
 
 
-def toxic_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
-    """What toxic documents have and ordinary ones lack, the most frequent passages last (nearest, hence cheapest)."""
-    in_toxic, in_ordinary = (Counter(s for pieces in docs for s in _strings(pieces)) for docs in (toxic, ordinary))
-    # Twice as many documents as are hardly toxic by chance all together, for any of the strings.
-    least = max(3, math.ceil(2 * math.log(len(in_toxic) + 2) / math.log(1 + len(ordinary) / len(toxic))))
-    specific = {s for s, n in in_toxic.items() if n >= least and n * len(ordinary) >= RATIO * in_ordinary[s] * len(toxic)}
-    passages: Counter[bytes] = Counter()
-    for pieces in toxic:
-        for piece in pieces:
-            start = None
-            for k in range(len(piece) - RUN + 2):
-                if piece[k : k + RUN] in specific:
-                    start = k if start is None else start
-                elif start is not None:
-                    passages[piece[start : k + RUN - 1]] += 1
-                    start = None
-    content = b""
-    for passage, n in sorted(passages.items(), key=lambda x: (-x[1], x[0])):
-        if n < 2 or len(content) + len(passage) > TOXIC_BYTES:
-            break
-        if passage not in content:
-            content = passage + content
-    return content
+class _Codes(dict):
+    """Eight-byte codes of words, kept up to a bound."""
 
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        code = self[word] = xxhash.xxh64_digest(word.encode())
+        return code
 
-def _words(text: str) -> list[bytes]:
-    return [word.encode() for word in _WORD.findall(text.lower())]
 
+_CODES = _Codes()
 
-def _codes(words: list[bytes]) -> bytes:
-    return b"".join(map(xxhash.xxh64_digest, words))
 
+def code_windows(words: list[str]) -> list[bytes]:
+    return _cut(b"".join(map(_CODES.__getitem__, words)), CODES, CODES_STEP)
 
-def word_contents(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """Codes of the words of most ordinary documents, and of those specific to toxic ones; the most frequent last."""
-    in_toxic, in_ordinary = (Counter(w for pieces in docs for w in {w for piece in pieces for w in _words(piece.decode(errors="ignore"))}) for docs in (toxic, ordinary))
-    # Words of n documents that are all toxic must be twice as many as by chance.
-    chance = len(toxic) / (len(toxic) + len(ordinary))
-    whole, all_toxic = Counter((in_toxic + in_ordinary).values()), Counter(n for s, n in in_toxic.items() if s not in in_ordinary)
-    least = next((n for n in range(3, len(toxic) + 1) if all_toxic[n] >= 2 * whole[n] * chance**n), 3)
-    specific = [s for s, n in in_toxic.items() if n >= least and n * len(ordinary) >= WORD_RATIO * in_ordinary[s] * len(toxic)]
-    specific, common = (sorted(sorted(some, key=lambda s: (-counts[s], s))[:WORDS], key=lambda s: (counts[s], s)) for some, counts in ((specific, in_toxic), (in_ordinary, in_ordinary)))
-    return _codes(common), _codes(specific)
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
-def ordinary_content(ordinary: list[list[bytes]]) -> bytes:
-    samples = [piece[at : at + 2 * WINDOW] for pieces in ordinary for piece in pieces for at in range(0, len(piece), 2 * WINDOW)]
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains; the samples themselves where there are too few to train on."""
+    header = 2768  # what zstandard puts before the content, at most
     try:
-        return zstandard.train_dictionary(ORDINARY_BYTES + 2768, samples[:: max(1, len(samples) // 30_000)], level=3).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(samples)[-ORDINARY_BYTES:]
+        return zstandard.train_dictionary(size + header, samples, k=segment, d=8).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def rare_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
+    """Words of toxic documents that are RATIO times rarer in ordinary ones, and in more documents than by chance."""
+    in_toxic, in_ordinary = (Counter(w for words in docs for w in set(words)) for docs in (toxic, ordinary))
+    # Words of n documents that are all toxic must be twice as many as by chance.
+    chance = len(toxic) / (len(toxic) + len(ordinary))
+    whole, all_toxic = Counter((in_toxic + in_ordinary).values()), Counter(n for w, n in in_toxic.items() if w not in in_ordinary)
+    least = next((n for n in range(3, len(toxic) + 1) if all_toxic[n] >= 2 * whole[n] * chance**n), 3)
+    return {w for w, n in in_toxic.items() if n >= least and n * len(ordinary) >= RATIO * in_ordinary[w] * len(toxic)}
 
 
-def contents(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, ...]:
-    """Ordinary and toxic content of bytes, then of words."""
-    return ordinary_content(ordinary), toxic_passages(toxic, ordinary), *word_contents(toxic, ordinary)
+def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, ...]:
+    """Contents trained on ordinary and toxic documents, of bytes, then of words' codes."""
+    rare = rare_words(toxic, ordinary)
+    beyond = [some for words in toxic if (some := [w for w in words if w in rare])]
+    return (
+        trained([window for words in ordinary for window in _cut(f" {' '.join(words)} ".encode(), WINDOW, WINDOW)], ORDINARY_BYTES, 64),
+        trained([f" {' '.join(some)} ".encode() for some in beyond], TOXIC_BYTES, 16) if beyond else b"",
+        trained([window for words in ordinary for window in _cut(b"".join(map(_CODES.__getitem__, words)), 8 * CODES, 8 * CODES)], ORDINARY_CODES, 8),
+        trained([b"".join(map(_CODES.__getitem__, some)) for some in beyond], min(MOST_CODES, ROOM * len(rare)), 8) if beyond else b"",
+    )
 
 
 class Distances:
     """Compressed lengths of windows under the dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, ordinary_words: bytes, toxic_words: bytes) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, ordinary_codes: bytes, toxic_codes: bytes) -> None:
         self.measures = [
             zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            for content in (ordinary, toxic + ordinary, ordinary_words, toxic_words + ordinary_words)
+            for content in (ordinary, toxic + ordinary, ordinary_codes, toxic_codes + ordinary_codes)
         ]
 
     def features(self, text: str) -> tuple[float, ...]:
-        cut = windows(text)
-        ordinary, toxic, ordinary_words, toxic_words = self.measures
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in cut], float)
-        largest = np.sort(gains)[::-1]
-        of_bytes = (float(gains.mean() / min(WINDOW, len(cut[0]) + 1) * 100), float(largest[0]), float(largest[:3].mean()), float(np.log1p(len(cut))), float(np.log1p(max(0.0, gains.sum()))), float(len(cut[0]) < WINDOW))
-        codes = _codes(_words(text))
-        coded = [codes[at : at + 8 * WORD_WINDOW] for at in range(0, max(1, len(codes)), 8 * WORD_WINDOW)]
-        gains = np.array([max(0, len(ordinary_words(w)) - len(toxic_words(w))) for w in coded], float)
+        ordinary, toxic, ordinary_codes, toxic_codes = self.measures
+        words = words_of(text)
+        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in byte_windows(words)], float)
+        largest, marked = np.sort(gains)[::-1], int((gains >= MARKED).sum())
+        of_bytes = (gains.mean(), largest[0], largest[:3].mean(), math.log1p(np.maximum(gains, 0).sum()), math.log1p(len(gains)), marked / len(gains), math.log1p(marked), min(largest[0], ENOUGH), float(len(gains) > 6))
+        gains = np.array([max(0, len(ordinary_codes(w)) - len(toxic_codes(w))) for w in code_windows(words)], float)
         total = float(gains.sum())
-        return *of_bytes, math.log1p(total), min(total, 12.0), float(gains.max()), total / len(gains)
+        return tuple(map(float, (*of_bytes, math.log1p(total), min(total, ENOUGH), gains.max(), total / len(gains))))
 
 
 @lru_cache(FOLDS + 1)
@@ -172,7 +169,7 @@ class Calibration:
 class Model:
     def __init__(self, content: tuple[bytes, ...], calibration: Calibration | None) -> None:
         self.content, self.calibration = content, calibration
-        self.ordinary, self.toxic, self.ordinary_words, self.toxic_words = content
+        self.ordinary, self.toxic, self.ordinary_codes, self.toxic_codes = content
 
 
 def _clean(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -190,19 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     sample = [known.where(F.col("label") == label).orderBy(order, "doc_id").limit(most) for label, most in SAMPLE.items()]
     # sum(SAMPLE) rows at most, whatever the input.
     sample = F.broadcast(sample[0].unionByName(sample[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("taught")), F.lit(FOLDS)).cast("int")))
-    texts = _clean(docs, id_column, text_column).join(sample, "doc_id")
-    size = F.length("text")
-    pieces = F.least(F.lit(PIECES), F.ceil(size / PIECE).cast("int"))
-    apart = F.transform(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1), lambda k: F.substr("text", (1 + F.floor(k * size / F.greatest(pieces, F.lit(1)))).cast("int"), F.lit(PIECE)))
-    taught: list[dict[int, list[list[bytes]]]] = [{0: [], 1: []} for _ in range(FOLDS)]
-    for row in texts.select("label", "fold", F.lower(F.array_join(apart, "\x00")).alias("pieces")).orderBy("doc_id").limit(sum(SAMPLE.values())).toLocalIterator():
-        taught[row["fold"]][row["label"]].append([p.encode() for p in (row["pieces"] or "").split("\x00")])
-    without = [{label: [pieces for k, part in enumerate(taught) if k != fold for pieces in part[label]] for label in (0, 1)} for fold in range(FOLDS + 1)]
-    *parts, whole = [contents(some[1], some[0]) if some[0] and some[1] else None for some in without]
+    texts = _clean(docs, id_column, text_column).join(sample, "doc_id").limit(sum(SAMPLE.values()))
+    taught: list[dict[int, list[list[str]]]] = [{0: [], 1: []} for _ in range(FOLDS)]
+    for row in texts.orderBy("doc_id", "text").toLocalIterator():
+        taught[row["fold"]][row["label"]].append(words_of(row["text"] or ""))
+    without = [{label: [words for k, part in enumerate(taught) if k != fold for words in part[label]] for label in (0, 1)} for fold in range(FOLDS + 1)]
+    *parts, whole = [dictionaries(some[1], some[0]) if some[0] and some[1] else None for some in without]
     if whole is None or not any(parts):
         return None
     model = Model(whole, None)
-    rows = _measured(texts.where(F.col("fold").isin([k for k, part in enumerate(parts) if part])).select("doc_id", "text", F.col("label").cast("double").alias("label"), "fold").limit(sum(SAMPLE.values())), parts).collect()
+    rows = _measured(texts.where(F.col("fold").isin([k for k, part in enumerate(parts) if part])).select("doc_id", "text", F.col("label").cast("double").alias("label"), "fold"), parts).collect()
     seen = np.array([[row["label"], *row["features"]] for row in rows], float).reshape(-1, FEATURES + 1)
     if len(set(seen[:, 0])) == 2:
         model.calibration = Calibration(seen[:, 1:], seen[:, 0], counts[1] / (counts[0] + counts[1]))
@@ -211,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
 
 def _measured(docs: DataFrame, parts: list[tuple[bytes, ...] | None]) -> DataFrame:
     """(doc_id, label, features), by the dictionaries of the documents' folds."""
-    content = docs.sparkSession.sparkContext.broadcast(parts)  # FOLDS x (ORDINARY_BYTES + TOXIC_BYTES + 16 x WORDS)
+    content = docs.sparkSession.sparkContext.broadcast(parts)  # FOLDS dictionaries of bounded size
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
