@@ -24,7 +24,11 @@ def test_packing(spark):
 def test_headings_and_figures(spark):
     text = "# A\nx\n## B\ny\n# C\nz"
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
-    assert [(r.path, r.text) for r in chunking.by_heading(docs).orderBy("section").collect()] == [("A", "x"), ("A > B", "y"), ("C", "z")]
+    assert [(r.context, r.text) for r in chunking.by_heading(docs).collect()] == [("C", text)]
+    # A heading closes what is over half full, under its own path; a full chunk is closed under the path it has.
+    assert [(r.context, r.text) for r in chunking.by_heading(docs, 6).orderBy("chunk").collect()] == [("A > B", "# A\nx"), ("C", "## B\ny"), ("C", "# C\nz")]
+    assert [(r.context, r.text) for r in chunking.by_heading(docs, 4).orderBy("chunk").collect()] == [("A", "# A\nx"), ("A > B", "## B"), ("C", "y\n# C"), ("C", "z")]
+    assert chunking.by_heading(spark.createDataFrame([("d", " \n"), ("e", "")], "doc_id string, text string")).collect() == []
     figure = spark.createDataFrame([("d", "before\n![alt](img/a.png)\n\n图 1 组织\nafter")], "doc_id string, text string")
     found = chunking.figure_text(chunking.figures(figure)).first()
     assert (found.caption, found.context_above, found.image_path) == ("图 1 组织", "before", "img/a.png")
@@ -35,7 +39,11 @@ def test_headed_paragraphs_and_grids(spark):
     paragraphs = spark.createDataFrame([("d", 0, "Heading 1", "H"), ("d", 1, "Normal", "a"), ("d", 2, "Normal", "b"), ("d", 3, "Heading 2", "empty"), ("d", 4, "Heading 1", "I"), ("d", 5, "Normal", "c")], "doc_id string, pos int, style string, text string")
     assert [(r.heading, r.text) for r in chunking.under_headings(paragraphs).orderBy("section").collect()] == [("H", "a\nb"), ("I", "c")]
     cells = spark.createDataFrame([("t", r, c, v) for r, row in enumerate([["name", "size"], ["1", "2"], ["3", "4"]]) for c, v in enumerate(row)], "table_id string, row int, col int, text string")
-    assert [r.text for r in chunking.grid_key_values(cells).orderBy("row").collect()] == ["name: 1; size: 2", "name: 3; size: 4"]
+    assert [r.text for r in chunking.grid_key_values(cells).orderBy("row").collect()] == ["name: 1;size: 2\nname: 3;size: 4"]
+    wide = spark.createDataFrame([("t", r, c, v) for r, row in enumerate([["a", "b", "c", "d"], ["e", "b", "", "f"], ["1", "2", "3", "4"], ["x y", "x z", "zz", "w w"], ["5", "6", "", "8"]]) for c, v in enumerate(row)], "table_id string, row int, col int, text string")
+    assert [(r.row, r.text) for r in chunking.grid_key_values(wide).orderBy("row").collect()] == [(1, "a: e;b: b;d: f"), (2, "a: 1;b: 2;c: 3;d: 4"), (3, "a: x y;b: x z;c: zz;d: w w"), (4, "a: 5;b: 6;d: 8")]
+    tables = spark.createDataFrame([("d", 0, "k: v"), ("d", 1, " ")], "doc_id string, table_id int, text string")
+    assert [(r.kind, r.text) for r in chunking.under_headings(paragraphs, tables).orderBy("kind", "section").collect()] == [("paragraph", "a\nb"), ("paragraph", "c"), ("table", "k: v")]
 
 
 def test_duplicate_pairs(spark):
@@ -105,9 +113,13 @@ def test_representatives_of_long_chains(spark):
 
 
 def test_merge_undirected_and_registry(spark):
-    columns = "src string, dst string, weight double, description string, source_id string, seq int"
-    merged = graph.merge_undirected(spark.createDataFrame([("b", "a", None, "old", "1", 0)], columns), spark.createDataFrame([("a", "b", None, "new", "2", 0)], columns)).first()
-    assert (merged.a, merged.b, merged.weight, merged.description, merged.source_ids) == ("a", "b", 1.0, "old<SEP>new", "1,2")
+    columns = "src string, dst string, weight double, description string, keywords string, source_id string, seq int"
+    base, new = spark.createDataFrame([("b", "a", None, "old", "k", "1", 0)], columns), spark.createDataFrame([("a", "b", None, "new", "", "2", 0)], columns)
+    merged = graph.merge_undirected(base, new).first()
+    assert (merged.a, merged.b, merged.weight, merged.description, merged.keywords, merged.source_ids) == ("a", "b", 1.0, "old<SEP>new", "k", "1,2")
+    columns = "node string, kind string, description string, source_id string, seq int"
+    nodes, _ = graph.merge_subgraph(spark.createDataFrame([("a", "X", "one", "1", 0), ("c", "Z", None, "3", 1)], columns), base, spark.createDataFrame([("a", "Y", "two", "2", 0)], columns), new)
+    assert {tuple(r) for r in nodes.collect()} == {("a", "X", "one<SEP>two", "1,2", 1), ("c", "Z", "", "3", 0)}
     from veinstone.registry import Entry, Registry
 
     tools = Registry()

@@ -9,9 +9,11 @@ from veinstone.streaming import events as streams
 def test_memory(spark):
     memory = spark.createDataFrame([("global", "abc"), ("project", "x" * 10), ("session", " ")], "scope string, content string")
     assert sessions.memory_context(memory, {"global": 10, "project": 4, "session": 5}).first().context == "abc\n\n...xxxx"
-    old = spark.createDataFrame([("p", "1", 0, "a")], "scope string, scope_id string, seq int, content string")
+    old = spark.createDataFrame([("p", "1", "a")], "scope string, scope_id string, content string")
     new = spark.createDataFrame([("p", "1", "b"), ("p", "2", "c")], "scope string, scope_id string, content string")
-    assert {(r.scope_id, r.seq, r.content) for r in files.memory_log(old, new).collect()} == {("1", 0, "a"), ("1", 1, "b"), ("2", 0, "c")}
+    now = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    assert {(r.scope_id, r.content) for r in files.memory_log(old, new, now).collect()} == {("1", "a\n\n---\n_记录于 2024-01-02 03:04_\n\nb"), ("2", "c")}
+    assert {(r.scope_id, r.content) for r in files.memory_log(old, new, now, append=False).collect()} == {("1", "b"), ("2", "c")}
     turns = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b")], "session string, turn int, text string")
     more = spark.createDataFrame([("sub_t", "r")], "task string, text string")
     assert {(r.turn, r.text) for r in sessions.append_sub_tasks(turns, more).collect()} == {(0, "a"), (1, "b\nr")}
@@ -22,8 +24,8 @@ def test_rows_for_stores(spark):
     assert {(r.filename, r.text, r.category) for r in files.asset_rows(assets).collect()} == {("a.png", "cap", "general"), ("b.png", "No description provided", "chart")}
     chunks = spark.createDataFrame([("d", "c1", "x"), ("d", "c2", " "), ("d", "c3", None)], "doc_id string, chunk_id string, text string")
     assert [r._id for r in files.index_rows(chunks).collect()] == ["d_c1"]
-    nodes = spark.createDataFrame([("Material", "a", "O'x")], "label string, id string, name string")
-    assert files.merge_statements(nodes).first().statement == "MERGE (n:Material {id: 'a'}) SET n.name = 'O\\'x'"
+    vectors = files.index_rows(chunks.unionAll(spark.createDataFrame([("d", f"k{k}", "y" * k) for k in range(1, 30)], chunks.schema)), lambda texts: [[float(len(t)), float(len(texts))] for t in texts])
+    assert {r._id: r.vector[0] for r in vectors.collect()} == {"d_c1": 1.0} | {f"d_k{k}": float(k) for k in range(1, 30)} and vectors.where("vector[1] > 10").isEmpty()
 
 
 def test_pairs_and_paths(spark):

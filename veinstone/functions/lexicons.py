@@ -42,3 +42,8 @@ CITATION = (
 )
 #: Lenient dates, in this order.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd"]
+#: Signs of the query language.
+QUERY_SIGNS = r"""[\+\-\=\&\|><!\(\)\{\}\[\]\^"~\*\?:\\/]"""
+#: Punctuation, spaces among it, that pre-tokens are without.
+PRETOKEN_SIGNS = r"""[~—\t @#%!<>,\.\?":;'\{\}\[\]_=\(\)\|，。？》•●○↓《；‘’：“”【¥ 】…￥！、·（）×`&\\/「」]"""
+FIGURE_MENTION = r"(?i)(图|figure|fig\.?)\s*\d+"

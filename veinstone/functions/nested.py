@@ -60,3 +60,22 @@ def content_hash(data: Column) -> Column:
 def page_points(box: Column, width: Column, height: Column) -> Column:
     """A relative bounding box (x0, y0, x1, y1 in 0 to 1) in the page's points."""
     return F.struct((box["x0"] * width).alias("x0"), (box["y0"] * height).alias("y0"), (box["x1"] * width).alias("x1"), (box["y1"] * height).alias("y1"))
+
+
+def parameters(text: Column) -> Column:
+    """array<struct<key, value>> of an answer that is a list of objects, fenced or not: those with a key and a value, as text; 0, false, empty texts and empty lists are none."""
+    inner = without_fence(text)
+    listed = F.from_json(F.when(F.trim(inner).startswith("["), inner), "array<map<string,string>>")
+    pairs = F.transform(listed, lambda m: F.struct(F.trim(m["key"]).alias("key"), m["value"].alias("value")))
+    kept = F.filter(pairs, lambda p: F.coalesce((p["key"] != "") & ~p["value"].isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False)))
+    return F.coalesce(kept, F.from_json(F.lit("[]"), "array<struct<key:string,value:string>>"))
+
+
+def encoded(data: Column) -> Column:
+    """Binary data as base64 in one line."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
+def decoded(text: Column) -> Column:
+    """Binary data of base64, null where it is none; a data URL's head is left out."""
+    return F.try_to_binary(F.regexp_replace(text, r"^data:[^,]*,", ""), F.lit("base64"))

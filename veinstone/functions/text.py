@@ -63,6 +63,59 @@ def without_signs(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, L.SPECIAL_SIGNS, " "), r"[ \t]+", " "))
 
 
+def segments(text: Column) -> Column:
+    """Words of a text; neighbours that both end in a Latin letter are one segment."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    latin = lambda w: w.rlike("[a-zA-Z]$")
+
+    def step(done: Column, word: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), word)))
+        return F.when(F.coalesce(latin(last) & latin(word), F.lit(False)), joined).otherwise(F.array_append(done, word))
+
+    return F.aggregate(words, F.array().cast("array<string>"), step)
+
+
+def pretokens(text: Column, stop_words: Iterable[str] = (), numbers: bool = False, stops: bool = True) -> Column:
+    """Tokens of a text without punctuation and spaces, so that words run together; stop words and, unless wanted, tokens that begin with a single digit as a whole are left out."""
+    found = tokens(F.regexp_replace(text, L.PRETOKEN_SIGNS, ""))
+    if stops and (words := list(stop_words)):
+        found = F.filter(found, lambda t: ~t.isin(words))
+    return found if numbers else F.filter(found, lambda t: ~t.rlike("^[0-9]$"))
+
+
+def merged_tokens(found: Column, stop_words: Iterable[str] = ()) -> Column:
+    """Runs of short tokens (one character, or one or two of a-z and digits) joined by spaces: up to four together, longer runs by pairs.
+
+    A short first token before a longer one that isn't Latin goes with it.
+    """
+    words = list(stop_words)
+    short = lambda t: (F.length(t) == 1) | t.rlike("^[0-9a-z]{1,2}$")
+    n = F.size(found)
+    first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+    headed = F.coalesce((n > 1) & short(first) & (F.length(second) > 1) & ~second.rlike("^[0-9a-zA-Z]"), F.lit(False))
+    runs = lambda t: short(t) & ~t.isin(words) if words else short(t)
+    # Each token after the head is marked as one of a run; a run's tokens are gathered, and closed by any other.
+    body = F.when(headed, F.slice(found, F.lit(3), F.greatest(n - 2, F.lit(0)))).otherwise(found)
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.when(headed, F.array(F.concat_ws(" ", first, second))).otherwise(empty).alias("done"), empty.alias("run"))
+
+    def closed(state: Column) -> Column:
+        """done with the run: while it has five tokens or more, pairs go first."""
+        run, size = state["run"], F.size(state["run"])
+        pairs = F.when(size >= 5, F.ceil((size - 4) / 2)).otherwise(0).cast("int")
+        paired = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda k: F.concat_ws(" ", F.get(run, 2 * k), F.get(run, 2 * k + 1)))).otherwise(empty)
+        rest = F.slice(run, 2 * pairs + 1, F.greatest(size - 2 * pairs, F.lit(0)))
+        return F.concat(state["done"], paired, F.when(F.size(rest) > 0, F.array(F.concat_ws(" ", rest))).otherwise(empty))
+
+    def step(state: Column, token: Column) -> Column:
+        longer = F.struct(state["done"].alias("done"), F.array_append(state["run"], token).alias("run"))
+        other = F.struct(F.array_append(closed(state), token).alias("done"), empty.alias("run"))
+        return F.when(runs(token), longer).otherwise(other)
+
+    return F.filter(F.aggregate(F.filter(body, lambda t: t != ""), start, step, closed), lambda t: t != "")
+
+
 def is_chinese(char: Column) -> Column:
     return char.rlike(r"^[\u4e00-\u9fa5]")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,35 +50,52 @@ def chunk_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _fold(parts: Column, size: int, overlap: int, glue: str) -> Column:
-    """array<struct<text, first>>: parts packed in order while they fit; ``first`` is the index of the first part that is new."""
-    done = "array<struct<text:string,first:int>>"
+    """array<struct<text, first, next>>: parts packed in order while they fit; first and next are the indices of the first part that is new, and of the one that didn't fit."""
+    done = "array<struct<text:string,first:int,next:int>>"
     start = F.struct(F.lit([]).cast(done).alias("done"), F.lit("").alias("text"), F.lit(-1).alias("first"), F.lit(0).alias("at"))
+    closed = lambda state, after: F.array_append(state["done"], F.struct(state["text"].alias("text"), state["first"].alias("first"), after.alias("next")))
 
     def step(state: Column, part: Column) -> Column:
         full = (F.length(state["text"]) > 0) & (F.length(state["text"]) + F.length(part) > size)
         rest = F.right(state["text"], F.lit(overlap)) if overlap else F.lit("")
         before = F.when(full, rest).otherwise(state["text"])
         text = F.when(F.length(before) > 0, F.concat(before, F.lit(glue), part)).otherwise(part)
-        flushed = F.array_append(state["done"], F.struct(state["text"].alias("text"), state["first"].alias("first")))
         return F.struct(
-            F.when(full, flushed).otherwise(state["done"]).alias("done"), text.alias("text"),
+            F.when(full, closed(state, state["at"])).otherwise(state["done"]).alias("done"), text.alias("text"),
             F.when(full | (state["first"] < 0), state["at"]).otherwise(state["first"]).alias("first"), (state["at"] + 1).alias("at"),
         )
 
-    def finish(state: Column) -> Column:
-        last = F.array_append(state["done"], F.struct(state["text"].alias("text"), state["first"].alias("first")))
-        return F.when(T.trim_all(state["text"]) != "", last).otherwise(state["done"])
-
-    return F.aggregate(parts, start, step, finish)
+    return F.aggregate(parts, start, step, lambda state: F.when(T.trim_all(state["text"]) != "", closed(state, F.lit(None).cast("int"))).otherwise(state["done"]))
 
 
 def pack(docs: DataFrame, size: int = 1000, overlap: int = 200, separator: str = "\n\n") -> DataFrame:
-    """(doc_id, chunk, text, first): paragraphs packed to ``size`` characters, each chunk beginning with the last ``overlap`` of the one before.
+    """(doc_id, chunk, text, start, end): paragraphs packed to ``size`` characters, each chunk beginning with the last ``overlap`` of the one before.
 
-    A paragraph that is longer stays whole. The fold is over one document's paragraphs, in the executor that has them.
+    A paragraph that is longer stays whole, and empty ones are paragraphs like others; a last chunk without text is left out. start and
+    end are the lines of the chunk: from the paragraph in which its overlap begins (walking back over paragraphs and separators) to
+    the line before the paragraph that didn't fit. The fold is over one document's paragraphs, in the executor that has them.
     """
-    parts = F.filter(F.split("text", separator), lambda p: p != "")
-    return docs.select("doc_id", F.posexplode(_fold(parts, size, overlap, separator)).alias("chunk", "c")).select("doc_id", "chunk", "c.text", "c.first")
+    glue, breaks = len(separator), separator.count("\n")
+    parts = F.split("text", re.escape(separator))
+    # Characters and lines before each paragraph, and before the end.
+    before = F.aggregate("parts", F.struct(F.array(F.lit(0)).alias("chars"), F.array(F.lit(0)).alias("lines")), lambda state, p: F.struct(
+        F.array_append(state["chars"], F.try_element_at(state["chars"], F.lit(-1)) + F.length(p) + glue).alias("chars"),
+        F.array_append(state["lines"], F.try_element_at(state["lines"], F.lit(-1)) + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + breaks).alias("lines")))
+    marked = docs.withColumn("parts", parts).withColumn("before", before).withColumn("folded", _fold(F.col("parts"), size, overlap, separator))
+    each = marked.select("doc_id", "before", F.posexplode("folded").alias("chunk", "c"))
+    first, chars, lines = F.col("c.first"), F.col("before.chars"), F.col("before.lines")
+    # The last paragraph from whose beginning to the new one there are at least ``overlap`` characters.
+    back = F.array_max(F.filter(F.transform(chars, lambda x, k: F.when((k < first) & (F.get(chars, first) - x >= overlap), k)), lambda k: k.isNotNull()))
+    begin = F.when(first == 0, 0).when(F.lit(overlap) > 0, F.coalesce(back, F.lit(0))).otherwise(first)
+    last = F.when(F.col("c.next").isNotNull(), F.get(lines, F.col("c.next")) - 1).otherwise(F.get(lines, F.size(lines) - 1) - breaks)
+    return each.select("doc_id", "chunk", "c.text", F.get(lines, begin).alias("start"), last.alias("end"))
+
+
+def paged_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(doc_id, chunk, text, page) of docs (doc_id, text, toc): packed paragraphs, each chunk with the most frequent page of its lines."""
+    chunks = pack(docs, size, overlap)
+    pages = chunk_pages(chunks.select("doc_id", "chunk", "start", "end"), page_map(docs))
+    return chunks.join(pages, ["doc_id", "chunk"]).select("doc_id", "chunk", "text", "page")
 
 
 def join_small(chunks: DataFrame, target: int = 5000) -> DataFrame:
@@ -85,33 +105,33 @@ def join_small(chunks: DataFrame, target: int = 5000) -> DataFrame:
     return found.select("doc_id", "joined", T.trim_all(F.col("j.text")).alias("text"), F.get("c", F.col("j.first"))["chunk"].alias("first_chunk"))
 
 
-def by_heading(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """(doc_id, section, path, text): lines under one path of headings, cut further where they reach ``size`` characters.
+def by_heading(docs: DataFrame, size: int = 800) -> DataFrame:
+    """(doc_id, chunk, context, text): lines gathered until they reach ``size`` characters, or until a heading comes and they are over half of it.
 
-    Each section has the path that it stands under. A heading ends the sections of deeper levels.
+    A chunk's context is the path of headings as it stands when the chunk is closed: a heading that closes one is in it already, and
+    ends those of deeper levels. Line ends don't count; a chunk without text is left out.
     """
-    marked = lines(docs).withColumn("level", F.length(F.regexp_extract("text", r"^(#{1,6})\s+\S", 1)))
-    order = Window.partitionBy("doc_id").orderBy("line")
-    head = F.when(F.col("level") > 0, F.trim(F.regexp_replace("text", r"^#{1,6}\s+", "")))
-    marked = marked.withColumn("head", head).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(order))
-    heads = marked.where("level > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "level", "head"))).alias("heads"))
-    body = marked.where("level = 0").groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("body"))
-    joined = body.join(heads, "doc_id", "left").withColumn("near", F.filter("heads", lambda h: h["section"] <= F.col("section")))
-    levels = []
-    for level in range(1, 7):
-        last = F.try_element_at(F.filter(F.col("near"), _at_level(level)), F.lit(-1))
-        closed = F.exists(F.filter(F.col("near"), _above_level(level)), lambda h: h["section"] > last["section"])
-        levels.append(F.when(last.isNotNull() & ~F.coalesce(closed, F.lit(False)), last["head"]))
-    packed = _fold(F.transform("body", lambda x: x["text"]), size, 0, "\n")
-    return joined.select("doc_id", "section", F.concat_ws(" > ", *levels).alias("path"), F.posexplode(packed).alias("part", "c")).select("doc_id", "section", "part", "path", "c.text")
-
+    empty_heads = F.array(*(F.lit(None).cast("string") for _ in range(6)))
+    done = "array<struct<context:string,text:string>>"
+    start = F.struct(F.lit([]).cast(done).alias("done"), F.array().cast("array<string>").alias("lines"), F.lit(0).alias("length"), empty_heads.alias("heads"))
 
-def _at_level(level: int):
-    return lambda h: h["level"] == level
+    def flushed(state: Column, heads: Column) -> Column:
+        text = T.trim_all(F.array_join(state["lines"], "\n"))
+        context = F.array_join(F.filter(heads, lambda h: h.isNotNull()), " > ")
+        return F.when(text != "", F.array_append(state["done"], F.struct(context.alias("context"), text.alias("text")))).otherwise(state["done"])
 
+    def step(state: Column, line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s+", 1))
+        title = F.trim(F.regexp_extract(line, r"^#{1,6}\s+(.*)", 1))
+        heads = F.when(level > 0, F.transform(state["heads"], lambda h, k: F.when(k + 1 == level, title).when(k + 1 < level, h))).otherwise(state["heads"])
+        early = (level > 0) & (state["length"] > 0.5 * size)
+        none = F.array().cast("array<string>")
+        opened = F.struct(F.when(early, flushed(state, heads)).otherwise(state["done"]).alias("done"), F.array_append(F.when(early, none).otherwise(state["lines"]), line).alias("lines"), (F.when(early, 0).otherwise(state["length"]) + F.length(line)).alias("length"), heads.alias("heads"))
+        closed = lambda s: F.when(s["length"] >= size, F.struct(flushed(s, s["heads"]).alias("done"), none.alias("lines"), F.lit(0).alias("length"), s["heads"].alias("heads"))).otherwise(s)
+        return F.get(F.transform(F.array(opened), closed), F.lit(0))
 
-def _above_level(level: int):
-    return lambda h: h["level"] < level
+    chunks = F.aggregate(F.split("text", "\n"), start, step, lambda state: flushed(state, state["heads"]))
+    return docs.select("doc_id", F.posexplode(chunks).alias("chunk", "c")).select("doc_id", "chunk", "c.context", "c.text")
 
 
 def figures(docs: DataFrame) -> DataFrame:
@@ -155,20 +175,42 @@ def unreferenced(images: DataFrame, figures: DataFrame) -> DataFrame:
     return images.join(figures.select("doc_id", "image_path").distinct(), ["doc_id", "image_path"], "left_anti")
 
 
-def under_headings(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, heading, text) of paragraphs (doc_id, pos, style, text): bodies joined by line; a heading without body is left out."""
-    head = F.lower("style").startswith("heading") | F.col("style").startswith("标题")
+def under_headings(paragraphs: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, section, heading, text) of paragraphs (doc_id, pos, style, text): bodies joined by line, then tables (doc_id, table_id, text).
+
+    A heading without body is left out, and its body goes under the last heading before it.
+    """
+    head = F.contains("style", F.lit("Heading")) | F.contains("style", F.lit("heading")) | F.contains("style", F.lit("标题"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    grouped = paragraphs.withColumn("head", F.coalesce(head, F.lit(False))).withColumn("section", F.sum(F.col("head").cast("int")).over(order))
-    body = F.sort_array(F.collect_list(F.when(~F.col("head") & T.not_blank(F.col("text")), F.struct("pos", "text"))))
-    found = grouped.groupBy("doc_id", "section").agg(F.max(F.when(F.col("head"), F.col("text"))).alias("heading"), body.alias("body"))
-    return found.where(F.size("body") > 0).select("doc_id", "section", "heading", F.array_join(F.transform("body", lambda x: x["text"]), "\n").alias("text"))
+    grouped = paragraphs.where(T.not_blank(F.col("text"))).withColumn("head", F.coalesce(head, F.lit(False))).withColumn("section", F.sum(F.col("head").cast("int")).over(order))
+    body = F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", T.trim_all(F.col("text")).alias("text")))))
+    found = grouped.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("head"), T.trim_all(F.col("text")))), F.lit("")).alias("heading"), body.alias("body"))
+    chunks = found.where(F.size("body") > 0).select("doc_id", F.lit("paragraph").alias("kind"), F.col("section").cast("long").alias("section"), "heading", F.array_join(F.transform("body", lambda x: x["text"]), "\n").alias("text"))
+    if tables is None:
+        return chunks
+    return chunks.unionByName(tables.where(T.not_blank(F.col("text"))).select("doc_id", F.lit("table").alias("kind"), F.col("table_id").cast("long").alias("section"), F.lit("").alias("heading"), "text"))
+
+
+def _shown(columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in ("id", "_id", "index", "idx")]
 
 
 def key_values(rows: DataFrame, columns: list[str]) -> Column:
-    """A line "- column: value" for each value that is not blank; id columns are left out."""
-    shown = [c for c in columns if c.lower() not in ("id", "_id", "index", "idx")]
-    return F.concat_ws("\n", *(F.when(T.not_blank(F.col(c).cast("string")), F.concat(F.lit(f"- {c}: "), F.col(c).cast("string"))) for c in shown))
+    """A line "- column: value" for each value that is not empty; id columns are left out."""
+    return F.concat_ws("\n", *(F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"- {c}: "), F.col(c).cast("string"))) for c in _shown(columns)))
+
+
+def row_chunks(rows: DataFrame, kinds: dict[str, str], filename: str, field_name: Callable[[str, str], str], typed: Callable[[Column, str], Column]) -> DataFrame:
+    """(file, data, text, one typed field for each column): rows as chunks for search; rows without a value are left out.
+
+    kinds: the type of each column, of profile.column_types; names must not repeat.
+    """
+    shown = _shown(list(kinds))
+    cells = {c: typed(F.col(c).cast("string"), kinds[c]) for c in shown}
+    text = F.concat_ws("\n", *(F.when(v.cast("string") != "", F.concat(F.lit(f"- {c}: "), v.cast("string"))) for c, v in cells.items()))
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), v.cast("string").alias("value")) for c, v in cells.items())), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    fields = [v.alias(field_name(c, kinds[c])) for c, v in cells.items()]
+    return rows.select(F.lit(filename).alias("file"), F.map_from_entries(entries).alias("data"), text.alias("text"), *fields).where(F.col("text") != "")
 
 
 def row_text(rows: DataFrame, columns: list[str], sheet: str) -> Column:
@@ -182,23 +224,28 @@ def row_text(rows: DataFrame, columns: list[str], sheet: str) -> Column:
 
 
 def grid_key_values(cells: DataFrame) -> DataFrame:
-    """(table_id, row, text) of grids (table_id, row, col, text): "header: value" of each row below the header rows.
+    """(table_id, row, text) of grids (table_id, row, col, text): "header: value" of each row below the header rows, joined by ";".
 
-    Row 0 is a header; where most cells are numbers, so is every row whose commonest type is another. A data row takes the run of
-    headers right above it.
+    Row 0 is a header; where most cells below it are numbers, so is every row whose commonest type is another. A data row takes the run of
+    headers right above it, each part once. Grids of three columns at most become one text, with the row -1. Grids of one row are left out.
     """
     typed = cells.withColumn("type", T.block_type(F.col("text")))
-    votes = typed.groupBy("table_id", "type").agg(F.count("*").alias("n"), F.min(F.struct("row", "col")).alias("at"))
+    votes = typed.where("row > 0").groupBy("table_id", "type").agg(F.count("*").alias("n"), F.min(F.struct("row", "col")).alias("at"))
     majority = votes.groupBy("table_id").agg(F.max_by("type", F.struct("n", -F.col("at.row"), -F.col("at.col"))).alias("common"))
     by_row = typed.groupBy("table_id", "row", "type").agg(F.count("*").alias("n"), F.min("col").alias("at")).groupBy("table_id", "row").agg(F.max_by("type", F.struct("n", -F.col("at"))).alias("row_type"))
     rows = by_row.join(majority, "table_id").withColumn("header", (F.col("row") == 0) | ((F.col("common") == "Nu") & (F.col("row_type") != "Nu")))
     order = Window.partitionBy("table_id").orderBy("row")
     rows = rows.withColumn("run", F.sum((F.col("header") & ~F.coalesce(F.lag("header").over(order), F.lit(False))).cast("int")).over(order))
     marked = cells.join(rows.select("table_id", "row", "header", "run"), ["table_id", "row"])
-    names = marked.where("header").groupBy("table_id", "run", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ").alias("name"))
-    named = marked.where("NOT header").join(names, ["table_id", "run", "col"], "left").where(T.not_blank(F.col("text")))
-    line = F.when(T.not_blank(F.col("name")), F.concat("name", F.lit(": "), "text")).otherwise(F.col("text"))
-    return named.groupBy("table_id", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", line.alias("line")))), lambda x: x["line"]), "; ").alias("text"))
+    parts = F.array_distinct(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("row", T.trim_all(F.col("text")).alias("text")))), lambda x: x["text"]), lambda t: t != ""))
+    names = marked.where("header").groupBy("table_id", "run", "col").agg(F.array_join(parts, ",").alias("name"))
+    named = marked.where("NOT header").join(names, ["table_id", "run", "col"], "left").where(F.col("text") != "")
+    line = F.when(F.coalesce("name", F.lit("")) != "", F.concat("name", F.lit(": "), "text")).otherwise(F.col("text"))
+    by_row = named.groupBy("table_id", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", line.alias("line")))), lambda x: x["line"]), ";").alias("text"))
+    columns = cells.groupBy("table_id").agg((F.max("col") + 1).alias("columns"))
+    sized = by_row.join(columns, "table_id")
+    small = sized.where("columns <= 3").groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return sized.where("columns > 3").select("table_id", "row", "text").unionByName(small.select("table_id", F.lit(-1).alias("row"), "text"))
 
 
 def with_figures(text: DataFrame, figures: DataFrame) -> DataFrame:
@@ -209,3 +256,20 @@ def with_figures(text: DataFrame, figures: DataFrame) -> DataFrame:
 def chunk_id(doc_id: Column, ordinal: Column, text: Column) -> Column:
     """The same for the same chunk, however often it is made."""
     return F.concat(F.lit("chunk_"), F.left(F.sha2(F.concat_ws("\x1f", doc_id.cast("string"), ordinal.cast("string"), text), 256), F.lit(12)))
+
+
+def chunk_report(docs: DataFrame, chunks: DataFrame, images: DataFrame, size: int) -> DataFrame:
+    """(doc_id, characters, chunks, size, images, preview) of docs (doc_id, text), chunks (doc_id, chunk, text) and images (doc_id, ...): counts, and the first three chunks."""
+    counted = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    first = chunks.where("chunk < 3").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]).alias("preview"))  # three at most
+    pictures = images.groupBy("doc_id").agg(F.count("*").alias("images"))
+    found = docs.join(counted, "doc_id", "left").join(pictures, "doc_id", "left").join(first, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("doc_id", F.length("text").cast("long").alias("characters"), zero("chunks"), F.lit(size).alias("size"), zero("images"), F.coalesce("preview", F.array().cast("array<string>")).alias("preview"))
+
+
+def numbered_rows(docs: DataFrame, kind: str = "text_chunk") -> DataFrame:
+    """(_id, doc_id, chunk_id, text, source_type) of docs (doc_id, chunks array<string>): rows of the older index, whose chunk_id is only unique within a document."""
+    each = docs.select("doc_id", F.posexplode("chunks").alias("nth", "text"))
+    number = F.col("nth").cast("string")
+    return each.select(F.concat_ws("_", F.col("doc_id").cast("string"), number).alias("_id"), "doc_id", F.concat(F.lit("chunk_"), number).alias("chunk_id"), "text", F.lit(kind).alias("source_type"))

@@ -37,17 +37,26 @@ def keyword_coverage(text: Column, expected: Column) -> Column:
 
 
 def verdict(answers: DataFrame) -> DataFrame:
-    """answers (error, coverage, quality, has_source, needs_source) with reasons and passed.
+    """answers with reasons, warnings and passed; they carry error, coverage, quality, has_source, needs_source, text and figures.
 
-    Missing sources are a warning only for answers of quality 4 or more.
+    figures: a pattern of what must be mentioned, or null. Missing sources are a warning only for answers of quality 4 or more; an
+    answer with an error is not looked at further.
     """
     reason = lambda when, name: F.when(F.coalesce(when, F.lit(False)), F.lit(name))
-    no_source = F.col("needs_source") & ~F.col("has_source")
+    there = F.col("error").isNull()
+    no_source = there & F.col("needs_source") & ~F.col("has_source")
+    no_figure = there & F.col("figures").isNotNull() & ~F.regexp_like("text", F.concat(F.lit("(?i)"), "figures"))
     reasons = F.array_compact(F.array(
-        reason(F.col("error").isNotNull(), "error"), reason(F.col("coverage") < 0.5, "coverage"), reason(F.col("quality") < 2, "quality"),
-        reason(no_source & (F.col("quality") < 4), "source"),
+        reason(~there, "error"), reason(there & (F.col("quality") < 2), "quality"), reason(there & (F.col("coverage") < 0.5), "coverage"),
+        reason(no_source & (F.coalesce("quality", F.lit(0)) < 4), "source"), reason(no_figure, "figure"),
     ))
-    return answers.withColumn("reasons", reasons).withColumns({"passed": F.size("reasons") == 0, "warned": no_source & (F.col("quality") >= 4)})
+    return answers.withColumn("reasons", reasons).withColumns({"passed": F.size("reasons") == 0, "warned": F.coalesce(no_source & (F.col("quality") >= 4), F.lit(False))})
+
+
+def most_loops(logs: DataFrame, pattern: str, by: list[str]) -> DataFrame:
+    """(by, loops): the largest number that a pattern's group names in the logs (text) of each run, 0 for none."""
+    each = F.array_max(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda n: n.cast("int")))
+    return logs.groupBy(*by).agg(F.coalesce(F.max(each), F.lit(0)).alias("loops"))
 
 
 def summary(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +78,66 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     return found
 
 
-def path_text(nodes: Column, number: Column) -> Column:
-    return F.concat(F.lit("Path "), number.cast("string"), F.lit(": "), F.array_join(nodes, " -> "))
+def path_lines(found: DataFrame, by: str, order: list[Column], limit: int = 10) -> DataFrame:
+    """(by, text): the first ``limit`` trails (by, nodes, ...) of each start as numbered lines below their number."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    some = found.withColumn("nth", nth).where(F.col("nth") <= limit)
+    line = F.concat(F.lit("Path "), F.col("nth").cast("string"), F.lit(": "), F.array_join("nodes", " -> "))
+    listed = some.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("nth", line.alias("line")))).alias("lines"))  # ``limit`` at most
+    return listed.select(by, F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" impact paths:\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def relation_text(subject: Column, relation: Column, obj: Column, doc: Column, mechanism: Column | None = None, context: Column | None = None) -> Column:
+    """One relation, with lines for mechanism and context where they are known."""
+    text = F.concat(F.lit("("), subject, F.lit(") -["), relation, F.lit("]-> ("), obj, F.lit(") [Source: "), doc, F.lit("]"))
+    for name, value in (("Mechanism", mechanism), ("Context", context)):
+        if value is not None:
+            text = F.concat(text, F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"\n  - {name}: "), value)).otherwise(""))
+    return text
+
+
+def labelled(name: Column, label: Column) -> Column:
+    return F.concat(name, F.lit(" ("), label, F.lit(")"))
+
+
+def relation_lines(found: DataFrame, by: str, text: Column, order: list[Column], limit: int = 20) -> DataFrame:
+    """(by, text): the first ``limit`` relations of each node as text below their number."""
+    some = ranked(found.withColumn("said", text), by, order, limit)
+    listed = some.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("nth", "said"))).alias("lines"))
+    return listed.select(by, F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" relations:\n"), F.array_join(F.transform("lines", lambda x: x["said"]), "\n")).alias("text"))
+
+
+def neighbourhood(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Edges (src, type, dst, ...) at the nodes (id, name, ...) of exactly that id or name, whichever way they go, with both ends' properties as JSON."""
+    chosen = nodes.where((F.col("id") == name) | (F.col("name") == name)).select(F.col("id").alias("node"))
+    at = relations(edges, F.lit(True)).join(chosen, "node")
+    properties = nodes.select(F.col("id").alias("_id"), F.to_json(F.struct(*nodes.columns)).alias("properties"))
+    near = at.join(properties.select(F.col("_id").alias("node"), F.col("properties").alias("node_properties")), "node", "left")
+    return near.join(properties.select(F.col("_id").alias("other"), F.col("properties").alias("other_properties")), "other", "left")
+
+
+def ego(edges: DataFrame, nodes: DataFrame, chosen: Column) -> tuple[DataFrame, DataFrame]:
+    """Links (src, type, dst, doc_id, ...) with a chosen node (id, name, ...) at either end, and the nodes at their ends, each once."""
+    starts = nodes.where(chosen).select(F.col("id").alias("node"))
+    at = edges.join(starts.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(edges.join(starts.withColumnRenamed("node", "dst"), "dst", "left_semi").join(starts.withColumnRenamed("node", "src"), "src", "left_anti"))
+    return at, nodes.join(endpoints(at).withColumnRenamed("node", "id"), "id", "left_semi")
+
+
+def property_hits(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """Rows of nodes or edges of which any property, as text, holds one of the parts."""
+    values = F.array(*(F.col(f"`{c}`").cast("string") for c in rows.columns))
+    return rows.where(F.exists(values, lambda v: F.coalesce(T.any_of(v, parts), F.lit(False))))
+
 
+def relations_to(edges: DataFrame, names: DataFrame, start: Column, parts: list[str]) -> DataFrame:
+    """Edges from chosen nodes to those whose name (id, name) holds one of the parts."""
+    wanted = names.where(T.any_of(F.col("name"), parts)).select(F.col("id").alias("dst"))
+    return edges.where(start).join(wanted, "dst", "left_semi")
 
-def relation_text(subject: Column, relation: Column, obj: Column, doc: Column) -> Column:
-    return F.concat(F.lit("("), subject, F.lit(") -["), relation, F.lit("]-> ("), obj, F.lit(") [Source: "), doc, F.lit("]"))
+
+def listed_nodes(nodes: DataFrame) -> DataFrame:
+    """All nodes (label, name, ...) in order of label and name."""
+    return nodes.orderBy("label", "name", *(c for c in nodes.columns if c not in ("label", "name")))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -94,19 +150,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def _said(part: int, *columns: str) -> Column:
+    return F.struct(F.lit(part).alias("part"), F.col("seq").cast("long").alias("seq"), *(F.col(c).cast("string").alias(c) for c in columns))
+
+
+def _all_said(column: str, separator: str) -> Column:
+    """What was said, in order; nothing and empty texts are left out."""
+    some = F.filter(F.transform("said", lambda x: x[column]), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.array_join(some, separator).alias(column)
+
+
 def merge_undirected(base: DataFrame, new: DataFrame) -> DataFrame:
-    """(a, b, weight, description, source_ids): edges (src, dst, weight, description, source_id, seq) by unordered ends.
+    """(a, b, weight, description, keywords, source_ids): edges (src, dst, weight, description, keywords, source_id, seq) by unordered ends.
 
-    Weights add up (a missing one counts 0 in base, 1 in new); texts are joined in order, base first.
+    Weights add up (a missing one counts 0 in base, 1 in new); descriptions, keywords and sources that aren't empty are joined in
+    order, base first.
     """
     def part(edges: DataFrame, number: int, missing: float) -> DataFrame:
-        return edges.select(
-            F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(missing)).alias("weight"),
-            F.struct(F.lit(number).alias("part"), F.col("seq").cast("long").alias("seq"), "description", F.col("source_id").cast("string").alias("source_id")).alias("said"),
-        )
+        return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(missing)).alias("weight"), _said(number, "description", "keywords", "source_id").alias("said"))
 
     both = part(base, 0, 0.0).unionByName(part(new, 1, 1.0)).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.sort_array(F.collect_list("said")).alias("said"))
-    return both.select("a", "b", "weight", F.array_join(F.transform("said", lambda x: x["description"]), "<SEP>").alias("description"), F.array_join(F.transform("said", lambda x: x["source_id"]), ",").alias("source_ids"))
+    return both.select("a", "b", "weight", _all_said("description", "<SEP>"), _all_said("keywords", ","), _all_said("source_id", ",").alias("source_ids"))
+
+
+def merge_described(base: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, kind, description, source_ids): nodes (node, kind, description, source_id, seq) of both, the first kind staying; texts are joined as for edges."""
+    part = lambda nodes, number: nodes.select("node", F.struct(F.lit(number).alias("part"), F.col("seq").cast("long").alias("seq")).alias("at"), "kind", _said(number, "description", "source_id").alias("said"))
+    both = part(base, 0).unionByName(part(new, 1)).groupBy("node").agg(F.min_by("kind", "at").alias("kind"), F.sort_array(F.collect_list("said")).alias("said"))
+    return both.select("node", "kind", _all_said("description", "<SEP>"), _all_said("source_id", ",").alias("source_ids"))
+
+
+def merge_subgraph(base_nodes: DataFrame, base_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged nodes, with their degree as ``rank``, and merged undirected edges; see merge_described and merge_undirected."""
+    edges = merge_undirected(base_edges, new_edges)
+    rank = degrees(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("degree", "rank")
+    nodes = merge_described(base_nodes, new_nodes).join(rank, "node", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    return nodes, edges
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
@@ -144,6 +223,23 @@ def cascade_delete(doc_id: Column, chunks: DataFrame, edges: DataFrame, nodes: D
     return chunks.where(~gone), kept_edges, kept_nodes, report
 
 
+def deletion_report(doc_id: str, stores: dict[str, Callable[[], int]], last: Callable[[], int]) -> list[str]:
+    """Deletes a document from every store, and its metadata last; a store that fails is reported, and doesn't keep the others from it."""
+    report = []
+    for name, delete in stores.items():
+        try:
+            report.append(f"{name}: {delete()}")
+        except Exception as error:  # noqa: BLE001  what fails in one store is part of the report
+            report.append(f"{name}: failed ({error})")
+    return [*report, f"metadata: {last()}"]
+
+
+def reindexed(doc_id: Column, chunks: DataFrame, edges: DataFrame, nodes: DataFrame, new_chunks: DataFrame, new_edges: DataFrame, new_nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chunks, edges and nodes (node) after a document's are deleted, orphans with them, and its new ones come in."""
+    kept_chunks, kept_edges, kept_nodes, _ = cascade_delete(doc_id, chunks, edges, nodes)
+    return kept_chunks.unionByName(new_chunks), kept_edges.unionByName(new_edges), kept_nodes.unionByName(new_nodes).dropDuplicates(["node"])
+
+
 def first_edges(edges: DataFrame, limit: int, order: list[str]) -> DataFrame:
     return edges.orderBy(*order).limit(limit)
 

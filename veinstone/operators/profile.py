@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,11 +49,14 @@ def typed(value: Column, kind: str) -> Column:
     return {"bool": T.as_boolean, "datetime": T.as_datetime}.get(kind, lambda v: v)(value)
 
 
-def field_name(name: str, kind: str) -> str:
-    """A field's name: without units and remarks, lower case, with a suffix for its type."""
-    import re
+def field_name(name: str, kind: str, spelled: dict[str, str] | None = None) -> str:
+    """A field's name: without units and remarks, lower case, with a suffix for its type.
 
-    return re.sub(r"(/.*|（[^（）]+?）|\([^()]+?\))", "", name).strip().lower() + SUFFIXES[kind]
+    spelled: how characters are spelled in Latin letters (a table of pronunciations); spelled ones are set apart by underscores.
+    """
+    bare = re.sub(r"(/.*|（[^（）]+?）|\([^()]+?\))", "", name)
+    parts = re.findall("|".join([*map(re.escape, spelled), f"[^{re.escape(''.join(spelled))}]+"]), bare) if spelled else [bare]
+    return "_".join(spelled.get(x, x) if spelled else x for x in parts).strip().lower() + SUFFIXES[kind]
 
 
 def simple_headers(names: list[str | None]) -> list[str]:
@@ -101,15 +106,22 @@ def named_columns(rows: DataFrame) -> DataFrame:
     return reduce(lambda df, kc: df.withColumnRenamed(kc[1], f"Col_{kc[0]}") if not kc[1].strip() or kc[1].startswith("_c") else df, list(enumerate(rows.columns)), rows)
 
 
-def html_tables(rows: DataFrame, columns: list[str], size: int = 256) -> DataFrame:
-    """(part, html) of rows (row, columns): tables of ``size`` rows, each with the header; one more, empty, after a full last one."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    line = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escape(F.col(c)), F.lit("</td>")) for c in columns), F.lit("</tr>"))
+def escaped(value: Column) -> Column:
+    """A cell as HTML: trimmed, signs and both quotes replaced; nothing for null."""
+    text = T.trim_all(F.coalesce(value.cast("string"), F.lit("")))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def html_tables(rows: DataFrame, columns: list[str], sheet: str, size: int = 256) -> DataFrame:
+    """(part, html) of rows (row, columns), numbered from 0: tables of ``size`` rows, each with caption and header; one more, empty, after a full last one."""
+    line = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in columns), F.lit("</tr>"))
     parts = rows.select(F.floor(F.col("row") / size).alias("part"), F.struct("row", line.alias("line")).alias("cells"))
-    bodies = parts.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("cells")), lambda x: x["line"]), "").alias("body"))
+    bodies = parts.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("cells")), lambda x: x["line"]), "").alias("body"))  # ``size`` rows each
     every = rows.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / size))).alias("part"))
-    head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
-    return every.join(bodies, "part", "left").select("part", F.concat(F.lit(head), F.coalesce("body", F.lit("")), F.lit("</table>")).alias("html"))
+    head = f"<table><caption>{sheet}</caption><tr>" + "".join(f"<th>{html.escape(c.strip())}</th>" for c in columns) + "</tr>"
+    return every.join(bodies, "part", "left").select("part", F.concat(F.lit(head), F.coalesce("body", F.lit("")), F.lit("</table>\n")).alias("html"))
 
 
 def markdown_rows(columns: list[str]) -> Column:

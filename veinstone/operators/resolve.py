@@ -18,16 +18,25 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return hashed.join(firsts, "hash").withColumn("status", F.when(F.col("id") == F.col("first_id"), "new").otherwise("fast_resume"))
 
 
-def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *, bucket: Column | None = None) -> DataFrame:
+#: Vectors of a label that meet in one task; larger labels are dealt out in pairs of pieces of this size.
+PIECE = 4096
+
+
+def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *, piece: int = PIECE) -> DataFrame:
     """(i, j, similarity) of rows (row, id, label, vector): same label, different id, i < j, cosine at or above the threshold.
 
-    The join is by label, so only vectors of one label meet; ``bucket`` (for instance of locality-sensitive hashes) narrows
-    it for large labels.
+    Only vectors of one label meet. A label with over ``piece`` vectors is cut into pieces, and each pair of pieces is a key of the
+    join of its own: every pair is compared once, and no task has all of a large label. Vectors are brought to unit length once.
     """
-    unit = nodes.withColumns({"unit": nested.normalised(F.col("vector")), "bucket": F.lit(0) if bucket is None else bucket}).select("row", "id", "label", "unit", "bucket")
-    other = unit.select(*(F.col(c).alias(f"{c}_2") for c in unit.columns))
-    pairs = unit.join(other, (F.col("label") == F.col("label_2")) & (F.col("bucket") == F.col("bucket_2")) & (F.col("row") < F.col("row_2")) & (F.col("id") != F.col("id_2")))
-    return pairs.withColumn("cosine", nested.dot(F.col("unit"), F.col("unit_2"))).where(F.col("cosine") >= threshold).select(F.col("row").alias("i"), F.col("row_2").alias("j"), F.round("cosine", places).alias("similarity"))
+    unit = nodes.select("row", "id", "label", nested.normalised(F.col("vector")).alias("unit"))
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    cut = unit.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("row", "id"), F.col("pieces")).cast("int"))
+    # A row is on the left of pairs with its own and later pieces, and on the right of those with its own and earlier ones.
+    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("pieces") - 1))).select("row", "id", "label", "unit", F.col("own").alias("a"), F.col("other").alias("b"))
+    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).select(F.col("row").alias("row_2"), F.col("id").alias("id_2"), "label", F.col("unit").alias("unit_2"), F.col("other").alias("a"), F.col("own").alias("b"))
+    met = left.join(right, ["label", "a", "b"]).where((F.col("id") != F.col("id_2")) & ((F.col("a") < F.col("b")) | (F.col("row") < F.col("row_2"))))
+    found = met.withColumn("cosine", nested.dot(F.col("unit"), F.col("unit_2"))).where(F.col("cosine") >= threshold)
+    return found.where("row <> row_2").select(F.least("row", "row_2").alias("i"), F.greatest("row", "row_2").alias("j"), F.round("cosine", places).alias("similarity"))
 
 
 def rule_pairs(names: DataFrame, block: Column) -> DataFrame:
@@ -49,7 +58,7 @@ def representatives(pairs: DataFrame) -> DataFrame:
     Minima go to neighbours and to the neighbours' representatives, and each node takes over its representative's
     representative, so that the rounds grow far slower than the length of a chain.
     """
-    from veinstone.operators.tables import settled
+    from veinstone.operators.tables import dropped, settled
 
     ends = pairs.select("a", "b").where("a is not null and b is not null")
     links = settled(ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -62,6 +71,7 @@ def representatives(pairs: DataFrame) -> DataFrame:
         spread = settled(spread.select("node", F.least("representative", "near").alias("representative"), F.col("representative").alias("before")), "labels")
         further = spread.select(F.col("node").alias("representative"), F.col("representative").alias("further"))
         label = settled(spread.join(further, "representative", "left").select("node", F.least("representative", "further").alias("representative"), "before"), "labels")
+        dropped(pairs.sparkSession, [spread])
         if label.where("representative < before").isEmpty():
             return label.drop("before")
         label = label.drop("before")

@@ -2,52 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinstone.functions import nested, text as T
+from veinstone.functions import lexicons as L, nested, text as T
+from veinstone.operators.tables import settled
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Queries, terms or other rows of a stated set that may be broadcast at once; larger sets go in blocks of this size, or by shuffle.
+BLOCK = 10_000
+
+
+def in_blocks(rows: DataFrame, key: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of ``found`` over blocks of a stated set of rows, each small enough to broadcast; key: what rows are dealt by."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    if blocks == 1:
+        return found(F.broadcast(rows))
+    parts = [found(F.broadcast(rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k))) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if it has BLOCK rows at most."""
+    return F.broadcast(rows) if rows.limit(BLOCK + 1).count() <= BLOCK else rows
 
 
-def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, term, tf, size): an inverted index; partial counts are combined before the shuffle."""
+def postings(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, term, tf, size) of the terms (term) asked for, and a row with a null term for each document: written, and read as often as needed.
+
+    The texts are scanned and cut into words once; only matching words leave the scan.
+    """
     words = docs.select(F.col(id_column).alias("id"), T.tokens(F.col(text_column)).alias("words"))
-    return words.select("id", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    each = words.select("id", F.size("words").alias("size"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("found"))
+    wanted = settled(terms.select("term").distinct().unionAll(docs.sparkSession.createDataFrame([(None,)], "term string")), "terms")
+    counted = each.join(held(wanted), F.col("found").eqNullSafe(F.col("term"))).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    return settled(counted, "postings")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, *, id_column: str = "doc_id", text_column: str = "text", least_share: float = 0.6, query_text: str = "query", places: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): the best k documents of each query by BM25 over its distinct terms.
+def bm25_clauses(docs: DataFrame, clauses: DataFrame, k: int, *, id_column: str = "doc_id", text_column: str = "text", least_share: float = 0.6, places: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): the best k documents of each query by boosted BM25.
 
-    Queries are few: their terms are broadcast into one scan of the texts, and only matching terms are aggregated. A
-    document must match ``least_share`` of a query's terms, rounded down, and at least one.
+    clauses: (query_id, clause, term, boost). A document must match ``least_share`` of a query's clauses, rounded down, and at
+    least one; a clause matches by any of its terms, whose scores add up.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col(query_text)))).alias("term"))
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    sized = docs.select(F.col(id_column).alias("id"), T.tokens(F.col(text_column)).alias("words")).withColumn("size", F.size("words"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    vocabulary = F.broadcast(terms.select("term").distinct())
-    # Of the texts' words only those of a query leave the scan.
-    found = sized.select("id", "size", F.explode("words").alias("term")).join(vocabulary, "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    clauses = settled(clauses.groupBy("query_id", "clause", "term").agg(F.sum("boost").alias("boost")), "clauses")
+    index = postings(docs, clauses, id_column, text_column)
+    totals = index.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    found = index.where("term IS NOT NULL")
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(frequency, "term").crossJoin(F.broadcast(totals)).select("query_id", "term", idf.alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = found.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), places).alias("score"), F.count("*").alias("matched"))
-    kept = scored.join(F.broadcast(wanted), "query_id").where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("wanted") * least_share + 1e-9)))
+    weights = settled(clauses.join(frequency, "term").crossJoin(F.broadcast(totals)).select("query_id", "clause", "term", (idf * F.col("boost")).alias("weight"), "mean"), "weights")  # totals: one row
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = found.join(held(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), places).alias("score"), F.count_distinct("clause").alias("matched"))
+    wanted = clauses.groupBy("query_id").agg(F.count_distinct("clause").alias("wanted"))
+    kept = scored.join(wanted, "query_id").where(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("wanted") * least_share + 1e-9)))
     return best(kept.select("query_id", "id", "score"), k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, *, query_text: str = "query", **settings) -> DataFrame:
+    """(query_id, id, score, rank): the best k documents of each query by BM25 over its distinct terms; see bm25_clauses."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col(query_text)))).alias("term"))
+    return bm25_clauses(docs, terms.select("query_id", F.col("term").alias("clause"), "term", F.lit(1.0).alias("boost")), k, **settings)
+
+
 def best(scored: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): k rows of each query by score, ties by id; ranks from 0."""
+    """(query_id, id, score, rank): k rows of each query by score, ties by id; ranks from 0.
+
+    The limit stands on the bare row number, so that each task keeps k rows of a query before any are moved.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "id", "score", "rank")
+    return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query_id", "id", "score", (F.col("nth") - 1).alias("rank"))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector_column: str = "embedding", places: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine neighbours; queries (query_id, vector) are a stated, broadcast set."""
-    pairs = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    return best(pairs.select("query_id", "id", F.round(nested.cosine(F.col("v"), F.col("q")), places).alias("score")), k)
+    """(query_id, id, score, rank): exact cosine neighbours; queries (query_id, vector) are a stated set, which meets all vectors in blocks."""
+    unit = vectors.select(F.col(id_column).alias("id"), nested.normalised(F.col(vector_column)).alias("v"))
+    asked = queries.select("query_id", nested.normalised(F.col("vector")).alias("q"))
+
+    def near(block: DataFrame) -> DataFrame:
+        return best(unit.crossJoin(block).select("query_id", "id", F.round(nested.dot(F.col("v"), F.col("q")), places).alias("score")), k)
+
+    return in_blocks(asked, "query_id", near)
+
+
+def containing(docs: DataFrame, queries: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(query_id, id): documents whose text holds a query's text (query_id, query) as it is.
+
+    A query's inner words stand in such a document as whole words. The longest of them is the key of an equi-join with the
+    documents' distinct words; only pairs that share it are compared. Queries of one or two words meet all documents in blocks.
+    """
+    words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = queries.select("query_id", "query", F.get(F.sort_array(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"].alias("key"))
+    keyed = settled(keyed.where(F.col("query").isNotNull()), "queries")
+    text = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    each = text.select("id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    long, short = keyed.where("key IS NOT NULL"), keyed.where("key IS NULL")
+    found = each.join(held(long), "key").where(F.contains("text", "query")).select("query_id", "id")
+    return found.unionByName(in_blocks(short.drop("key"), "query_id", lambda block: text.join(block, F.contains("text", "query")).select("query_id", "id")))
 
 
 def fuse_legs(legs: list[DataFrame], k: int = RRF_K, places: int = 9) -> DataFrame:
@@ -71,14 +126,44 @@ def fuse_lists(items: DataFrame, k: int = RRF_K, places: int = 9) -> DataFrame:
     return named.groupBy("uid").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank") + 1)), places).alias("score"), F.min_by("payload", F.struct("list", "rank")).alias("payload"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, doc_id, score, citation): BM25 and dense legs of 2k, fused; queries (query_id, query, vector)."""
-    lexical = bm25(docs, queries, 2 * k)
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, synonyms: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score, citation): a lexical leg of expanded queries and a dense leg, 2k each, fused; queries (query_id, query, vector)."""
+    lexical = bm25_clauses(docs, query_clauses(queries, synonyms), 2 * k)
     dense = knn(vectors, queries, 2 * k)
-    top = fuse_legs([lexical, dense]).where(F.col("rank") < k)
-    # k rows for each query: broadcast back to the documents.
+    top = settled(fuse_legs([lexical, dense]).where(F.col("rank") < k), "hybrid")
     cited = T.citation(F.col("source"), F.lit(-1), F.lit("text"))
-    return docs.join(F.broadcast(top), F.col("doc_id") == F.col("id")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", cited.alias("citation"))
+    return docs.join(held(top), F.col("doc_id") == F.col("id")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", cited.alias("citation"))
+
+
+def with_relations(queries: DataFrame, relations: DataFrame) -> DataFrame:
+    """queries (query_id, query, ...) with what the graph says of their entities added; relations (query_id, seq, subject, relation, object).
+
+    The relations are joined in order; signs of the query language become spaces. A query without relations stays as it is.
+    """
+    said = F.struct("seq", F.concat_ws(" ", "subject", "relation", "object").alias("said"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["said"]), "，")
+    more = relations.groupBy("query_id").agg(F.regexp_replace(joined, L.QUERY_SIGNS, " ").alias("more"))
+    both = F.when(F.coalesce("more", F.lit("")) != "", F.concat("query", F.lit("。相关背景："), "more")).otherwise(F.col("query"))
+    return queries.join(more, "query_id", "left").withColumn("query", both).drop("more")
+
+
+def any_word(rows: DataFrame, words: list[str], columns: list[str]) -> DataFrame:
+    """Rows in which a column holds one of the words as a whole token."""
+    tokens = F.concat(*(T.tokens(F.col(c).cast("string")) for c in columns))
+    return rows.where(F.arrays_overlap(tokens, F.array(*(F.lit(w.lower()) for w in words))))
+
+
+def result_block(doc_id: Column, citation: Column, kind: Column, text: Column, image: Column, link: str) -> Column:
+    """What a search shows of one result; the image's path goes, quoted, behind ``link``."""
+    quoted = F.replace(F.replace(F.url_encode(image), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    picture = F.when(F.coalesce(image, F.lit("")) != "", F.concat(F.lit("\nImage: ![" ), kind, F.lit(f"图表]({link}"), quoted, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("Doc: "), doc_id.cast("string"), F.lit(" "), citation, F.lit(" (Type: "), kind, F.lit(")\nContent: "), text, picture)
+
+
+def result_text(results: DataFrame, block: Column) -> DataFrame:
+    """(query_id, text): a query's few results (query_id, rank, ...) as one text."""
+    listed = F.sort_array(F.collect_list(F.struct("rank", block.alias("block"))))
+    return results.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n---\n\n").alias("text"))
 
 
 def token_features(weighted: DataFrame, group: str) -> DataFrame:
@@ -91,21 +176,26 @@ def token_features(weighted: DataFrame, group: str) -> DataFrame:
     return both.groupBy(group, F.col("f.feature").alias("feature")).agg(F.sum("f.value").alias("value"))
 
 
-def token_similarity(query: DataFrame, docs: DataFrame, places: int = 6) -> DataFrame:
-    """(id, similarity): the share of the query's feature weight that a document has; query (pos, term, weight), docs (id, pos, term)."""
-    wanted = token_features(query.withColumn("q", F.lit(0)), "q").select("feature", "value")
+def token_similarity(queries: DataFrame, docs: DataFrame, places: int = 6) -> DataFrame:
+    """(query_id, id, similarity): the share of a query's feature weight that a document has, of those that have any.
+
+    queries: (query_id, pos, term, weight), a stated set; docs: (id, pos, term). All other documents have 1e-9 over the total.
+    """
+    wanted = settled(token_features(queries, "query_id"), "features")
     have = token_features(docs.withColumn("weight", F.lit(1.0)), "id").select("id", "feature")
-    total = wanted.agg(F.sum("value").alias("total"))
-    shared = have.join(F.broadcast(wanted), "feature").groupBy("id").agg(F.sum("value").alias("shared"))
-    everyone = docs.select("id").distinct().join(shared, "id", "left").crossJoin(F.broadcast(total))
-    return everyone.select("id", F.round((1e-9 + F.coalesce("shared", F.lit(0.0))) / (1e-9 + F.col("total")), places).alias("similarity"))
+    total = wanted.groupBy("query_id").agg(F.sum("value").alias("total"))
+    shared = have.join(held(wanted), "feature").groupBy("query_id", "id").agg(F.sum("value").alias("shared"))
+    return shared.join(held(total), "query_id").select("query_id", "id", F.round((1e-9 + F.col("shared")) / (1e-9 + F.col("total")), places).alias("similarity"))
 
 
 def linear_hybrid(cosines: DataFrame, similarities: DataFrame, places: int = 6) -> DataFrame:
-    """(id, score): 0.85 cosine + 0.15 token similarity; tokens alone if all cosines are 0."""
-    everything = cosines.agg(F.sum("cosine").alias("all"))
-    joined = cosines.join(similarities, "id").crossJoin(F.broadcast(everything))
-    return joined.select("id", F.round(F.when(F.col("all") == 0, F.col("similarity")).otherwise(0.85 * F.col("cosine") + 0.15 * F.col("similarity")), places).alias("score"))
+    """(query_id, id, score): 0.85 cosine + 0.15 token similarity, tokens alone where all cosines of a query are 0.
+
+    cosines: (query_id, id, cosine); similarities: of token_similarity, 0 for documents that aren't there.
+    """
+    flags = cosines.groupBy("query_id").agg(F.max(F.when(F.col("cosine") != 0, 1).otherwise(0)).alias("known"))
+    joined = cosines.join(held(flags), "query_id").join(similarities, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return joined.select("query_id", "id", F.round(F.when(F.col("known") == 0, F.col("similarity")).otherwise(0.85 * F.col("cosine") + 0.15 * F.col("similarity")), places).alias("score"))
 
 
 def term_weights(terms: DataFrame, group: str, places: int = 6) -> DataFrame:
@@ -135,21 +225,42 @@ def term_weights(terms: DataFrame, group: str, places: int = 6) -> DataFrame:
 def query_clauses(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """(query_id, clause, term, boost): weighted clauses of each query: the term, its synonyms at a fifth, its parts at half.
 
-    synonyms: (term, synonym), a small dictionary; at most eight for each term, in their order.
+    A query is cut into segments, the first 256 of which count; a term's weight is its share within its segment, as often as
+    it stands in one. Parts of one character are left out. synonyms: (term, synonym), a dictionary; eight for each term.
     """
-    terms = queries.select("query_id", F.slice(T.tokens(T.without_signs(F.col("query"))), 1, 256).alias("terms")).select("query_id", F.explode("terms").alias("term"))
-    weighted = term_weights(terms, "query_id")
+    plain = T.without_signs(T.half_width(F.lower(F.coalesce("query", F.lit("")))))
+    terms = queries.select("query_id", F.posexplode(F.slice(T.segments(plain), 1, 256)).alias("segment", "text")).select("query_id", "segment", F.explode(T.tokens(F.col("text"))).alias("term"))
+    grouped = terms.select(F.struct("query_id", "segment").alias("of"), "term")
+    weighted = term_weights(grouped, "of").select("of.query_id", "term", "weight")
     clauses = weighted.select("query_id", F.col("term").alias("clause"), "term", F.col("weight").alias("boost"))
-    parts = weighted.select("query_id", F.col("term").alias("clause"), F.explode(T.fine_tokens(F.col("term"))).alias("part"), "weight").where("part <> clause")
+    parts = weighted.select("query_id", F.col("term").alias("clause"), F.explode(T.fine_tokens(F.col("term"))).alias("part"), "weight").where("part <> clause AND length(part) > 1")
     clauses = clauses.unionByName(parts.select("query_id", "clause", F.col("part").alias("term"), (0.5 * F.col("weight")).alias("boost")))
     if synonyms is not None:
-        near = weighted.join(F.broadcast(synonyms), "term")
-        first = F.row_number().over(Window.partitionBy("query_id", "term").orderBy("synonym"))
-        near = near.withColumn("nth", first).where("nth <= 8")
+        first = F.row_number().over(Window.partitionBy("term").orderBy("synonym"))
+        near = weighted.join(held(synonyms.withColumn("nth", first).where(F.col("nth") <= 8).drop("nth")), "term")
         clauses = clauses.unionByName(near.select("query_id", F.col("term").alias("clause"), F.col("synonym").alias("term"), (0.2 * F.col("weight")).alias("boost")))
     return clauses
 
 
+def keywords(queries: DataFrame, synonyms: DataFrame | None = None, enough: int = 32) -> DataFrame:
+    """(query_id, keywords): segments, and while there are fewer than ``enough`` keywords before them, the parts and synonyms of their terms.
+
+    The bound is looked at before keywords are added, so there may be some more. Each keyword once, in order.
+    """
+    plain = T.without_signs(T.half_width(F.lower(F.coalesce("query", F.lit("")))))
+    each = queries.select("query_id", F.posexplode(F.slice(T.segments(plain), 1, 256)).alias("segment", "text"))
+    each = each.withColumn("parts", F.flatten(F.transform(T.tokens(F.col("text")), lambda t: F.filter(T.fine_tokens(t), lambda p: (p != t) & (F.length(p) > 1)))))
+    if synonyms is not None:
+        said = F.struct("at", "synonym")
+        near = each.select("query_id", "segment", F.posexplode(T.tokens(F.col("text"))).alias("at", "term")).join(held(synonyms), "term")
+        near = near.groupBy("query_id", "segment").agg(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["synonym"]).alias("near"))  # of one segment
+        each = each.join(near, ["query_id", "segment"], "left").withColumn("parts", F.concat("parts", F.coalesce("near", F.array().cast("array<string>"))))
+    listed = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("segment", "text", "parts"))).alias("all"))  # 256 segments at most
+    start = F.array().cast("array<string>")
+    found = F.aggregate("all", start, lambda so_far, x: F.concat(so_far, F.array(x["text"]), F.when(F.size(so_far) + 1 < enough, x["parts"]).otherwise(F.array().cast("array<string>"))))
+    return listed.select("query_id", F.array_distinct(found).alias("keywords"))
+
+
 def catalog_search(catalog: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """(name, score): entries of a catalog (name, description, category, search_hint) by keywords.
 
@@ -176,6 +287,23 @@ def catalog_search(catalog: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return catalog.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "name").limit(limit).select("name", "score")
 
 
-def vocabulary_hits(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, entity): entities (entity) that are substrings of a query, whatever the case; a stated set of queries."""
-    return vocabulary.join(F.broadcast(queries), F.contains(F.lower("query"), F.lower("entity"))).select("query_id", "entity")
+def vocabulary_hits(queries: DataFrame, vocabulary: DataFrame, grams: int = 3) -> DataFrame:
+    """(query_id, entity): entities (entity) that are substrings of a query, whatever the case.
+
+    An entity's first characters, ``grams`` of them or all, are among the query's n-grams: these are the key of an equi-join.
+    """
+    lower = F.lower("query")
+    every = F.flatten(F.array(*(T.grams(lower, n) for n in range(1, grams + 1))))
+    asked = queries.select("query_id", lower.alias("text"), F.explode(F.array_distinct(every)).alias("key"))
+    named = vocabulary.select("entity", F.left(F.lower("entity"), F.lit(grams)).alias("key"))
+    return asked.join(named, "key").where(F.contains("text", F.lower("entity"))).select("query_id", "entity").distinct()
+
+
+def query_entities(queries: DataFrame, vocabulary: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, entity): entities of each query, the longest first; candidates (query_id, entity) take the place of the vocabulary where any of them hits."""
+    found = vocabulary_hits(queries, vocabulary)
+    if candidates is not None:
+        own = queries.join(candidates, "query_id").where(F.contains(F.lower("query"), F.lower("entity"))).select("query_id", "entity").distinct()
+        found = found.join(own.select("query_id").distinct(), "query_id", "left_anti").unionByName(own)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.length("entity")), "entity")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))

@@ -5,16 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read again: iterations neither grow the lineage nor recompute it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a single machine (a local master) gets a folder where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master or 'the cluster'} share")
         folder = f"file://{tempfile.gettempdir()}/veinstone-tables"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written and read again: iterations neither grow the lineage nor recompute it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Deletes the folders of settled tables that nothing reads any more."""
+    jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), shared_folder(spark).split(":", 1)[-1].lstrip("/")
+    for table in tables:
+        for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            if path.split(":", 1)[-1].lstrip("/").startswith(root):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)

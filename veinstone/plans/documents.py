@@ -13,24 +13,51 @@ from veinstone.streaming import events as streams
 
 
 def chunk_pack_overlap(spark: SparkSession, d: str) -> DataFrame:
-    found = chunking.pack(table(spark, d, "documents"), 1000, 200, "\n")
-    return found.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text", F.col("first").cast("long").alias("first"))
+    """Documents whose lines are paragraphs, with two empty ones before the last."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\n\n\n\n\nthe\nend")).alias("text"))
+    found = chunking.pack(docs, 1000, 200)
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk", "start", "end")), "text")
 
 
 def _fold_sql(source: str, key: str, size: int, overlap: int, glue: str) -> str:
-    """One row for each state of a fold over the list p of each key."""
+    """One row for each state of a fold over the list p of each key; done, done_first and done_next where a chunk is closed."""
+    full = f"(cur <> '' AND length(cur) + length(p[i + 1]) > {size})"
     return f"""
 fold AS (
-  SELECT {key}, p, 1 AS i, p[1] AS cur, 0 AS first, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS INT) AS done_first, -1 AS chunk FROM {source} WHERE len(p) > 0
+  SELECT {key}, p, 1 AS i, p[1] AS cur, 0 AS first, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS INT) AS done_first, CAST(NULL AS INT) AS done_next, -1 AS chunk FROM {source} WHERE len(p) > 0
   UNION ALL
   SELECT {key}, p, i + 1,
-    CASE WHEN i >= len(p) THEN NULL WHEN length(cur) + length(p[i + 1]) > {size} THEN {f"right(cur, {overlap}) || '{glue}' || p[i + 1]" if overlap else "p[i + 1]"} ELSE cur || '{glue}' || p[i + 1] END,
-    CASE WHEN i < len(p) AND length(cur) + length(p[i + 1]) > {size} THEN i ELSE first END,
-    CASE WHEN i >= len(p) OR length(cur) + length(p[i + 1]) > {size} THEN cur END, CASE WHEN i >= len(p) OR length(cur) + length(p[i + 1]) > {size} THEN first END,
-    CASE WHEN i >= len(p) OR length(cur) + length(p[i + 1]) > {size} THEN chunk + 1 ELSE chunk END
+    CASE WHEN i >= len(p) THEN NULL WHEN {full} THEN {f"right(cur, {overlap}) || '{glue}' || p[i + 1]" if overlap else "p[i + 1]"} WHEN cur = '' THEN p[i + 1] ELSE cur || '{glue}' || p[i + 1] END,
+    CASE WHEN i < len(p) AND {full} THEN i ELSE first END,
+    CASE WHEN i >= len(p) OR {full} THEN cur END, CASE WHEN i >= len(p) OR {full} THEN first END, CASE WHEN i < len(p) AND {full} THEN i END,
+    CASE WHEN i >= len(p) OR {full} THEN chunk + 1 ELSE chunk END
   FROM fold WHERE i <= len(p))"""
 
 
+_PACKED = "WITH RECURSIVE texts AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) || repeat(chr(10), 6) || 'the' || chr(10) || 'end' AS t FROM documents), parts AS (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS p FROM texts)," + _fold_sql("parts", "doc_id", 1000, 200, "' || chr(10) || chr(10) || '") + """,
+closed AS (SELECT *, list_max(list_filter(range(done_first), lambda k: list_sum(list_transform(p[k + 1:done_first], lambda x: length(x) + 2)) >= 200)) AS back FROM fold WHERE done IS NOT NULL AND (done_next IS NOT NULL OR trim(done, ' ' || chr(9) || chr(10) || chr(13)) <> '')),
+begun AS (SELECT *, coalesce(back, 0) AS begin, list_transform(p, lambda x: length(x) - length(replace(x, chr(10), '')) + 2) AS n FROM closed)
+SELECT doc_id, chunk, done AS text, CAST(coalesce(list_sum(n[1:begin]), 0) AS BIGINT) AS start, CAST(coalesce(list_sum(n[1:done_next]) - 1, list_sum(n) - 2) AS BIGINT) AS "end" FROM begun"""
+
+
+def chunk_paged(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of one paragraph a turn, each with an image of page 3 k for turn k: packed chunks with their pages."""
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("![](_page_"), (3 * x["turn"]).cast("string"), F.lit("_f.png)\n"), F.replace(x["text"], F.lit("\n\n"), F.lit("\n"))))
+    docs = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(said, "\n\n").alias("text"))
+    docs = docs.withColumn("toc", F.expr("CAST(array() AS ARRAY<STRUCT<title: STRING, page_id: INT>>)"))
+    return chunking.paged_chunks(docs, 400, 0).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("text").alias("text"), F.col("page").cast("long").alias("page"))
+
+
+#: Without overlap a chunk's lines are those of its paragraphs and the empty lines behind them, each of the page of its turn.
+_PAGED_CHUNKS = "WITH RECURSIVE texts AS (SELECT conv_id, string_agg('![](_page_' || 3 * turn || '_f.png)' || chr(10) || replace(text, chr(10) || chr(10), chr(10)), chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1), parts AS (SELECT conv_id, string_split(t, chr(10) || chr(10)) AS p FROM texts)," + _fold_sql("parts", "conv_id", 400, 0, "' || chr(10) || chr(10) || '") + """,
+closed AS (SELECT conv_id, chunk, done, p, done_first, coalesce(done_next, len(p)) AS upto FROM fold WHERE done IS NOT NULL),
+each AS (SELECT conv_id, chunk, done, unnest(range(done_first, upto)) AS k, p, upto FROM closed),
+lines AS (SELECT *, coalesce(CAST(nullif(regexp_extract(p[k + 1], '_page_([0-9]+)_', 1), '') AS INT) + 1, NULL) AS own, length(p[k + 1]) - length(replace(p[k + 1], chr(10), '')) + CASE WHEN k + 1 < len(p) THEN 2 ELSE 1 END AS n FROM each),
+paged AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id, chunk ORDER BY k ROWS UNBOUNDED PRECEDING) AS page FROM lines),
+counted AS (SELECT conv_id, chunk, any_value(done) AS done, page, sum(n) AS n, min(k) AS first FROM paged GROUP BY conv_id, chunk, page)
+SELECT conv_id AS doc_id, chunk, md5(any_value(done)) AS text, arg_max(page, (n, -first)) AS page FROM counted GROUP BY ALL"""
+
+
 def chunk_join(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk"), "text")
     found = chunking.join_small(chunks, 600)
@@ -60,7 +87,8 @@ pages AS (SELECT doc_id, line, coalesce(last_value(page IGNORE NULLS) OVER (PART
 
 def chunk_page_mode(spark: SparkSession, d: str) -> DataFrame:
     pages = chunking.page_map(_paged(spark, d))
-    chunks = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 5 - 2).alias("start"), (F.col("chunk") * 5 + 3).alias("end"))
+    last = F.floor((F.size(F.split("text", "\n")) - 1) / 5) + 1
+    chunks = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 5 - 2).alias("start"), (F.col("chunk") * 5 + 3).alias("end"))
     return chunking.chunk_pages(chunks, pages).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("page").cast("long").alias("page"))
 
 
@@ -71,8 +99,9 @@ def row_kv_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row"), "c_name", F.col("c_mktsegment").alias("segment"))
-    found = profile.html_tables(rows, ["c_name", "segment"])
+    """Customers with names and segments that must be escaped and trimmed."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row"), F.concat(F.lit(" <b>\"&' "), "c_name", F.lit(" ")).alias("c_name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("seg & ment"))
+    found = profile.html_tables(rows, ["c_name", "seg & ment"], "customers")
     return found.select("part", "html")
 
 
@@ -100,12 +129,14 @@ def typed_cast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Each nation's first customers as a grid below two rows of names."""
-    order = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
-    ranked = table(spark, d, "customer").select(F.col("c_nationkey").alias("table_id"), order.alias("row"), F.col("c_custkey").cast("string").alias("a"), F.col("c_acctbal").cast("string").alias("b"))
-    body = ranked.select("table_id", "row", F.posexplode(F.array("a", "b")).alias("col", "value"))
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("row"))
-    top = names.select("table_id", "row", F.posexplode(F.array(F.lit("Customer"), F.lit("Balance"))).alias("col", "value"))
+    """Each nation's customers as a grid below one to five rows of names, by the nation's number."""
+    tops = F.col("n_nationkey") % 5 + 1
+    nation = table(spark, d, "nation").select("n_nationkey", tops.alias("tops"))
+    order = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    ranked = table(spark, d, "customer").withColumn("nth", order).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    body = ranked.select(F.col("c_nationkey").alias("table_id"), (F.col("nth") + F.col("tops")).alias("row"), F.posexplode(F.array(F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), F.lit("-"))).alias("col", "value"))
+    names = nation.select(F.col("n_nationkey").alias("table_id"), F.explode(F.sequence(F.lit(0), F.col("tops") - 1)).alias("row"))
+    top = names.select("table_id", "row", F.posexplode(F.array(F.lit("Customer"), F.lit("Balance (EUR)"), F.lit("2024"))).alias("col", "value"))
     return profile.header_rows(top.unionByName(body)).select("table_id", F.col("header_rows").cast("long").alias("header_rows"))
 
 
@@ -139,7 +170,8 @@ def session_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_decision(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.left("text", F.lit(10)), F.element_at(F.array(F.lit(""), F.lit(" chart"), F.lit(" hi"), F.lit(" 计算")), (F.col("turn") % 4 + 1).cast("int")))
+    """Whole turns with a word behind them, and every fifth turn only that word."""
+    said = F.concat(F.when(F.col("turn") % 5 != 0, F.col("text")).otherwise(""), F.element_at(F.array(F.lit(""), F.lit(" chart"), F.lit(" hi"), F.lit(" 计算")), (F.col("turn") % 4 + 1).cast("int")))
     return sessions.route(_turns(spark, d).withColumn("text", said)).select("session", "turn", "route")
 
 
@@ -195,7 +227,7 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 6).cast("int").alias("quality"), F.round(F.col("n_chars") % 11 / 10, 1).alias("coverage"), F.when(F.col("doc_id") % 13 == 0, "timeout").alias("error"), (F.col("doc_id") % 2 == 0).alias("has_source"), (F.col("doc_id") % 3 == 0).alias("needs_source"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 6).cast("int").alias("quality"), F.round(F.col("n_chars") % 11 / 10, 1).alias("coverage"), F.when(F.col("doc_id") % 13 == 0, "timeout").alias("error"), (F.col("doc_id") % 2 == 0).alias("has_source"), (F.col("doc_id") % 3 == 0).alias("needs_source"), "text", F.when(F.col("doc_id") % 4 == 0, "worthless|tions? ").alias("figures"))
     return evaluate.verdict(docs)
 
 
@@ -239,22 +271,33 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", files.line_count(F.col("text")).cast("long").alias("lines"), T.citation(F.col("source"), (F.col("doc_id") % 3).cast("int"), F.when(F.col("doc_id") % 2 == 0, "text").otherwise("table")).alias("cited"))
 
 
+_VERDICTS = """
+WITH a AS (
+  SELECT doc_id, n_chars % 6 AS q, round(n_chars % 11 / 10, 1) AS c, doc_id % 13 = 0 AS e, doc_id % 13 <> 0 AND doc_id % 2 <> 0 AND doc_id % 3 = 0 AS no_source,
+         doc_id % 13 <> 0 AND doc_id % 4 = 0 AND NOT regexp_matches(text, '(?i)worthless|tions? ') AS no_figure FROM documents),
+p AS (SELECT *, NOT (e OR c < 0.5 OR q < 2 OR (no_source AND q < 4) OR no_figure) AS passed FROM a)"""
 _JSET = "list_filter(list_distinct(string_split({0}, '')), lambda c: c <> '')"
 
 QUERIES = {
-    "chunk_pack_overlap": (chunk_pack_overlap, "WITH RECURSIVE parts AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents)," + _fold_sql("parts", "doc_id", 1000, 200, "' || chr(10) || '") + " SELECT doc_id, chunk, done AS text, done_first AS first FROM fold WHERE done IS NOT NULL AND trim(done, ' ' || chr(9) || chr(10) || chr(13)) <> ''"),
+    "chunk_pack_overlap": (chunk_pack_overlap, _PACKED),
+    "chunk_paged": (chunk_paged, _PAGED_CHUNKS),
     "chunk_join": (chunk_join, "WITH RECURSIVE parts AS (SELECT conv_id, list(text ORDER BY turn) AS p, list(turn ORDER BY turn) AS turns FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1)," + _fold_sql("parts", "conv_id", 600, 0, "' || chr(10) || chr(10) || '") + " SELECT conv_id AS doc_id, chunk AS joined, trim(done, ' ' || chr(9) || chr(10) || chr(13)) AS text, turns[done_first + 1] AS first_chunk FROM fold JOIN parts USING (conv_id) WHERE done IS NOT NULL"),
     "page_forward_fill": (page_forward_fill, f"WITH {_PAGES} SELECT doc_id, line, page FROM pages"),
     "chunk_page_mode": (chunk_page_mode, f"""WITH {_PAGES},
-c AS (SELECT doc_id, unnest(range(4)) AS chunk FROM documents), z AS (SELECT doc_id, max(line) AS last FROM pages GROUP BY 1),
+c AS (SELECT doc_id, unnest(range((len(string_split(text, chr(10))) - 1) // 5 + 2)) AS chunk FROM documents), z AS (SELECT doc_id, max(line) AS last FROM pages GROUP BY 1),
 n AS (SELECT c.doc_id, chunk, page, count(*) AS n, min(line) AS first FROM c JOIN z USING (doc_id) JOIN pages p ON p.doc_id = c.doc_id AND line BETWEEN greatest(chunk * 5 - 2, 0) AND least(chunk * 5 + 3, last) GROUP BY ALL),
 best AS (SELECT doc_id, chunk, arg_max(page, (n, -first)) AS page FROM n GROUP BY ALL)
-SELECT c.doc_id, c.chunk, coalesce(b.page, -1) AS page FROM c LEFT JOIN best b ON b.doc_id = c.doc_id AND b.chunk = c.chunk"""),
+SELECT c.doc_id, c.chunk, coalesce(b.page, s.page, -1) AS page FROM c LEFT JOIN best b ON b.doc_id = c.doc_id AND b.chunk = c.chunk LEFT JOIN pages s ON s.doc_id = c.doc_id AND s.line = c.chunk * 5 - 2"""),
     "row_kv_chunks": (row_kv_chunks, "SELECT n_nationkey, '- n_name: ' || n_name || chr(10) || '- r_name: ' || r_name || chr(10) || '- n_regionkey: ' || n_regionkey AS kv, concat_ws('; ', 'n_name：' || n_name, 'r_name：' || r_name, CASE WHEN n_regionkey <> 0 THEN 'n_regionkey：' || n_regionkey END) || ' ——nations' AS line, '| ' || n_name || ' | ' || r_name || ' |' AS md FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "html_chunks": (html_chunks, "WITH n AS (SELECT unnest(range((SELECT count(*) // 256 + 1 FROM customer))) AS part), b AS (SELECT c_custkey // 256 AS part, string_agg('<tr><td>' || c_name || '</td><td>' || c_mktsegment || '</td></tr>', '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1) SELECT part, '<table><tr><th>c_name</th><th>segment</th></tr>' || coalesce(body, '') || '</table>' AS html FROM n LEFT JOIN b USING (part)"),
+    "html_chunks": (html_chunks, """
+WITH n AS (SELECT unnest(range((SELECT count(*) // 256 + 1 FROM customer))) AS part),
+b AS (SELECT c_custkey // 256 AS part, string_agg('<tr><td>&lt;b&gt;&quot;&amp;&#x27; ' || c_name || '</td><td>' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END || '</td></tr>', '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1)
+SELECT part, '<table><caption>customers</caption><tr><th>c_name</th><th>seg &amp; ment</th></tr>' || coalesce(body, '') || '</table>' || chr(10) AS html FROM n LEFT JOIN b USING (part)"""),
     "column_types": (column_types, f"WITH {_CELLS} SELECT *, CASE greatest(n_int, n_float, n_text, n_datetime, n_bool) WHEN n_int THEN 'int' WHEN n_float THEN 'float' WHEN n_text THEN 'text' WHEN n_datetime THEN 'datetime' ELSE 'bool' END AS type FROM votes"),
     "typed_cast": (typed_cast, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS as_int, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN o_totalprice END AS as_float, CAST(NULL AS VARCHAR) AS as_bool, CAST(NULL AS VARCHAR) AS as_datetime FROM orders"),
-    "header_rows": (header_rows, "SELECT n_nationkey AS table_id, 2 AS header_rows FROM nation"),
+    "header_rows": (header_rows, """
+WITH rows AS (SELECT n_nationkey, n_nationkey % 5 + 1 AS tops, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation)
+SELECT n_nationkey AS table_id, CASE WHEN n = 0 THEN tops ELSE least(tops, 5) END AS header_rows FROM rows"""),
     "robust_json": (robust_json, "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events"),
     "triplet_payloads": (triplet_payloads, "SELECT c_custkey, c_name AS subject, 'contains' AS relation, c_mktsegment AS object FROM customer WHERE c_custkey % 3 < 2"),
     "history_budget": (history_budget, """
@@ -263,7 +306,7 @@ SELECT conv_id AS session, turn AS seq, text FROM s WHERE kept UNION ALL SELECT
     "last_turns": (last_turns, "SELECT conv_id AS session, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3"),
     "session_list": (session_list, "SELECT conv_id AS session, count(*) AS turns, left(arg_max(text, turn), 60) AS title, left(arg_max(text, turn), 100) AS preview FROM conversations GROUP BY 1"),
     "route_decision": (route_decision, """
-WITH m AS (SELECT conv_id, turn, left(text, 10) || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' chart' WHEN 2 THEN ' hi' ELSE ' 计算' END AS t FROM conversations)
+WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 THEN text ELSE '' END || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' chart' WHEN 2 THEN ' hi' ELSE ' 计算' END AS t FROM conversations)
 SELECT conv_id AS session, turn, CASE WHEN contains(lower(t), 'chart') OR contains(t, '计算') OR regexp_matches(lower(t), 'python|neo4j|trace|sandbox|plot|curve') THEN 'agent' WHEN length(t) < 15 AND regexp_matches(lower(t), 'hi|hello') THEN 'chitchat' ELSE 'rag' END AS route FROM m"""),
     "synthesis_filter": (synthesis_filter, "SELECT conv_id AS session, turn, role FROM conversations WHERE role <> 'tool' AND NOT (role = 'assistant' AND turn % 2 = 1)"),
     "original_question": (original_question, "SELECT conv_id AS session, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' AND turn < 4 GROUP BY 1"),
@@ -281,14 +324,8 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
     "dedup_watermark": (dedup_watermark, "SELECT DISTINCT user_id, event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts FROM events"),
     "ask_reply_join": (ask_reply, "SELECT a.user_id AS ask_id, a.ts, r.event_id AS reply FROM events a LEFT JOIN events r ON r.event_type = 'purchase' AND r.user_id = a.user_id AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL 3600 SECOND WHERE a.event_type = 'click'"),
     "keyword_coverage": (keyword_coverage, "WITH k AS (SELECT doc_id, list_filter(['THE', 'idiot', 'tion', 'password'], lambda k: contains(lower(text), lower(k))) AS f, list_filter(['THE', 'idiot', 'tion', 'password'], lambda k: NOT contains(lower(text), lower(k))) AS m FROM documents) SELECT doc_id, round(len(f) / 4, 2) AS coverage, array_to_string(f, ',') AS found, array_to_string(m, ',') AS missing FROM k"),
-    "verdicts": (verdicts, """
-WITH a AS (SELECT doc_id, n_chars % 6 AS q, round(n_chars % 11 / 10, 1) AS c, doc_id % 13 = 0 AS e, doc_id % 2 <> 0 AND doc_id % 3 = 0 AS no_source FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN e THEN 'error' END, CASE WHEN c < 0.5 THEN 'coverage' END, CASE WHEN q < 2 THEN 'quality' END, CASE WHEN no_source AND q < 4 THEN 'source' END) AS reasons,
-       NOT (e OR c < 0.5 OR q < 2 OR (no_source AND q < 4)) AS passed, no_source AND q >= 4 AS warned FROM a"""),
-    "run_summary": (run_summary, """
-WITH a AS (SELECT doc_id, n_chars % 6 AS q, round(n_chars % 11 / 10, 1) AS c, doc_id % 13 = 0 AS e, doc_id % 2 <> 0 AND doc_id % 3 = 0 AS no_source FROM documents),
-p AS (SELECT *, NOT (e OR c < 0.5 OR q < 2 OR (no_source AND q < 4)) AS passed FROM a)
-SELECT count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CAST(sum(doc_id % 7) AS DOUBLE) AS seconds, round(avg(nullif(q, 0)), 6) AS quality, CAST(sum(doc_id % 4) AS BIGINT) AS calls FROM p"""),
+    "verdicts": (verdicts, f"{_VERDICTS} SELECT doc_id, concat_ws(',', CASE WHEN e THEN 'error' END, CASE WHEN NOT e AND q < 2 THEN 'quality' END, CASE WHEN NOT e AND c < 0.5 THEN 'coverage' END, CASE WHEN no_source AND q < 4 THEN 'source' END, CASE WHEN no_figure THEN 'figure' END) AS reasons, passed, no_source AND q >= 4 AS warned FROM p"),
+    "run_summary": (run_summary, f"{_VERDICTS} SELECT count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CAST(sum(doc_id % 7) AS DOUBLE) AS seconds, round(avg(nullif(q, 0)), 6) AS quality, CAST(sum(doc_id % 4) AS BIGINT) AS calls FROM p"),
     "latency_summary": (by_mode, "SELECT event_type AS mode, round(avg(value % 1), 6) AS recall, round(avg(1 / (1 + user_id)), 6) AS mrr, round(avg(value), 6) AS seconds FROM events GROUP BY 1"),
     "tool_calls": (tool_calls, "SELECT tool, count(*) AS calls FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) AS tool FROM pages) GROUP BY 1"),
     "retrieval_sources": (retrieval_sources, """

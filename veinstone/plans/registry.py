@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.plans import documents, graph, search
+from veinstone.plans import documents, graph, layout, search, stores
 
-_ALL = search.QUERIES | graph.QUERIES | documents.QUERIES
+_ALL = search.QUERIES | graph.QUERIES | documents.QUERIES | layout.QUERIES | stores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

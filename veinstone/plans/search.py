@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.functions import text as T
+from veinstone.functions import nested, text as T
 from veinstone.operators import evaluate, search
 from veinstone.plans.tables import table
 
@@ -46,6 +46,51 @@ def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+_KINDS = "regexp_full_match(term, '[0-9. -]{2,}') AS number, regexp_full_match(term, '[a-z. -]+') AS latin"
+_RAW = """(0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - g + 0.5) / (g + 0.5)))
+    * CASE WHEN regexp_full_match(term, '[0-9,.]{2,}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{1,2}') THEN 0.01 ELSE 1.0 END
+    * CASE WHEN regexp_matches(term, '^[0-9-]') THEN 2.0 ELSE 1.0 END"""
+_FREQUENCIES = "CASE WHEN number THEN 3.0 WHEN latin THEN 300.0 ELSE 10.0 END AS f, CASE WHEN number THEN 5.0 WHEN latin THEN 300.0 ELSE 3.0 END AS g"
+_TERM_WEIGHTS = f"""
+WITH terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{LATIN}')) AS term FROM benchmark),
+kinds AS (SELECT *, {_KINDS} FROM terms),
+raw AS (SELECT query_id, term, {_RAW} AS raw FROM (SELECT *, {_FREQUENCIES} FROM kinds))
+SELECT query_id, term, round(raw / sum(raw) OVER (PARTITION BY query_id), 6) AS weight FROM raw
+"""
+
+
+def _clauses(questions: str) -> str:
+    """CTEs up to ``weighted`` (query_id, segment, term, weight) of questions (query_id, query)."""
+    return rf"""
+asked AS (SELECT query_id, trim(regexp_replace(regexp_replace(lower(query), '[ :|\r\n\t,，。？?/`!！&^%()\[\]{{}}<>]+', ' ', 'g'), '[ \t]+', ' ', 'g')) AS t FROM ({questions})),
+pieces AS (SELECT query_id, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS x FROM asked),
+each AS (SELECT query_id, unnest(x) AS word, unnest(range(len(x))) AS pos FROM pieces),
+neighbours AS (SELECT *, regexp_matches(word, '[a-zA-Z]$') AND coalesce(regexp_matches(lag(word) OVER (PARTITION BY query_id ORDER BY pos), '[a-zA-Z]$'), false) AS joined FROM each),
+segmented AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY pos) AS segment FROM neighbours),
+said AS (SELECT DISTINCT query_id, segment, unnest(regexp_extract_all(word, '{LATIN}')) AS term FROM segmented WHERE segment <= 256),
+raws AS (SELECT query_id, segment, term, {_RAW} AS raw FROM (SELECT *, {_FREQUENCIES} FROM (SELECT *, {_KINDS} FROM said))),
+weighted AS (SELECT query_id, term, round(raw / sum(raw) OVER (PARTITION BY query_id, segment), 6) AS weight FROM raws),
+inner_parts AS (
+  SELECT query_id, term AS clause, unnest(p) AS term, 0.5 * weight AS boost FROM (SELECT *, regexp_extract_all(term, '[0-9]+|[a-zA-Z]+') AS p FROM weighted)
+  WHERE length(term) > 2 AND len(p) > 1 AND NOT regexp_full_match(term, '\p{{L}}+'))"""
+
+
+_EXPANDED = _clauses("SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)") + f""",
+clauses AS (SELECT query_id, clause, term, sum(boost) AS boost FROM (SELECT query_id, term AS clause, term, weight AS boost FROM weighted UNION ALL SELECT query_id, clause, term, boost FROM inner_parts) GROUP BY ALL),
+toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{LATIN}') AS w FROM documents),
+sized AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM toks),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
+found AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM sized WHERE term IN (SELECT term FROM clauses) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM found GROUP BY 1),
+scored AS (
+  SELECT query_id, doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean))), 6) AS score, count(DISTINCT clause) AS matched
+  FROM found JOIN clauses USING (term) JOIN df USING (term), totals GROUP BY ALL),
+wanted AS (SELECT query_id, count(DISTINCT clause) AS wanted FROM clauses GROUP BY 1),
+lexical AS (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank
+  FROM scored JOIN wanted USING (query_id) WHERE matched >= greatest(1, floor(wanted * 0.6 + 1e-9)))"""
+
+
 def _dense(queries: str) -> str:
     cosine = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[]))))"
     return f"""
@@ -95,57 +140,64 @@ def term_weights(spark: SparkSession, d: str) -> DataFrame:
     return search.term_weights(_weighted_terms(spark, d), "query_id")
 
 
-_KINDS = "regexp_full_match(term, '[0-9. -]{2,}') AS number, regexp_full_match(term, '[a-z. -]+') AS latin"
-_TERM_WEIGHTS = f"""
-WITH terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{LATIN}')) AS term FROM benchmark),
-kinds AS (SELECT *, {_KINDS} FROM terms),
-raw AS (
-  SELECT query_id, term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - g + 0.5) / (g + 0.5)))
-    * CASE WHEN regexp_full_match(term, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(term, '[a-z]{{1,2}}') THEN 0.01 ELSE 1.0 END
-    * CASE WHEN regexp_matches(term, '^[0-9-]') THEN 2.0 ELSE 1.0 END AS raw
-  FROM (SELECT *, CASE WHEN number THEN 3.0 WHEN latin THEN 300.0 ELSE 10.0 END AS f, CASE WHEN number THEN 5.0 WHEN latin THEN 300.0 ELSE 3.0 END AS g FROM kinds))
-SELECT query_id, term, round(raw / sum(raw) OVER (PARTITION BY query_id), 6) AS weight FROM raw
-"""
+def _mixed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages with a name of letters and digits each."""
+    name = F.concat(F.lit(" 1cr"), (F.col("query_id") % 20 + 10).cast("string"), F.lit("ni9ti."))
+    return _questions(spark, d).withColumn("query", F.concat("query", name))
+
+
+#: A small dictionary.
+SYNONYMS = [("the", "this"), ("the", "that"), ("of", "from"), ("18", "eighteen")]
+
+
+_MIXED = "SELECT item_id AS query_id, text || ' 1cr' || (item_id % 20 + 10) || 'ni9ti.' AS query FROM benchmark"
+_SYNONYMS = "synonyms(term, synonym) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + ")"
 
 
 def query_clauses(spark: SparkSession, d: str) -> DataFrame:
-    return search.query_clauses(_questions(spark, d))
+    return search.query_clauses(_mixed_questions(spark, d), spark.createDataFrame(SYNONYMS, "term string, synonym string"))
 
 
-def token_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the first benchmark item's terms and pairs each document has."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
-    return search.token_similarity(_first_item(spark, d), docs)
+def query_keywords(spark: SparkSession, d: str) -> DataFrame:
+    found = search.keywords(_mixed_questions(spark, d), spark.createDataFrame(SYNONYMS, "term string, synonym string"))
+    return found.select("query_id", F.size("keywords").cast("long").alias("n"), F.array_contains("keywords", "ti").alias("has_part"), F.array_contains("keywords", "that").alias("has_synonym"))
 
 
-def _first_item(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").where("item_id = 0").select(F.posexplode(T.tokens(F.col("text"))).alias("pos", "term")).withColumn("weight", (1 + F.col("pos") % 3).cast("double"))
+def _query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the benchmark items whose number is divisible by 100, the queries of the stated set."""
+    asked = table(spark, d, "benchmark").where("item_id % 100 = 0")
+    return asked.select(F.col("item_id").alias("query_id"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "term")).withColumn("weight", (1 + F.col("pos") % 3).cast("double"))
+
+
+def token_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the terms and pairs of each query's benchmark item each document has."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
+    return search.token_similarity(_query_terms(spark, d), docs)
 
 
 _TOKEN_SIMILARITY = f"""
-q AS (SELECT unnest(regexp_extract_all(lower(text), '{LATIN}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '{LATIN}')))) AS pos FROM benchmark WHERE item_id = 0),
-qw AS (SELECT pos, term, CAST(1 + pos % 3 AS DOUBLE) AS weight FROM q),
-qn AS (SELECT *, lead(term) OVER (ORDER BY pos) AS nt, lead(weight) OVER (ORDER BY pos) AS nw FROM qw),
-qf AS (SELECT feature, sum(value) AS value FROM (SELECT term AS feature, 0.4 * weight AS value FROM qn UNION ALL SELECT term || nt, 0.6 * greatest(weight, nw) FROM qn WHERE nt IS NOT NULL) GROUP BY 1),
+q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{LATIN}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '{LATIN}')))) AS pos FROM benchmark WHERE item_id % 100 = 0),
+qw AS (SELECT query_id, pos, term, CAST(1 + pos % 3 AS DOUBLE) AS weight FROM q),
+qn AS (SELECT *, lead(term) OVER (PARTITION BY query_id ORDER BY pos) AS nt, lead(weight) OVER (PARTITION BY query_id ORDER BY pos) AS nw FROM qw),
+qf AS (SELECT query_id, feature, sum(value) AS value FROM (SELECT query_id, term AS feature, 0.4 * weight AS value FROM qn UNION ALL SELECT query_id, term || nt, 0.6 * greatest(weight, nw) FROM qn WHERE nt IS NOT NULL) GROUP BY ALL),
 dt AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{LATIN}') AS w FROM documents),
 df AS (SELECT DISTINCT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1]))) AS feature FROM dt),
 alike AS (
-  SELECT id, round((1e-9 + coalesce(shared, 0)) / (1e-9 + total), 6) AS similarity
-  FROM (SELECT id FROM dt WHERE len(w) > 0) LEFT JOIN (SELECT id, sum(value) AS shared FROM df JOIN qf USING (feature) GROUP BY 1) USING (id), (SELECT sum(value) AS total FROM qf))"""
+  SELECT query_id, id, round((1e-9 + sum(value)) / (1e-9 + any_value(total)), 6) AS similarity
+  FROM df JOIN qf USING (feature) JOIN (SELECT query_id, sum(value) AS total FROM qf GROUP BY 1) USING (query_id) GROUP BY ALL)"""
 
 
 def hybrid_linear(spark: SparkSession, d: str) -> DataFrame:
-    query = table(spark, d, "embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("q"))
-    from veinstone.functions import nested
-
-    cosines = table(spark, d, "embeddings").crossJoin(F.broadcast(query)).select(F.col("vec_id").alias("id"), nested.cosine(F.col("embedding"), F.col("q")).alias("cosine"))
-    return search.linear_hybrid(cosines, token_similarity(spark, d))
+    """Vectors whose number is divisible by 100, with the benchmark item of that number, against all vectors and documents."""
+    vectors, asked = table(spark, d, "embeddings"), _asked_vectors(spark, d)
+    every = search.in_blocks(asked.withColumnRenamed("vector", "q"), "query_id", lambda block: vectors.crossJoin(block).select("query_id", F.col("vec_id").alias("id"), nested.cosine(F.col("embedding"), F.col("q")).alias("cosine")))
+    return search.linear_hybrid(every, token_similarity(spark, d))
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Recall and MRR at 5 of BM25 for benchmark passages, against the documents that contain them."""
     docs, asked = table(spark, d, "documents"), _questions(spark, d)
-    relevant = docs.join(F.broadcast(asked), F.contains("text", "query")).select("query_id", F.col("doc_id").alias("id"))
+    relevant = search.containing(docs, asked)
     return evaluate.ranking_quality(search.bm25(docs, asked, 5), relevant, 5)
 
 
@@ -153,35 +205,36 @@ def keyword_recall(spark: SparkSession, d: str) -> DataFrame:
     """Keyword recall and MRR of BM25's best 5, expecting the first six words of each passage."""
     docs, asked = table(spark, d, "documents"), _questions(spark, d)
     expected = asked.select("query_id", F.slice(F.split("query", " "), 1, 6).alias("expected"))
-    found = search.bm25(docs, asked, 5).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(F.broadcast(expected), "query_id")
+    found = search.bm25(docs, asked, 5).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(search.held(expected), "query_id")
     scored = evaluate.keyword_recall(found)
     return scored.select("query_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
 def text_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Scalars of every document."""
-    x = F.col("text")
-    return table(spark, d, "documents").select(
+    """Scalars of every document, with some full-width and Chinese characters behind it."""
+    x = F.col("x")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.concat("text", F.lit(" ＡＢ１２　钢铁 材料")).alias("x"))
+    return docs.select(
         "doc_id", F.md5(T.half_width(x)).alias("half_width"), F.round(T.cjk_ratio(x), 6).alias("cjk"), T.has_long_ascii_run(x).alias("long_run"), T.token_estimate(x).alias("tokens"),
         F.md5(T.without_controls(x)).alias("clean"), F.md5(T.without_signs(x)).alias("plain"), T.head(x, 100, " [more]").alias("head"), T.tail(x, 50, "[...]").alias("tail"),
-        T.block_type(F.left(x, F.lit(30))).alias("block"), F.size(T.simple_tokens(x)).cast("long").alias("simple"), T.is_ascii(x).alias("ascii"), T.has_citation(F.left(x, F.lit(500))).alias("cites"),
-        T.is_useful(x).alias("useful"), T.has_no_result(x).alias("empty"), T.entity_id(F.left(x, F.lit(40))).alias("entity"), T.file_safe(F.col("source")).alias("file"),
+        T.block_type(x).alias("block"), F.size(T.simple_tokens(x)).cast("long").alias("simple"), T.is_ascii(x).alias("ascii"), T.has_citation(x).alias("cites"),
+        T.is_useful(x).alias("useful"), T.has_no_result(x).alias("empty"), F.md5(T.entity_id(x)).alias("entity"), T.file_safe(F.concat("source", F.lit(" a/b"))).alias("file"),
     )
 
 
-_TEXT_PROFILE = r"""
-SELECT doc_id, md5(text) AS half_width, 0.0 AS cjk, regexp_matches(text, '[a-zA-Z]{50,}') AS long_run, length(text) // 2 AS tokens,
-  md5(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')) AS clean,
-  md5(trim(regexp_replace(regexp_replace(text, '[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS plain,
-  CASE WHEN length(text) > 100 THEN left(text, 100) || ' [more]' ELSE text END AS head, CASE WHEN length(text) > 50 THEN '[...]' || right(text, 50) ELSE text END AS tail,
-  CASE WHEN regexp_matches(left(text, 30), '^[0-9.,+%/ -]+$') THEN 'Nu' WHEN regexp_matches(left(text, 30), '^[0-9A-Z/\._~-]+$') THEN 'Ca' WHEN regexp_matches(left(text, 30), '^[A-Z]*[a-z'' -]+$') THEN 'En'
-       WHEN regexp_matches(left(text, 30), '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') THEN 'NE' WHEN regexp_matches(left(text, 30), '^.{1}$') THEN 'Sg'
-       WHEN len(regexp_extract_all(left(text, 30), '[a-zA-Z0-9]+')) > 3 THEN CASE WHEN len(regexp_extract_all(left(text, 30), '[a-zA-Z0-9]+')) < 12 THEN 'Tx' ELSE 'Lx' END ELSE 'Ot' END AS block,
-  len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+|[a-zA-Z0-9]+')) AS simple, regexp_full_match(text, '[\x00-\x7F]*') AS ascii,
-  regexp_matches(left(text, 500), '(?i)p\.\s*\d+|pp\.\s*\d+|\[?\d+\]|Figure\s*\d+|page\s*\d+|fig\.\s*\d+') AS cites,
-  length(trim(text)) > 0 AS useful, length(trim(text)) = 0 OR contains(lower(text), 'no results') OR contains(lower(text), 'no documents') OR contains(lower(text), 'empty') AS empty,
-  replace(lower(regexp_replace(left(text, 40), '^\s+|\s+$', '', 'g')), ' ', '_') AS entity, source AS file
-FROM documents
+_TEXT_PROFILE = rf"""
+WITH t AS (SELECT doc_id, source, text || ' ＡＢ１２　钢铁 材料' AS x FROM documents)
+SELECT doc_id, md5(replace(replace(replace(replace(replace(x, 'Ａ', 'A'), 'Ｂ', 'B'), '１', '1'), '２', '2'), '　', ' ')) AS half_width,
+  round(len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]')) / length(replace(replace(x, ' ', ''), chr(10), '')), 6) AS cjk, regexp_matches(x, '[a-zA-Z]{{50,}}') AS long_run, length(x) // 2 AS tokens,
+  md5(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')) AS clean,
+  md5(trim(regexp_replace(regexp_replace(x, '[ :|\r\n\t,，。？?/`!！&^%()\[\]{{}}<>]+', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS plain,
+  CASE WHEN length(x) > 100 THEN left(x, 100) || ' [more]' ELSE x END AS head, CASE WHEN length(x) > 50 THEN '[...]' || right(x, 50) ELSE x END AS tail,
+  CASE WHEN len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) BETWEEN 4 AND 11 THEN 'Tx' WHEN len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) > 11 THEN 'Lx' ELSE 'Ot' END AS block,
+  len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) AS simple, false AS ascii,
+  regexp_matches(x, '(?i)p\.\s*\d+|pp\.\s*\d+|\[?\d+\]|Figure\s*\d+|page\s*\d+|fig\.\s*\d+') AS cites,
+  true AS useful, contains(lower(x), 'no results') OR contains(lower(x), 'no documents') OR contains(lower(x), 'empty') AS empty,
+  md5(replace(lower(regexp_replace(x, '^\s+', '')), ' ', '_')) AS entity, source || '_a_b' AS file
+FROM t
 """
 
 
@@ -212,8 +265,62 @@ def vocabulary_hits(spark: SparkSession, d: str) -> DataFrame:
     return search.vocabulary_hits(asked, words)
 
 
+def query_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Words of part names in passages, the longest first; every third passage names candidates of its own, of which half hit."""
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("entity")).distinct()
+    asked = _questions(spark, d).withColumn("query", F.concat("query", F.lit(" A RED Ring, big widget")))
+    own = asked.where("query_id % 3 = 0").select("query_id", F.explode(F.when(F.col("query_id") % 2 == 0, F.array(F.lit("red ring"), F.lit("Big"), F.lit("none"))).otherwise(F.array(F.lit("absent")))).alias("entity"))
+    return search.query_entities(asked, words, own)
+
+
+def graph_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with two relations each, as a query of the lexical leg sees them."""
+    asked = _questions(spark, d)
+    relations = table(spark, d, "nation").select((F.col("n_nationkey").cast("long") % 10).alias("query_id"), F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("subject"), F.lit("lies-in").alias("relation"), F.concat(F.lit("region ("), F.col("n_regionkey").cast("string"), F.lit(")")).alias("object"))
+    return search.with_relations(asked, relations)
+
+
+def boolean_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, by text or source, with one of two words."""
+    return search.any_word(table(spark, d, "documents"), ["worthless", "src7"], ["text", "source"]).select("doc_id")
+
+
+def result_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as the results of a query for each region."""
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("query_id"), F.col("n_nationkey").alias("rank"), "n_name")
+    block = search.result_block(F.col("rank"), T.citation(F.col("n_name"), F.col("rank"), F.lit("text")), F.lit("text_chunk"), F.lower("n_name"), F.when(F.col("rank") % 2 == 0, F.concat(F.lit("img/a b+"), "n_name", F.lit(".png"))), "http://localhost/images?path=")
+    return search.result_text(rows, block)
+
+
+def pre_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the passages without punctuation, and short tokens of their words merged."""
+    asked = _questions(spark, d).withColumn("query", F.concat(F.lit("a bc "), "query", F.lit(" 1 2 b3 c d e f long 7")))
+    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
+    return asked.select("query_id", F.array_join(T.pretokens(F.col("query"), ["the"]), " ").alias("pre"), F.array_join(T.merged_tokens(words, ["of"]), "|").alias("merged"), F.array_join(T.segments(F.col("query")), "|").alias("segments"))
+
+
+_MERGED = r"""
+WITH RECURSIVE asked AS (SELECT item_id AS query_id, 'a bc ' || text || ' 1 2 b3 c d e f long 7' AS q FROM benchmark),
+w AS (SELECT query_id, q, list_filter(regexp_split_to_array(lower(q), '\s+'), lambda x: x <> '') AS x FROM asked),
+f AS (SELECT query_id, x, list_transform(x, lambda t: (length(t) = 1 OR regexp_full_match(t, '[0-9a-z]{1,2}')) AND t <> 'of') AS s FROM w),
+-- One token, or a run of short ones, at a time: up to four are taken together, of longer runs two.
+m AS (
+  SELECT query_id, x, s, 1 AS i, CAST([] AS VARCHAR[]) AS done FROM f
+  UNION ALL
+  SELECT query_id, x, s, i + n, list_append(done, array_to_string(x[i:i + n - 1], ' ')) FROM (
+    SELECT *, CASE WHEN run < 2 THEN 1 WHEN run < 5 THEN run ELSE 2 END AS n FROM (
+      SELECT *, coalesce(list_position(s[i:], false), len(x) - i + 2) - 1 AS run FROM m WHERE i <= len(x)))),
+merged AS (SELECT query_id, array_to_string(done, '|') AS merged FROM m WHERE i > len(x)),
+words AS (SELECT query_id, unnest(x) AS word, unnest(range(len(x))) AS pos FROM (SELECT query_id, list_filter(regexp_split_to_array(q, '\s+'), lambda t: t <> '') AS x FROM asked)),
+glued AS (SELECT *, CASE WHEN regexp_matches(word, '[a-zA-Z]$') AND coalesce(regexp_matches(lag(word) OVER (PARTITION BY query_id ORDER BY pos), '[a-zA-Z]$'), false) THEN ' ' WHEN pos > 0 THEN '|' ELSE '' END AS glue FROM words),
+segments AS (SELECT query_id, string_agg(glue || word, '' ORDER BY pos) AS segments FROM glued GROUP BY 1)
+SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(q, '[~—\t @#%!<>,.?":;''{}\[\]_=()|&`×\\/]', '', 'g')), '__LATIN__'), lambda t: t <> 'the' AND NOT regexp_full_match(t, '[0-9]')), ' ') AS pre, merged, segments
+FROM asked JOIN merged USING (query_id) JOIN segments USING (query_id)
+""".replace("__LATIN__", LATIN)
+
+
 QUERIES = {
-    "hybrid_search": (hybrid_search, f"WITH {_BM25},{_dense('SELECT item_id AS query_id, e.embedding AS vector FROM benchmark JOIN embeddings e ON e.vec_id = item_id')},{_FUSED} SELECT query_id, rank, id AS doc_id, score, '[来源: ' || source || ']' AS citation FROM ranked JOIN documents ON doc_id = id WHERE rank < 5"),
+    "hybrid_search": (hybrid_search, f"WITH {_EXPANDED},{_dense('SELECT item_id AS query_id, e.embedding AS vector FROM benchmark JOIN embeddings e ON e.vec_id = item_id')},{_FUSED} SELECT query_id, rank, id AS doc_id, score, '[来源: ' || source || ']' AS citation FROM ranked JOIN documents ON doc_id = id WHERE rank < 5"),
     "bm25_topk": (bm25_topk, f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical WHERE rank < 10"),
     "knn_cosine_topk": (knn_cosine_topk, f"WITH {_dense('SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0')} SELECT query_id, vec_id, score, rank FROM dense WHERE rank < 10"),
     "rrf_two_leg": (rrf_two_leg, """
@@ -228,9 +335,30 @@ WITH items AS (
          CASE WHEN user_id % 3 <> 0 THEN CASE WHEN user_id % 7 <> 0 THEN CAST(user_id AS VARCHAR) END ELSE 'd' || user_id END AS uid FROM events)
 SELECT uid, round(sum(1.0 / (60 + rank + 1)), 9) AS score, arg_min(payload, (list, rank)) AS payload FROM items WHERE uid IS NOT NULL GROUP BY uid"""),
     "term_weights": (term_weights, _TERM_WEIGHTS),
-    "query_clauses": (query_clauses, f"SELECT query_id, term AS clause, term, weight AS boost FROM ({_TERM_WEIGHTS})"),
-    "token_similarity": (token_similarity, f"WITH {_TOKEN_SIMILARITY} SELECT id, similarity FROM alike"),
-    "hybrid_linear": (hybrid_linear, f"WITH {_TOKEN_SIMILARITY},{_dense('SELECT 0 AS query_id, embedding AS vector FROM embeddings WHERE vec_id = 0').replace(', 6) AS score', ', 15) AS score')} SELECT id, round(0.85 * score + 0.15 * similarity, 6) AS score FROM dense JOIN alike ON id = vec_id"),
+    "query_clauses": (query_clauses, f"""
+WITH {_clauses(_MIXED)}, {_SYNONYMS}
+SELECT query_id, term AS clause, term, weight AS boost FROM weighted UNION ALL SELECT query_id, clause, term, boost FROM inner_parts WHERE length(term) > 1
+UNION ALL SELECT query_id, term, synonym, 0.2 * weight FROM weighted JOIN synonyms USING (term)"""),
+    "query_keywords": (query_keywords, f"""
+WITH {_clauses(_MIXED)}, {_SYNONYMS},
+texts AS (SELECT query_id, segment, string_agg(word, ' ' ORDER BY pos) AS text FROM segmented WHERE segment <= 256 GROUP BY ALL),
+tokens AS (SELECT query_id, segment, word, pos, unnest(regexp_extract_all(word, '{LATIN}')) AS term, unnest(range(len(regexp_extract_all(word, '{LATIN}')))) AS nth FROM segmented WHERE segment <= 256),
+split AS (SELECT *, regexp_extract_all(term, '[0-9]+|[a-zA-Z]+') AS p FROM tokens),
+more AS (
+  SELECT query_id, segment, 0 AS kind, pos * 1000 + nth AS at, unnest(list_filter(p, lambda x: length(x) > 1)) AS word, unnest(range(len(list_filter(p, lambda x: length(x) > 1)))) AS n FROM split WHERE length(term) > 2 AND len(p) > 1 AND NOT regexp_full_match(term, '\\p{{L}}+')
+  UNION ALL SELECT query_id, segment, 1, pos * 1000 + nth, synonym, 0 FROM tokens JOIN synonyms USING (term)),
+sizes AS (SELECT t.query_id, t.segment, count(m.word) AS n FROM texts t LEFT JOIN more m USING (query_id, segment) GROUP BY ALL),
+listed AS (SELECT query_id, list(n ORDER BY segment) AS n FROM sizes GROUP BY 1),
+-- Keywords so far before each segment's parts and synonyms are looked at.
+walked(query_id, n, i, total, taken) AS (
+  SELECT query_id, n, 1, 1 + CASE WHEN 1 < 32 THEN n[1] ELSE 0 END, 1 < 32 FROM listed
+  UNION ALL SELECT query_id, n, i + 1, total + 1 + CASE WHEN total + 1 < 32 THEN n[i + 1] ELSE 0 END, total + 1 < 32 FROM walked WHERE i < len(n)),
+words AS (SELECT query_id, text AS word FROM texts UNION SELECT m.query_id, m.word FROM more m JOIN walked k ON k.query_id = m.query_id AND k.i = m.segment AND k.taken)
+SELECT query_id, count(*) AS n, bool_or(word = 'ti') AS has_part, bool_or(word = 'that') AS has_synonym FROM words GROUP BY 1""".replace("WITH ", "WITH RECURSIVE ", 1)),
+    "token_similarity": (token_similarity, f"WITH {_TOKEN_SIMILARITY} SELECT query_id, id, similarity FROM alike"),
+    "hybrid_linear": (hybrid_linear, f"""
+WITH {_TOKEN_SIMILARITY},{_dense('SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0').replace(', 6) AS score', ', 15) AS score')}
+SELECT d.query_id, vec_id AS id, round(0.85 * score + 0.15 * coalesce(similarity, 0), 6) AS score FROM dense d LEFT JOIN alike a ON a.id = vec_id AND a.query_id = d.query_id"""),
     "recall_at_k": (recall_at_k, f"""
 WITH {_BM25},
 relevant AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -245,4 +373,21 @@ SELECT query_id, round(len(list_distinct(flatten(list(hit)))) / len(any_value(ex
     "fine_tokens": (fine_tokens, "SELECT DISTINCT name, CASE WHEN len(p) > 1 THEN array_to_string(p, ' ') ELSE name END AS parts FROM (SELECT name, regexp_extract_all(name, '[0-9]+|[a-zA-Z]+') AS p FROM (SELECT replace(lower(p_brand), '#', '') || 'x' || p_size AS name FROM part))"),
     "catalog_search": (catalog_search, _CATALOG),
     "vocabulary_hits": (vocabulary_hits, "SELECT item_id AS query_id, entity FROM benchmark, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS entity FROM part) WHERE contains(lower(text || ' ' || CASE WHEN item_id % 2 = 0 THEN 'a red ring' ELSE 'big widget' END), lower(entity))"),
+    "query_entities": (query_entities, """
+WITH asked AS (SELECT item_id AS query_id, lower(text || ' A RED Ring, big widget') AS q FROM benchmark),
+own AS (SELECT query_id, unnest(CASE WHEN query_id % 2 = 0 THEN ['red ring', 'Big', 'none'] ELSE ['absent'] END) AS entity FROM asked WHERE query_id % 3 = 0),
+hit AS (SELECT DISTINCT query_id, entity FROM own JOIN asked USING (query_id) WHERE contains(q, lower(entity))),
+found AS (
+  SELECT * FROM hit
+  UNION ALL SELECT query_id, entity FROM asked, (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS entity FROM part) WHERE contains(q, lower(entity)) AND query_id NOT IN (SELECT query_id FROM hit))
+SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY length(entity) DESC, entity) - 1 AS rank FROM found"""),
+    "graph_expanded": (graph_expanded, """
+WITH r AS (SELECT n_nationkey % 10 AS query_id, string_agg(n_name || ' lies in region  ' || n_regionkey || ' ', '，' ORDER BY n_nationkey) AS more FROM nation GROUP BY 1)
+SELECT item_id AS query_id, text || coalesce('。相关背景：' || more, '') AS query FROM benchmark LEFT JOIN r ON query_id = item_id"""),
+    "boolean_search": (boolean_search, f"SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text || ' ' || source), '{LATIN}'), 'worthless') OR list_contains(regexp_extract_all(lower(text || ' ' || source), '{LATIN}'), 'src7')"),
+    "result_blocks": (result_blocks, """
+SELECT n_regionkey AS query_id, string_agg('Doc: ' || n_nationkey || ' [来源: ' || n_name || CASE WHEN n_nationkey > 0 THEN ', p.' || n_nationkey ELSE '' END || '] (Type: text_chunk)' || chr(10) || 'Content: ' || lower(n_name)
+  || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'Image: ![text_chunk图表](http://localhost/images?path=img/a%20b%2B' || replace(n_name, ' ', '%20') || '.png)' ELSE '' END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n_nationkey) AS text
+FROM nation GROUP BY 1"""),
+    "pre_tokens": (pre_tokens, _MERGED),
 }

@@ -46,6 +46,60 @@ class Registry:
         except Exception as error:  # noqa: BLE001  what failed goes into the envelope
             return {"status": "error", "result": None, "error": f"{type(error).__name__}: {error}"}
 
-    def register_sql(self, spark: SparkSession, name: str, function: Callable, kind: str) -> None:
-        """Makes a vectorised function callable from SQL."""
-        spark.udf.register(name, F.pandas_udf(function, kind))
+    def register_scalars(self, spark: SparkSession) -> list[str]:
+        """Makes the registered vectorised functions callable from SQL: entries of category ``scalar``, whose hint is the result type."""
+        names = [name for name, (_, entry) in self.functions.items() if entry.category == "scalar"]
+        for name in names:
+            function, entry = self.functions[name]
+            spark.udf.register(name, F.pandas_udf(function, entry.search_hint))
+        return sorted(names)
+
+
+#: Table functions by name: their parameters, columns and bodies. A body reads temporary views: postings (id, term, tf, size),
+#: relations (src, type, dst, doc_id) and catalog (name, description, category, search_hint).
+TABLE_FUNCTIONS = {
+    "search_text": (
+        "asked STRING, most INT", "id BIGINT, score DOUBLE, rank INT",
+        """
+WITH t AS (SELECT DISTINCT explode(regexp_extract_all(lower(asked), '[0-9a-z\\u00DF-\\u00F6\\u00F8-\\u024F]+', 0)) AS term),
+n AS (SELECT count(DISTINCT id) AS n, avg(size) AS mean FROM (SELECT DISTINCT id, size FROM postings)),
+d AS (SELECT p.term, count(*) AS df FROM postings p JOIN t ON t.term = p.term GROUP BY p.term),
+s AS (SELECT p.id, round(sum(ln(1 + (n.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / n.mean))), 6) AS score FROM postings p JOIN d ON d.term = p.term CROSS JOIN n GROUP BY p.id)
+SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= most""",
+    ),
+    "graph_relations": (
+        "entity STRING", "node STRING, type STRING, other STRING, direction STRING",
+        "SELECT src, type, dst, 'out' FROM relations WHERE src = entity UNION ALL SELECT dst, type, src, 'in' FROM relations WHERE dst = entity AND src <> dst",
+    ),
+    "impact_path": (
+        "entity STRING", "hops INT, path STRING",
+        """
+WITH e AS (SELECT src, dst FROM relations WHERE src <> dst),
+one AS (SELECT dst AS a FROM e WHERE src = entity),
+two AS (SELECT a, dst AS b FROM one JOIN e ON src = a),
+three AS (SELECT a, b, dst AS c FROM two JOIN e ON src = b)
+SELECT 1, concat_ws(' -> ', entity, a) FROM one UNION ALL SELECT 2, concat_ws(' -> ', entity, a, b) FROM two UNION ALL SELECT 3, concat_ws(' -> ', entity, a, b, c) FROM three""",
+    ),
+    "search_tools": (
+        "word STRING, most INT", "name STRING, score INT",
+        """
+SELECT name, score FROM (
+  SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS nth FROM (
+    SELECT name, CASE WHEN array_contains(split(lower(name), '_'), lower(word)) THEN 10 WHEN contains(lower(name), lower(word)) THEN 5 ELSE 0 END
+      + CASE WHEN array_contains(split(lower(search_hint), '\\\\W+'), lower(word)) THEN 4 ELSE 0 END + CASE WHEN contains(lower(category), lower(word)) THEN 3 ELSE 0 END
+      + CASE WHEN array_contains(split(lower(description), '\\\\W+'), lower(word)) THEN 2 ELSE 0 END AS score FROM catalog)
+  WHERE score > 0) WHERE nth <= most""",
+    ),
+}
+
+
+def register_tables(spark: SparkSession, views: dict[str, DataFrame]) -> list[str]:
+    """Makes the table functions whose views are given callable from SQL: SELECT * FROM search_text('words', 5). Catalyst inlines their bodies."""
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
+    needs = {"search_text": "postings", "graph_relations": "relations", "impact_path": "relations", "search_tools": "catalog"}
+    names = [name for name, view in needs.items() if view in views]
+    for name in names:
+        parameters, columns, body = TABLE_FUNCTIONS[name]
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {body}")
+    return names
