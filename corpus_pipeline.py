@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm import bpe, mixing, quality, secrets, simhash
-from veinstone.llm.common import table, written
+from veinstone.llm.common import fresh_path, intermediates_removed, remove, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +48,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE encoding and decoding", tokenise),
 ]
 
-#: Similarity links, normal tails over a corpus-wide table, and byte-pair merges are beyond SQL; the tests hold the stages
-#: against brute-force versions.
+#: Components of similar texts, a fitted error rate over the corpus, and byte-pair merges are beyond SQL: tests/llm/test_pipeline.py
+#: holds each stage, on what its predecessor kept, against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{k}")
-    return docs
+    """All stages over documents. What a stage writes on its way goes when its result is written, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = fresh_path(spark, f"pipeline-{k}")
+        with intermediates_removed(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(found.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
