@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from comparing import FOLDER, of_spark, of_sql
 from veinstone.llm import registry
+from veinstone.llm.common import written
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -42,12 +43,12 @@ def test_pipeline(spark, odd_folder, empty_folder):
     docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, odd_folder), "stage")
+        docs = written(stage(spark, docs, odd_folder), "stage")
         assert docs.columns == columns, name
     assert docs.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, odd_folder).count() == docs.count()
     assert corpus_pipeline.run(spark, empty_folder).collect() == []
     wide = spark.read.parquet(f"{odd_folder}/documents.parquet").limit(30).withColumns({c: F.lit(1) for c in ("kept", "_nth", "size", "_key", "shards", "n_words")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        wide = corpus_pipeline.written(stage(spark, wide, odd_folder), "stage")
+        wide = written(stage(spark, wide, odd_folder), "stage")
     assert "n_words" in wide.columns
