@@ -27,12 +27,23 @@ def odd_folder(spark, odd, tmp_path_factory):
     odd.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, "http://a", "<p>x"), (0, None, "<p>x"), (2, "http://b", None), (3, "u\r\nv", ""), (None, None, "<p>y"), (None, None, None), (7, "", "é" * 9000), (7, "", "é" * 9000)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(k, k % 2, int(k % 5 == 0)) for k in range(60)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    texts = [text for _, text, *_ in odd_rows()]
+    spark.createDataFrame([(1, texts[0]), (2, texts[1]), (2, "Two Words"), (None, texts[3]), (3, None), (4, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
+def odd_vectors():
+    """Vectors with repeats, nulls, and components that aren't numbers; 64 components each but for two."""
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 0.2) for _ in range(64)], k % 4) for k in range(300)]
+    rows += [(None, rows[0][1], None), (5, rows[0][1], 1), (5, rows[5][1], 1), rows[6], (400, None, 1), (401, [0.5] * 63, 2), (402, [], 2)]
+    return rows + [(403 + k, [bad] + [0.0] * 63, None) for k, bad in enumerate((None, float("nan"), float("inf")))]
+
+
 @pytest.fixture(scope="session")
 def empty_folder(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name, columns in {"documents": COLUMNS, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}.items():
+    for name, columns in {"documents": COLUMNS, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int"}.items():
         spark.createDataFrame([], columns).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import bpe, fingerprints, mixing, quality, secrets, shards, simhash, suffix_dedup, toxicity, warc
+from veinstone.llm import ball_tree, bpe, decontaminate, exponion, fingerprints, mixing, quality, secrets, shards, simhash, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_salvage": warc.query,
         "op9_toxicity_zstd": toxicity.query,
         "op10_simhash_gray": simhash.query,
+        "op11_winnowing": decontaminate.query,
+        "op12_ball_tree": ball_tree.query,
+        "op13_exponion": exponion.query,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_factors": suffix_dedup.SQL,
         "op5_hypergeometric_tree": mixing.SQL,
         "op8_warc_salvage": warc.SQL,
+        "op11_winnowing": decontaminate.SQL,
+        "op12_ball_tree": ball_tree.SQL,
+        "op13_exponion": exponion.SQL,
     }
