@@ -99,9 +99,10 @@ def containing(docs: DataFrame, queries: DataFrame, *, id_column: str = "doc_id"
     keyed = queries.select("query_id", "query", F.get(F.sort_array(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"].alias("key"))
     keyed = settled(keyed.where(F.col("query").isNotNull()), "queries")
     text = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    each = text.select("id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    each = text.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))  # without the text, which pairs that share a key fetch
     long, short = keyed.where("key IS NOT NULL"), keyed.where("key IS NULL")
-    found = each.join(held(long), "key").where(F.contains("text", "query")).select("query_id", "id")
+    pairs = settled(each.join(held(long), "key").select(F.col("id").alias("of"), "query_id", "query").distinct(), "pairs")
+    found = text.join(held(pairs), F.col("id").eqNullSafe(F.col("of"))).where(F.contains("text", "query")).select("query_id", "id")
     return found.unionByName(in_blocks(short.drop("key"), "query_id", lambda block: text.join(block, F.contains("text", "query")).select("query_id", "id")))
 
 
@@ -126,10 +127,14 @@ def fuse_lists(items: DataFrame, k: int = RRF_K, places: int = 9) -> DataFrame:
     return named.groupBy("uid").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank") + 1)), places).alias("score"), F.min_by("payload", F.struct("list", "rank")).alias("payload"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, synonyms: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score, citation): a lexical leg of expanded queries and a dense leg, 2k each, fused; queries (query_id, query, vector)."""
-    lexical = bm25_clauses(docs, query_clauses(queries, synonyms), 2 * k)
-    dense = knn(vectors, queries, 2 * k)
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, synonyms: DataFrame | None = None, index=None, cells=None) -> DataFrame:
+    """(query_id, rank, doc_id, score, citation): a lexical leg of expanded queries and a dense leg, 2k each, fused; queries (query_id, query, vector).
+
+    index: a TextIndex of the documents, cells: a VectorIndex of the vectors; these are searched where they are given.
+    """
+    clauses = query_clauses(queries, synonyms)
+    lexical = index.search(clauses, 2 * k) if index is not None else bm25_clauses(docs, clauses, 2 * k)
+    dense = cells.search(queries, 2 * k).drop("candidates") if cells is not None else knn(vectors, queries, 2 * k)
     top = settled(fuse_legs([lexical, dense]).where(F.col("rank") < k), "hybrid")
     cited = T.citation(F.col("source"), F.lit(-1), F.lit("text"))
     return docs.join(held(top), F.col("doc_id") == F.col("id")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", cited.alias("citation"))
@@ -242,6 +247,19 @@ def query_clauses(queries: DataFrame, synonyms: DataFrame | None = None) -> Data
     return clauses
 
 
+def query_phrases(queries: DataFrame) -> DataFrame:
+    """(query_id, clause, words, slop, boost): of each weighted term of several parts, the parts side by side, and at half the boost with up to two places between.
+
+    These are what a query's clauses hold besides terms; parts of one character are left out. See text_index.Phrases.
+    """
+    plain = T.without_signs(T.half_width(F.lower(F.coalesce("query", F.lit("")))))
+    terms = queries.select("query_id", F.posexplode(F.slice(T.segments(plain), 1, 256)).alias("segment", "text")).select("query_id", "segment", F.explode(T.tokens(F.col("text"))).alias("term"))
+    weighted = term_weights(terms.select(F.struct("query_id", "segment").alias("of"), "term"), "of").select("of.query_id", "term", "weight")
+    parts = weighted.select("query_id", F.col("term").alias("clause"), F.filter(T.fine_tokens(F.col("term")), lambda p: (p != F.col("term")) & (F.length(p) > 1)).alias("words"), "weight").where("size(words) > 0")
+    kinds = F.array(F.struct(F.lit(0).alias("slop"), F.lit(1.0).alias("share")), F.struct(F.lit(2).alias("slop"), F.lit(0.5).alias("share")))
+    return parts.select("query_id", "clause", "words", F.col("weight"), F.inline(kinds)).select("query_id", "clause", "words", "slop", (F.col("weight") * F.col("share")).alias("boost"))
+
+
 def keywords(queries: DataFrame, synonyms: DataFrame | None = None, enough: int = 32) -> DataFrame:
     """(query_id, keywords): segments, and while there are fewer than ``enough`` keywords before them, the parts and synonyms of their terms.
 

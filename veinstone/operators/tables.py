@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that settled() has made in this process, which go when it ends.
+_MADE: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a single machine (a local master) gets a folder where that is unset."""
@@ -21,18 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read again: iterations neither grow the lineage nor recompute it."""
+    """df written and read again: iterations neither grow the lineage nor recompute it. The folder goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _swept() -> None:
+    for path, spark in _MADE.items():
+        if spark.sparkContext._jsc is None:  # stopped before: what is left is the folder's owner's to clear
+            return
+        deleted(spark, path)
+
+
 def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
     """Deletes the folders of settled tables that nothing reads any more."""
-    jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), shared_folder(spark).split(":", 1)[-1].lstrip("/")
+    root = shared_folder(spark).split(":", 1)[-1].lstrip("/")
     for table in tables:
         for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
             if path.split(":", 1)[-1].lstrip("/").startswith(root):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                deleted(spark, path)

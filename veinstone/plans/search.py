@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested, text as T
 from veinstone.operators import evaluate, search
+from veinstone.operators.tables import settled, shared_folder
+from veinstone.operators.text_index import Phrases, TextIndex
+from veinstone.operators.vector_index import VectorIndex
 from veinstone.plans.tables import table
 
 LATIN = r"[0-9a-z\x{00DF}-\x{00F6}\x{00F8}-\x{024F}]+"
@@ -20,8 +26,33 @@ def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def _kept_at(spark: SparkSession, d: str, name: str) -> str:
+    """A folder in the shared one for what is made from a table: the same one while the table's files are the same."""
+    said, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
+    for file in sorted(table(spark, d, name).inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        said.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return f"{shared_folder(spark)}/{name}-index-{hashlib.sha256('|'.join(said).encode()).hexdigest()[:24]}"
+
+
+def text_index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the documents; whoever asks first makes it."""
+    index = TextIndex(spark, _kept_at(spark, d, "documents"))
+    if not index.versions.latest():
+        index.upsert(table(spark, d, "documents"))
+    return index
+
+
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    index = VectorIndex(spark, _kept_at(spark, d, "embeddings"))
+    if not index.versions.latest():
+        index.upsert(table(spark, d, "embeddings"))
+    return index
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = search.bm25(table(spark, d, "documents"), _questions(spark, d), 10)
+    found = text_index(spark, d).bm25(_questions(spark, d), 10)
     return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -99,10 +130,52 @@ dense AS (
   FROM (SELECT q.query_id, e.vec_id, round({cosine}, 6) AS score FROM embeddings e, ({queries}) q))"""
 
 
+def index_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 after two upserts and a deletion: the first has most documents, some with another text; the second those again and the rest."""
+    docs, index = table(spark, d, "documents"), TextIndex(spark, f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}")
+    changed = F.col("doc_id") % 3 == 0
+    index.upsert(docs.where("doc_id % 5 <> 0").withColumn("text", F.when(changed, F.concat_ws(" ", F.reverse("text"), "source")).otherwise(F.col("text"))))
+    index.upsert(docs.where("doc_id % 3 = 0 OR doc_id % 5 = 0"))
+    index.delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    found = settled(index.bm25(_questions(spark, d), 5).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank")), "upserts")
+    index.versions.remove()
+    return found
+
+
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold the third and fourth word of a benchmark passage side by side, or at half the boost up to two places off."""
+    words = _questions(spark, d).select("query_id", F.slice(T.tokens(F.col("query")), 3, 2).alias("words")).where("size(array_distinct(words)) = 2")
+    rows = words.select("query_id", F.lit("phrase").alias("clause"), "words", F.explode(F.array(F.lit(0), F.lit(2))).alias("slop")).withColumn("boost", F.when(F.col("slop") == 0, 1.0).otherwise(0.5))
+    none = spark.createDataFrame([], "query_id long, clause string, term string, boost double")
+    found = text_index(spark, d).search(none, 10, Phrases.of(rows))
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+_PHRASES = f"""
+toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{LATIN}') AS w FROM documents),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
+asked AS (SELECT query_id, w[3] AS a, w[4] AS b FROM (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{LATIN}') AS w FROM benchmark) WHERE len(w) >= 4 AND w[3] <> w[4]),
+terms AS (SELECT a AS term FROM asked UNION SELECT b FROM asked),
+places AS (SELECT * FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term, unnest(range(len(w))) AS p FROM toks) WHERE term IN (SELECT term FROM terms)),
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM places GROUP BY term), totals),
+met AS (
+  SELECT query_id, x.doc_id, any_value(x.size) AS size, bool_or(y.p - x.p = 1) AS exact, bool_or(abs(y.p - 1 - x.p) <= 2) AS near
+  FROM asked JOIN places x ON x.term = a JOIN places y ON y.term = b AND y.doc_id = x.doc_id GROUP BY query_id, x.doc_id),
+scored AS (
+  SELECT query_id, doc_id, round(CASE WHEN exact THEN 1.5 ELSE 0.5 END * (i.idf + j.idf) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * size / mean)), 6) AS score
+  FROM met JOIN asked USING (query_id) JOIN idf i ON i.term = a JOIN idf j ON j.term = b, totals WHERE near)"""
+
+
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours of the vectors whose number is divisible by 100, from stored cells, with how many vectors were compared."""
+    found = vector_index(spark, d).search(_asked_vectors(spark, d), 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"), "candidates")
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     queries = _questions(spark, d).join(vectors, "query_id")
-    return search.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), queries, 5)
+    return search.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), queries, 5, index=text_index(spark, d))
 
 
 _FUSED = """
@@ -198,14 +271,14 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Recall and MRR at 5 of BM25 for benchmark passages, against the documents that contain them."""
     docs, asked = table(spark, d, "documents"), _questions(spark, d)
     relevant = search.containing(docs, asked)
-    return evaluate.ranking_quality(search.bm25(docs, asked, 5), relevant, 5)
+    return evaluate.ranking_quality(text_index(spark, d).bm25(asked, 5), relevant, 5)
 
 
 def keyword_recall(spark: SparkSession, d: str) -> DataFrame:
     """Keyword recall and MRR of BM25's best 5, expecting the first six words of each passage."""
     docs, asked = table(spark, d, "documents"), _questions(spark, d)
     expected = asked.select("query_id", F.slice(F.split("query", " "), 1, 6).alias("expected"))
-    found = search.bm25(docs, asked, 5).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(search.held(expected), "query_id")
+    found = text_index(spark, d).bm25(asked, 5).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(search.held(expected), "query_id")
     scored = evaluate.keyword_recall(found)
     return scored.select("query_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
@@ -356,6 +429,9 @@ walked(query_id, n, i, total, taken) AS (
 words AS (SELECT query_id, text AS word FROM texts UNION SELECT m.query_id, m.word FROM more m JOIN walked k ON k.query_id = m.query_id AND k.i = m.segment AND k.taken)
 SELECT query_id, count(*) AS n, bool_or(word = 'ti') AS has_part, bool_or(word = 'that') AS has_synonym FROM words GROUP BY 1""".replace("WITH ", "WITH RECURSIVE ", 1)),
     "token_similarity": (token_similarity, f"WITH {_TOKEN_SIMILARITY} SELECT query_id, id, similarity FROM alike"),
+    "index_upserts": (index_upserts, "WITH kept AS (SELECT * FROM documents WHERE doc_id % 7 <> 0)," + _BM25.replace("FROM documents", "FROM kept") + " SELECT query_id, doc_id, score, rank FROM lexical WHERE rank < 5"),
+    "phrase_search": (phrase_search, f"WITH {_PHRASES} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored) WHERE rank < 10"),
+    "knn_cells": (knn_cells, None),
     "hybrid_linear": (hybrid_linear, f"""
 WITH {_TOKEN_SIMILARITY},{_dense('SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0').replace(', 6) AS score', ', 15) AS score')}
 SELECT d.query_id, vec_id AS id, round(0.85 * score + 0.15 * coalesce(similarity, 0), 6) AS score FROM dense d LEFT JOIN alike a ON a.id = vec_id AND a.query_id = d.query_id"""),
