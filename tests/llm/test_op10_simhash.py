@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 import xxhash
 
@@ -174,3 +175,30 @@ def test_dense_group_is_compared_once_each(spark):
     want = np.arange(30)
     S.unite(want, a[(a + b) % 29 == 1], b[(a + b) % 29 == 1])
     assert (label == want).all()
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    """Every component keeps one row, with its own values, whatever ids and names there are."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10_000)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (4, c), (None, c + " more"), (3, c), (None, d), (None, d), (None, d + " end"), (7, None), (None, ""), (9, b[:100]), (9, a[:90]), (9, a[:90])]
+    names = {"_key": "k", "_nth": "n", "row": "r", "rows": "s", "whole": "w", "root": "t", "bits": "u", "first": "f"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumns({name: F.concat(F.lit(x), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name, x in names.items()})
+    docs = docs.withColumn("counts", F.create_map(F.lit("x"), F.col("doc_id")))
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert all(r[name] == x + ("-" if r.doc_id is None else str(r.doc_id)) for r in found for name, x in names.items())
+    assert {(r.doc_id, r.text) for r in found} - {(None, d), (None, d + " end")} == {(1, a), (None, b), (3, c), (7, None), (9, b[:100]), (9, a[:90])}
+    assert len(found) == 7
+
+
+def test_many_rows_without_ids(spark, monkeypatch):
+    """Equal rows, more than a hot key's share, leave one; and rows without ids don't meet in one task."""
+    monkeypatch.setattr(S, "HOT_SHARE", 8)
+    rng = random.Random(9)
+    text = lambda: " ".join(str(rng.randrange(10_000)) for _ in range(30))
+    same, others = text(), [text() for _ in range(200)]
+    rows = [(None, same)] * 300 + [(None, t) for t in others] + [(5, others[0])] * 3
+    found = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in found) == sorted([(5, others[0]), (0, same)] + [(0, t) for t in others[1:]])

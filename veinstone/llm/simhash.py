@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import fresh_path, skew_safe_lookup, superseded, table, written
+from veinstone.llm.common import HOT_SHARE, fresh_path, skew_safe_lookup, superseded, table, written
 
 SEED, MOST, WORDS, FANOUT = 42, 3, 10, 8
 #: Distinct fingerprints of a bucket from which it is split again, and those of a piece of a bucket that stays larger.
@@ -152,8 +152,8 @@ class Shingles:
         return read
 
 
-def signatures(docs: DataFrame, store: Shingles, shingle: int, words: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, bits, place, size): the signature of each text's shingle set, and where the set is kept."""
+def signatures(docs: DataFrame, store: Shingles, shingle: int, words: int, row: Column | None = None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, row, bits, place, size): the signature of each text's shingle set, and where the set is kept; row: a string that goes along."""
 
     def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -164,19 +164,20 @@ def signatures(docs: DataFrame, store: Shingles, shingle: int, words: int, *, id
         with files.open_output_stream(draft, compression=None) as file:
             for batch in batches:
                 bits, places, sizes = [], [], []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     found = shingle_set(text.as_py() or "", shingle)
                     bits.append(signature(found, words).tobytes())
                     cut = np.unique(found.astype("<u4"))
-                    file.write(cut.tobytes())
+                    file.write(cut.tobytes() or b"-")  # places are names of nodes, so each is another, that of an empty set too
                     places.append(part << OFFSET_BITS | offset)
                     sizes.append(len(cut))
-                    offset += cut.nbytes
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(places, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "bits", "place", "size"])
+                    offset += cut.nbytes or 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(places, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "row", "bits", "place", "size"])
         files.move(draft, path)
 
-    texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return texts.mapInArrow(batches, "doc_id long, bits binary, place long, size int")
+    row = F.lit("") if row is None else row
+    texts = docs.select(docs[id_column].cast("long").alias("doc_id"), row.alias("row"), docs[text_column].cast("string").alias("text"))
+    return texts.mapInArrow(batches, "doc_id long, row string, bits binary, place long, size int")
 
 
 # --- the index ---------------------------------------------------------------------------------------------------------
@@ -469,27 +470,40 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: i
 
     With n distinct texts a bucket holds n / 2^16 unrelated ones; see README for what to raise beyond some 10^8 texts.
     """
+    prints, nodes, sets = _similar_sets(docs, shingle, similarity, words, None, id_column, text_column)
+    return _named(prints.select("doc_id", "bits"), nodes, sets, "bits").select("doc_id", "component_id")
+
+
+def _similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int, row: Column | None, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures (doc_id, row, bits, ...) of all documents, nodes (bits, label, copies, node, size) of the distinct ones, and sets (node, set) of linked nodes."""
     store = Shingles(fresh_path(docs.sparkSession, "shingles"))
-    prints = written(signatures(docs, store, shingle, words, id_column=id_column, text_column=text_column), "simhash-signatures")
+    prints = written(signatures(docs, store, shingle, words, row, id_column=id_column, text_column=text_column), "simhash-signatures")
     nodes = prints.groupBy("bits").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("label"), F.count("*").alias("copies"), F.min(F.struct("place", "size")).alias("kept"))
     nodes = written(nodes.select("bits", "label", "copies", F.col("kept.place").alias("node"), F.col("kept.size").alias("size")), "simhash-nodes")
     share, bits = differing_share(similarity), 64 * words
     most = math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
-    sets = written(_within_similarity(nodes.select("node", "size", "bits"), store, words, most, similarity), "simhash-sets")
-    return _named(prints.select("doc_id", "bits"), nodes, sets, "bits").select("doc_id", "component_id")
+    return prints, nodes, written(_within_similarity(nodes.select("node", "size", "bits"), store, words, most, similarity), "simhash-sets")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, one of each component of similar ones: that with the smallest doc_id.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, one row of each component of similar ones: that with the smallest id, or where no row has one that with the smallest digest.
 
-    Rows without doc_id can't be told apart; they stay only where their component has no id at all. Of rows that repeat a
-    doc_id one stays.
+    A row is known by a digest of all its columns (but maps); of rows that are equal in these any one may stay. Rows without an id, and rows
+    that repeat one, are judged by their component like any others. Columns keep their names and values, whatever they are called.
     """
-    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    kept = similar(docs, shingle, similarity).where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("component_id")).select(F.col("component_id").alias("_key")).distinct()
-    first = Window.partitionBy("_key").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind)))
-    alone = docs.withColumn("_key", same).join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first))
-    return alone.where((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    told = [docs[f"`{c}`"] for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *told)), 16, "0") for seed in (1, 2)))
+    prints, nodes, sets = _similar_sets(docs, shingle, similarity, WORDS, row, id_column, text_column)
+    roots = nodes.join(connected(sets).withColumnRenamed("label", "root"), "node", "left").select("bits", "copies", F.coalesce("root", "node").alias("root"))
+    of = written(skew_safe_lookup(prints.select("bits", "doc_id", "row"), roots, "bits", "copies", F.col("row")).select("root", "doc_id", "row"), "simhash-rows")
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    first = written(of.groupBy("row").agg(F.count("*").alias("rows")).join(first, "row"), "simhash-first")
+    keyed, often = docs.select(whole.alias("whole"), row.alias("row")), F.col("rows") > F.lit(max(1.0, of.count() / HOT_SHARE))
+    hot = F.broadcast(first.where(often).select("row"))  # under HOT_SHARE rows
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("rows"))
+    rare = keyed.join(hot, "row", "left_anti").join(first.where(~often), "row").withColumn("nth", nth).where("nth = 1").select("whole.*")
+    return rare.unionByName(keyed.join(hot, "row", "left_semi").groupBy("row").agg(F.first("whole").alias("whole")).select("whole.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
