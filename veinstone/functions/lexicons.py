@@ -47,3 +47,5 @@ QUERY_SIGNS = r"""[\+\-\=\&\|><!\(\)\{\}\[\]\^"~\*\?:\\/]"""
 #: Punctuation, spaces among it, that pre-tokens are without.
 PRETOKEN_SIGNS = r"""[~—\t @#%!<>,\.\?":;'\{\}\[\]_=\(\)\|，。？》•●○↓《；‘’：“”【¥ 】…￥！、·（）×`&\\/「」]"""
 FIGURE_MENTION = r"(?i)(图|figure|fig\.?)\s*\d+"
+#: What a term's kind multiplies its weight by; 1 for others.
+KIND_WEIGHTS = {"toxic": 2, "func": 1, "corp": 3, "loca": 3, "sch": 3, "stock": 3, "firstnm": 1}

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested, text as T
+from veinstone.operators.tables import dropped, looked_up, settled
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, hash, first_id, status): documents of equal content resume that with the smallest id.
 
-    First ids come from an aggregation, which combines copies before they move, and meet the documents by hash.
+    First ids come from an aggregation, which combines copies before they move, and meet the documents by hash; a text with a great share of all documents is dealt out.
     """
     hashed = docs.select(F.col(id_column).alias("id"), nested.content_hash(F.coalesce(text_column, F.lit(""))).alias("hash"))
-    firsts = hashed.groupBy("hash").agg(F.min("id").alias("first_id"))
-    return hashed.join(firsts, "hash").withColumn("status", F.when(F.col("id") == F.col("first_id"), "new").otherwise("fast_resume"))
+    firsts = hashed.groupBy("hash").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return looked_up(hashed, firsts, "hash", "copies", F.col("id")).withColumn("status", F.when(F.col("id") == F.col("first_id"), "new").otherwise("fast_resume"))
 
 
 #: Vectors of a label that meet in one task; larger labels are dealt out in pairs of pieces of this size.
@@ -56,21 +57,21 @@ def representatives(pairs: DataFrame) -> DataFrame:
     """(node, representative): the smallest node that pairs (a, b) lead to, by spreading minima until nothing changes.
 
     Minima go to neighbours and to the neighbours' representatives, and each node takes over its representative's
-    representative, so that the rounds grow far slower than the length of a chain.
+    representative, so that the rounds grow far slower than the length of a chain. Nodes of a giant component, and links of a hub, are dealt out over tasks.
     """
-    from veinstone.operators.tables import dropped, settled
-
     ends = pairs.select("a", "b").where("a is not null and b is not null")
     links = settled(ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = settled(links.groupBy("a").agg(F.least("a", F.min("b")).alias("representative")).withColumnRenamed("a", "node"), "labels")
+    degree = settled(links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree")), "degrees")
     while True:
-        near = links.join(label.select(F.col("node").alias("b"), "representative"), "b").groupBy("a").agg(F.min("representative").alias("near"))
+        near = looked_up(links, label.join(degree, "node").select(F.col("node").alias("b"), "representative", "degree"), "b", "degree", F.col("a")).groupBy("a").agg(F.min("representative").alias("near"))
         near = near.withColumnRenamed("a", "node").join(label, "node")
         said = near.select("node", "near").unionAll(near.select(F.col("representative").alias("node"), "near"))
         spread = label.join(said.groupBy("node").agg(F.min("near").alias("near")), "node", "left")
         spread = settled(spread.select("node", F.least("representative", "near").alias("representative"), F.col("representative").alias("before")), "labels")
-        further = spread.select(F.col("node").alias("representative"), F.col("representative").alias("further"))
-        label = settled(spread.join(further, "representative", "left").select("node", F.least("representative", "further").alias("representative"), "before"), "labels")
+        led = spread.groupBy("representative").agg(F.count("*").alias("led"))
+        further = led.join(spread.select(F.col("node").alias("representative"), F.col("representative").alias("further")), "representative")
+        label = settled(looked_up(spread, further, "representative", "led", F.col("node")).select("node", F.least("representative", "further").alias("representative"), "before"), "labels")
         dropped(pairs.sparkSession, [spread])
         if label.where("representative < before").isEmpty():
             return label.drop("before")

@@ -227,6 +227,39 @@ def term_weights(terms: DataFrame, group: str, places: int = 6) -> DataFrame:
     return raw.select(group, "term", F.round(F.when(total > 0, F.col("raw") / total).otherwise(1.0 / F.count("*").over(Window.partitionBy(group))), places).alias("weight"))
 
 
+def term_weights_of(terms: DataFrame, group: str, counts: DataFrame, kinds: DataFrame | None = None, places: int = 6) -> DataFrame:
+    """(group, term, weight): as term_weights, with counts (term, count) of known terms, and what kinds (term, kind) of them weigh more.
+
+    A known term is as frequent as its count; of an unknown one of four characters or more, that isn't all letters, the rarest of its parts decides.
+    """
+    asked = settled(terms.select(group, "term").distinct(), "terms")
+    each = asked.select("term").distinct().withColumn("part", F.explode(F.array_union(F.array("term"), F.filter(T.fine_tokens(F.col("term")), lambda p: F.length(p) > 1))))
+    each = each.join(counts.select(F.col("term").alias("part"), "count"), "part", "left")
+    part, count = F.col("part"), F.coalesce("count", F.lit(0))
+    number, latin = part.rlike(r"^[0-9. -]{2,}$"), part.rlike(r"^[a-z. -]+$")
+    frequency = F.when(number, 3.0).when(latin & (count == 0), 300.0).otherwise(F.greatest(count, F.lit(10)).cast("double"))
+    documents = F.when(number, 5.0).when(F.col("count").isNotNull(), count + 3.0).when(latin, 300.0).otherwise(3.0)
+    whole = lambda value: F.max(F.when(part == F.col("term"), value))
+    least = lambda value: F.min(F.when(part != F.col("term"), value))
+    plain = whole(~number & ~latin & F.col("count").isNull()) & (F.length("term") >= 4) & (F.count("*") > 2)
+    known = each.withColumns({"f": frequency, "g": documents}).groupBy("term").agg(
+        F.when(plain, F.greatest(least(F.col("f")) / 6, F.lit(10.0))).otherwise(whole(F.col("f"))).alias("f"),
+        F.when(plain, F.greatest(least(F.col("g")) / 6, F.lit(3.0))).otherwise(whole(F.col("g"))).alias("g"),
+    )
+    term = F.col("term")
+    kind = F.lit(1.0)
+    if kinds is not None:
+        known = known.join(kinds.groupBy("term").agg(F.min("kind").alias("kind")), "term", "left")
+        for name, weight in L.KIND_WEIGHTS.items():
+            kind = F.when(F.col("kind") == name, float(weight)).otherwise(kind)
+    entity = F.when(term.rlike(r"^[0-9,.]{2,}$"), 2.0).when(term.rlike(r"^[a-z]{1,2}$"), 0.01).otherwise(kind)
+    tag = F.when(term.rlike("^[0-9-]"), 2.0).otherwise(1.0)
+    idf = lambda s, n: F.log10(10 + (n - s + 0.5) / (s + 0.5))
+    raw = asked.join(known.select("term", ((0.3 * idf(F.col("f"), 1e7) + 0.7 * idf(F.col("g"), 1e9)) * entity * tag).alias("raw")), "term")
+    sums = raw.groupBy(group).agg(F.sum("raw").alias("total"), F.count("*").alias("n"))
+    return raw.join(sums, group).select(group, "term", F.round(F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1.0 / F.col("n")), places).alias("weight"))
+
+
 def query_clauses(queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """(query_id, clause, term, boost): weighted clauses of each query: the term, its synonyms at a fifth, its parts at half.
 
@@ -282,13 +315,13 @@ def keywords(queries: DataFrame, synonyms: DataFrame | None = None, enough: int
 def catalog_search(catalog: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """(name, score): entries of a catalog (name, description, category, search_hint) by keywords.
 
-    ``select:a,b`` names entries; ``+word`` is required somewhere. An exact part of the name counts 10, else a substring
+    ``select:a,b`` names entries, whatever their case: all of them, in the order asked. ``+word`` is required somewhere. An exact part of the name counts 10, else a substring
     of it 5; a word of the hint 4, a substring of the category 3, a word of the description 2.
     """
     name = F.lower("name")
     if query.startswith("select:"):
         names = [part.strip().lower() for part in query.removeprefix("select:").split(",") if part.strip()]
-        return catalog.where(name.isin(names)).select("name", F.lit(0).alias("score")).orderBy("name").limit(limit)
+        return catalog.where(name.isin(names)).select("name", F.lit(0).alias("score")).orderBy(F.array_position(F.lit(names), name), "name")
     words = query.lower().split()
     required, terms = [w[1:] for w in words if w.startswith("+") and len(w) > 1], [w.lstrip("+") for w in words if w.lstrip("+")]
     parts = T.name_parts(F.col("name"))

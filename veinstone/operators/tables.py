@@ -6,8 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key with over 1/HOT of the rows is dealt out over COPIES tasks.
+HOT, COPIES = 512, 64
 #: Folders that settled() has made in this process, which go when it ends.
 _MADE: dict[str, SparkSession] = {}
 
@@ -54,3 +57,17 @@ def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:
         for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
             if path.split(":", 1)[-1].lstrip("/").startswith(root):
                 deleted(spark, path)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, rows: str, spread: Column) -> DataFrame:
+    """Left join to a right side with one row for each key, of which no task gets all rows of a frequent one.
+
+    rows: the column of the right side that tells how many rows of the key the left side has; it goes. Keys with over 1/HOT of all, of which there are under HOT,
+    are copied, and their left rows dealt over the copies by ``spread``. A null key finds nothing.
+    """
+    total = right.agg(F.sum(rows).alias("n")).first()["n"] or 0
+    often = F.col(rows) > F.lit(max(1.0, total / HOT))
+    hot = F.broadcast(right.where(often).select(F.col(key).alias("_hot")))
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_copy", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(COPIES)).cast("int")).otherwise(0)).drop("_hot")
+    copied = right.withColumn("_copy", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0))))).drop(rows)
+    return dealt.join(copied, [key, "_copy"], "left").drop("_copy")

@@ -189,12 +189,14 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Nations, relations and trails by table functions in SQL."""
+    """Nations, relations and trails by table functions in SQL; every region leads back to a nation and to itself, so there are cycles and loops."""
     from veinstone import registry
 
     catalog = table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.lit("part of a machine").alias("description"), F.lit("parts").alias("category"), F.lit("small red ring").alias("search_hint")).distinct()
-    registry.register_tables(spark, {"relations": _places(spark, d), "catalog": catalog})
-    return spark.sql("SELECT 'relation' AS kind, concat_ws(' ', node, type, other, direction) AS item FROM graph_relations('n3') UNION ALL SELECT 'path', path FROM impact_path('c77') UNION ALL SELECT 'tool', concat_ws(' ', name, score) FROM search_tools('ring', 5)")
+    back = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.explode(F.array(F.lit("n"), F.lit("r"))).alias("to"))
+    back = back.select((-1 - F.col("k") * 2 - F.when(F.col("to") == "n", 0).otherwise(1)).alias("edge_id"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("src"), F.lit("LEADS_TO").alias("type"), F.concat("to", F.col("k").cast("string")).alias("dst"))
+    registry.register_tables(spark, {"relations": _places(spark, d).unionByName(back), "catalog": catalog})
+    return spark.sql("SELECT 'relation' AS kind, concat_ws(' ', node, type, other, direction) AS item FROM graph_relations('n3') UNION ALL SELECT 'path', path FROM impact_path('c77') UNION ALL SELECT 'path', path FROM impact_path('r1') UNION ALL SELECT 'tool', concat_ws(' ', name, score) FROM search_tools('ring', 5)")
 
 
 def graph_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -360,8 +362,11 @@ UNION ALL SELECT 'edge', 'MATCH (a {name: ' || q || n_name || q || '}), (b {name
 WITH kept AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT'), moved AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT 'chunks' AS store, (SELECT count(*) FROM orders) AS rows UNION ALL SELECT 'edges', (SELECT count(*) FROM orders) UNION ALL SELECT 'nodes', (SELECT count(*) FROM (SELECT 'c' || o_custkey AS node FROM kept UNION SELECT 'c1' || o_custkey FROM moved))"""),
     "table_functions": (table_functions, f"""
-WITH {_PLACES}, c AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)
-SELECT 'relation' AS kind, src || ' ' || type || ' ' || dst || ' out' AS item FROM places WHERE src = 'n3' UNION ALL SELECT 'relation', dst || ' ' || type || ' ' || src || ' in' FROM places WHERE dst = 'n3'
-UNION ALL SELECT 'path', 'c77 -> n' || c_nationkey FROM customer WHERE c_custkey = 77 UNION ALL SELECT 'path', 'c77 -> n' || c_nationkey || ' -> r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 77
+WITH RECURSIVE {_PLACES}, c AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part),
+links AS (SELECT * FROM places UNION ALL SELECT -1 - CAST(r_regionkey AS BIGINT) * 2, 'r' || r_regionkey, 'LEADS_TO', 'n' || r_regionkey FROM region UNION ALL SELECT -2 - CAST(r_regionkey AS BIGINT) * 2, 'r' || r_regionkey, 'LEADS_TO', 'r' || r_regionkey FROM region),
+t AS (SELECT dst AS last, 1 AS hops, src || ' -> ' || dst AS path, [edge_id] AS used FROM links WHERE src IN ('c77', 'r1')
+  UNION ALL SELECT dst, hops + 1, path || ' -> ' || dst, list_append(used, edge_id) FROM t JOIN links ON src = last WHERE hops < 3 AND NOT list_contains(used, edge_id))
+SELECT 'relation' AS kind, src || ' ' || type || ' ' || dst || ' out' AS item FROM links WHERE src = 'n3' UNION ALL SELECT 'relation', dst || ' ' || type || ' ' || src || ' in' FROM links WHERE dst = 'n3' AND src <> dst
+UNION ALL SELECT 'path', path FROM t
 UNION ALL SELECT 'tool', name || ' ' || score FROM (SELECT name, CASE WHEN list_contains(string_split(name, '_'), 'ring') THEN 10 WHEN contains(name, 'ring') THEN 5 ELSE 0 END + 4 AS score FROM c ORDER BY score DESC, name LIMIT 5)"""),
 }

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested, text as T
-from veinstone.operators import evaluate, search
+from veinstone.operators import evaluate, search, segment
 from veinstone.operators.tables import settled, shared_folder
 from veinstone.operators.text_index import Phrases, TextIndex
 from veinstone.operators.vector_index import VectorIndex
@@ -213,6 +214,30 @@ def term_weights(spark: SparkSession, d: str) -> DataFrame:
     return search.term_weights(_weighted_terms(spark, d), "query_id")
 
 
+def term_weights_table(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the questions' terms, mixed names among them, by how often documents use terms of an even number of letters; the names' parts are of a kind."""
+    terms = _mixed_questions(spark, d).select("query_id", F.explode(T.tokens(F.col("query"))).alias("term"))
+    counts = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).where("length(term) % 2 = 0").groupBy("term").agg(F.count("*").alias("count"))
+    kinds = counts.where("count % 5 = 0").select("term", F.when(F.col("count") % 2 == 0, "corp").otherwise("toxic").alias("kind"))
+    return search.term_weights_of(terms, "query_id", counts, kinds)
+
+
+#: Characters that stand for the letters a to z.
+_CJK = "".join(chr(0x4E00 + 37 * k) for k in range(26))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def cjk_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the conversations' texts, written in CJK characters, by a dictionary of the beginnings and ends of the questions' words: how often each comes out."""
+    in_cjk = lambda text: F.translate(F.lower(text), _LETTERS, _CJK)
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    parts = words.select(F.explode(F.array(F.left("w", F.lit(2)), F.left("w", F.lit(3)), F.right("w", F.lit(2)), F.right("w", F.lit(4)))).alias("w"))
+    dictionary = parts.groupBy(F.translate("w", _LETTERS, _CJK).alias("word")).agg(F.count("*").alias("frequency"))
+    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), in_cjk(F.col("text")).alias("text"))
+    found = segment.tokens(turns, dictionary, for_search=False).select(F.explode("words").alias("word"))
+    return found.where(F.col("word").rlike(segment.CJK)).groupBy(F.translate("word", _CJK, _LETTERS).alias("word")).agg(F.count("*").alias("n"))
+
+
 def _mixed_questions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages with a name of letters and digits each."""
     name = F.concat(F.lit(" 1cr"), (F.col("query_id") % 20 + 10).cast("string"), F.lit("ni9ti."))
@@ -353,6 +378,16 @@ def graph_expanded(spark: SparkSession, d: str) -> DataFrame:
     return search.with_relations(asked, relations)
 
 
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents for passages with what the graph says of them: the expanded text is what is searched."""
+    found = text_index(spark, d).bm25(graph_expanded(spark, d), 5)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+_EXPANDED_TERMS = f"""terms AS (SELECT item_id AS query_id, unnest(list_distinct(list_concat(regexp_extract_all(lower(text), '{LATIN}'), CASE WHEN contains(text, '相关背景') THEN ['相关', '关背', '背景'] ELSE [] END))) AS term FROM expanded),
+"""
+
+
 def boolean_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents, by text or source, with one of two words."""
     return search.any_word(table(spark, d, "documents"), ["worthless", "src7"], ["text", "source"]).select("doc_id")
@@ -432,6 +467,40 @@ SELECT query_id, count(*) AS n, bool_or(word = 'ti') AS has_part, bool_or(word =
     "index_upserts": (index_upserts, "WITH kept AS (SELECT * FROM documents WHERE doc_id % 7 <> 0)," + _BM25.replace("FROM documents", "FROM kept") + " SELECT query_id, doc_id, score, rank FROM lexical WHERE rank < 5"),
     "phrase_search": (phrase_search, f"WITH {_PHRASES} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored) WHERE rank < 10"),
     "knn_cells": (knn_cells, None),
+    "term_weights_table": (term_weights_table, f"""
+WITH asked AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '{LATIN}')) AS term FROM ({_MIXED})),
+terms AS (SELECT DISTINCT query_id, term FROM asked),
+counts AS (SELECT term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text), '{LATIN}')) AS term FROM documents) WHERE length(term) % 2 = 0 GROUP BY 1),
+parts AS (
+  SELECT term, term AS part FROM (SELECT DISTINCT term FROM terms) UNION
+  SELECT term, unnest(list_filter(p, lambda x: length(x) > 1)) FROM (SELECT DISTINCT term, regexp_extract_all(term, '[0-9]+|[a-zA-Z]+') AS p FROM terms) WHERE length(term) > 2 AND len(p) > 1 AND NOT regexp_full_match(term, '\\p{{L}}+')),
+each AS (
+  SELECT p.term, part, c, regexp_full_match(part, '[0-9. -]{{2,}}') AS number, regexp_full_match(part, '[a-z. -]+') AS latin FROM parts p LEFT JOIN counts ON counts.term = part),
+valued AS (
+  SELECT *, CASE WHEN number THEN 3.0 WHEN latin AND c IS NULL THEN 300.0 ELSE CAST(greatest(coalesce(c, 0), 10) AS DOUBLE) END AS f,
+    CASE WHEN number THEN 5.0 WHEN c IS NOT NULL THEN c + 3.0 WHEN latin THEN 300.0 ELSE 3.0 END AS g FROM each),
+known AS (
+  SELECT term, CASE WHEN plain AND n > 2 THEN greatest(fp / 6, 10.0) ELSE fw END AS f, CASE WHEN plain AND n > 2 THEN greatest(gp / 6, 3.0) ELSE gw END AS g
+  FROM (SELECT term, count(*) AS n, bool_or(part = term AND NOT number AND NOT latin AND c IS NULL) AND length(term) >= 4 AS plain, max(f) FILTER (part = term) AS fw, max(g) FILTER (part = term) AS gw,
+      min(f) FILTER (part <> term) AS fp, min(g) FILTER (part <> term) AS gp FROM valued GROUP BY term)),
+raws AS (
+  SELECT query_id, t.term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - g + 0.5) / (g + 0.5)))
+    * CASE WHEN regexp_full_match(t.term, '[0-9,.]{{2,}}') THEN 2.0 WHEN regexp_full_match(t.term, '[a-z]{{1,2}}') THEN 0.01 WHEN c % 10 = 0 THEN 3.0 WHEN c % 5 = 0 THEN 2.0 ELSE 1.0 END
+    * CASE WHEN regexp_matches(t.term, '^[0-9-]') THEN 2.0 ELSE 1.0 END AS raw
+  FROM terms t JOIN known k ON k.term = t.term LEFT JOIN counts ON counts.term = t.term)
+SELECT query_id, term, round(raw / sum(raw) OVER (PARTITION BY query_id), 6) AS weight FROM raws"""),
+    "cjk_segments": (cjk_segments, """
+WITH RECURSIVE words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
+dictionary AS (SELECT word, count(*) AS f FROM (SELECT unnest([w[:2], w[:3], w[-2:], w[-4:]]) AS word FROM words) GROUP BY 1),
+size AS (SELECT sum(f) AS total, max(length(word)) AS longest FROM dictionary),
+runs AS (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS run FROM conversations) GROUP BY 1),
+pieces AS (SELECT run, start, n, run[start + 1 : start + n] AS word FROM (SELECT run, unnest(range(length(run))) AS start FROM runs), (SELECT unnest(range(1, longest + 1)) AS n FROM size) WHERE start + n <= length(run)),
+edges AS (SELECT run, start, start + n AS ending, word, CAST(round(1000000 * ln(coalesce(f, 1) / total)) AS BIGINT) AS weight FROM pieces LEFT JOIN dictionary USING (word), size WHERE f IS NOT NULL OR n = 1),
+paths AS (
+  SELECT run, 0 AS at, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS words, CAST([] AS BIGINT[]) AS back FROM runs
+  UNION ALL SELECT p.run, ending, total + weight, list_append(words, word), list_prepend(start, back) FROM paths p JOIN edges e ON e.run = p.run AND e.start = p.at),
+best AS (SELECT run, words FROM (SELECT run, words, row_number() OVER (PARTITION BY run ORDER BY total DESC, back) AS nth FROM paths WHERE at = length(run)) WHERE nth = 1)
+SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT unnest(words) AS word, times FROM best JOIN runs USING (run)) GROUP BY 1"""),
     "hybrid_linear": (hybrid_linear, f"""
 WITH {_TOKEN_SIMILARITY},{_dense('SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0').replace(', 6) AS score', ', 15) AS score')}
 SELECT d.query_id, vec_id AS id, round(0.85 * score + 0.15 * coalesce(similarity, 0), 6) AS score FROM dense d LEFT JOIN alike a ON a.id = vec_id AND a.query_id = d.query_id"""),
@@ -460,6 +529,9 @@ SELECT query_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY lengt
     "graph_expanded": (graph_expanded, """
 WITH r AS (SELECT n_nationkey % 10 AS query_id, string_agg(n_name || ' lies in region  ' || n_regionkey || ' ', '，' ORDER BY n_nationkey) AS more FROM nation GROUP BY 1)
 SELECT item_id AS query_id, text || coalesce('。相关背景：' || more, '') AS query FROM benchmark LEFT JOIN r ON query_id = item_id"""),
+    "graph_search": (graph_search, """
+WITH r AS (SELECT n_nationkey % 10 AS query_id, string_agg(n_name || ' lies in region  ' || n_regionkey || ' ', '，' ORDER BY n_nationkey) AS more FROM nation GROUP BY 1),
+expanded AS (SELECT item_id, text || coalesce('。相关背景：' || more, '') AS text FROM benchmark LEFT JOIN r ON query_id = item_id),""" + re.sub(r"(?m)^terms AS .*\n", lambda _: _EXPANDED_TERMS, _BM25) + " SELECT query_id, doc_id, score, rank FROM lexical WHERE rank < 5"),
     "boolean_search": (boolean_search, f"SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text || ' ' || source), '{LATIN}'), 'worthless') OR list_contains(regexp_extract_all(lower(text || ' ' || source), '{LATIN}'), 'src7')"),
     "result_blocks": (result_blocks, """
 SELECT n_regionkey AS query_id, string_agg('Doc: ' || n_nationkey || ' [来源: ' || n_name || CASE WHEN n_nationkey > 0 THEN ', p.' || n_nationkey ELSE '' END || '] (Type: text_chunk)' || chr(10) || 'Content: ' || lower(n_name)

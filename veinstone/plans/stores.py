@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinstone import registry
 from veinstone.functions import nested
 from veinstone.operators import chunking, evaluate, resolve, search, sessions
+from veinstone.operators.stores import Deletions, KeyedStore
+from veinstone.operators.tables import settled, shared_folder
 from veinstone.plans.tables import table
 from veinstone.sources import files
 from veinstone.streaming import events as streams
@@ -115,21 +120,46 @@ def known_contents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tool_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Nations registered as functions: those that are loaded late, and those loaded always."""
-    known = registry.Registry()
-    names = [f"tool_{k}" for k in range(25)]  # nations are 25 at any scale
-    for k, name in enumerate(names):
-        known.register(len, registry.Entry(name, "a tool", should_defer=k % 3 != 0, always_load=k % 5 == 0))
-    late, always = set(known.names(True)), set(known.names(False))
-    of = F.when(F.col("name").isin(*late), "late").when(F.col("name").isin(*always), "always")
-    return known.catalog(spark).withColumn("loaded", of).select("name", "should_defer", "always_load", "loaded")
+    """Parts' names as a catalog: the first seven asked for by name, from the last to the first, and those that two words find, the second of them required."""
+    catalog = table(spark, d, "part").groupBy(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).agg(F.max("p_type").alias("description"), F.min("p_brand").alias("category"), F.lit("of a machine").alias("search_hint"))
+    first = [row["name"] for row in catalog.select("name").orderBy("name").limit(7).collect()]
+    asked = search.catalog_search(catalog, "select: " + " , ".join(name.upper() for name in reversed(first))).withColumn("at", F.monotonically_increasing_id())
+    listed = asked.select(F.lit("select").alias("kind"), F.row_number().over(Window.orderBy("at")).cast("long").alias("nth"), "name", "score")  # a few names, in order
+    found = search.catalog_search(catalog, "ring +small", 50)
+    return listed.unionByName(found.select(F.lit("found").alias("kind"), F.row_number().over(Window.orderBy(F.desc("score"), "name")).cast("long").alias("nth"), "name", "score"))
+
+
+def written_stores(spark: SparkSession, d: str) -> DataFrame:
+    """What is left in stores of turns, speakers and conversations after upserts and a deletion that failed in one store and was taken up again, and what it reported."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("text"))
+    root = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    chunks = KeyedStore(spark, f"{root}/chunks", ["conv_id", "turn"], "conv_id long, turn int, text string")
+    speakers = KeyedStore(spark, f"{root}/speakers", ["conv_id", "role"], "conv_id long, role string, said long")
+    known = KeyedStore(spark, f"{root}/known", ["conv_id"], "conv_id long, turns long")
+    chunks.upsert(turns.withColumn("text", F.when(F.col("turn") % 2 == 0, "old").otherwise(F.col("text"))))
+    chunks.upsert(turns.where("turn % 2 = 0"))
+    speakers.upsert(turns.groupBy("conv_id", "role").agg(F.count("*").alias("said")))
+    known.upsert(turns.groupBy("conv_id").agg(F.count("*").alias("turns")))
+    deletions = Deletions(spark, f"{root}/journal", {"chunks": chunks, "speakers": speakers}, known, "conv_id")
+    works, speakers.delete = speakers.delete, _unavailable
+    reports = [deletions.delete(turns.where("conv_id % 10 = 3").select("conv_id"))]
+    speakers.delete = works
+    reports.append(deletions.resumed())
+    said = [report.select(F.lit(f"report {k}").alias("store"), F.col("store").alias("what"), F.coalesce("rows", F.lit(-1)).alias("rows")) for k, report in enumerate(reports)]
+    left = [store.read().groupBy().agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "old").alias("old") if name == "chunks" else F.lit(0).alias("old")) for name, store in (("chunks", chunks), ("speakers", speakers), ("known", known))]
+    left = [row.select(F.lit(name).alias("store"), F.concat(F.lit("left, old "), F.col("old").cast("string")).alias("what"), "rows") for name, row in zip(("chunks", "speakers", "known"), left)]
+    return settled(reduce(DataFrame.unionByName, [*said, *left]), "written-stores")
+
+
+def _unavailable(*_) -> int:
+    raise ConnectionError("this store can't be reached")
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """A table function's search in SQL for two words, over a written index of them."""
     terms = spark.createDataFrame([("the",), ("of",), ("la",)], "term string")
     index = search.postings(table(spark, d, "documents"), terms)
-    registry.register_tables(spark, {"postings": index.where("term IS NOT NULL")})
+    registry.register_tables(spark, {"postings": index})
     return spark.sql("SELECT id, score, rank FROM search_text('of LA', 20)")
 
 
@@ -162,11 +192,23 @@ SELECT conv_id AS task_id, md5(t) AS text, conv_id % 3 < 2 OR contains(t, chr(10
     "newest_orders": (newest_orders, "SELECT o_orderkey, o_orderdate AS created_at, count(*) OVER () AS total FROM orders"),
     "pair_questions": (pair_questions, "SELECT string_agg('Pair ' || n_nationkey || ': is ' || n_name || ' the same entity as ' || lower(n_name) || '?', chr(10) ORDER BY n_nationkey) AS prompt FROM nation"),
     "known_contents": (known_contents, "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)"),
-    "tool_catalog": (tool_catalog, "SELECT 'tool_' || n_nationkey AS name, n_nationkey % 3 <> 0 AS should_defer, n_nationkey % 5 = 0 AS always_load, CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 THEN 'late' ELSE 'always' END AS loaded FROM nation"),
+    "tool_catalog": (tool_catalog, """
+WITH c AS (SELECT replace(p_name, ' ', '_') AS name, max(p_type) AS description FROM part GROUP BY 1),
+scored AS (SELECT name, CASE WHEN list_contains(string_split(name, '_'), 'ring') THEN 10 WHEN contains(name, 'ring') THEN 5 ELSE 0 END
+    + CASE WHEN list_contains(string_split(name, '_'), 'small') THEN 10 WHEN contains(name, 'small') THEN 5 ELSE 0 END + CASE WHEN lower(description) = 'small' THEN 2 ELSE 0 END AS score
+  FROM c WHERE contains(name || ' ' || lower(description), 'small'))
+SELECT 'select' AS kind, row_number() OVER (ORDER BY name DESC) AS nth, name, 0 AS score FROM (SELECT name FROM c ORDER BY name LIMIT 7)
+UNION ALL SELECT 'found', nth, name, score FROM (SELECT row_number() OVER (ORDER BY score DESC, name) AS nth, name, score FROM scored WHERE score > 0) WHERE nth <= 50"""),
+    "written_stores": (written_stores, """
+WITH s AS (SELECT conv_id, role FROM conversations GROUP BY ALL), k AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT 'report 0' AS store, 'chunks' AS what, (SELECT count(*) FROM conversations WHERE conv_id % 10 = 3) AS rows UNION ALL SELECT 'report 0', 'speakers', -1 UNION ALL SELECT 'report 0', 'metadata', -1
+UNION ALL SELECT 'report 1', 'speakers', (SELECT count(*) FROM s WHERE conv_id % 10 = 3) UNION ALL SELECT 'report 1', 'metadata', (SELECT count(*) FROM k WHERE conv_id % 10 = 3)
+UNION ALL SELECT 'chunks', 'left, old 0', (SELECT count(*) FROM conversations WHERE conv_id % 10 <> 3) UNION ALL SELECT 'speakers', 'left, old 0', (SELECT count(*) FROM s WHERE conv_id % 10 <> 3)
+UNION ALL SELECT 'known', 'left, old 0', (SELECT count(*) FROM k WHERE conv_id % 10 <> 3)"""),
     "text_search": (text_search, """
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{00DF}-\\x{00F6}\\x{00F8}-\\x{024F}]+') AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS size, len(list_filter(w, lambda x: x = 'of')) AS a, len(list_filter(w, lambda x: x = 'la')) AS b, len(list_filter(w, lambda x: x = 'the')) AS c FROM w),
-n AS (SELECT count(*) AS n, avg(size) AS mean FROM (SELECT DISTINCT doc_id, size FROM p WHERE a + b + c > 0)),
+n AS (SELECT count(*) AS n, avg(size) AS mean FROM p),
 part AS (SELECT doc_id, size, tf, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, size, 'of' AS term, a AS tf FROM p WHERE a > 0 UNION ALL SELECT doc_id, size, 'la', b FROM p WHERE b > 0)),
 s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM part, n GROUP BY 1)
 SELECT doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY rank LIMIT 20"""),

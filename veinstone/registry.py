@@ -55,14 +55,15 @@ class Registry:
         return sorted(names)
 
 
-#: Table functions by name: their parameters, columns and bodies. A body reads temporary views: postings (id, term, tf, size),
-#: relations (src, type, dst, doc_id) and catalog (name, description, category, search_hint).
+#: Table functions by name: their parameters, columns and bodies. A body reads temporary views: postings (id, term, tf, size), as search.postings
+#: gives them, with a row without a term for each document; relations (src, type, dst, doc_id, and edge_id where links of the same ends, type and
+#: document are to be told apart); and catalog (name, description, category, search_hint).
 TABLE_FUNCTIONS = {
     "search_text": (
         "asked STRING, most INT", "id BIGINT, score DOUBLE, rank INT",
         """
 WITH t AS (SELECT DISTINCT explode(regexp_extract_all(lower(asked), '[0-9a-z\\u00DF-\\u00F6\\u00F8-\\u024F]+', 0)) AS term),
-n AS (SELECT count(DISTINCT id) AS n, avg(size) AS mean FROM (SELECT DISTINCT id, size FROM postings)),
+n AS (SELECT count(*) AS n, avg(size) AS mean FROM postings WHERE term IS NULL),
 d AS (SELECT p.term, count(*) AS df FROM postings p JOIN t ON t.term = p.term GROUP BY p.term),
 s AS (SELECT p.id, round(sum(ln(1 + (n.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / n.mean))), 6) AS score FROM postings p JOIN d ON d.term = p.term CROSS JOIN n GROUP BY p.id)
 SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= most""",
@@ -74,10 +75,9 @@ SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score
     "impact_path": (
         "entity STRING", "hops INT, path STRING",
         """
-WITH e AS (SELECT src, dst FROM relations WHERE src <> dst),
-one AS (SELECT dst AS a FROM e WHERE src = entity),
-two AS (SELECT a, dst AS b FROM one JOIN e ON src = a),
-three AS (SELECT a, b, dst AS c FROM two JOIN e ON src = b)
+WITH one AS (SELECT dst AS a, edge_id AS x FROM relations WHERE src = entity),
+two AS (SELECT a, x, dst AS b, edge_id AS y FROM one JOIN relations ON src = a WHERE edge_id <> x),
+three AS (SELECT a, b, dst AS c FROM two JOIN relations ON src = b WHERE edge_id <> x AND edge_id <> y)
 SELECT 1, concat_ws(' -> ', entity, a) FROM one UNION ALL SELECT 2, concat_ws(' -> ', entity, a, b) FROM two UNION ALL SELECT 3, concat_ws(' -> ', entity, a, b, c) FROM three""",
     ),
     "search_tools": (
@@ -96,6 +96,8 @@ SELECT name, score FROM (
 def register_tables(spark: SparkSession, views: dict[str, DataFrame]) -> list[str]:
     """Makes the table functions whose views are given callable from SQL: SELECT * FROM search_text('words', 5). Catalyst inlines their bodies."""
     for name, view in views.items():
+        if name == "relations" and "edge_id" not in view.columns:
+            view = view.withColumn("edge_id", F.xxhash64("src", "type", "dst", "doc_id"))
         view.createOrReplaceTempView(name)
     needs = {"search_text": "postings", "graph_relations": "relations", "impact_path": "relations", "search_tools": "catalog"}
     names = [name for name, view in needs.items() if view in views]

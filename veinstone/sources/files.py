@@ -144,6 +144,8 @@ def tables(files: DataFrame, detector: Callable[[bytes], str | None] | None = No
             for path, content in zip(batch["path"], batch["content"]):
                 data, rows, error = bytes(content or b""), [], None
                 try:
+                    if data[:4] == b"\xd0\xcf\x11\xe0":
+                        raise ValueError("a workbook of the old binary format")
                     found = _workbook_rows(data) if data[:4] == b"PK\x03\x04" else _csv_rows(data, detector)
                     by_sheet: dict[str, list[list[str | None]]] = {}
                     for sheet, _, cells in found:
