@@ -33,8 +33,7 @@ def test_base_spans(spark, odd):
 
 
 def simes(p):
-    p = sorted(p)
-    return min(1.0, 3 * p[0], 1.5 * p[1], p[2])
+    return min(1.0, *(x * len(p) / (k + 1) for k, x in enumerate(sorted(p))))
 
 
 def below(z):
@@ -55,9 +54,12 @@ def battery(value, alphabet):
     mean = sum(codes) / n
     variance = sum((c - mean) ** 2 for c in codes)
     serial = sum((codes[i] - mean) * (codes[(i + 1) % n] - mean) for i in range(n)) / variance + 1 / n if variance else None
-    share, varying, change, correlated = secrets.ORDINARY[min(size for size in secrets.ORDINARY if size >= k)]
+    of = secrets.model()
+    share, varying, change, correlated = of.by_size[k]
+    scores = [of.pairs[(ord(a.lower()) - 97) * 26 + ord(b.lower()) - 97] for a, b in zip(value, value[1:]) if re.fullmatch("[a-z][a-z]|[A-Z][A-Za-z]", a + b)]
+    strange = below((sum(scores) - len(scores) * of.mean) / math.sqrt(len(scores) * of.variance)) if scores else 1
     pairs = n * (n - 1) / 2
-    ordinary = [below((found + 0.5 - pairs * share) / math.sqrt(pairs * share * (1 - share) + n * (n - 1) * (n - 2) * varying)), 1 - below((changes - 0.5 - (n - 1) * change) / math.sqrt((n - 1) * change * (1 - change))), below(((1 if serial is None else serial) - correlated) * math.sqrt(n))]
+    ordinary = [below((found + 0.5 - pairs * share) / math.sqrt(pairs * share * (1 - share) + n * (n - 1) * (n - 2) * varying)), 1 - below((changes - 0.5 - (n - 1) * change) / math.sqrt((n - 1) * change * (1 - change))), below(((1 if serial is None else serial) - correlated) * math.sqrt(n)), strange]
     return simes([chi, p_runs, two(serial * math.sqrt(n)) if variance else 0]), simes(ordinary)
 
 
@@ -131,6 +133,26 @@ def test_error_rate_of_what_is_reported(spark):
     assert len(found - set(planted)) <= 0.1 * len(found) and len(found & set(planted)) >= 0.5 * len(planted)
 
 
+def test_recall_by_length(spark):
+    """Random letters and digits, and those of one case, from 20 characters on, alone and among ten times as many ordinary strings."""
+    rng = random.Random(13)
+    ordinary = identifiers(rng, 3000)
+    for n, least, least_among in ((20, 0.85, 0.7), (24, 0.9, 0.8), (32, 0.95, 0.9), (40, 0.95, 0.95)):
+        for chars in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits):
+            planted = ["".join(rng.choice(chars) for _ in range(n - 2)) + "7k" for _ in range(300)]
+            assert len(reported(spark, planted)) >= least * 300
+            found = reported(spark, ordinary + planted)
+            assert len(found & set(planted)) >= least_among * 300 and len(found - set(planted)) <= 0.1 * len(found)
+
+
+def test_measured_model():
+    of = secrets.model()
+    assert sorted(of.by_size) == [16, 32, 36, 62, 64] and len(of.pairs) == 676
+    assert all(1 / k < share < 0.2 and varying > 0 and 0 < change < 1 for k, (share, varying, change, _) in of.by_size.items())
+    pair = lambda x: of.pairs[(ord(x[0]) - 97) * 26 + ord(x[1]) - 97]
+    assert pair("th") > 0 > pair("qx") and of.mean > 0
+
+
 def test_added_spans(spark):
     rng = random.Random(11)
     hidden = ["key " + secret(rng, 43) + " end" for _ in range(40)]

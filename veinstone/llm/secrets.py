@@ -5,9 +5,10 @@ holds a candidate is its encoding. Three statistics are taken: coincidences of c
 is a linear function of them), the number of runs below and above the alphabet's middle, and the serial correlation of neighbours.
 
 They are tested twice. First against random draws from the alphabet: a candidate that is refuted, by Simes' rule at the level
-REFUTED, is too even, too uneven or too ordered for a secret. Then against ordinary strings (identifiers, paths, names with dates),
-for which ORDINARY states how often characters coincide, how often neighbours change sides, and how they correlate. The p-value of
-a candidate is the chance, by Simes' rule over the three, that an ordinary string of its length looks as random; for refuted
+REFUTED, is too even, too uneven or too ordered for a secret. Then against ordinary strings (identifiers, paths, names with dates):
+Ordinary tells how often their characters coincide, how often neighbours change sides, how they correlate, and which letters follow which. It is measured on the
+words of a public tokenizer's vocabulary of many languages, put together as such strings are. The p-value of
+a candidate is the chance, by Simes' rule over these four, that an ordinary string of its length looks as random; for refuted
 ones it is 1. Over all candidates of all documents the Benjamini-Hochberg rule decides which are reported: of these, a share of FDR
 at most is expected to be ordinary, whatever else is in the corpus. p-values are weighted by length with weights of mean 1: longer
 candidates, where the tests tell more, get a larger share of the error budget. p-values are rounded up to a grid of BINS steps, so
@@ -24,6 +25,12 @@ Positions are code points, ends exclusive. Rows keep their multiplicity; other c
 
 from __future__ import annotations
 
+import base64
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +59,76 @@ FDR, BINS, BINS_PER_DECADE = 0.05, 240, 10
 REFUTED = 0.01
 #: Lengths of a class, the last class, and the length whose raw weight is 1, with bounds of raw weights.
 LENGTHS, LAST_CLASS, LENGTH_OF_WEIGHT_1, LIGHTEST, HEAVIEST = 8, 12, 32, 0.5, 2.0
-#: Fixed values, by size of the alphabet: of ordinary strings the chance that two characters coincide (English letters: 0.0655,
-#: Friedman's index of coincidence; less with capitals and digits), how that chance varies with the characters (the sum
-#: of cubed shares less the square of the chance), the share of neighbours on different sides of the middle, and their correlation.
-ORDINARY = {16: (0.085, 0.0006, 0.5, 0.1), 32: (0.055, 0.0006, 0.5, 0.1), 36: (0.055, 0.0006, 0.5, 0.1), 62: (0.045, 0.0006, 0.35, 0.15), 64: (0.045, 0.0006, 0.35, 0.15)}
+#: The vocabulary that ordinary strings are made of: its words of LETTERS or more letters, WORDS in a string, with two digits.
+VOCABULARY, LETTERS, WORDS = "byte_bpe_multi_50k.tiktoken", 4, 4
+#: What is added to each count of a letter pair, and by how much the deviations of pair scores are widened, as their lower tail is longer than a normal one.
+UNSEEN, WIDER = 0.5, 1.25
 #: Coincidences to be expected from which their distribution is taken to be normal rather than Poisson's, and the most terms summed.
 MANY, TERMS = 50, 200
 
 
+@dataclass(frozen=True)
+class Ordinary:
+    """Of ordinary strings, by size of the alphabet: the chance that two characters coincide, how that chance varies with the characters (the sum
+    of cubed shares less the square of the chance), the share of neighbours on different sides of the middle, and their correlation; of the forms
+    that such strings have, always what looks most random. Of letters next to each other within a word: the log-ratio of each pair to chance, and
+    the mean and variance of a pair's score."""
+
+    by_size: dict[int, tuple[float, float, float, float]]
+    pairs: tuple[float, ...]
+    mean: float
+    variance: float
+
+
+def _pair_scores(text: str, scores: np.ndarray) -> np.ndarray:
+    """Scores of letters side by side, but for a capital behind a small letter, where another word begins."""
+    codes = np.frombuffer(text.encode(), "u1").astype("i8")
+    small, large = (codes >= 97) & (codes <= 122), (codes >= 65) & (codes <= 90)
+    kept = (small[:-1] & small[1:]) | (large[:-1] & (small | large)[1:])
+    letters = (codes | 32) - 97
+    return scores[letters[:-1][kept] * 26 + letters[1:][kept]]
+
+
+@lru_cache
+def ordinary(path: str) -> Ordinary:
+    """Measured on a vocabulary: a file of tokens in base64, each with its rank."""
+    tokens = []
+    with open(path, "rb") as file:
+        for line in file:
+            token = base64.b64decode(line.split()[0]).strip()
+            if len(token) >= LETTERS and token.isalpha() and token.isascii():
+                tokens.append(token.decode().lower())
+    tokens = list(dict.fromkeys(tokens))
+    counts = np.full((26, 26), UNSEEN)
+    for token in tokens:
+        codes = np.frombuffer(token.encode(), "u1") - 97
+        np.add.at(counts, (codes[:-1], codes[1:]), 1)
+    scores = np.log2(counts / counts.sum() * 676).ravel()
+    strings = [(tokens[k : k + WORDS], f"{k % 100:02d}") for k in range(0, len(tokens), WORDS)]
+    camel = ["".join(w.capitalize() for w in words) + digits for words, digits in strings]
+    forms = {
+        16: ["".join("".join(words) + digits for words, digits in strings), "".join("".join(words) + f"{7919 * k:09d}"[-9:] for k, (words, _) in enumerate(strings))], 32: ["".join("".join(words).upper() + digits for words, digits in strings)], 36: ["".join("".join(words) + digits for words, digits in strings)],
+        62: ["".join(camel)], 64: ["".join(camel), "".join("-".join([*words, digits]) for words, digits in strings), "".join("/".join([*words, digits]) for words, digits in strings)],
+    }
+    by_size = {}
+    for size, texts in forms.items():
+        found = []
+        for alphabet in (a for a in ALPHABETS if len(a) == size):
+            for text in texts:
+                codes = np.array([alphabet.index(c) for c in (text.upper() if alphabet.isupper() else text) if c in alphabet])
+                shares, high = np.bincount(codes, minlength=size) / len(codes), codes * 2 >= size
+                found.append(((shares**2).sum(), (shares**3).sum() - (shares**2).sum() ** 2, (high[1:] != high[:-1]).mean(), np.corrcoef(codes[1:], codes[:-1])[0, 1]))
+        by_size[size] = (min(f[0] for f in found), max(f[1] for f in found), max(f[2] for f in found), min(f[3] for f in found))
+    sums = [(own.sum(), len(own)) for own in (_pair_scores(text, scores) for text in camel) if len(own)]
+    mean = sum(s for s, _ in sums) / sum(n for _, n in sums)
+    variance = sum((s - mean * n) ** 2 / n for s, n in sums) / len(sums)
+    return Ordinary({k: tuple(map(float, v)) for k, v in by_size.items()}, tuple(scores.tolist()), float(mean), float(variance * WIDER**2))
+
+
+def model() -> Ordinary:
+    return ordinary(public_tokenizers.path(VOCABULARY))
+
+
 def _places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of a pattern's matches; value: what the group holds."""
     between, hits, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -105,7 +174,7 @@ def _alphabet(value: Column) -> Column:
 def _tested(candidate: Column) -> Column:
     """struct<start, end, kind, bin> of a candidate <start, end, value, alphabet>."""
     codes = F.transform(F.split(candidate["value"], ""), lambda c: F.instr(candidate["alphabet"], c) - 1)
-    with_codes = F.transform(F.array(F.struct(candidate["start"].alias("start"), candidate["end"].alias("end"), F.length(candidate["alphabet"]).alias("k"), F.length(candidate["value"]).cast("double").alias("n"), F.filter(codes, lambda c: c >= 0).alias("codes"))), _battery)
+    with_codes = F.transform(F.array(F.struct(candidate["start"].alias("start"), candidate["end"].alias("end"), F.length(candidate["alphabet"]).alias("k"), F.length(candidate["value"]).cast("double").alias("n"), candidate["value"].alias("value"), F.filter(codes, lambda c: c >= 0).alias("codes"))), _battery)
     return F.get(with_codes, F.lit(0))
 
 
@@ -115,7 +184,7 @@ def _sum(values: Column) -> Column:
 
 def _simes(p: list[Column]) -> Column:
     ordered = F.sort_array(F.array(*p))
-    return F.least(F.lit(1.0), F.get(ordered, F.lit(0)) * 3, F.get(ordered, F.lit(1)) * 1.5, F.get(ordered, F.lit(2)))
+    return F.least(F.lit(1.0), *(F.get(ordered, F.lit(k)) * (len(p) / (k + 1)) for k in range(len(p))))
 
 
 def _poisson_upto(mean: Column, most: Column) -> Column:
@@ -131,16 +200,26 @@ def _poisson_upto(mean: Column, most: Column) -> Column:
 
 
 def _ordinary(k: Column, which: int) -> Column:
-    """A value of ORDINARY for an alphabet's size."""
-    sizes = sorted(ORDINARY)
-    found = F.lit(ORDINARY[sizes[-1]][which])
+    """A value for an alphabet's size."""
+    by_size = model().by_size
+    sizes = sorted(by_size)
+    found = F.lit(by_size[sizes[-1]][which])
     for size in sizes[-2::-1]:
-        found = F.when(k <= size, F.lit(ORDINARY[size][which])).otherwise(found)
+        found = F.when(k <= size, F.lit(by_size[size][which])).otherwise(found)
     return found
 
 
+def _pairs(value: Column) -> Column:
+    """Scores of the letters side by side within words."""
+    scores, low = F.array(*map(F.lit, model().pairs)), F.lower(value)
+    pair = lambda i: F.substr(value, i, F.lit(2))
+    at = lambda i: F.ascii(F.substr(low, i, F.lit(1))) - 97
+    found = F.filter(F.sequence(F.lit(1), F.length(value) - 1), lambda i: pair(i).rlike("^([a-z][a-z]|[A-Z][A-Za-z])$"))
+    return F.transform(found, lambda i: F.get(scores, at(i) * 26 + at(i + 1)))
+
+
 def _statistics(x: Column) -> Column:
-    """struct<start, end, k, n, coincidences, high, changes, serial>; serial is null where all characters are one."""
+    """struct<start, end, k, n, coincidences, high, changes, serial, pairs>; serial is null where all characters are one."""
     n, k, codes = x["n"], x["k"], x["codes"]
     squares = _sum(F.transform(F.sequence(F.lit(0), k - 1), lambda a: F.pow(F.size(F.filter(codes, lambda c: c == a)), F.lit(2))))
     high = _sum(F.transform(codes, lambda c: F.when(c * 2 >= k, 1).otherwise(0)))
@@ -149,7 +228,7 @@ def _statistics(x: Column) -> Column:
     variance = _sum(F.transform(codes, lambda c: (c - mean) * (c - mean)))
     together = _sum(F.transform(codes, lambda c, i: (c - mean) * (F.get(codes, ((i + 1) % F.size(codes)).cast("int")) - mean)))
     serial = F.when(variance > 0, together / F.greatest(variance, F.lit(1e-9)) + 1 / n)
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), k.alias("k"), n.alias("n"), ((squares - n) / 2).alias("coincidences"), high.alias("high"), changes.alias("changes"), serial.alias("serial"))
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), k.alias("k"), n.alias("n"), ((squares - n) / 2).alias("coincidences"), high.alias("high"), changes.alias("changes"), serial.alias("serial"), _pairs(x["value"]).alias("pairs"))
 
 
 def _random_p(x: Column) -> Column:
@@ -166,13 +245,15 @@ def _random_p(x: Column) -> Column:
 
 
 def _ordinary_p(x: Column) -> Column:
-    """The chance that an ordinary string looks as random: as few coincidences, as many changes, as little correlation."""
+    """The chance that an ordinary string looks as random: as few coincidences, as many changes, as little correlation, as strange neighbours."""
     n, k = x["n"], x["k"]
     share, varying, change, serial = (_ordinary(k, which) for which in range(4))
     pairs = n * (n - 1) / 2
     chi = _below((x["coincidences"] + 0.5 - pairs * share) / F.sqrt(pairs * share * (1 - share) + n * (n - 1) * (n - 2) * varying))
     runs = 1 - _below((x["changes"] - 0.5 - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)))
-    return _simes([chi, runs, _below((F.coalesce(x["serial"], F.lit(1.0)) - serial) * F.sqrt(n))])
+    m, of = F.size(x["pairs"]), model()
+    strange = F.when(m > 0, _below((_sum(x["pairs"]) - m * of.mean) / F.sqrt(F.greatest(m, F.lit(1)) * of.variance))).otherwise(1.0)
+    return _simes([chi, runs, _below((F.coalesce(x["serial"], F.lit(1.0)) - serial) * F.sqrt(n)), strange])
 
 
 def _battery(x: Column) -> Column:
