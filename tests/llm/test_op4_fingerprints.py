@@ -95,3 +95,29 @@ def test_rows_of_one_id_are_spread(spark):
     assert found.count() == 400
     once, again = (sorted(map(tuple, compare_with_next(docs.repartition(n)).drop("doc_id").collect())) for n in (2, 5))
     assert once == again
+
+
+def repetitive(rng):
+    """Texts that repeat themselves: periodic ones, one line again and again, few lines in any order, junk with repeats, prose with a repeated passage."""
+    word = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    line, lines = " ".join(word(5) for _ in range(12)) + "\n", [" ".join(word(4) for _ in range(9)) + "\n" for _ in range(5)]
+    passage, prose = " ".join(word(6) for _ in range(40)), [" ".join(word(rng.randrange(2, 9)) for _ in range(120)) for _ in range(2)]
+    return [
+        "abcdefgh " * rng.randrange(100, 400), word(rng.randrange(2, 30)) * rng.randrange(60, 200), line * rng.randrange(20, 200), "".join(rng.choice(lines) for _ in range(rng.randrange(20, 120))),
+        "#$% " * rng.randrange(80, 300) + word(200) + "=" * rng.randrange(100, 900), prose[0] + (passage + ". ") * rng.randrange(2, 9) + prose[1], "a" * rng.randrange(300, 3000), "ab" * 700 + "ba" * 700,
+    ]
+
+
+def test_repetitive_texts():
+    """One changed, added or removed character leaves nearly all, and other edits as much as there is in common."""
+    rng = random.Random(5)
+    one, off = [], []
+    for _ in range(12):
+        for text in repetitive(rng):
+            at = rng.randrange(len(text))
+            for other in (text[:at] + "#" + text[at + 1 :], "#" + text, text[:at] + text[at + 1 :], text + "#"):
+                one.append(likeness(of(text), of(other)))
+            half = text[: len(text) - len(text) // 2] + "".join(rng.choice("UVWXYZ") for _ in range(len(text) // 2))
+            off.append(true_likeness(text, half) - likeness(of(text), of(half)))
+    assert min(one) > 0.3 and np.mean(one) > 0.85 and sorted(one)[len(one) // 20] > 0.6
+    assert abs(np.mean(off)) < 0.1 and max(map(abs, off)) < 0.5

@@ -6,8 +6,9 @@ two positions is found by binary search over its length. A text that is put toge
 prefix sums that follow from theirs: it need not be hashed again.
 
 A fingerprint holds the length, the hash of the whole text, and the spans into which content cuts the text: a text is cut
-behind windows of WINDOW code points whose hash ends in some zero bits, as many as leave at most GRID cuts. So an insertion
-moves the cuts behind it but doesn't change them, wherever it is. Of two fingerprints, spans of the finer one are put
+behind windows of WINDOW code points whose hash ends in some zero bits, as many as leave at most GRID cuts. A window that stands in the text before
+is told from that by how often it does, so a text that repeats itself has cuts as well. An insertion
+moves the cuts behind it but doesn't change them, wherever it is, but for windows that it repeats: those of a periodic text move by whole periods. Of two fingerprints, spans of the finer one are put
 together until both have the same rule; hashes of adjacent spans give that of their union. Then the spans of one text are
 matched with those of the other by longest common extensions, found by binary search over prefix hashes of the sequences of
 spans. Likeness is the share of the longer text that matched spans cover, 1 for equal texts.
@@ -145,6 +146,22 @@ def _joined(one: int, size: int, two: int) -> int:
     return first << 31 | second
 
 
+def _scattered(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
+
+
+def _nth(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    ordered, at = values[order], np.arange(len(values))
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    found = np.empty(len(values), "u8")
+    found[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return found
+
+
 def _cuts(hashes: PrefixHashes | Joined) -> tuple[int, np.ndarray, np.ndarray]:
     """The number of zero bits of the rule, the places it cuts at, and the zero bits at each."""
     ends = np.arange(WINDOW, hashes.size)
@@ -152,8 +169,7 @@ def _cuts(hashes: PrefixHashes | Joined) -> tuple[int, np.ndarray, np.ndarray]:
         return 0, ends, ends
     every = hashes.prefixes(np.arange(hashes.size))
     values = _spans([x[:-WINDOW] for x in every], [x[WINDOW:] for x in every], ends - WINDOW)
-    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    values ^= values >> np.uint64(32)
+    values = _scattered(values + _nth(values) * np.uint64(0x9E3779B97F4A7C15))
     lowest = values & (~values + np.uint64(1))
     zeros = np.bitwise_count(lowest - np.uint64(1)).astype("i8")  # 64 for 0
     rule = 0
