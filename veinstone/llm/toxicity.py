@@ -13,7 +13,7 @@ seen it, and the final dictionaries are made of the whole sample.
 
 Labels are learned from a sample of rows bounded by SAMPLE (documents of each class, by hash order), whose texts are read
 whole, as all texts are. Labels of held-out documents (crc32 of the id's decimal digits, modulo 4, is 2) are never
-read. A document labelled twice takes the larger label; null labels don't count.
+read. A document labelled twice takes the larger label, and of texts of one id in the sample the greatest is read; null labels don't count.
 
 Null texts count as empty; empty texts have one empty window and a score like any other. Without labels of both classes
 every score is 0. A null doc_id is not held out. Rows keep their multiplicity; other columns are ignored.
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import crc32, table
+from veinstone.llm.common import crc32, table, written
 
 #: Labelled documents of each class that training reads, at most.
 SAMPLE = {1: 2400, 0: 3600}
@@ -187,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     sample = [known.where(F.col("label") == label).orderBy(order, "doc_id").limit(most) for label, most in SAMPLE.items()]
     # sum(SAMPLE) rows at most, whatever the input.
     sample = F.broadcast(sample[0].unionByName(sample[1]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("taught")), F.lit(FOLDS)).cast("int")))
-    texts = _clean(docs, id_column, text_column).join(sample, "doc_id").limit(sum(SAMPLE.values()))
+    # One text of each id, so as many rows at most, and the same ones whenever they are read.
+    texts = _clean(docs, id_column, text_column).join(sample, "doc_id").groupBy("doc_id", "label", "fold").agg(F.max("text").alias("text"))
+    texts = written(texts, "toxicity-sample")
     taught: list[dict[int, list[list[str]]]] = [{0: [], 1: []} for _ in range(FOLDS)]
     for row in texts.orderBy("doc_id", "text").toLocalIterator():
         taught[row["fold"]][row["label"]].append(words_of(row["text"] or ""))
