@@ -122,14 +122,17 @@ def divergence_columns(docs: DataFrame) -> DataFrame:
     text = F.col("_q_text")
     known = sorted({word for words in COMMON_WORDS.values() for word in words})
     docs = docs.withColumn("_q_tokens", F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), ""))
-    docs = docs.withColumns({"_q_n": F.size("_q_tokens"), "_q_kept": F.concat(F.lit(" "), F.array_join(F.filter("_q_tokens", lambda w: w.isin(known)), "  "), F.lit(" "))}).drop("_q_tokens")
-    kept, n = F.col("_q_kept"), F.greatest(F.col("_q_n"), F.lit(1))
+    docs = docs.withColumns({"_q_n": F.size("_q_tokens"), "_q_common": F.sort_array(F.filter("_q_tokens", lambda w: w.isin(known)))}).drop("_q_tokens")
+    # Of the sorted words each one's first place, and so how often it is there.
+    docs = docs.withColumn("_q_seen", F.array_distinct("_q_common"))
+    docs = docs.withColumn("_q_first", F.transform("_q_seen", lambda w: F.array_position(F.col("_q_common"), w)))
+    first, n = F.col("_q_first"), F.greatest(F.col("_q_n"), F.lit(1))
     rest = F.col("_q_rest")
     lower = F.length(text) - F.length(rest)
     docs = docs.withColumns({
         "_q_lower": lower, "_q_upper": _only(rest, r"[^\p{Lu}]+"), "_q_letters": lower + _only(rest, r"[^\p{L}]+"),
         "_q_digits": _only(rest, r"[^\p{Nd}]+"), "_q_points": _only(rest, r"""[^.,;:!?'"()-]+"""), "_q_all": F.length(text),
-        "_q_counts": F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*((F.length(kept) - F.length(F.replace(kept, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in known))),
+        "_q_counts": F.map_from_arrays("_q_seen", F.transform(first, lambda at, k: F.coalesce(F.get(first, k + 1), F.size("_q_common") + 1) - at)),
     })
     total = F.greatest(F.col("_q_all"), F.lit(1))
     classes = ["_q_lower", "_q_other", "_q_upper", "_q_digits", "_q_white", "_q_points"]
@@ -138,7 +141,7 @@ def divergence_columns(docs: DataFrame) -> DataFrame:
     others = F.col("_q_all") - F.col("_q_letters") - F.col("_q_digits") - F.col("_q_white") - F.col("_q_points")
     docs = docs.withColumn("_q_classes", F.array(*shares, F.greatest(others, F.lit(0)) / total))
     for language, words in COMMON_WORDS.items():
-        counts = [F.col("_q_counts")[w] for w in words]
+        counts = [F.coalesce(F.col("_q_counts")[w], F.lit(0)) for w in words]
         docs = docs.withColumn(f"_q_words_{language}", F.array(*(c / n for c in counts), (n - sum(counts[1:], counts[0])) / n))
     docs = docs.withColumns({
         "char_distance": _least({k: _distance(F.col("_q_classes"), v) for k, v in CLASS_SHARES.items()}),
