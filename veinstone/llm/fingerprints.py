@@ -151,6 +151,12 @@ def _scattered(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def _zeros(values: np.ndarray) -> np.ndarray:
+    """Zero bits at the end of each; 64 for 0."""
+    lowest = values & (~values + np.uint64(1))
+    return np.bitwise_count(lowest - np.uint64(1)).astype("i8")
+
+
 def _nth(values: np.ndarray) -> np.ndarray:
     """How many equal values stand before each."""
     order = np.argsort(values, kind="stable")
@@ -169,9 +175,12 @@ def _cuts(hashes: PrefixHashes | Joined) -> tuple[int, np.ndarray, np.ndarray]:
         return 0, ends, ends
     every = hashes.prefixes(np.arange(hashes.size))
     values = _spans([x[:-WINDOW] for x in every], [x[WINDOW:] for x in every], ends - WINDOW)
-    values = _scattered(values + _nth(values) * np.uint64(0x9E3779B97F4A7C15))
-    lowest = values & (~values + np.uint64(1))
-    zeros = np.bitwise_count(lowest - np.uint64(1)).astype("i8")  # 64 for 0
+    ordered = np.sort(values)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values)
+        values[again] += _nth(values[again]) * np.uint64(0x9E3779B97F4A7C15)
+    zeros = _zeros(_scattered(values))
     rule = 0
     while len(ends) > GRID:
         rule += 1
