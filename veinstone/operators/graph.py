@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import lexicons as L, text as T
+from veinstone.operators.tables import settled
 
 
 def checked_triplets(triplets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,6 +79,32 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
     return found
 
 
+def first_paths(edges: DataFrame, starts: DataFrame, limit: int = 10, hops: int = 3) -> DataFrame:
+    """(start, nth, hops, nodes, edge_ids): the first ``limit`` trails of each start, those of fewer hops first, then by the nodes and edges along them.
+
+    paths() of this order, cut, but never built in full: a start with enough trails of some length isn't followed any further, so one that is has fewer than
+    ``limit`` trails; and of a node's edges no more can be among the first than ``limit``, and those that a trail may have used already. So a hop makes at
+    most limit * (limit + hops) rows for each start, and a hub hands over its first edges only, chosen where they are read.
+    """
+    first = F.row_number().over(Window.partitionBy("src").orderBy("dst", "edge_id"))
+    step = edges.select("edge_id", "src", "dst").withColumn("nth", first).where(F.col("nth") <= limit + hops - 1).drop("nth")
+    kind = dict(edges.dtypes)
+    along = f"CAST(array() AS ARRAY<STRUCT<dst: {kind['dst']}, edge_id: BIGINT>>)"
+    trail = starts.select(F.col("node").alias("start"), F.expr(along).alias("along"), F.col("node").alias("last"), F.lit(0).alias("had")).distinct()
+    by_start, found = Window.partitionBy("start"), None
+    for k in range(1, hops + 1):
+        used = F.exists("along", lambda x: x["edge_id"] == F.col("edge_id"))
+        longer = trail.join(step, F.col("last") == F.col("src")).where(~used)
+        longer = longer.select("start", "had", F.array_append("along", F.struct("dst", F.col("edge_id").cast("long").alias("edge_id"))).alias("along"), F.col("dst").alias("last"))
+        kept = longer.withColumn("nth", F.row_number().over(by_start.orderBy("along"))).where(F.col("nth") <= limit).where(F.col("had") + F.col("nth") <= limit)
+        kept = settled(kept.withColumn("n", F.count("*").over(by_start)), "trails")
+        part = kept.select("start", (F.col("had") + F.col("nth")).cast("int").alias("nth"), F.lit(k).alias("hops"), "along")
+        found = part if found is None else found.unionByName(part)
+        trail = kept.where(F.col("had") + F.col("n") < limit).select("start", "along", "last", (F.col("had") + F.col("n")).cast("int").alias("had"))
+    nodes = F.concat(F.array("start"), F.transform("along", lambda x: x["dst"]))
+    return found.select("start", "nth", "hops", nodes.alias("nodes"), F.transform("along", lambda x: x["edge_id"]).alias("edge_ids"))
+
+
 def path_lines(found: DataFrame, by: str, order: list[Column], limit: int = 10) -> DataFrame:
     """(by, text): the first ``limit`` trails (by, nodes, ...) of each start as numbered lines below their number."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))

@@ -40,6 +40,30 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *,
     return found.where("row <> row_2").select(F.least("row", "row_2").alias("i"), F.greatest("row", "row_2").alias("j"), F.round("cosine", places).alias("similarity"))
 
 
+def similar_classes(nodes: DataFrame, threshold: float = 0.85, *, piece: int = PIECE) -> DataFrame:
+    """(id, class_id, links) of every row (id, label, vector): the smallest id that links of similar_pairs lead to, and to how many rows it links itself.
+
+    Equal vectors of one label are one in the comparison, and never make pairs among each other: of thousands of copies one is compared. Its links count for all of
+    them, those to copies with their number; copies link to each other if the threshold is one or less. Vectors without a direction, or null ones, link to nothing. Ids are unique.
+    """
+    units = nodes.select("id", "label", nested.normalised(F.col("vector")).alias("unit"))
+    keyed = settled(units.withColumn("key", F.xxhash64("unit", "label")), "units")
+    distinct = keyed.where("unit IS NOT NULL AND label IS NOT NULL").groupBy("label", "unit").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    distinct = settled(distinct.withColumn("key", F.xxhash64("unit", "label")), "distinct-units")
+    met = settled(similar_pairs(distinct.select(F.col("first").alias("row"), F.col("first").alias("id"), "label", F.col("unit").alias("vector")), threshold, piece=piece).select("i", "j"), "similar-pairs")
+    both = met.unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    degree = both.groupBy("j").agg(F.count("*").alias("degree"))
+    of = distinct.select(F.col("first").alias("j"), "copies").join(degree, "j")
+    others = looked_up(both, of, "j", "degree", F.col("i")).groupBy(F.col("i").alias("first")).agg(F.sum("copies").alias("others"))
+    names = representatives(met.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    known = distinct.join(others, "first", "left").join(names.withColumnRenamed("node", "first"), "first", "left")
+    itself = F.aggregate(F.transform("unit", lambda x: x * x), F.lit(0.0), lambda a, b: a + b) >= threshold - 1e-9
+    links = F.coalesce("others", F.lit(0)) + F.when(itself, F.col("copies") - 1).otherwise(0)
+    known = known.select("unit", "label", "copies", F.when(itself, F.coalesce("representative", "first")).alias("class_id"), links.alias("links"), "key")
+    joined = looked_up(keyed, known.select("key", "class_id", "links", "copies"), "key", "copies", F.col("id"))
+    return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def rule_pairs(names: DataFrame, block: Column) -> DataFrame:
     """(a, b) of names (name) that the entity rule takes for one; only names of one block are compared."""
     left = names.select(F.col("name").alias("a"), block.alias("block")).distinct()

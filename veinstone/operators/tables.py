@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,13 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _swept() -> None:
-    for path, spark in _MADE.items():
-        if spark.sparkContext._jsc is None:  # stopped before: what is left is the folder's owner's to clear
-            return
-        deleted(spark, path)
+    try:
+        for path, spark in _MADE.items():
+            if spark.sparkContext._jsc is None:  # stopped before: what is left is the folder's owner's to clear
+                return
+            deleted(spark, path)
+    except (Py4JError, OSError):  # so is it where the JVM is gone
+        return
 
 
 def dropped(spark: SparkSession, tables: list[DataFrame]) -> None:

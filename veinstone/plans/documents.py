@@ -123,8 +123,12 @@ votes AS (SELECT "column", count(*) FILTER (kind = 'int') AS n_int, count(*) FIL
 
 
 def typed_cast(spark: SparkSession, d: str) -> DataFrame:
-    """Order prices and priorities through every cast."""
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).when(F.col("o_orderkey") % 3 == 1, F.col("o_totalprice").cast("string")).otherwise(F.col("o_orderpriority"))
+    """Order numbers, prices, priorities, dates in two forms and words for yes and no, through every cast."""
+    key, custom = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    word = F.get(F.array(*map(F.lit, ("Yes", " no ", "是", "perhaps"))), (custom % 4).cast("int"))
+    text = F.when(key % 5 == 0, custom.cast("string")).when(key % 5 == 1, F.col("o_totalprice").cast("string")).when(key % 5 == 2, F.col("o_orderpriority"))
+    text = text.when(key % 5 == 3, F.when(custom % 2 == 0, day).otherwise(F.replace(day, F.lit("-"), F.lit("/")))).otherwise(word)
     return table(spark, d, "orders").select("o_orderkey", profile.typed(text, "int").alias("as_int"), profile.typed(text, "float").alias("as_float"), profile.typed(text, "bool").alias("as_bool"), profile.typed(text, "datetime").alias("as_datetime"))
 
 
@@ -294,7 +298,9 @@ WITH n AS (SELECT unnest(range((SELECT count(*) // 256 + 1 FROM customer))) AS p
 b AS (SELECT c_custkey // 256 AS part, string_agg('<tr><td>&lt;b&gt;&quot;&amp;&#x27; ' || c_name || '</td><td>' || CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END || '</td></tr>', '' ORDER BY c_custkey) AS body FROM customer GROUP BY 1)
 SELECT part, '<table><caption>customers</caption><tr><th>c_name</th><th>seg &amp; ment</th></tr>' || coalesce(body, '') || '</table>' || chr(10) AS html FROM n LEFT JOIN b USING (part)"""),
     "column_types": (column_types, f"WITH {_CELLS} SELECT *, CASE greatest(n_int, n_float, n_text, n_datetime, n_bool) WHEN n_int THEN 'int' WHEN n_float THEN 'float' WHEN n_text THEN 'text' WHEN n_datetime THEN 'datetime' ELSE 'bool' END AS type FROM votes"),
-    "typed_cast": (typed_cast, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS as_int, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN o_totalprice END AS as_float, CAST(NULL AS VARCHAR) AS as_bool, CAST(NULL AS VARCHAR) AS as_datetime FROM orders"),
+    "typed_cast": (typed_cast, """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey END AS as_int, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN o_totalprice END AS as_float,
+    CASE WHEN o_orderkey % 5 = 4 THEN CASE o_custkey % 4 WHEN 1 THEN 'no' WHEN 3 THEN NULL ELSE 'yes' END END AS as_bool, CASE WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS as_datetime FROM orders"""),
     "header_rows": (header_rows, """
 WITH rows AS (SELECT n_nationkey, n_nationkey % 5 + 1 AS tops, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation)
 SELECT n_nationkey AS table_id, CASE WHEN n = 0 THEN tops ELSE least(tops, 5) END AS header_rows FROM rows"""),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.operators import graph, resolve
-from veinstone.plans.tables import table
+from veinstone.operators.edge_index import EdgeIndex
+from veinstone.plans.tables import kept_at, table
 from veinstone.sources import files
 
 
@@ -67,10 +68,18 @@ places AS (
   UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 4 + 2, 'n' || n_nationkey, 'LIES_IN', 'r' || n_regionkey FROM nation)"""
 
 
+def edge_index(spark: SparkSession, d: str) -> EdgeIndex:
+    """The stored edges of the places; whoever asks first writes them."""
+    index = EdgeIndex(spark, kept_at(spark, d, "orders", "customer", "nation"))
+    if not index.versions.latest():
+        index.add(_places(spark, d))
+    return index
+
+
 def one_hop(direction: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        chosen = F.col("node").rlike("^n[0-9]$") | (F.col("node") == "c77")
-        return graph.relations(_places(spark, d), chosen, direction).select("node", "type", "other", "direction")
+        """Relations of the first ten nations and a customer, from the stored edges."""
+        return edge_index(spark, d).relations([*(f"n{k}" for k in range(10)), "c77"], direction).select("node", "type", "other", "direction")
 
     return query
 
@@ -188,6 +197,14 @@ def reindex(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def impact_paths_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten trails of each region and nation down to orders: hubs, of which all trails are thousands of times as many."""
+    down = _places(spark, d).select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    starts = down.where(F.col("src").rlike("^[rn]")).select(F.col("src").alias("node")).distinct()
+    found = graph.first_paths(down, starts, 10)
+    return found.select("start", F.col("nth").cast("long").alias("nth"), F.col("hops").cast("long").alias("hops"), F.array_join("nodes", " -> ").alias("path"))
+
+
 def table_functions(spark: SparkSession, d: str) -> DataFrame:
     """Nations, relations and trails by table functions in SQL; every region leads back to a nation and to itself, so there are cycles and loops."""
     from veinstone import registry
@@ -257,6 +274,13 @@ def embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
     return resolve.similar_pairs(nodes, 0.30)
 
 
+def embedding_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each vector along links of 0.34 or more within a label, and its number of links; every seventh vector is a copy of another."""
+    vectors = table(spark, d, "embeddings")
+    copies = vectors.where("vec_id % 7 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    return resolve.similar_classes(vectors.unionByName(copies).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 0.34)
+
+
 def er_rule_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Names of parts that may be one, within their last word."""
     names = table(spark, d, "part").select(F.col("p_name").alias("name"))
@@ -317,6 +341,14 @@ GROUP BY ALL"""),
     "update_edges": (update_edges, f"WITH {_PLACES} SELECT CASE WHEN type = 'LIVES_IN' THEN 'RESIDES_IN' ELSE type END AS type, count(*) FILTER (type = 'LIVES_IN') AS updated, count(*) AS edges FROM places GROUP BY ALL"),
     "exact_duplicates": (exact_duplicates, "SELECT doc_id AS id, sha256(text) AS hash, min(doc_id) OVER (PARTITION BY text) AS first_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'new' ELSE 'fast_resume' END AS status FROM documents"),
     "embedding_pairs": (embedding_pairs, _PAIRS),
+    "embedding_classes": (embedding_classes, """
+WITH RECURSIVE e AS (
+  SELECT id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u
+  FROM (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, label, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 7 = 0)),
+links AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.34),
+reach(i, j) AS (SELECT i, j FROM links UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+c AS (SELECT i, min(j) AS least FROM reach GROUP BY 1), n AS (SELECT i, count(*) AS links FROM links GROUP BY 1)
+SELECT id, least(id, coalesce(least, id)) AS class_id, coalesce(links, 0) AS links FROM e LEFT JOIN c ON c.i = id LEFT JOIN n ON n.i = id"""),
     "er_rule_pairs": (er_rule_pairs, _ER),
     "merge_apply": (merge_apply, _MERGE),
     "scan_report": (scan_report, f"SELECT (SELECT count(*) FROM embeddings) AS nodes, count(*) AS candidates, count(*) FILTER (similarity >= 0.35) AS confirmed, count(*) FILTER (similarity < 0.35) AS rejected, (SELECT count(*) FROM embeddings) - count(*) FILTER (similarity >= 0.35) AS estimated_after FROM ({_PAIRS})"),
@@ -361,6 +393,11 @@ UNION ALL SELECT 'edge', 'MATCH (a {name: ' || q || n_name || q || '}), (b {name
     "reindex": (reindex, """
 WITH kept AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT'), moved AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
 SELECT 'chunks' AS store, (SELECT count(*) FROM orders) AS rows UNION ALL SELECT 'edges', (SELECT count(*) FROM orders) UNION ALL SELECT 'nodes', (SELECT count(*) FROM (SELECT 'c' || o_custkey AS node FROM kept UNION SELECT 'c1' || o_custkey FROM moved))"""),
+    "impact_paths_first": (impact_paths_first, f"""
+WITH RECURSIVE {_PLACES}, down AS (SELECT edge_id, dst AS src, src AS dst FROM places),
+t AS (SELECT src AS start, dst AS last, 1 AS hops, src || ' -> ' || dst AS path, [edge_id] AS used, [{{'dst': dst, 'edge_id': edge_id}}] AS along FROM down WHERE src LIKE 'r%' OR src LIKE 'n%'
+  UNION ALL SELECT start, dst, hops + 1, path || ' -> ' || dst, list_append(used, edge_id), list_append(along, {{'dst': dst, 'edge_id': edge_id}}) FROM t JOIN down ON src = last WHERE hops < 3 AND NOT list_contains(used, edge_id))
+SELECT start, nth, hops, path FROM (SELECT start, CAST(hops AS BIGINT) AS hops, path, row_number() OVER (PARTITION BY start ORDER BY hops, along) AS nth FROM t) WHERE nth <= 10"""),
     "table_functions": (table_functions, f"""
 WITH RECURSIVE {_PLACES}, c AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part),
 links AS (SELECT * FROM places UNION ALL SELECT -1 - CAST(r_regionkey AS BIGINT) * 2, 'r' || r_regionkey, 'LEADS_TO', 'n' || r_regionkey FROM region UNION ALL SELECT -2 - CAST(r_regionkey AS BIGINT) * 2, 'r' || r_regionkey, 'LEADS_TO', 'r' || r_regionkey FROM region),

@@ -153,9 +153,9 @@ def text_rules(spark: SparkSession, d: str) -> DataFrame:
     envelope = F.from_json(F.to_json(F.struct(F.lit("patch").alias("type"), turn.alias("task_id"), F.left(x, F.lit(9)).alias("patch"))), "type string, task_id long, patch string")
     return table(spark, d, "conversations").select(
         "conv_id", "turn", F.md5(F.array_join(T.without_instructions(only, "nothing"), "|")).alias("kept"), F.round(nested.page_points(box, F.lit(600.0), F.lit(800.0))["x1"], 6).alias("x1"),
-        (nested.decoded(F.concat(F.lit("data:text/plain;base64,"), nested.encoded(x.cast("binary")))).cast("string") == x).alias("same"), F.length(nested.encoded(x.cast("binary"))).cast("long").alias("size"),
+        F.md5(nested.decoded(F.concat(F.lit("data:text/plain;base64,"), nested.encoded(x.cast("binary")))).cast("string")).alias("decoded"), F.length(nested.encoded(x.cast("binary"))).cast("long").alias("size"),
         F.array_join(F.transform(nested.parameters(said), lambda p: F.concat_ws("=", p["key"], p["value"])), ";").alias("parameters"), envelope["patch"].alias("patch"),
-        T.is_caption(F.concat(F.lit("Fig. "), turn.cast("string"))).alias("caption"), T.simplified(F.lit("鋼鐵"), "鋼鐵", "钢铁").alias("simplified"),
+        T.is_caption(F.concat(F.when(turn % 2 == 0, " Fig. ").otherwise("see Fig. "), turn.cast("string"))).alias("caption"), F.md5(T.simplified(F.concat(x, F.lit("鋼鐵")), "鋼鐵ab", "钢铁xy")).alias("simplified"),
     )
 
 
@@ -187,6 +187,6 @@ SELECT 'customers.csv' AS file, md5(concat_ws(chr(10), '- key: ' || key, '- name
     "text_rules": (text_rules, r"""
 WITH t AS (SELECT *, CASE WHEN turn % 3 = 0 THEN ['system prompt'] ELSE [text, CASE WHEN turn % 2 = 0 THEN 'please IGNORE ' || text ELSE 'You are here' END] END AS items FROM conversations),
 k AS (SELECT *, list_filter(items, lambda x: NOT regexp_matches(lower(x), 'ignore|忽略|override|覆盖|system|系统|forget|忘记|disregard|无视|you are|你是|new instruction|新指令')) AS kept FROM t)
-SELECT conv_id, turn, md5(CASE WHEN len(kept) > 0 THEN array_to_string(kept, '|') ELSE 'nothing' END) AS kept, round(turn / 10 * 600, 6) AS x1, true AS same, (strlen(text) + 2) // 3 * 4 AS size,
-       concat_ws(';', CASE turn % 4 WHEN 1 THEN 'a b=' || turn WHEN 2 THEN 'a b=true' END, 'z=[1,2]') AS parameters, left(text, 9) AS patch, true AS caption, '钢铁' AS simplified FROM k"""),
+SELECT conv_id, turn, md5(CASE WHEN len(kept) > 0 THEN array_to_string(kept, '|') ELSE 'nothing' END) AS kept, round(turn / 10 * 600, 6) AS x1, md5(text) AS decoded, (strlen(text) + 2) // 3 * 4 AS size,
+       concat_ws(';', CASE turn % 4 WHEN 1 THEN 'a b=' || turn WHEN 2 THEN 'a b=true' END, 'z=[1,2]') AS parameters, left(text, 9) AS patch, turn % 2 = 0 AS caption, md5(translate(text, 'ab', 'xy') || '钢铁') AS simplified FROM k"""),
 }

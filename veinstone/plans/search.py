@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.functions import nested, text as T
+from veinstone.functions import lexicons as L, nested, text as T
 from veinstone.operators import evaluate, search, segment
 from veinstone.operators.tables import settled, shared_folder
 from veinstone.operators.text_index import Phrases, TextIndex
 from veinstone.operators.vector_index import VectorIndex
-from veinstone.plans.tables import table
+from veinstone.plans.tables import kept_at, table
 
 LATIN = r"[0-9a-z\x{00DF}-\x{00F6}\x{00F8}-\x{024F}]+"
 
@@ -27,26 +26,16 @@ def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _kept_at(spark: SparkSession, d: str, name: str) -> str:
-    """A folder in the shared one for what is made from a table: the same one while the table's files are the same."""
-    said, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
-    for file in sorted(table(spark, d, name).inputFiles()):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        said.append(f"{file} {status.getLen()} {status.getModificationTime()}")
-    return f"{shared_folder(spark)}/{name}-index-{hashlib.sha256('|'.join(said).encode()).hexdigest()[:24]}"
-
-
 def text_index(spark: SparkSession, d: str) -> TextIndex:
     """The stored index of the documents; whoever asks first makes it."""
-    index = TextIndex(spark, _kept_at(spark, d, "documents"))
+    index = TextIndex(spark, kept_at(spark, d, "documents"))
     if not index.versions.latest():
         index.upsert(table(spark, d, "documents"))
     return index
 
 
 def vector_index(spark: SparkSession, d: str) -> VectorIndex:
-    index = VectorIndex(spark, _kept_at(spark, d, "embeddings"))
+    index = VectorIndex(spark, kept_at(spark, d, "embeddings"))
     if not index.versions.latest():
         index.upsert(table(spark, d, "embeddings"))
     return index
@@ -309,9 +298,11 @@ def keyword_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Scalars of every document, with some full-width and Chinese characters behind it."""
+    """Scalars of every document: every third as plain ASCII, others with some full-width and Chinese characters behind them, some of these with the note of an empty answer."""
     x = F.col("x")
-    docs = table(spark, d, "documents").select("doc_id", "source", F.concat("text", F.lit(" ＡＢ１２　钢铁 材料")).alias("x"))
+    text, note = F.concat("text", F.lit(" ＡＢ１２　钢铁 材料")), F.lit(f" {L.NO_CONTENT}")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), F.lit(" !?"))).when(F.col("doc_id") % 5 == 2, F.concat(text, note)).otherwise(text)
+    docs = table(spark, d, "documents").select("doc_id", "source", said.alias("x"))
     return docs.select(
         "doc_id", F.md5(T.half_width(x)).alias("half_width"), F.round(T.cjk_ratio(x), 6).alias("cjk"), T.has_long_ascii_run(x).alias("long_run"), T.token_estimate(x).alias("tokens"),
         F.md5(T.without_controls(x)).alias("clean"), F.md5(T.without_signs(x)).alias("plain"), T.head(x, 100, " [more]").alias("head"), T.tail(x, 50, "[...]").alias("tail"),
@@ -321,16 +312,17 @@ def text_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TEXT_PROFILE = rf"""
-WITH t AS (SELECT doc_id, source, text || ' ＡＢ１２　钢铁 材料' AS x FROM documents)
+WITH t AS (
+  SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '[^\x00-\x7F]', '?', 'g') || ' !?' ELSE text || ' ＡＢ１２　钢铁 材料' || CASE WHEN doc_id % 5 = 2 THEN ' Worker completed but produced no textual output' ELSE '' END END AS x FROM documents)
 SELECT doc_id, md5(replace(replace(replace(replace(replace(x, 'Ａ', 'A'), 'Ｂ', 'B'), '１', '1'), '２', '2'), '　', ' ')) AS half_width,
   round(len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]')) / length(replace(replace(x, ' ', ''), chr(10), '')), 6) AS cjk, regexp_matches(x, '[a-zA-Z]{{50,}}') AS long_run, length(x) // 2 AS tokens,
   md5(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')) AS clean,
   md5(trim(regexp_replace(regexp_replace(x, '[ :|\r\n\t,，。？?/`!！&^%()\[\]{{}}<>]+', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS plain,
   CASE WHEN length(x) > 100 THEN left(x, 100) || ' [more]' ELSE x END AS head, CASE WHEN length(x) > 50 THEN '[...]' || right(x, 50) ELSE x END AS tail,
   CASE WHEN len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) BETWEEN 4 AND 11 THEN 'Tx' WHEN len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) > 11 THEN 'Lx' ELSE 'Ot' END AS block,
-  len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) AS simple, false AS ascii,
+  len(regexp_extract_all(x, '[\x{{4e00}}-\x{{9fff}}]+|[a-zA-Z0-9]+')) AS simple, regexp_full_match(x, '[\x00-\x7F]*') AS ascii,
   regexp_matches(x, '(?i)p\.\s*\d+|pp\.\s*\d+|\[?\d+\]|Figure\s*\d+|page\s*\d+|fig\.\s*\d+') AS cites,
-  true AS useful, contains(lower(x), 'no results') OR contains(lower(x), 'no documents') OR contains(lower(x), 'empty') AS empty,
+  NOT contains(x, 'Worker completed but produced no textual output') AS useful, contains(lower(x), 'no results') OR contains(lower(x), 'no documents') OR contains(lower(x), 'empty') AS empty,
   md5(replace(lower(regexp_replace(x, '^\s+', '')), ' ', '_')) AS entity, source || '_a_b' AS file
 FROM t
 """
@@ -497,9 +489,9 @@ runs AS (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lo
 pieces AS (SELECT run, start, n, run[start + 1 : start + n] AS word FROM (SELECT run, unnest(range(length(run))) AS start FROM runs), (SELECT unnest(range(1, longest + 1)) AS n FROM size) WHERE start + n <= length(run)),
 edges AS (SELECT run, start, start + n AS ending, word, CAST(round(1000000 * ln(coalesce(f, 1) / total)) AS BIGINT) AS weight FROM pieces LEFT JOIN dictionary USING (word), size WHERE f IS NOT NULL OR n = 1),
 paths AS (
-  SELECT run, 0 AS at, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS words, CAST([] AS BIGINT[]) AS back FROM runs
-  UNION ALL SELECT p.run, ending, total + weight, list_append(words, word), list_prepend(start, back) FROM paths p JOIN edges e ON e.run = p.run AND e.start = p.at),
-best AS (SELECT run, words FROM (SELECT run, words, row_number() OVER (PARTITION BY run ORDER BY total DESC, back) AS nth FROM paths WHERE at = length(run)) WHERE nth = 1)
+  SELECT run, 0 AS here, CAST(0 AS BIGINT) AS total, CAST([] AS VARCHAR[]) AS words, CAST([] AS BIGINT[]) AS back FROM runs
+  UNION ALL SELECT p.run, ending, total + weight, list_append(words, word), list_prepend(start, back) FROM paths p JOIN edges e ON e.run = p.run AND e.start = p.here),
+best AS (SELECT run, words FROM (SELECT run, words, row_number() OVER (PARTITION BY run ORDER BY total DESC, back) AS nth FROM paths WHERE here = length(run)) WHERE nth = 1)
 SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT unnest(words) AS word, times FROM best JOIN runs USING (run)) GROUP BY 1"""),
     "hybrid_linear": (hybrid_linear, f"""
 WITH {_TOKEN_SIMILARITY},{_dense('SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0').replace(', 6) AS score', ', 15) AS score')}
