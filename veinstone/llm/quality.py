@@ -93,9 +93,12 @@ def base_columns(docs: DataFrame, text: Column) -> DataFrame:
     docs = docs.withColumn("_q_lines", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     # A hash of each word, then one of each window; equal windows are looked for among these 64-bit values.
     docs = docs.withColumn("_q_hashes", F.transform("_q_words", lambda word: F.xxhash64(word)))
-    docs = docs.withColumn("_q_windows", _paired(_paired(_paired(F.col("_q_hashes"), 1), 2), 4))
+    # A column for each doubling: an expression that holds another several times would evaluate it as often.
+    docs = docs.withColumn("_q_pairs", _paired(F.col("_q_hashes"), 1))
+    docs = docs.withColumn("_q_fours", _paired(F.col("_q_pairs"), 2))
+    docs = docs.withColumn("_q_windows", _paired(F.col("_q_fours"), 4))
     windows = F.col("_q_windows")
-    docs = docs.drop("_q_hashes").withColumn("_q_repeats", F.size(F.array_distinct(windows)) < F.size(windows))
+    docs = docs.drop("_q_hashes", "_q_pairs", "_q_fours").withColumn("_q_repeats", F.size(F.array_distinct(windows)) < F.size(windows))
     docs = docs.withColumn("_q_sorted", F.when(F.col("_q_repeats"), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     by_hash = F.col("_q_sorted")
     docs = docs.withColumn(
