@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested, text as T
+from veinstone.operators import blocks
 from veinstone.operators.tables import dropped, looked_up, settled
 
 
@@ -26,18 +27,15 @@ PIECE = 4096
 def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *, piece: int = PIECE) -> DataFrame:
     """(i, j, similarity) of rows (row, id, label, vector): same label, different id, i < j, cosine at or above the threshold.
 
-    Only vectors of one label meet. A label with over ``piece`` vectors is cut into pieces, and each pair of pieces is a key of the
-    join of its own: every pair is compared once, and no task has all of a large label. Vectors are brought to unit length once.
+    Only vectors of one label meet. A label with over ``piece`` vectors is cut into pieces, and each pair of pieces is a key of its
+    own: every pair is compared once, by products of blocks (see blocks), and no task has all of a large label. Vectors are brought to unit length once.
     """
-    unit = nodes.select("row", "id", "label", nested.normalised(F.col("vector")).alias("unit"))
+    unit = nodes.select("row", "id", "label", nested.normalised(F.col("vector")).alias("unit")).where("row IS NOT NULL AND id IS NOT NULL AND label IS NOT NULL AND unit IS NOT NULL")
     sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    cut = unit.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("row", "id"), F.col("pieces")).cast("int"))
-    # A row is on the left of pairs with its own and later pieces, and on the right of those with its own and earlier ones.
-    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("pieces") - 1))).select("row", "id", "label", "unit", F.col("own").alias("a"), F.col("other").alias("b"))
-    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).select(F.col("row").alias("row_2"), F.col("id").alias("id_2"), "label", F.col("unit").alias("unit_2"), F.col("other").alias("a"), F.col("own").alias("b"))
-    met = left.join(right, ["label", "a", "b"]).where((F.col("id") != F.col("id_2")) & ((F.col("a") < F.col("b")) | (F.col("row") < F.col("row_2"))))
-    found = met.withColumn("cosine", nested.dot(F.col("unit"), F.col("unit_2"))).where(F.col("cosine") >= threshold)
-    return found.where("row <> row_2").select(F.least("row", "row_2").alias("i"), F.greatest("row", "row_2").alias("j"), F.round("cosine", places).alias("similarity"))
+    cut = unit.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("row", "id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = cut.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "row", "id", "unit")
+    found = blocks.pairs(dealt, threshold).where("id <> id_2 AND row <> row_2")
+    return found.select(F.least("row", "row_2").alias("i"), F.greatest("row", "row_2").alias("j"), F.round("cosine", places).alias("similarity"))
 
 
 def similar_classes(nodes: DataFrame, threshold: float = 0.85, *, piece: int = PIECE) -> DataFrame:
