@@ -41,3 +41,13 @@ def test_pairs_are_not_joined_row_by_row(spark):
     nodes = spark.createDataFrame(odd_rows(2, 30), SCHEMA)
     plan = resolve.similar_pairs(nodes, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan.replace("zip_with(vector", "") and "unit_2" not in plan
+
+
+def test_scan_report_of_large_ids(spark, tmp_path):
+    """Numbers of pairs are told apart whatever the ids: 0 and 1000002 are another pair than 1 and 2."""
+    from veinstone.plans import graph
+
+    rows = [(0, [1.0, 0.0], 1), (1_000_002, [1.0, 0.1], 1), (1, [0.0, 1.0], 2), (2, [0.1, 1.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = graph.scan_report(spark, str(tmp_path)).first()
+    assert (row.nodes, row.candidates, row.confirmed, row.rejected, row.estimated_after) == (4, 2, 2, 0, 2)

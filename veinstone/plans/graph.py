@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veinstone.operators import graph, resolve
 from veinstone.operators.edge_index import EdgeIndex
+from veinstone.operators.tables import settled
 from veinstone.plans.tables import kept_at, table
 from veinstone.sources import files
 
@@ -298,8 +299,8 @@ def merge_apply(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_report(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    pairs = resolve.similar_pairs(nodes, 0.30)
-    numbered = pairs.select((F.col("i") * 1_000_000 + F.col("j")).alias("pair_id"), F.col("i").cast("string").alias("a"), F.col("j").cast("string").alias("b"), "similarity")
+    pairs = settled(resolve.similar_pairs(nodes, 0.30), "scanned-pairs")
+    numbered = pairs.select(F.struct("i", "j").alias("pair_id"), F.col("i").cast("string").alias("a"), F.col("j").cast("string").alias("b"), "similarity")
     verdicts = numbered.select("pair_id", F.when(F.col("similarity") >= 0.35, " yes ").otherwise("NO").alias("verdict"), F.lit("").alias("canonical"))
     return resolve.scan_report(numbered, resolve.verified(numbered, verdicts), nodes)
 
