@@ -51,3 +51,19 @@ def test_scan_report_of_large_ids(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     row = graph.scan_report(spark, str(tmp_path)).first()
     assert (row.nodes, row.candidates, row.confirmed, row.rejected, row.estimated_after) == (4, 2, 2, 0, 2)
+
+
+def test_classes_in_pieces(spark):
+    """Links and classes as pairs one by one make them, with copies and in small pieces."""
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(2), [rng.gauss(0, 1) for _ in range(6)]) for k in range(80)]
+    rows += [(100 + k, label, v) for k, label, v in rows if k % 5 == 0]
+    nodes = spark.createDataFrame([(k, str(k), str(label), v) for k, label, v in rows], SCHEMA)
+    pairs = [(i, j) for i, j, _ in one_by_one(nodes, 0.7)]
+    least = {k: k for k, *_ in rows}
+    while any(least[i] != least[j] for i, j in pairs):
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    want = sorted((k, least[k], sum(k in p for p in pairs)) for k, *_ in rows)
+    found = resolve.similar_classes(nodes.select(F.col("row").alias("id"), "label", "vector"), 0.7, piece=9)
+    assert sorted((r.id, r.class_id, r.links) for r in found.collect()) == want
