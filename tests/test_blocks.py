@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested
-from veinstone.operators import blocks, resolve
+from veinstone.operators import blocks, resolve, search
 
 SCHEMA = "row long, id string, label string, vector array<float>"
 
@@ -67,3 +67,31 @@ def test_classes_in_pieces(spark):
     want = sorted((k, least[k], sum(k in p for p in pairs)) for k, *_ in rows)
     found = resolve.similar_classes(nodes.select(F.col("row").alias("id"), "label", "vector"), 0.7, piece=9)
     assert sorted((r.id, r.class_id, r.links) for r in found.collect()) == want
+
+
+def test_nearest_in_blocks_equal_all_pairs(spark, monkeypatch):
+    """Odd vectors, copies and ties at the k-th place among them; blocks of a few vectors and queries."""
+    for name, value in (("CELLS", 50), ("SUMS", 7), ("PIECE", 16), ("GROUP", 4)):
+        monkeypatch.setattr(blocks, name, value)
+    rows = [(k, v) for k, _, _, v in odd_rows(5, 90) if k is not None] + [(3000 + k, odd_rows(5, 90)[8][3]) for k in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 10 = 8 OR vec_id >= 1000 AND vec_id < 1010").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    unit = vectors.select(F.col("vec_id").alias("id"), nested.normalised(F.col("embedding")).alias("v"))
+    every = unit.crossJoin(asked.select("query_id", nested.normalised(F.col("vector")).alias("q"))).select("query_id", "id", F.round(nested.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    told = lambda df: sorted((r.query_id, r["rank"], r.id, repr(r.score)) for r in df.collect())
+    for k in (3, 200):
+        assert told(search.knn(vectors, asked, k)) == told(search.best(every, k))
+
+
+def test_linear_hybrid_in_blocks_equals_all_pairs(spark, monkeypatch):
+    for name, value in (("CELLS", 400), ("PIECE", 16), ("GROUP", 4)):
+        monkeypatch.setattr(blocks, name, value)
+    vectors = spark.createDataFrame([(k, v) for k, _, _, v in odd_rows(6, 60) if k is not None], "id long, vector array<float>")
+    asked = vectors.where("id % 9 = 0 OR id > 999").withColumnRenamed("id", "query_id")
+    said = asked.select("query_id").crossJoin(vectors.select("id")).where("(query_id + id) % 3 = 0").withColumn("similarity", F.col("id") / 2000.0)
+    every = vectors.crossJoin(asked.withColumnRenamed("vector", "q")).select("query_id", "id", nested.cosine(F.col("vector"), F.col("q")).alias("cosine"))
+    flags = every.groupBy("query_id").agg(F.max(F.when(F.col("cosine") != 0, 1).otherwise(0)).alias("known"))
+    plain = every.join(flags, "query_id").join(said, ["query_id", "id"], "left").fillna(0.0, ["similarity"])
+    plain = plain.select("query_id", "id", F.round(F.when(F.col("known") == 0, F.col("similarity")).otherwise(0.85 * F.col("cosine") + 0.15 * F.col("similarity")), 6).alias("score"))
+    told = lambda df: sorted((r.query_id, r.id, repr(r.score)) for r in df.collect())
+    assert told(search.linear_hybrid(vectors, asked, said)) == told(plain)

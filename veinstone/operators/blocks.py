@@ -165,9 +165,94 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, margin: float) -> Da
     return both.repartition(width(vectors), "a", "b").sortWithinPartitions("a", "b", "asks", "id").mapInArrow(compared, schema)
 
 
-def dealt(vectors: DataFrame, queries: DataFrame, *, piece: int = PIECE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """vectors (id, ...) and queries (query_id, ...) with keys a, b by which each query meets each vector once: pieces of vectors by groups of queries."""
-    pieces, groups = max(1, -(-vectors.count() // piece)), max(1, -(-queries.count() // group))
+def dealt(vectors: DataFrame, queries: DataFrame, *more: DataFrame, piece: int | None = None, group: int | None = None) -> list[DataFrame]:
+    """vectors (id, ...) and queries (query_id, ...) with keys a, b by which each query meets each vector once: pieces of vectors by groups of queries. more: rows (query_id, id, ...), each with the key of its two."""
+    pieces, groups = max(1, -(-vectors.count() // (piece or PIECE))), max(1, -(-queries.count() // (group or GROUP)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    return vectors.withColumn("a", own("id", pieces)).withColumn("b", every(groups)), queries.withColumn("b", own("query_id", groups)).withColumn("a", every(pieces))
+    own = lambda name, of, n: F.pmod(F.xxhash64(F.col(name).cast(dict(of.dtypes)[name])), F.lit(n)).cast("int")
+    a, b = own("id", vectors, pieces), own("query_id", queries, groups)
+    found = [vectors.withColumn("a", a).withColumn("b", every(groups)), queries.withColumn("b", b).withColumn("a", every(pieces))]
+    return found + [rows.withColumns({"a": a, "b": b}) for rows in more]
+
+
+def _cosines(turned: np.ndarray, sizes: np.ndarray, norms: np.ndarray, some: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """nested.cosine of rows ``some`` by rows ``right``, and where it is null."""
+    found = np.zeros((len(some), len(right)))
+    with np.errstate(all="ignore"):
+        for one in turned:
+            found += one[some][:, None] * one[right]
+        both = norms[some][:, None] * norms[right]
+        found = np.where(both == 0, 0.0, found / both)
+    return found, ((sizes[some][:, None] != sizes[right]) & (both != 0)) | (sizes[some] < 0)[:, None] | (sizes[right] < 0)
+
+
+def known(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, known): whether a query has a cosine other than 0 with any vector of its key; see nearest."""
+    schema = Y.StructType([f for f in queries.schema if f.name == "query_id"] + [Y.StructField("known", Y.BooleanType())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 2):
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            units, sizes = matrix(table.column("v"))
+            left, right, turned = np.flatnonzero(asks), np.flatnonzero(~asks), np.ascontiguousarray(units.T)
+            norms, found = np.sqrt(summed(turned, turned, *[np.arange(len(units))] * 2)), np.zeros(len(units), bool)
+            for at in range(0, len(right), 64):  # one vector is mostly enough
+                rest = left[~found[left]]
+                if not len(rest):
+                    break
+                cosines, none = _cosines(turned, sizes, norms, rest, right[at : at + 64])
+                found[rest] = ((cosines != 0) & ~none).any(axis=1)
+            yield pa.RecordBatch.from_arrays([table.column("query_id").combine_chunks().take(pa.array(left)), pa.array(found[left])], names=schema.names)
+
+    both = vectors.select("a", "b", F.lit(False).alias("asks"), F.lit(None).cast(schema[0].dataType).alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    both = both.unionByName(queries.select("a", "b", F.lit(True).alias("asks"), "query_id", F.col("q").cast("array<double>").alias("v")))
+    each = both.repartition(width(vectors), "a", "b").sortWithinPartitions("a", "b").mapInArrow(compared, schema)
+    return each.groupBy("query_id").agg(F.max("known").alias("known"))
+
+
+def cosines(vectors: DataFrame, queries: DataFrame, similarities: DataFrame) -> DataFrame:
+    """(query_id, id, cosine, known, similarity): each query of a key with each vector of it, and what similarities (a, b, query_id, id, similarity) say of the two, or 0.
+
+    vectors: (a, b, id, v); queries: (a, b, query_id, q, known). No pair is moved.
+    """
+    kinds = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    fields = [("query_id", kinds["query_id"]), ("id", kinds["id"]), ("cosine", Y.DoubleType()), ("known", Y.BooleanType()), ("similarity", Y.DoubleType())]
+    schema = Y.StructType([Y.StructField(*f) for f in fields])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 2):
+            kind = table.column("kind").to_numpy()
+            left, right, said = (np.flatnonzero(kind == k) for k in (0, 1, 2))
+            if not len(left) or not len(right):
+                continue
+            units, sizes = matrix(table.column("v"))
+            turned = np.ascontiguousarray(units.T)
+            norms = np.sqrt(summed(turned, turned, *[np.arange(len(units))] * 2))
+            names, ids, flags = (table.column(c).combine_chunks() for c in ("query_id", "id", "known"))
+            # Distinct names and ids by number; what is said of them by these numbers.
+            of, to = names.take(pa.array(left)).dictionary_encode(), ids.take(pa.array(right)).dictionary_encode()
+            asked, place = (pc.fill_null(x.indices, -1).to_numpy(zero_copy_only=False) for x in (of, to))
+            told = [pc.fill_null(pc.index_in(x.take(pa.array(said)), value_set=y.dictionary), -1).to_numpy(zero_copy_only=False) for x, y in ((names, of), (ids, to))]
+            there = (told[0] >= 0) & (told[1] >= 0)
+            who, whom, value = told[0][there], told[1][there], table.column("similarity").to_numpy()[said][there]
+            step = max(1, (CELLS >> 3) // len(right))
+            for at in range(0, len(left), step):
+                some, number = left[at : at + step], asked[at : at + step]
+                found, none = _cosines(turned, sizes, norms, some, right)
+                alike = np.zeros((len(some), len(to.dictionary) + 1))
+                for row, query in enumerate(number):
+                    if query >= 0 and len(who):
+                        mine = who == query
+                        alike[row, whom[mine]] = value[mine]
+                x = np.repeat(some, len(right))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(x)), ids.take(pa.array(np.tile(right, len(some)))), pa.array(found.ravel(), mask=none.ravel()), flags.take(pa.array(x)), pa.array(alike[:, place].ravel())], names=schema.names,
+                )
+
+    void = {"query_id": kinds["query_id"].simpleString(), "id": kinds["id"].simpleString(), "v": "array<double>", "known": "boolean", "similarity": "double"}
+
+    def side(rows: DataFrame, kind: int, **there: str) -> DataFrame:
+        return rows.select("a", "b", F.lit(kind).alias("kind"), *((F.col(there[n]) if n in there else F.lit(None)).cast(t).alias(n) for n, t in void.items()))
+
+    both = side(queries, 0, query_id="query_id", v="q", known="known").unionByName(side(vectors, 1, id="id", v="v")).unionByName(side(similarities, 2, query_id="query_id", id="id", similarity="similarity"))
+    return both.repartition(width(vectors), "a", "b").sortWithinPartitions("a", "b").mapInArrow(compared, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import lexicons as L, nested, text as T
+from veinstone.operators import blocks
 from veinstone.operators.tables import settled
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -78,14 +79,11 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, id_column: str = "vec_id", vector_column: str = "embedding", places: int = 6) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine neighbours; queries (query_id, vector) are a stated set, which meets all vectors in blocks."""
+    """(query_id, id, score, rank): exact cosine neighbours; queries (query_id, vector) meet all vectors in blocks, which keep what may be among the best."""
     unit = vectors.select(F.col(id_column).alias("id"), nested.normalised(F.col(vector_column)).alias("v"))
     asked = queries.select("query_id", nested.normalised(F.col("vector")).alias("q"))
-
-    def near(block: DataFrame) -> DataFrame:
-        return best(unit.crossJoin(block).select("query_id", "id", F.round(nested.dot(F.col("v"), F.col("q")), places).alias("score")), k)
-
-    return in_blocks(asked, "query_id", near)
+    near = blocks.nearest(*blocks.dealt(unit, asked), k, 2 * 10.0**-places)
+    return best(near.select("query_id", "id", F.round("score", places).alias("score")), k)
 
 
 def containing(docs: DataFrame, queries: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -193,14 +191,26 @@ def token_similarity(queries: DataFrame, docs: DataFrame, places: int = 6) -> Da
     return shared.join(held(total), "query_id").select("query_id", "id", F.round((1e-9 + F.col("shared")) / (1e-9 + F.col("total")), places).alias("similarity"))
 
 
-def linear_hybrid(cosines: DataFrame, similarities: DataFrame, places: int = 6) -> DataFrame:
-    """(query_id, id, score): 0.85 cosine + 0.15 token similarity, tokens alone where all cosines of a query are 0.
+def similarity_to_texts(queries: DataFrame, docs: DataFrame, places: int = 6) -> DataFrame:
+    """As token_similarity, for documents as (id, words array<string>): only features of a query leave the scan."""
+    wanted = settled(token_features(queries, "query_id"), "features")
+    words = F.col("words")
+    doubled = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda one, two: F.concat(one, two))
+    have = docs.select("id", F.explode(F.array_distinct(F.concat(words, doubled))).alias("feature"))
+    have = have.join(held(wanted.select("feature").distinct()), "feature").distinct()
+    total = wanted.groupBy("query_id").agg(F.sum("value").alias("total"))
+    shared = have.join(held(wanted), "feature").groupBy("query_id", "id").agg(F.sum("value").alias("shared"))
+    return shared.join(held(total), "query_id").select("query_id", "id", F.round((1e-9 + F.col("shared")) / (1e-9 + F.col("total")), places).alias("similarity"))
+
+
+def linear_hybrid(vectors: DataFrame, queries: DataFrame, similarities: DataFrame, places: int = 6) -> DataFrame:
+    """(query_id, id, score) of every query (query_id, vector) with every vector (id, vector): 0.85 cosine + 0.15 token similarity, tokens alone where all cosines of a query are 0.
 
-    cosines: (query_id, id, cosine); similarities: of token_similarity, 0 for documents that aren't there.
+    similarities: of token_similarity, 0 for documents that aren't there. The pairs are made where they are scored, in blocks, and don't move.
     """
-    flags = cosines.groupBy("query_id").agg(F.max(F.when(F.col("cosine") != 0, 1).otherwise(0)).alias("known"))
-    joined = cosines.join(held(flags), "query_id").join(similarities, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return joined.select("query_id", "id", F.round(F.when(F.col("known") == 0, F.col("similarity")).otherwise(0.85 * F.col("cosine") + 0.15 * F.col("similarity")), places).alias("score"))
+    rows, asked, said = blocks.dealt(vectors.select("id", F.col("vector").alias("v")), queries.select("query_id", F.col("vector").alias("q")), similarities)
+    every = blocks.cosines(rows, asked.join(settled(blocks.known(rows, asked), "known"), "query_id"), said)
+    return every.select("query_id", "id", F.round(F.when(F.col("known"), 0.85 * F.col("cosine") + 0.15 * F.col("similarity")).otherwise(F.col("similarity")), places).alias("score"))
 
 
 def term_weights(terms: DataFrame, group: str, places: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinstone.functions import lexicons as L, nested, text as T
+from veinstone.functions import lexicons as L, text as T
 from veinstone.operators import evaluate, search, segment
 from veinstone.operators.tables import settled, shared_folder
 from veinstone.operators.text_index import Phrases, TextIndex
@@ -258,8 +258,8 @@ def _query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
     """How much of the terms and pairs of each query's benchmark item each document has."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
-    return search.token_similarity(_query_terms(spark, d), docs)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"))
+    return search.similarity_to_texts(_query_terms(spark, d), docs)
 
 
 _TOKEN_SIMILARITY = f"""
@@ -276,9 +276,8 @@ alike AS (
 
 def hybrid_linear(spark: SparkSession, d: str) -> DataFrame:
     """Vectors whose number is divisible by 100, with the benchmark item of that number, against all vectors and documents."""
-    vectors, asked = table(spark, d, "embeddings"), _asked_vectors(spark, d)
-    every = search.in_blocks(asked.withColumnRenamed("vector", "q"), "query_id", lambda block: vectors.crossJoin(block).select("query_id", F.col("vec_id").alias("id"), nested.cosine(F.col("embedding"), F.col("q")).alias("cosine")))
-    return search.linear_hybrid(every, token_similarity(spark, d))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.linear_hybrid(vectors, _asked_vectors(spark, d), token_similarity(spark, d))
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
