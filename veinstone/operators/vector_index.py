@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import nested
-from veinstone.operators import search
+from veinstone.operators import blocks, search
 from veinstone.operators.tables import settled
 from veinstone.operators.versions import Versions
 
@@ -107,11 +107,11 @@ class VectorIndex:
         vectors, named = self._vectors(state), [row["cell"] for row in looked.select("cell").distinct().limit(NAMED + 1).collect()]
         if len(named) <= NAMED:
             vectors = vectors.where(F.col("cell").isin(named))
-
-        def found(block: DataFrame) -> DataFrame:
-            pairs = vectors.join(block, "cell").select("query_id", "id", F.round(nested.dot(F.col("v"), F.col("q")), places).alias("score"))
-            return pairs
-
-        pairs = search.in_blocks(looked, "cell", found)
-        counted = pairs.groupBy("query_id").agg(F.count("*").alias("candidates"))
+        # A cell's vectors meet its queries in blocks: large cells are cut in pieces, to each of which the queries go.
+        sizes = settled(vectors.groupBy("cell").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / blocks.PIECE).cast("int")), "cell-sizes")  # MOST_CELLS rows
+        rows = vectors.join(F.broadcast(sizes), "cell").select(F.col("cell").alias("a"), F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("b"), "id", "v")
+        met = looked.join(F.broadcast(sizes), "cell")
+        asks = met.select(F.col("cell").alias("a"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("b"), "query_id", "q")
+        pairs = blocks.nearest(rows, asks, k, 2 * 10.0**-places).select("query_id", "id", F.round("score", places).alias("score"))
+        counted = met.groupBy("query_id").agg(F.sum("n").alias("candidates"))
         return search.best(pairs, k).join(search.held(settled(counted, "candidates")), "query_id")
