@@ -69,6 +69,45 @@ def test_classes_in_pieces(spark):
     assert sorted((r.id, r.class_id, r.links) for r in found.collect()) == want
 
 
+def test_classes_of_odd_vectors_and_of_chains(spark, monkeypatch):
+    """Nulls, lengths and no-numbers among them, blocks of a few products; classes that only a long chain of links through several pieces holds together."""
+    monkeypatch.setattr(blocks, "CELLS", 50)
+    monkeypatch.setattr(blocks, "SUMS", 3)
+    turns = [(3000 + (k * 37) % 60, f"t{k}", "turns", [math.cos(k / 20), math.sin(k / 20)]) for k in range(60)]
+    nodes = spark.createDataFrame([r for r in odd_rows(7, 90) if None not in r[:3]] + turns, SCHEMA).withColumn("id", F.col("row").cast("string"))
+    for threshold, piece in ((0.6, 8), (math.cos(0.051), 7), (0.9, 1000)):
+        pairs = [(i, j) for i, j, _ in one_by_one(nodes, threshold)]
+        least = {r.row: r.row for r in nodes.collect()}
+        while any(least[i] != least[j] for i, j in pairs):
+            for i, j in pairs:
+                least[i] = least[j] = min(least[i], least[j])
+        found = {r.id: (r.class_id, r.links) for r in resolve.similar_classes(nodes.select(F.col("row").alias("id"), "label", "vector"), threshold, piece=piece).collect()}
+        assert found == {k: (least[k], sum(k in p for p in pairs)) for k in least}
+
+
+def test_classes_write_rows_and_not_pairs(spark, monkeypatch):
+    """300 vectors, all alike, make 44850 pairs; what is written on the way are rows."""
+    written, settled = [], resolve.settled
+
+    def counted(df, tag):
+        table = settled(df, tag)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(resolve, "settled", counted)
+    nodes = spark.createDataFrame([(k, "l", [1.0, k / 1000]) for k in range(300)], "id long, label string, vector array<double>")
+    assert {(r.class_id, r.links) for r in resolve.similar_classes(nodes, 0.5, piece=150).collect()} == {(0, 299)}
+    assert written and max(written) <= 4 * 300
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    """Not for each component: within the lambda that divides, nothing sums."""
+    vectors = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), (None,), ([],)], "v array<double>")
+    units = vectors.select(nested.normalised(F.col("v")).alias("u"))
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.u for r in units.collect()] == [[0.6, 0.8], [0.0, 0.0], [None, None], None, []]
+
+
 def test_nearest_in_blocks_equal_all_pairs(spark, monkeypatch):
     """Odd vectors, copies and ties at the k-th place among them; blocks of a few vectors and queries."""
     for name, value in (("CELLS", 50), ("SUMS", 7), ("PIECE", 16), ("GROUP", 4)):

@@ -43,9 +43,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Unit vector; a zero vector stays."""
-    size = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
+    """Unit vector; a zero vector stays. The length is bound, as an expression within a lambda is evaluated for each component."""
+    unit = lambda size: F.transform(v, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
+    return F.get(F.transform(F.array(norm(v)), unit), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -118,6 +118,66 @@ def pairs(dealt: DataFrame, threshold: float) -> DataFrame:
     return keyed.mapInArrow(compared, schema)
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Takes links of i and j into a forest: each row has its root at once, before and after."""
+    while True:
+        one, two = root[i], root[j]
+        apart = np.flatnonzero(one != two)
+        if not len(apart):
+            return
+        i, j, one, two = i[apart], j[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while not np.array_equal(further := root[root], root):
+            root[:] = further
+
+
+def linked(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(row, root, links): of each row that has others at or above the threshold under its key, to how many rows these stand for (copies), and a row that its links lead to, the same for all that are joined.
+
+    dealt: (label, a, b, own, row, copies, unit) as for pairs. At most a row comes out for each that goes in, whatever the number of pairs.
+    """
+    kind = dealt.schema["row"].dataType
+    schema = Y.StructType([Y.StructField("row", kind), Y.StructField("root", kind), Y.StructField("links", Y.LongType())])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 3):
+            units, sizes = matrix(table.column("unit"))
+            own, one = table.column("own").to_numpy(), table.column("a")[0].as_py() == table.column("b")[0].as_py()
+            left = np.flatnonzero((own == table.column("a")[0].as_py()) & (sizes >= 0))
+            right = left if one else np.flatnonzero((own == table.column("b")[0].as_py()) & (sizes >= 0))
+            if not len(left) or not len(right):
+                continue
+            copies, turned, across = table.column("copies").to_numpy().astype("f8"), np.ascontiguousarray(units.T), np.ascontiguousarray(units[right].T)
+            links, root = np.zeros(len(units)), np.arange(len(units))
+            alike = (sizes[left] == sizes[left[0]]).all() and (sizes[right] == sizes[left[0]]).all()
+            step = max(1, CELLS // len(right))
+            for at in range(0, len(left), step):
+                some = left[at : at + step]
+                with np.errstate(all="ignore"):
+                    scores = units[some] @ across
+                    near = ~(scores < threshold - MARGIN)
+                if not alike:
+                    near &= sizes[some][:, None] == sizes[right]
+                i, j = np.nonzero(near)
+                if one:
+                    i, j = i[i + at != j], j[i + at != j]
+                doubtful = np.flatnonzero(~(scores[i, j] > threshold + MARGIN))
+                i, j, kept = some[i], right[j], np.ones(len(i), bool)
+                for k in range(0, len(doubtful), SUMS):
+                    these = doubtful[k : k + SUMS]
+                    kept[these] = ~(summed(turned, turned, i[these], j[these]) < threshold)
+                i, j = i[kept], j[kept]
+                links += np.bincount(i, copies[j], len(units))
+                if not one:
+                    links += np.bincount(j, copies[i], len(units))
+                _joined(root, i, j)
+            found, rows = np.flatnonzero(links), table.column("row").combine_chunks()
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(found)), rows.take(pa.array(root[found])), pa.array(links[found].astype("i8"))], names=schema.names)
+
+    keyed = dealt.select("label", "a", "b", "own", "row", "copies", "unit").repartition(width(dealt), "label", "a", "b").sortWithinPartitions("label", "a", "b")
+    return keyed.mapInArrow(compared, schema)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, margin: float) -> DataFrame:
     """(query_id, id, score): of each key the vectors (a, b, id, v) that may be among a query's best k, also when scores are rounded by less than half the margin.
 

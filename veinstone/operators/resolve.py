@@ -24,6 +24,13 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 PIECE = 4096
 
 
+def _dealt(unit: DataFrame, sizes: DataFrame, piece: int) -> DataFrame:
+    """Vectors (label, row, id, ...) with own, their piece of their label (label, n), and a, b: each pair of pieces that theirs is one of."""
+    cut = unit.join(sizes.select("label", F.ceil(F.col("n") / piece).cast("int").alias("pieces")), "label").withColumn("own", F.pmod(F.xxhash64("row", "id"), F.col("pieces")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return met.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("pieces", "other")
+
+
 def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *, piece: int = PIECE) -> DataFrame:
     """(i, j, similarity) of rows (row, id, label, vector): same label, different id, i < j, cosine at or above the threshold.
 
@@ -31,10 +38,8 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.85, places: int = 4, *,
     own: every pair is compared once, by products of blocks (see blocks), and no task has all of a large label. Vectors are brought to unit length once.
     """
     unit = nodes.select("row", "id", "label", nested.normalised(F.col("vector")).alias("unit")).where("row IS NOT NULL AND id IS NOT NULL AND label IS NOT NULL AND unit IS NOT NULL")
-    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
-    cut = unit.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("row", "id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = cut.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "row", "id", "unit")
-    found = blocks.pairs(dealt, threshold).where("id <> id_2 AND row <> row_2")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
+    found = blocks.pairs(_dealt(unit, sizes, piece), threshold).where("id <> id_2 AND row <> row_2")
     return found.select(F.least("row", "row_2").alias("i"), F.greatest("row", "row_2").alias("j"), F.round("cosine", places).alias("similarity"))
 
 
@@ -43,21 +48,20 @@ def similar_classes(nodes: DataFrame, threshold: float = 0.85, *, piece: int = P
 
     Equal vectors of one label are one in the comparison, and never make pairs among each other: of thousands of copies one is compared. Its links count for all of
     them, those to copies with their number; copies link to each other if the threshold is one or less. Vectors without a direction, or null ones, link to nothing. Ids are unique.
+    Pairs don't leave the task that finds them: it counts a row's links and hands over the row with one that it is joined to (see blocks.linked).
     """
     units = nodes.select("id", "label", nested.normalised(F.col("vector")).alias("unit"))
     keyed = settled(units.withColumn("key", F.xxhash64("unit", "label")), "units")
     distinct = keyed.where("unit IS NOT NULL AND label IS NOT NULL").groupBy("label", "unit").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     distinct = settled(distinct.withColumn("key", F.xxhash64("unit", "label")), "distinct-units")
-    met = settled(similar_pairs(distinct.select(F.col("first").alias("row"), F.col("first").alias("id"), "label", F.col("unit").alias("vector")), threshold, piece=piece).select("i", "j"), "similar-pairs")
-    both = met.unionByName(met.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy("j").agg(F.count("*").alias("degree"))
-    of = distinct.select(F.col("first").alias("j"), "copies").join(degree, "j")
-    others = looked_up(both, of, "j", "degree", F.col("i")).groupBy(F.col("i").alias("first")).agg(F.sum("copies").alias("others"))
-    names = representatives(met.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    compared = distinct.where("first IS NOT NULL").select("label", F.col("first").alias("row"), F.col("first").alias("id"), "copies", "unit")
+    met = settled(blocks.linked(_dealt(compared, compared.groupBy("label").agg(F.count("*").alias("n")), piece), threshold), "linked")
+    others = met.groupBy(F.col("row").alias("first")).agg(F.sum("links").alias("others"))
+    names = representatives(met.where("row <> root").select(F.col("row").alias("a"), F.col("root").alias("b")))
     known = distinct.join(others, "first", "left").join(names.withColumnRenamed("node", "first"), "first", "left")
     itself = F.aggregate(F.transform("unit", lambda x: x * x), F.lit(0.0), lambda a, b: a + b) >= threshold - 1e-9
     links = F.coalesce("others", F.lit(0)) + F.when(itself, F.col("copies") - 1).otherwise(0)
-    known = known.select("unit", "label", "copies", F.when(itself, F.coalesce("representative", "first")).alias("class_id"), links.alias("links"), "key")
+    known = known.select("unit", "label", "copies", F.coalesce("representative", F.when(itself, F.col("first"))).alias("class_id"), links.alias("links"), "key")
     joined = looked_up(keyed, known.select("key", "class_id", "links", "copies"), "key", "copies", F.col("id"))
     return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
