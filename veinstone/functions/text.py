@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,18 +19,18 @@ TOKEN = r"[0-9a-z\u00DF-\u00F6\u00F8-\u024F]+|[\u4e00-\u9fff]"
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
-    """Whether any of the words is a substring."""
-    found = [F.contains(text, F.lit(word)) for word in words]
-    return F.coalesce(F.array_contains(F.array(*found), True), F.lit(False))
+    """Whether any of the words is a substring. The text is bound, so it is made once for all words."""
+    held = lambda t: reduce(or_, (F.contains(t, F.lit(word)) for word in words), F.lit(False))
+    return F.coalesce(F.exists(F.array(text), held), F.lit(False))
 
 
 def trim_all(text: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?Us)^\s*+(.*\S)?\s*$", "$1")
 
 
 def not_blank(text: Column) -> Column:
-    return F.coalesce(trim_all(text) != "", F.lit(False))
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def half_width(text: Column) -> Column:
@@ -60,7 +62,8 @@ def fine_tokens(token: Column) -> Column:
 
 
 def without_signs(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, L.SPECIAL_SIGNS, " "), r"[ \t]+", " "))
+    """Runs of signs, spaces and tabs as one space."""
+    return F.trim(F.regexp_replace(text, L.SPECIAL_SIGNS, " "))
 
 
 def segments(text: Column) -> Column:
@@ -136,8 +139,8 @@ def is_ascii(text: Column) -> Column:
 
 def cjk_ratio(text: Column) -> Column:
     """Share of CJK among the characters that are neither space nor line end; 0 if there are none."""
-    dense = F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \n]", "")
-    return F.when(F.length(dense) > 0, F.length(F.regexp_replace(dense, r"[^\u4e00-\u9fff]", "")) / F.length(dense)).otherwise(0.0)
+    dense = F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    return F.coalesce(F.length(F.regexp_replace(text, r"[^\u4e00-\u9fff]+", "")) / F.nullif(dense, F.lit(0)), F.lit(0.0))
 
 
 def has_long_ascii_run(text: Column) -> Column:
@@ -176,12 +179,17 @@ def simple_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(L.SIMPLE_TOKEN), F.lit(0))
 
 
+def _many(n: int) -> str:
+    """A pattern of texts with n simple tokens or more, that stops behind the n-th."""
+    return "^" + rf"[^{L.SIMPLE_CLASS}]*+(?:{'|'.join(part + '+' for part in L.SIMPLE_TOKEN.split('|'))})" * n
+
+
 def block_type(text: Column) -> Column:
     kind = F.when(text.rlike(L.BLOCK_TYPES[0][0]), L.BLOCK_TYPES[0][1])
     for pattern, name in L.BLOCK_TYPES[1:]:
         kind = kind.when(text.rlike(pattern), name)
-    count = F.size(simple_tokens(text))
-    return kind.when((count > 3) & (count < 12), "Tx").when(count >= 12, "Lx").otherwise("Ot")
+    special = text.rlike(f"^(?:{'|'.join(pattern for pattern, _ in L.BLOCK_TYPES)})")  # most texts are of none
+    return F.when(special, kind).when(text.rlike(_many(12)), "Lx").when(text.rlike(_many(4)), "Tx").otherwise("Ot")
 
 
 def is_caption(line: Column) -> Column:
@@ -243,7 +251,7 @@ def citation(source: Column, page: Column, kind: Column) -> Column:
 
 
 def has_citation(text: Column) -> Column:
-    return F.coalesce(text.rlike(L.CITATION), F.lit(False))
+    return F.coalesce(text.rlike(L.ANY_CITATION), F.lit(False))
 
 
 def is_useful(text: Column) -> Column:
