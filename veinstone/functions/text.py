@@ -42,16 +42,21 @@ def simplified(text: Column, traditional: str = "", simple: str = "") -> Column:
     return F.translate(text, traditional, simple) if traditional else text
 
 
+_LATIN_RUN = r"[0-9a-z\u00DF-\u00F6\u00F8-\u024F]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case search tokens: runs of Latin letters and digits, and pairs of neighbouring CJK characters (or a single one)."""
-    clean = F.lower(half_width(F.coalesce(text, F.lit(""))))
-    runs = F.regexp_extract_all(clean, F.lit(r"[0-9a-z\u00DF-\u00F6\u00F8-\u024F]+|[\u4e00-\u9fff]+"), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    clean = F.lower(half_width(text))
+    runs = F.regexp_extract_all(clean, F.lit(rf"{_LATIN_RUN}|[\u4e00-\u9fff]+"), F.lit(0))
 
     def cut(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda k: F.substr(run, k, F.lit(2)))
         return F.when(run.rlike("^[\u4e00-\u9fff]"), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, cut))
+    # Most texts have neither full-width nor CJK characters, and need none of the steps for them.
+    return F.when(text.rlike("[\u3000\u4e00-\u9fff\uff01-\uff5e]"), F.flatten(F.transform(runs, cut))).otherwise(F.regexp_extract_all(F.lower(text), F.lit(_LATIN_RUN), F.lit(0)))
 
 
 def fine_tokens(token: Column) -> Column:

@@ -28,12 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
+def settled(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """df written and read again: iterations neither grow the lineage nor recompute it. The folder goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     _MADE[path] = spark
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,7 +79,7 @@ class Versions:
     def written(self, rows: DataFrame, tag: str, by: list[str] | None = None) -> str:
         """Rows as a part; its path, which counts once a version names it. by: columns that folders are made of."""
         path = f"{self.root}/parts/{tag}-{uuid.uuid4().hex}"
-        (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(path, compression="zstd")
         return path
 
     def swept(self, keep: int = 2) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veinstone.functions import lexicons as L, text as T
 from veinstone.operators import evaluate, search, segment
 from veinstone.operators.tables import settled, shared_folder
-from veinstone.operators.text_index import Phrases, TextIndex
+from veinstone.operators.text_index import FORMAT, Phrases, TextIndex
 from veinstone.operators.vector_index import VectorIndex
 from veinstone.plans.tables import kept_at, table
 
@@ -28,7 +28,7 @@ def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def text_index(spark: SparkSession, d: str) -> TextIndex:
     """The stored index of the documents; whoever asks first makes it."""
-    index = TextIndex(spark, kept_at(spark, d, "documents"))
+    index = TextIndex(spark, f"{kept_at(spark, d, 'documents')}-{FORMAT}")
     if not index.versions.latest():
         index.upsert(table(spark, d, "documents"))
     return index
