@@ -81,3 +81,20 @@ def test_factors_decide(spark, monkeypatch):
 def _packed(segments):
     keys, owners, texts = zip(*segments)
     return np.array([len(keys)], "<i8").tobytes() + np.array(keys, "<u4").tobytes() + np.array(owners, "<i8").tobytes() + np.array([len(t) - 49 for t in texts], "<i8").tobytes() + b"".join(texts)
+
+
+@pytest.mark.parametrize("result", ["digest", "spans"])
+def test_whole_copies_deal_out_no_segments(spark, monkeypatch, result):
+    """Copies with larger, equal and no ids: each copy's segments were moved and compared again in every chunk."""
+    rng = random.Random(6)
+    text, other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (900, 400))
+    docs = [(4, text), (9, text), (4, text), (None, text), (12, text), (30, "short"), (31, "short"), (2, other[:200]), (15, other), (16, text[:100] + other)]
+    kept, written = {}, S.written
+    monkeypatch.setattr(S, "written", lambda df, tag: kept.setdefault(tag, written(df, tag)))
+    found = S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), chunk_bytes=1, result=result)
+    wanted = brute([(S.NO_ID if i is None else i, t.encode()) for i, t in docs])
+    if result == "digest":
+        assert sorted((S.NO_ID if r[0] is None else r[0], *r[1:]) for r in map(tuple, found.collect())) == wanted
+    else:
+        assert sorted((S.NO_ID if r.doc_id is None else r.doc_id, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found.collect()) == [(i, n, k, h) for i, _, n, k, h in wanted]
+    assert kept["repeats-answers"].select("part", "offset").distinct().count() == 5  # both with id 4, and those of other texts: not 9, 12 and the one without an id

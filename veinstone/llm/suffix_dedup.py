@@ -20,6 +20,8 @@ neighbouring strings mostly share one, so that a run of strings with one anchor
 
 Chunks are read back by place rather than shuffled: only hashes, possible repeats and bit masks move. A copied document
 adds one entry for each chunk to an anchor's bucket, so copies are aggregated before they move, however many there are.
+Whole copies are told in step 2, by digests with the smallest id of each: such a document goes as a whole, and as its first
+one holds all of its strings under a smaller id, none of its segments need be dealt out.
 Hashes only select; what is removed is decided by comparing bytes. Chunks and the number of buckets grow with the input,
 within bounds, so that neither a bucket nor the number of rows between chunks and buckets gets out of hand.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +215,7 @@ class Chunk:
         self.segments = Segments(self.bytes, self.ends, length)
         self.anchors, self.which, docs = self._distinct()
         self.shared = docs
+        self.digests = self._digests(data)
 
     def _distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         anchors, which = np.unique(self.segments.hash, return_inverse=True)
@@ -221,6 +225,19 @@ class Chunk:
         np.maximum.at(high, which, ids)
         return anchors, which, low < high
 
+    def _digests(self, data: bytes) -> list[bytes | None]:
+        """A digest of each text; none of those that are too short to be removed."""
+        begins = [0, *self.ends[:-1].tolist()]
+        return [hashlib.sha256(data[a:b]).digest() if b - a >= self.length else None for a, b in zip(begins, self.ends.tolist())]
+
+    def first_ids(self) -> dict[bytes, int]:
+        """The smallest id of each digest, by digest."""
+        found: dict[bytes, int] = {}
+        for digest, doc_id in zip(self.digests, self.ids.tolist()):
+            if digest is not None:
+                found[digest] = min(doc_id, found.get(digest, doc_id))
+        return dict(sorted(found.items()))
+
     def packed(self) -> bytes:
         sizes = np.diff(self.ends, prepend=0)
         return zstandard.compress(np.array([len(self.ids)], "<i8").tobytes() + self.ids.tobytes() + sizes.astype("<i8").tobytes() + self.bytes.tobytes(), 3)
@@ -237,6 +254,10 @@ def _buckets(anchors: np.ndarray, buckets: int) -> np.ndarray:
     return (anchors >> np.uint64(8 * HASH_BYTES)) % np.uint64(buckets)
 
 
+def _digest_bucket(digest: bytes, buckets: int) -> int:
+    return int.from_bytes(digest[:8], "little") % buckets
+
+
 def _short(anchors: np.ndarray) -> np.ndarray:
     return anchors & np.uint64((1 << 8 * HASH_BYTES) - 1)
 
@@ -291,9 +312,12 @@ def _stored(store: Store, length: int, chunk_bytes: int, buckets: int, batches:
         home = _buckets(chunk.anchors, buckets)
         order = np.lexsort((_short(chunk.anchors), home))
         cuts = np.flatnonzero(np.diff(home[order], prepend=-1)) if len(order) else np.empty(0, int)
-        rows = [(part, offset, len(packed), int(home[own[0]]), _cut(_short(chunk.anchors[own])), np.packbits(chunk.shared[own]).tobytes()) for own in np.split(order, cuts[1:]) if len(own)]
-        rows = rows or [(part, offset, len(packed), 0, b"", b"")]
-        return packed, _out(rows, ("anchors", pa.binary()), ("shared", pa.binary())).to_batches()[0]
+        told = {int(home[own[0]]): (_cut(_short(chunk.anchors[own])), np.packbits(chunk.shared[own]).tobytes()) for own in np.split(order, cuts[1:]) if len(own)}
+        docs: dict[int, list[bytes]] = {}
+        for digest, doc_id in chunk.first_ids().items():
+            docs.setdefault(_digest_bucket(digest, buckets), []).append(digest + doc_id.to_bytes(8, "little", signed=True))
+        rows = [(part, offset, len(packed), bucket, *told.get(bucket, (b"", b"")), b"".join(docs.get(bucket, []))) for bucket in sorted({*told, *docs} or {0})]
+        return packed, _out(rows, ("anchors", pa.binary()), ("shared", pa.binary()), ("docs", pa.binary())).to_batches()[0]
 
     with files.open_output_stream(draft, compression=None) as file:
         ids, texts, held = [], [], 0
@@ -317,7 +341,7 @@ def _stored(store: Store, length: int, chunk_bytes: int, buckets: int, batches:
 
 
 def _repeated(heavy: int, rows: pa.Table) -> pa.Table:
-    """Step 2, a bucket: a bit for each chunk's anchor, set if it stands in over one document, and one if in many chunks."""
+    """Step 2, a bucket: a bit for each chunk's anchor, set if it stands in over one document, and one if in many chunks; the smallest id of each chunk's digests."""
     cut = rows.column("anchors").to_pylist()
     sizes = [len(x) // HASH_BYTES for x in cut]
     anchors = _joined(b"".join(cut))
@@ -327,27 +351,41 @@ def _repeated(heavy: int, rows: pa.Table) -> pa.Table:
     np.logical_or.at(often, which, shared)
     cuts = np.cumsum(sizes)[:-1]
     bits, many = (np.split(x[which], cuts) if sizes else [] for x in (often, count > heavy))
+    docs = [[(x[k : k + 32], int.from_bytes(x[k + 32 : k + 40], "little", signed=True)) for k in range(0, len(x), 40)] for x in rows.column("docs").to_pylist()]
+    first: dict[bytes, int] = {}
+    for digest, doc_id in (pair for pairs in docs for pair in pairs):
+        first[digest] = min(doc_id, first.get(digest, doc_id))
+    firsts = [np.array([first[digest] for digest, _ in pairs], "<i8").tobytes() for pairs in docs]
     places = zip(*(rows.column(name).to_pylist() for name, _ in _PLACES))
-    return _out([(*place, np.packbits(x).tobytes(), np.packbits(y).tobytes() if y.any() else b"") for place, x, y in zip(places, bits, many)], ("bits", pa.binary()), ("many", pa.binary()))
+    return _out([(*place, np.packbits(x).tobytes(), np.packbits(y).tobytes() if y.any() else b"", z) for place, x, y, z in zip(places, bits, many, firsts)], ("bits", pa.binary()), ("many", pa.binary()), ("first", pa.binary()))
 
 
 class Candidates:
     """The segments of a chunk that can repeat, by bucket, then hash, then id, then place: the same whenever they are computed.
 
     first: for each, the first with an equal text; distinct: the places of those firsts; nth: for each, which of them.
+    copies: which documents are whole copies of one with a smaller id; they have no segments here.
     """
 
     def __init__(self, chunk: Chunk, rows: pa.Table, buckets: int) -> None:
         marked, many = np.zeros(len(chunk.anchors), bool), np.zeros(len(chunk.anchors), bool)
         home = _buckets(chunk.anchors, buckets)
         order = np.lexsort((_short(chunk.anchors), home))
-        for bucket, bits, heavy in zip(*(rows.column(name).to_pylist() for name in ("bucket", "bits", "many"))):
-            own = order[np.searchsorted(home[order], bucket) : np.searchsorted(home[order], bucket, side="right")]
+        each = rows.column("bucket").to_numpy()
+        begins, ends = (np.searchsorted(home[order], each, side=side).tolist() for side in ("left", "right"))  # for all buckets at once: there may be hundreds
+        for begin, end, bits, heavy in zip(begins, ends, *(rows.column(name).to_pylist() for name in ("bits", "many"))):
+            own = order[begin:end]
             marked[own] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(own)).astype(bool)
             if heavy:
                 many[own] = np.unpackbits(np.frombuffer(heavy, "u1"), count=len(own)).astype(bool)
+        told = dict(zip(rows.column("bucket").to_pylist(), rows.column("first").to_pylist()))
+        ids, own = {}, chunk.first_ids()
+        for bucket, digests in groupby(sorted(own, key=lambda digest: _digest_bucket(digest, buckets)), lambda digest: _digest_bucket(digest, buckets)):
+            ids |= zip(digests, np.frombuffer(told[bucket], "<i8").tolist())
+        self.copies = np.array([digest is not None and ids[digest] < doc_id for digest, doc_id in zip(chunk.digests, chunk.ids.tolist())], bool)
         segments, which = chunk.segments, chunk.which
-        whole, apart = np.flatnonzero(marked[which] & ~many[which]), np.flatnonzero(marked[which] & many[which])
+        asks = marked[which] & ~self.copies[segments.doc]
+        whole, apart = np.flatnonzero(asks & ~many[which]), np.flatnonzero(asks & many[which])
         size = segments.count[apart]
         strings = np.repeat(segments.start[apart], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         hashes = np.concatenate([segments.hash[whole], _string_hashes(chunk.bytes, strings, chunk.length)])
@@ -446,7 +484,7 @@ def _removed(chunk: Chunk, rows: pa.Table, buckets: int) -> np.ndarray:
     begins[np.repeat(found.start[~entire], sizes) + along] |= strings[np.repeat(at[nth], sizes) + along]
     total = np.cumsum(begins, dtype="i8")
     total[chunk.length :] -= total[: -chunk.length].copy()
-    return total > 0
+    return (total > 0) | np.repeat(found.copies, np.diff(chunk.ends, prepend=0))
 
 
 def _digested(doc_id: int | None, data: np.ndarray, gone: np.ndarray) -> tuple:
@@ -502,8 +540,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, result: str = "digest"
     store, by_chunk = Store(fresh_path(spark, "chunks")), ("part", "offset", "size")
     # Rows here are few and small for the work they lead to, so the number of tasks is given rather than left to their size.
     tasks = max(width, buckets // 8)
-    told = texts.mapInArrow(partial(_stored, store, length, chunk_bytes, buckets), f"{_PLACE}, anchors binary, shared binary")
-    bits = written(told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_with(_repeated, heavy), f"{_PLACE}, bits binary, many binary"), "repeats-bits")
+    told = texts.mapInArrow(partial(_stored, store, length, chunk_bytes, buckets), f"{_PLACE}, anchors binary, shared binary, docs binary")
+    bits = written(told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_with(_repeated, heavy), f"{_PLACE}, bits binary, many binary, first binary"), "repeats-bits")
     asked = bits.repartition(tasks, *by_chunk).groupBy(*by_chunk).applyInArrow(_with(_asked, store, length, buckets), f"{_PLACE}, segments binary")
     answers = written(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_with(_answered, length), f"{_PLACE}, answer binary"), "repeats-answers")
     both = bits.withColumn("answer", F.lit(None).cast("binary")).unionByName(answers, allowMissingColumns=True)
